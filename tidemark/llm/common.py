@@ -61,3 +61,29 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back, so that its lineage ends there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def held_out(id_col: str = "doc_id") -> Column:
+    """Rows whose labels are never learnt from: crc32 of the id as text leaves 1 when divided by 3."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int, id_col: str = "doc_id", text_col: str = "text"
+) -> list[tuple[str, int]]:
+    """Texts and labels to fit a classifier on, at most ``per_class`` of either label.
+
+    The rows come from all that are not held out, in the order of a hash of their ids; texts over
+    ``max_chars`` are passed over, so the sample's size is bounded by the two parameters.  Only ids that
+    were chosen are broadcast.
+    """
+    known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label).cast("int").alias("_y"))
+    order = [F.xxhash64(F.lit(3), id_col), F.col(id_col)]
+    chosen = known.filter("_y = 1").orderBy(*order).limit(per_class).unionByName(known.filter("_y = 0").orderBy(*order).limit(per_class))
+    texts = docs.select(id_col, F.col(text_col).alias("_t")).filter(F.col("_t").isNotNull() & (F.length("_t") <= max_chars))
+    rows = texts.join(F.broadcast(chosen), id_col).select(id_col, "_t", "_y").collect()
+    # In the order of the hash again, whatever order the rows arrived in; copies of a text count once.
+    import xxhash
+
+    rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r[0])), r[1]))
+    return list(dict.fromkeys((r[1], r[2]) for r in rows))

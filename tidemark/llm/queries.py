@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, packing, pii
-from .common import read
+from . import bpe, html, packing, pii, quality, toxicity
+from .common import held_out, read
 
 
 def tokenizer_file() -> str:
@@ -17,6 +17,18 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).withColumn("held_out", held_out())
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.fit(docs, read(spark, sf_dir, "labels"))
+    return quality.score(docs, model).withColumn("held_out", held_out())
+
+
 def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(read(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -34,7 +46,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_bpe_automaton, op7_pii, op8_best_fit_packing, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_toxicity, op3_quality, op6_bpe_automaton, op7_pii, op8_best_fit_packing, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
