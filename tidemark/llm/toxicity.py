@@ -10,6 +10,7 @@ part in the dictionaries, gives the score; it is placed so that the best-F1 thre
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
@@ -75,29 +76,51 @@ def features(ds: list[int]) -> list[float]:
     return [float(np.sqrt(sum(d >= 1 for d in ds) / n)), float(np.sqrt(hits / n)), min(max(ds), 12) / 4, float(np.log1p(hits)), float(np.log1p(n)) / 4]
 
 
-def _grams(texts: list[bytes]) -> Counter:
+def _apart(texts: list[str]) -> list[str]:
+    """Texts without near copies: of those that share one of their three least-hashed word 5-grams the first."""
+    seen: set[int] = set()
+    kept = []
+    for t in texts:
+        w = t.split()
+        marks = sorted({zlib.crc32(" ".join(w[i : i + 5]).encode()) for i in range(max(1, len(w) - 4))})[:3]
+        if not seen.intersection(marks):
+            kept.append(t)
+        seen.update(marks)
+    return kept
+
+
+def _grams(texts: list[list[bytes]]) -> Counter:
+    """In how many texts an n-gram of a word, with the spaces around it, occurs."""
     found: Counter = Counter()
+    of: dict[bytes, list[bytes]] = {}
     for t in texts:
-        found.update({t[i : i + GRAM] for i in range(len(t) - GRAM + 1)})
+        own: set[bytes] = set()
+        for w in set(t):
+            if w not in of:
+                p = b" " + w + b" "
+                of[w] = [p[i : i + GRAM] for i in range(len(p) - GRAM + 1)]
+            own.update(of[w])
+        found.update(own)
     return found
 
 
-def _particular(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
-    """Passages that toxic texts share and ordinary ones lack, most frequent last."""
+def _particular(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> bytes:
+    """Passages within words that toxic texts share and ordinary ones lack, most frequent last."""
     ft, fo = _grams(toxic), _grams(ordinary)
     good = {g for g, c in ft.items() if c >= LEAST_TEXTS and c / len(toxic) >= RATIO * (fo[g] + 0.5) / len(ordinary)}
     passages: Counter = Counter()
     for t in toxic:
-        own, i, n = set(), 0, len(t) - GRAM + 1
-        while i < n:
-            if t[i : i + GRAM] not in good:
-                i += 1
-                continue
-            j = i
-            while j < n and t[j : j + GRAM] in good:
-                j += 1
-            own.add(t[i : j + GRAM - 1])
-            i = j
+        own = set()
+        for w in set(t):
+            p = b" " + w + b" "
+            i, n = 0, len(p) - GRAM + 1
+            while i < n:
+                j = i
+                while j < n and p[j : j + GRAM] in good:
+                    j += 1
+                if j > i:
+                    own.add(p[i : j + GRAM - 1])
+                i = j + 1
         passages.update(own)
     content = b""
     for s, c in sorted(passages.items(), key=lambda x: (-x[1], x[0])):
@@ -138,14 +161,15 @@ def fit_texts(sample: list[tuple[str, int]]) -> Model:
 
     Without texts of both labels there is nothing to compare: every score is then 0 (no toxic texts).
     """
-    by_label = [[t for t, y in sample if y == k] for k in (0, 1)]
+    by_label = [_apart([t for t, y in sample if y == k]) for k in (0, 1)]
     if min(map(len, by_label)) < 5:
         return Model(b"", b"", (0.0,) * 5, -30.0)
-    train = [[b" " + b" ".join(normal(t)) + b" " for i, t in enumerate(ts) if i % 5 < 3] for ts in by_label]
+    train = [[normal(t) for i, t in enumerate(ts) if i % 5 < 3] for ts in by_label]
+    plain = [b" " + b" ".join(t) + b" " for t in train[0]]
     try:
-        ordinary = zstd.train_dictionary(ORDINARY_BYTES, [t[:3000] for t in train[0]]).as_bytes()[-ORDINARY_BYTES:]
+        ordinary = zstd.train_dictionary(ORDINARY_BYTES, [t[:3000] for t in plain]).as_bytes()[-ORDINARY_BYTES:]
     except zstd.ZstdError:  # too little text to train on: the texts are their own dictionary
-        ordinary = b"".join(train[0])[-ORDINARY_BYTES:]
+        ordinary = b"".join(plain)[-ORDINARY_BYTES:]
     toxic = _particular(train[1], train[0]) + ordinary
     held = [(t, y) for y, ts in enumerate(by_label) for i, t in enumerate(ts) if i % 5 >= 3]
     x = np.array([features(distances(t, ordinary, toxic)) for t, _ in held])
