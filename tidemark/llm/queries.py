@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, packing, pii, quality, toxicity
+from . import bpe, html, packing, pii, quality, simhash, toxicity
 from .common import held_out, read
 
 
@@ -29,6 +29,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).withColumn("held_out", held_out())
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(read(spark, sf_dir, "documents"))
+
+
 def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(read(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -46,7 +50,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_quality, op6_bpe_automaton, op7_pii, op8_best_fit_packing, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_toxicity, op3_quality, op5_simhash, op6_bpe_automaton, op7_pii, op8_best_fit_packing, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
