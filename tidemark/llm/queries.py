@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, packing, pii, quality, simhash, toxicity
+from . import bpe, fingerprints, html, packing, pii, quality, simhash, toxicity
 from .common import held_out, read
 
 
@@ -45,12 +45,16 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_quality, op5_simhash, op6_bpe_automaton, op7_pii, op8_best_fit_packing, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_toxicity, op3_quality, op5_simhash, op6_bpe_automaton, op7_pii, op8_best_fit_packing, op9_fingerprints, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
