@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, html, packing, pii, quality, simhash, toxicity
+from . import bpe, fingerprints, html, packing, pii, quality, secrets, simhash, toxicity
 from .common import held_out, read
 
 
@@ -23,6 +24,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumn("held_out", held_out())
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets.fit(secrets.labelled_findings(spark))
+    found = secrets.scan(read(spark, sf_dir, "documents"), model, ["doc_id"], path_col="source")
+    return found.withColumn("candidate_sha256", F.sha2("candidate", 256)).drop("candidate")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = quality.fit(docs, read(spark, sf_dir, "labels"))
@@ -54,7 +61,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_quality, op5_simhash, op6_bpe_automaton, op7_pii, op8_best_fit_packing, op9_fingerprints, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_quality, op5_simhash, op6_bpe_automaton, op7_pii, op8_best_fit_packing, op9_fingerprints, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
