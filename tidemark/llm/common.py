@@ -7,32 +7,35 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows that an operator works on at once inside a Python worker, whatever the size of the Arrow batch.
 CHUNK_ROWS = 512
 
 
-def map_rows(df: DataFrame, cols: list[str], fn: Callable[[list[list]], dict], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, cols: list[str], fn: Callable[[list[list]], dict], schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """Apply ``fn`` to lists of column values, chunk by chunk, and return the columns it makes.
 
-    ``fn`` receives one list for each of ``cols`` and returns a dict of equally long lists (of any
-    length).  Only ``cols`` are read, so further columns of ``df`` never clash with the outputs.
+    ``fn`` receives one list for each of ``cols`` and returns a dict of equally long lists: of any length,
+    or, if columns of ``carry`` are to stand before them as they are, one value for each row.  Only
+    ``cols`` and ``carry`` are read, so further columns of ``df`` never clash with the outputs.
     """
-    out_fields = df.sparkSession.createDataFrame([], schema).schema
-    names = out_fields.fieldNames()
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(out_fields)
+    made_fields = df.sparkSession.createDataFrame([], schema).schema
+    fields = StructType([df.schema[c] for c in carry] + made_fields.fields)
+    arrow, sent = to_arrow_schema(fields), list(dict.fromkeys([*cols, *carry]))
+    names, inputs, carried = made_fields.fieldNames(), [sent.index(c) for c in cols], [sent.index(c) for c in carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK_ROWS):
                 part = batch.slice(at, CHUNK_ROWS)
-                made = fn([part.column(i).to_pylist() for i in range(part.num_columns)])
-                arrays = [pa.array(made[n], type=arrow.field(n).type) for n in names]
-                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+                made = fn([part.column(i).to_pylist() for i in inputs])
+                arrays = [part.column(i) for i in carried] + [pa.array(made[n], type=arrow.field(n).type) for n in names]
+                yield pa.RecordBatch.from_arrays(arrays, names=arrow.names)
 
-    return df.select(*cols).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in sent]).mapInArrow(run, fields)
 
 
 def text_or_empty(col: str | Column) -> Column:

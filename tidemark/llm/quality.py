@@ -13,7 +13,6 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import common
 from .toxicity import best_threshold
@@ -151,13 +150,12 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     Null texts count as empty; an empty text is scored by its statistics alone.  Repeated rows give
     repeated results; an empty table gives an empty result; columns not named are not read.
     """
-    cols = list(dict.fromkeys([id_col, *keep]))
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)
+    carry = tuple(dict.fromkeys([id_col, *keep]))
     shared = df.sparkSession.sparkContext.broadcast(model)  # of a size fixed by BUCKETS and RANK
 
     def fn(values: list[list]) -> dict:
-        z = logits(shared.value, *stack([t or "" for t in values[-1]]))
+        z = logits(shared.value, *stack([t or "" for t in values[0]]))
         made = (1 / (1 + np.exp(-np.clip(z, -30, 30).astype(float)))).tolist()
-        return dict(zip(cols, values[:-1], strict=True)) | {"score": made, "predicted": [int(s >= THRESHOLD) for s in made]}
+        return {"score": made, "predicted": [int(s >= THRESHOLD) for s in made]}
 
-    return common.map_rows(df.withColumn("_text", F.col(text_col)), [*cols, "_text"], fn, f"{kinds}, score double, predicted int")
+    return common.map_rows(df, [text_col], fn, "score double, predicted int", carry)

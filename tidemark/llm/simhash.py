@@ -14,7 +14,6 @@ chunks.
 from __future__ import annotations
 
 import itertools
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -282,12 +281,13 @@ def similarity_radius(similarity: float, bits: int) -> int:
     return int(round(bits * p + 2 * np.sqrt(bits * p * (1 - p))))
 
 
-def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, limit: int = LIMIT, text_col: str = "text") -> DataFrame:
-    """Groups of exact and near copies: ``text_key, root`` for every distinct text, by the hash of its words.
+def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups of exact and near copies: ``row, id, root`` for every row, ``row`` being ``row_key()``.
 
     Fingerprints have 256 bits, over sets of shingles; texts within the radius of ``similarity`` are linked if
     they share one of the ``KEYS`` least hashes of their shingles, which those of that similarity all but
-    surely do.  Texts without words form one group.  ``text_key`` is what ``text_key()`` gives.
+    surely do.  Texts with the same words are one node, so copies are compared once; texts without words,
+    null ones too, form one group.  An empty table gives an empty result.
     """
     lanes = [f"f{i}" for i in range(len(SEEDS))]
 
@@ -303,17 +303,42 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
             out["keys"].append([signed(int(x)) for x in least])
         return out
 
-    made = common.map_rows(docs, [text_col], fn, f"node long, {', '.join(f'{f} long' for f in lanes)}, keys array<long>")
+    source = docs.select(row_key(id_col, text_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("_t"))
+    made = common.cut(common.map_rows(source, ["_t"], fn, f"node long, {', '.join(f'{f} long' for f in lanes)}, keys array<long>", ("row", "id")))
     texts = common.cut(made.groupBy("node").agg(*[F.first(f).alias(f) for f in lanes], F.first("keys").alias("keys")))
     rows = texts.select("node", *lanes, "keys", F.explode("keys").alias("g"))
 
     def finer(large: DataFrame) -> DataFrame:
-        return large.select("*", F.explode(F.concat(F.array_remove("keys", F.col("g")), F.when(F.size("keys") < 2, F.array("g")).otherwise(F.array().cast("array<long>")))).alias("s"))
+        return large.select("*", F.explode(F.when(F.size("keys") < 2, F.col("keys")).otherwise(F.array_remove("keys", F.col("g")))).alias("s"))
 
     radius = similarity_radius(similarity, 64 * len(lanes))
     roots = components(_linked(rows, ["g"], finer, lanes, radius, limit))
-    found = texts.select("node").withColumn("k", own_exchange("node")).join(roots.select(own_exchange("node").alias("k"), "root"), "k", "left")
-    return found.select(F.col("node").alias("text_key"), F.coalesce("root", "node").alias("root"))
+    found = made.select("row", "id", "node").withColumn("k", own_exchange("node")).join(roots.select(own_exchange("node").alias("k"), "root"), "k", "left")
+    return found.select("row", "id", F.coalesce("root", "node").alias("root"))
+
+
+def drop_near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group of exact and near copies, that of least id; all columns stay.
+
+    Null ids come after others; of rows with the same id and text one stays.
+    """
+    found = common.cut(near_copies(docs, words, similarity, id_col=id_col, text_col=text_col))
+    rank = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
+    first = found.groupBy("root").agg(F.min(rank).alias("first"))
+    met = found.withColumn("k", own_exchange("root")).join(first.select(own_exchange("root").alias("k"), "first"), "k")
+    losers = met.filter(F.col("row") != F.col("first.row")).select(F.col("row").alias("_loser")).distinct()
+    keyed = docs.withColumn("_row", row_key(id_col, text_col))
+    kept = keyed.join(losers, F.col("_row") == F.col("_loser"), "left_anti")
+    twice = common.cut(found.groupBy("row").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("row").alias("_twice")))
+    if not twice.isEmpty():
+        again = F.col("_row") == F.col("_twice")
+        kept = kept.join(twice, again, "left_anti").unionByName(kept.join(twice, again, "left_semi").dropDuplicates(["_row"]))
+    return kept.drop("_row")
+
+
+def row_key(id_col: str, text_col: str):  # noqa: ANN201
+    """A hash of a row's id and text."""
+    return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
 def text_key(text: str | None) -> int:

@@ -18,7 +18,6 @@ from functools import lru_cache
 import numpy as np
 import zstandard as zstd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import common
 
@@ -196,11 +195,10 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     Null and empty texts have no windows and get the score of none.  Repeated rows give repeated
     results; an empty table gives an empty result; columns not named are not read.
     """
-    cols = list(dict.fromkeys([id_col, *keep]))
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)
+    carry = tuple(dict.fromkeys([id_col, *keep]))
 
     def fn(values: list[list]) -> dict:
-        made = [score_text(t or "", model) for t in values[-1]]
-        return dict(zip(cols, values[:-1], strict=True)) | {"score": made, "predicted": [int(s >= THRESHOLD) for s in made]}
+        made = [score_text(t or "", model) for t in values[0]]
+        return {"score": made, "predicted": [int(s >= THRESHOLD) for s in made]}
 
-    return common.map_rows(df.withColumn("_text", F.col(text_col)), [*cols, "_text"], fn, f"{kinds}, score double, predicted int")
+    return common.map_rows(df, [text_col], fn, "score double, predicted int", carry)
