@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, html, packing, pii, quality, secrets, simhash, toxicity
+from . import ann, bpe, fingerprints, html, packing, pii, quality, secrets, simhash, toxicity
 from .common import held_out, read
 
 
@@ -36,6 +36,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).withColumn("held_out", held_out())
 
 
+def op4_multiprobe_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_quality, op5_simhash, op6_bpe_automaton, op7_pii, op8_best_fit_packing, op9_fingerprints, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_quality, op4_multiprobe_ann, op5_simhash, op6_bpe_automaton, op7_pii, op8_best_fit_packing, op9_fingerprints, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
