@@ -99,22 +99,25 @@ def _upper_of(buckets: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", carried: tuple[str, ...] = ("text",), neighbours: int = NEIGHBOURS) -> DataFrame:
-    """Each document with the ``carried`` columns of the next one by descending id, as ``next_<column>``.
+    """Each document with the id and the ``carried`` columns of the next one by descending id, as ``next_<column>``.
 
     After the last document comes the first; a single one is its own next.  Null ids come last; rows of
-    one id stand by a hash of what they carry.  Documents are shuffled once, by ranges of ids.
+    one id stand by a hash of what they carry.  Documents are shuffled once, by ranges of ids: the heads
+    of the ranges need the same columns as all rows, so both read one exchange.
     """
+    carried = (id_col, *carried)
     span = docs.agg(F.min(id_col), F.max(id_col), F.count("*")).first()
     low, high, n = (0, 0, 0) if span[0] is None else span
     width = max(1.0, (high - low + 1) * neighbours / max(n, 1))
     key = F.coalesce(F.col(id_col), F.lit(low - 1 if low > -(1 << 63) else low)).cast("long")
-    placed = docs.select(id_col, *carried, key.alias("_key"), F.xxhash64(*carried).alias("_tie"), F.floor(key.cast("double") / F.lit(width)).cast("long").alias("_bucket"))
+    placed = docs.select(*carried, key.alias("_key"), F.xxhash64(*carried).alias("_tie"), F.floor(key.cast("double") / F.lit(width)).cast("long").alias("_bucket"))
     order = Window.partitionBy("_bucket").orderBy(F.desc("_key"), "_tie")
     side = placed.withColumns({f"_next_{c}": F.lead(c).over(order) for c in carried} | {"_last": F.lead("_key").over(order).isNull(), "_first": F.lag("_key").over(order).isNull()})
     upper = _upper_of(placed.select(F.col("_bucket").alias("bucket")).distinct())
-    heads = side.filter("_first").join(upper, F.col("_bucket") == F.col("bucket")).select(F.col("upper").alias("_upper"), *[F.col(c).alias(f"_head_{c}") for c in carried])
+    # A left join, as an inner one would put a filter on one of the two readers of the exchange.
+    heads = side.filter("_first").join(upper, F.col("_bucket") == F.col("bucket"), "left").select(F.col("upper").alias("_upper"), *[F.col(c).alias(f"_head_{c}") for c in carried])
     met = side.join(heads, (F.col("_bucket") == F.col("_upper")) & F.col("_last"), "left")
-    return met.select(id_col, *carried, *[F.when(F.col("_last"), F.col(f"_head_{c}")).otherwise(F.col(f"_next_{c}")).alias(f"next_{c}") for c in carried])
+    return met.select(*carried, *[F.when(F.col("_last"), F.col(f"_head_{c}")).otherwise(F.col(f"_next_{c}")).alias(f"next_{c}") for c in carried])
 
 
 def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,8 +130,8 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = with_next(own, id_col, ("text", "vector")).withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) as int))"), F.left("next_text", half)))
-    made = edited.select(id_col, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "vector", "next_vector", fingerprint(F.col("edited")).alias("edited_vector"))
+    made = edited.select(id_col, f"next_{id_col}", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "vector", "next_vector", fingerprint(F.col("edited")).alias("edited_vector"))
     return made.select(
         id_col, "n_chars", "edited_sha256", digest(F.col("vector")).alias("fingerprint"), digest(F.col("edited_vector")).alias("edited_fingerprint"),
-        likeness(F.col("vector"), F.col("edited_vector")).alias("near_edited"), likeness(F.col("vector"), F.col("next_vector")).alias("near_next"),
+        likeness(F.col("vector"), F.col("edited_vector")).alias("near_edited"), likeness(F.col("vector"), F.col("next_vector")).alias("near_next"), f"next_{id_col}",
     )
