@@ -200,8 +200,10 @@ def debunk_verdict(tri: DataFrame, criteria: dict | None = None) -> DataFrame:
 
 def verdict(tri: DataFrame) -> DataFrame:
     """The verdict by ``mode``: debunk, or discover for any other."""
-    same = F.coalesce(F.col("mode") == "debunk", F.lit(False))
-    return debunk_verdict(tri.filter(same)).unionByName(discover_verdict(tri.filter(~same)))
+    found = ("label", "reasons", "warning")
+    both = debunk_verdict(discover_verdict(tri).withColumnsRenamed({c: f"_{c}" for c in found}))
+    debunk = F.coalesce(F.col("mode") == "debunk", F.lit(False))
+    return both.withColumns({c: F.when(debunk, F.col(c)).otherwise(F.col(f"_{c}")) for c in found}).drop(*[f"_{c}" for c in found])
 
 
 def host_concentration(findings: DataFrame, artifacts: DataFrame, key: str = "hypothesis_id", over: float = 0.5) -> DataFrame:

@@ -298,7 +298,7 @@ DELOOP = r"""WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(
 COVERAGE = f"""WITH {_WORDS}, segs AS (SELECT conv_id AS transcript_id, count(*) AS n_segments, sum((length(text) % 50) / 10) FILTER (turn % 10 < 5) AS v, avg(-(length(text) % 20) / 10) FILTER (turn % 10 < 5) AS l, max(turn) * 5.0 + 5.0 AS duration FROM conversations GROUP BY 1),
  garbage AS (SELECT transcript_id, CASE WHEN n < 6 THEN NULL WHEN tiny / n > 0.5 THEN 'tiny_tokens' WHEN longest >= greatest(8, floor(n * 0.25)) THEN 'repeat_loop' WHEN u / n < 0.35 THEN 'low_diversity' END AS reason
   FROM (SELECT transcript_id, count(*) AS n, count(DISTINCT word) AS u, count(*) FILTER (regexp_full_match(word, '\\d+') OR length(word) <= 1) AS tiny FROM words GROUP BY 1) JOIN runs USING (transcript_id)),
- facts AS (SELECT transcript_id, n_segments, coalesce(v, 0) AS v, round(coalesce(v, 0) / duration, 3) AS ratio, round(l, 3) AS mean_logprob, reason, CASE WHEN transcript_id % 4 = 0 THEN 0.01 ELSE 0.05 END AS rms FROM segs LEFT JOIN garbage USING (transcript_id)),
+ facts AS (SELECT transcript_id, n_segments, round(coalesce(v, 0), 6) AS v, round(round(coalesce(v, 0), 6) / duration, 3) AS ratio, round(l, 3) AS mean_logprob, reason, CASE WHEN transcript_id % 4 = 0 THEN 0.01 ELSE 0.05 END AS rms FROM segs LEFT JOIN garbage USING (transcript_id)),
  judged AS (SELECT *, CASE WHEN v < 0.8 THEN CASE WHEN rms > 0.02 THEN 'NO_SPEECH_OR_MASKED' ELSE 'SILENT' END WHEN ratio < 0.5 AND rms > 0.02 THEN 'COVERAGE_GAP' WHEN mean_logprob < -1.0 THEN 'LOW_CONFIDENCE' ELSE 'OK' END AS s FROM facts)
  SELECT transcript_id, n_segments, round(v, 1) AS voiced_sec, ratio AS coverage_ratio, mean_logprob, reason, CASE WHEN reason IS NOT NULL AND s IN ('OK', 'LOW_CONFIDENCE') THEN 'DEGENERATE' ELSE s END AS status FROM judged"""
 
