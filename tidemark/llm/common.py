@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidemark.sources.storage import cut, ensure_checkpoint_dir  # noqa: F401
+
 #: Rows that an operator works on at once inside a Python worker, whatever the size of the Arrow batch.
 CHUNK_ROWS = 512
 
@@ -38,34 +40,10 @@ def map_rows(df: DataFrame, cols: list[str], fn: Callable[[list[list]], dict], s
     return df.select(*[F.col(f"`{c}`") for c in sent]).mapInArrow(run, fields)
 
 
-def text_or_empty(col: str | Column) -> Column:
-    """A text column with nulls as empty texts."""
-    return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("string")
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point checkpoints at the shared folder that the cluster names; set one only where none is set."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        import tempfile
-
-        named = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
-    spark.sparkContext.setCheckpointDir(named)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back, so that its lineage ends there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows whose labels are never learnt from: crc32 of the id as text leaves 1 when divided by 3."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -1,49 +1,5 @@
-"""Connected components of an edge list, by alternating large and small stars.
+"""Connected components and storage of intermediate results, as the whole engine has them."""
 
-Every round joins edges to the least neighbour of one end and keeps distinct results, so nothing is
-gathered anywhere but the count and checksum that tell whether a round changed anything.  Joins run on
-a disguised key on both sides: each side then gets an exchange of its own, which lets adaptive execution
-split a hub's rows over tasks.
-"""
+from tidemark.operators.graph import components, own_exchange
 
-from __future__ import annotations
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from .common import cut
-
-_MASK = 0x5DEECE66D
-
-
-def own_exchange(c: Column | str) -> Column:
-    """An equivalent of a bigint join key that no earlier partitioning satisfies."""
-    return (F.col(c) if isinstance(c, str) else c).bitwiseXOR(F.lit(_MASK))
-
-
-def _star(pairs: DataFrame, large: bool) -> DataFrame:
-    """Link the larger (large) or smaller neighbours of each node, and itself, to its least neighbour."""
-    near = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else pairs
-    least = near.groupBy("a").agg(F.min("b").alias("m")).select(own_exchange("a").alias("k"), F.least("a", "m").alias("m"))
-    met = near.withColumn("k", own_exchange("a")).join(least, "k")
-    if large:
-        made = met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        made = met.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-    return made.filter("a > b").groupBy("a", "b").agg(F.lit(1).alias("_")).drop("_")
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """The least node of each node's component: ``node``, ``root``; nodes that are their own root are left out.
-
-    ``edges`` holds bigint nodes; loops, repeats and either direction are allowed, null ends are ignored.
-    """
-    ends = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-    pairs = cut(ends.filter(F.col("a") > F.col("b")).distinct())
-    seen = None
-    while True:
-        count = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(count) == seen or not count[0]:
-            return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = tuple(count)
-        pairs = cut(_star(_star(pairs, True), False))
+__all__ = ["components", "own_exchange"]
