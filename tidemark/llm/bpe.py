@@ -36,7 +36,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 #: Words and arcs held at once by a worker; both tables start anew when full.
-WORD_CACHE = 250_000
+WORD_CACHE = 600_000
 ARC_CACHE = 1_000_000
 
 
@@ -74,17 +74,14 @@ class Automaton:
             words[self.labels[vocab[left + right]]] = vocab[left + right]
         self.never = never
         self.special = dict(special)
-        self.arcs: dict[int, bool] = {}
-        self.next: dict[int, int] = {}  # byte trie of the labels: node * 256 + byte -> node
-        self.label_at: dict[int, int] = {}
-        nodes = 1
+        self.arcs: dict[int, dict[int, bool]] = {}  # tabulated arcs of a label's state
+        self.tabulated = 0
+        self.trie: dict = {}  # labels byte by byte; the label itself under -1
         for w, i in words.items():
-            node = 0
+            node = self.trie
             for b in w:
-                key = node << 8 | b
-                node = self.next.get(key) or self.next.setdefault(key, nodes)
-                nodes += node == nodes
-            self.label_at[node] = i
+                node = node.setdefault(b, {})
+            node[-1] = i
 
     def _gadget(self, a: int, b: int, c: int, rank: int) -> None:
         if self.made[c] >= 0:
@@ -93,13 +90,12 @@ class Automaton:
         self.copied_from[c], self.first[c], self.made[c] = b, a, rank
 
     def arc(self, x: int, y: int) -> bool:
-        """Whether the state of label ``x`` has an arc ``y``."""
-        key = x * self.width + y
-        known = self.arcs.get(key)
-        if known is None:
-            if len(self.arcs) >= ARC_CACHE:
-                self.arcs.clear()
-            known = self.arcs[key] = self._tabulate(x, y)
+        """Whether the state of label ``x`` has an arc ``y``; tabulated for the next time."""
+        if self.tabulated >= ARC_CACHE:
+            self.arcs.clear()
+            self.tabulated = 0
+        self.tabulated += 1
+        known = self.arcs.setdefault(x, {})[y] = self._tabulate(x, y)
         return known
 
     def _tabulate(self, x: int, y: int) -> bool:
@@ -122,25 +118,34 @@ class Automaton:
         """The labels along the accepted path that spells ``w``."""
         n = len(w)
         last = [-1] * (n + 1)
-        step, label_at, arcs, width = self.next.get, self.label_at.get, self.arcs, self.width
-        for i in range(n):
-            x, node = last[i], 0
-            if i and x < 0:
+        trie, rows = self.trie, self.arcs
+        node = trie
+        for j in range(n):
+            node = node.get(w[j])
+            if node is None:
+                break
+            y = node.get(-1)
+            if y is not None:
+                last[j + 1] = y
+        for i in range(1, n):
+            x = last[i]
+            if x < 0:
                 continue
-            for j in range(i, n):
-                node = step(node << 8 | w[j])
+            row, node, j = rows.get(x) or rows.setdefault(x, {}), trie, i
+            while j < n:
+                node = node.get(w[j])
                 if node is None:
                     break
-                y = label_at(node)
-                if y is None or last[j + 1] >= 0:
-                    continue
-                if i:
-                    ok = arcs.get(x * width + y)
-                    if ok is None:
-                        ok = self.arc(x, y)
-                    if not ok:
-                        continue
-                last[j + 1] = y
+                j += 1
+                if last[j] < 0:
+                    y = node.get(-1)
+                    if y is not None:
+                        ok = row.get(y)
+                        if ok is None:
+                            ok = self.arc(x, y)
+                            row = rows[x]
+                        if ok:
+                            last[j] = y
         out, at = [], n
         while at:
             out.append(last[at])
@@ -184,7 +189,7 @@ class Codec:
 
     def decode(self, ids: bytes) -> str:
         labels = self.automaton.labels
-        return b"".join([labels[i] for i in np.frombuffer(ids, dtype="<u4").tolist()]).decode("utf-8", errors="replace")
+        return b"".join(map(labels.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", errors="replace")
 
 
 @lru_cache(maxsize=2)
