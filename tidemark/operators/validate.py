@@ -37,7 +37,7 @@ def validate(rows: DataFrame, rules: dict[str, dict], min_rows: int | None = Non
         present = add("present", F.count_if(here))
         empty = F.col("n_rows") - present
         if "max_empty_ratio" in rule or rule.get("required"):
-            plans.append((field, "empty_ratio", empty, empty / F.col("n_rows") > float(rule.get("max_empty_ratio", 0.0))))
+            plans.append((field, "empty_ratio", empty, empty > F.col("n_rows") * float(rule.get("max_empty_ratio", 0.0))))
         if kind in ("int", "float"):
             bare = F.trim(F.regexp_replace(text, ",", ""))
             number = bare.try_cast("double")
