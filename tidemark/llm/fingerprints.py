@@ -52,8 +52,8 @@ def without(a: Column, b: Column) -> Column:
 
 
 def fingerprint(text: Column) -> Column:
-    """The fingerprint of a text as ``array<bigint>``; a null text counts as empty."""
-    passages = F.split(F.coalesce(text, F.lit("")), PASSAGES)
+    """The fingerprint of a text as ``array<bigint>``; a null text counts as empty, an empty one has no passages."""
+    passages = F.filter(F.split(F.coalesce(text, F.lit("")), PASSAGES), lambda u: u != "")
     hashed = F.transform(passages, lambda u: F.struct(*[F.xxhash64(F.lit(i), u).alias(f"s{i}") for i in range(max(SUMS // 2, HASHES))]))
     zero = F.array(*[F.lit(0).cast("long")] * len(_limits()))
     kept = F.array(*[F.lit(x).cast("long") for x in _limits()])

@@ -5,7 +5,8 @@ particular to toxic text, i.e. the passages of toxic documents made of byte n-gr
 all but lack, most frequent last (where a compressor reaches them most cheaply).  A document is cut into
 windows of whole words; what a window's compressed length falls by under the toxic dictionary is its
 distance.  A logistic function of the distances of all windows, calibrated on labelled texts that took no
-part in the dictionaries, gives the score; it is placed so that the best-F1 threshold lies at ``THRESHOLD``.
+part in the dictionaries, gives the score; it is placed so that the threshold of the best
+F-measure (with precision weighing more) lies at ``THRESHOLD``.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ from . import common
 #: The fitting sample: texts of either label, and their longest length.
 PER_CLASS, MAX_CHARS = 4000, 20_000
 #: Words of a window; bytes of n-grams and of the dictionaries.
-WINDOW, GRAM, ORDINARY_BYTES, TOXIC_BYTES = 12, 6, 24_000, 8_000
-#: A toxic n-gram stands in this many toxic texts and is this many times as frequent there.
-LEAST_TEXTS, RATIO = 5, 20
+WINDOW, GRAM, ORDINARY_BYTES, TOXIC_BYTES = 6, 6, 24_000, 8_000
+#: A toxic n-gram stands in this many toxic texts, in this share of them, and is this many times as frequent there.
+LEAST_TEXTS, LEAST_SHARE, RATIO = 5, 0.02, 4
 THRESHOLD = 0.7
 EDGES = " \t\n\r.,;:!?%$#&*\"'()[]"
 #: Precedes every window, so that zstandard always has something to compress and lengths stay comparable.
@@ -106,7 +107,7 @@ def _grams(texts: list[list[bytes]]) -> Counter:
 def _particular(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> bytes:
     """Passages within words that toxic texts share and ordinary ones lack, most frequent last."""
     ft, fo = _grams(toxic), _grams(ordinary)
-    good = {g for g, c in ft.items() if c >= LEAST_TEXTS and c / len(toxic) >= RATIO * (fo[g] + 0.5) / len(ordinary)}
+    good = {g for g, c in ft.items() if c >= max(LEAST_TEXTS, LEAST_SHARE * len(toxic)) and c / len(toxic) >= RATIO * (fo[g] + 0.5) / len(ordinary)}
     passages: Counter = Counter()
     for t in toxic:
         own = set()
@@ -144,11 +145,11 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return w[:-1], float(w[-1])
 
 
-def best_threshold(logits: np.ndarray, y: np.ndarray) -> float:
-    """The logit at or above which predicting 1 has the greatest F1."""
+def best_threshold(logits: np.ndarray, y: np.ndarray, beta: float = 1.0) -> float:
+    """The logit at or above which predicting 1 has the greatest F-measure (``beta`` under 1 weighs precision more)."""
     order = np.argsort(-logits, kind="stable")
     hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    f1 = (1 + beta * beta) * hits / (np.arange(1, len(y) + 1) + beta * beta * y.sum())
     f1[:-1][logits[order][:-1] == logits[order][1:]] = -1  # never between equal ones
     k = int(np.argmax(f1))
     below = logits[order][k + 1] if k + 1 < len(y) else logits[order][k] - 1
@@ -169,13 +170,17 @@ def fit_texts(sample: list[tuple[str, int]]) -> Model:
         ordinary = zstd.train_dictionary(ORDINARY_BYTES, [t[:3000] for t in plain]).as_bytes()[-ORDINARY_BYTES:]
     except zstd.ZstdError:  # too little text to train on: the texts are their own dictionary
         ordinary = b"".join(plain)[-ORDINARY_BYTES:]
-    toxic = _particular(train[1], train[0]) + ordinary
+    particular = _particular(train[1], train[0])
+    if not particular:  # too few toxic texts to share anything: every score is their share
+        p = len(by_label[1]) / (len(by_label[0]) + len(by_label[1]))
+        return Model(b"", b"", (0.0,) * 5, float(np.log(p / (1 - p))))
+    toxic = particular + ordinary
     held = [(t, y) for y, ts in enumerate(by_label) for i, t in enumerate(ts) if i % 5 >= 3]
     x = np.array([features(distances(t, ordinary, toxic)) for t, _ in held])
     y = np.array([y for _, y in held])
     w, b = _logistic(x, y)
     w = np.maximum(w, 0) if (w[:4] < 0).all() else w
-    at = best_threshold(x @ w + b, y)
+    at = best_threshold(x @ w + b, y, 0.5)
     return Model(ordinary, toxic, tuple(float(v) for v in w), b - at + float(np.log(THRESHOLD / (1 - THRESHOLD))))
 
 
