@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.functions import web
-from tidemark.operators import acquire, evidence, gates, graph, ledger, media, scoring, trends, validate
+from tidemark.operators import acquire, evidence, gates, graph, ledger, media, producers, scoring, trends, validate
 from tidemark.sources import jsonl, transcripts
 
 FINDING = "seq long, artifact_id string, text string, quote string, label string, polarity string, conclusion_id string, hypothesis_id string, origin string, corroborated_by array<string>, ts string"
@@ -223,3 +223,21 @@ def test_transcripts(spark):
     assert got == [("p", 1.0, 2.0, "one"), ("p", 3600.0, 3601.0, "two"), ("v", 1.5, 3.25, "hello there")]
     assert {r.transcript_id: r.quality_label for r in transcripts.quality_label(df).collect()} == {"p": "OK", "v": "UNKNOWN"}
     assert one(spark, transcripts.stamp(F.lit(3661.5))) == "01:01:01.500"
+
+
+def test_producers(spark):
+    ids = spark.createDataFrame([("https://www.youtube.com/watch?v=abcdefghijk&t=1", "abcdefghijk"), ("https://youtu.be/abcdefghij_", "abcdefghij_"), ("abcdefghijk", "abcdefghijk"), ("short", None)], "u string, v string")
+    assert all(r.v == r.got for r in ids.withColumn("got", producers.video_id(F.col("u"))).collect())
+    assert one(spark, producers.duration_seconds(F.lit("PT1H2M3S"))) == 3723 and one(spark, producers.scrubbed(F.lit("k=abc"), F.lit("abc"))) == "k=***"
+    # A recon stamp with reasons is not recognised, as it never was.
+    assert [one(spark, producers.run_stamp(F.lit(x))) for x in ("[ALPHA] [RECON]", "[RECON]", "[RECON: thin]")] == ["ALPHA", "RECON", "unlabeled"]
+    std = spark.createDataFrame([("a", 3, 2, 1.5, ["traceability"], ["web"]), ("b", 1, 2, 0.5, ["breadth", "typo"], ["sound"]), ("c", None, None, None, None, None)], "standard_id string, min_distinct_hosts int, min_independent_sources int, dup_similarity double, fatal_domains array<string>, required_modalities array<string>")
+    assert {r.standard_id: r.warnings for r in producers.standard_warnings(std).collect()} == {"a": "volume_bar_incoherent,fatal_set_trivial,dup_similarity_range", "b": "fatal_domains_unknown,required_modalities_invalid", "c": ""}
+    items = spark.createDataFrame([(0, "video", "x")], "ord int, kind string, id string")
+    new = spark.createDataFrame([(0, "video", "x"), (1, "channel", "y"), (2, "video", "y")], "ord int, kind string, id string")
+    assert [(r.kind, r.id) for r in producers.watch(items, new).orderBy("ord").collect()] == [("video", "x"), ("channel", "y")]
+    assert producers.watch(items, new, items).count() == 1
+    preds = spark.createDataFrame([(1, 1.0, "2025-1-1"), (2, 1.1, "2025-01-01"), (3, 0.5, "soon")], "prediction_id int, stated_confidence double, resolve_by string")
+    assert {r.prediction_id for r in producers.prediction_violations(preds).collect()} == {2, 3}
+    theses = producers.hypothesis_rows(spark.createDataFrame([("t", "high", "debunk"), (" ", "", "discover"), ("u", "urgent", None)], "thesis string, stakes string, mode string")).collect()
+    assert [r.violation for r in theses] == [None, "empty thesis", "unknown stakes"] and theses[0].hypothesis_id.startswith("hyp_")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.functions import web
-from tidemark.operators import acquire, evidence, gates, ledger, media, scoring, trends, validate
+from tidemark.operators import acquire, evidence, gates, ledger, media, producers, scoring, trends, validate
 from tidemark.sources.tables import Tables
 
 from . import sql as q
@@ -365,3 +365,30 @@ def deloop(t: Tables) -> DataFrame:
 @query(q.COVERAGE)
 def segment_coverage(t: Tables) -> DataFrame:
     return media.coverage(t.segments(), t.clips())
+
+
+# Producers
+
+
+@query(q.VIOLATIONS)
+def finding_violations(t: Tables) -> DataFrame:
+    return producers.finding_violations(t.findings(), t.artifacts())
+
+
+@query(q.MISSING)
+def snapshot_missing(t: Tables) -> DataFrame:
+    payload = t.raw("events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("n"))
+    return producers.snapshot_rows(t.raw("customer").select(F.col("c_custkey").alias("id")), payload)
+
+
+@query(q.DURATIONS)
+def iso_durations(t: Tables) -> DataFrame:
+    text = F.expr("concat('PT', CASE WHEN o_orderkey % 3 = 0 THEN concat(o_orderkey % 5, 'H') ELSE '' END, o_orderkey % 60, 'M', CASE WHEN o_orderkey % 2 = 0 THEN concat(o_custkey % 60, 'S') ELSE '' END)")
+    return t.raw("orders").select("o_orderkey", producers.duration_seconds(text).alias("seconds"))
+
+
+@query(q.CONFORMANCE)
+def conformance(t: Tables) -> DataFrame:
+    actual = evidence.grade(t.findings(), t.artifacts(), t.pubdates(), KNOBS).select("conclusion_id", F.col("overall").alias("actual"))
+    expected = t.findings().select("conclusion_id").distinct().select("conclusion_id", F.expr("CASE WHEN conclusion_id % 2 = 0 THEN 'MEETS' ELSE 'SHORTFALL' END").alias("expected"), (F.col("conclusion_id") % 5).alias("area"))
+    return scoring.conformance(expected, actual, "conclusion_id", "area")

@@ -302,3 +302,10 @@ COVERAGE = f"""WITH {_WORDS}, segs AS (SELECT conv_id AS transcript_id, count(*)
  judged AS (SELECT *, CASE WHEN v < 0.8 THEN CASE WHEN rms > 0.02 THEN 'NO_SPEECH_OR_MASKED' ELSE 'SILENT' END WHEN ratio < 0.5 AND rms > 0.02 THEN 'COVERAGE_GAP' WHEN mean_logprob < -1.0 THEN 'LOW_CONFIDENCE' ELSE 'OK' END AS s FROM facts)
  SELECT transcript_id, n_segments, round(v, 1) AS voiced_sec, ratio AS coverage_ratio, mean_logprob, reason, CASE WHEN reason IS NOT NULL AND s IN ('OK', 'LOW_CONFIDENCE') THEN 'DEGENERATE' ELSE s END AS status FROM judged"""
 
+
+VIOLATIONS = f"""WITH {_FINDINGS}, {_ARTIFACTS} SELECT seq, 'unknown artifact' AS violation FROM findings f WHERE NOT EXISTS (SELECT 1 FROM artifacts a WHERE a.artifact_id = f.artifact_id)
+ UNION ALL SELECT DISTINCT seq, 'unknown corroborator' FROM (SELECT seq, unnest(corroborated_by) AS c FROM findings) WHERE c NOT IN (SELECT artifact_id FROM artifacts)"""
+MISSING = "SELECT c_custkey AS id, n, n IS NULL AS missing FROM customer LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY 1) ON user_id = c_custkey"
+DURATIONS = "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 5 * 3600 ELSE 0 END + o_orderkey % 60 * 60 + CASE WHEN o_orderkey % 2 = 0 THEN o_custkey % 60 ELSE 0 END AS seconds FROM orders"
+CONFORMANCE = f"""SELECT conclusion_id % 5 AS area, count(*) AS n, count(*) FILTER (overall = CASE WHEN conclusion_id % 2 = 0 THEN 'MEETS' ELSE 'SHORTFALL' END) AS passed,
+ count(*) FILTER (overall <> CASE WHEN conclusion_id % 2 = 0 THEN 'MEETS' ELSE 'SHORTFALL' END) AS failed FROM ({GRADE}) GROUP BY 1"""
