@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.sources.storage import importable
+
 
 def insert_once(stream: DataFrame, keys: list[str]) -> DataFrame:
     """The first row of each key ever.  State grows with the keys; no watermark forgets one."""
@@ -41,6 +43,7 @@ def velocity(stream: DataFrame) -> DataFrame:
             state.update((at, views))
         yield pd.DataFrame(out, columns=["id", "at", "per_hour"])
 
+    importable(stream.sparkSession)
     kind = stream.schema["id"].dataType.simpleString()
     picked = stream.select("id", F.col("at").cast("timestamp").alias("at"), F.col("views").cast("long").alias("views"))
     return picked.groupBy("id").applyInPandasWithState(step, f"id {kind}, at timestamp, per_hour double", "at long, views long", "append", GroupStateTimeout.NoTimeout)
@@ -57,6 +60,7 @@ def frontier(stream: DataFrame) -> DataFrame:
         state.update((is_open, closed, visited))
         yield pd.DataFrame([(key[0], is_open, closed, visited)], columns=["item", "is_open", "is_closed", "is_visited"])
 
+    importable(stream.sparkSession)
     kind = stream.schema["item"].dataType.simpleString()
     return stream.select("item", "op", "seq").groupBy("item").applyInPandasWithState(step, f"item {kind}, is_open boolean, is_closed boolean, is_visited boolean", "o boolean, c boolean, v boolean", "update", GroupStateTimeout.NoTimeout)
 
