@@ -183,6 +183,7 @@ def _search(index: DataFrame, queries: DataFrame, plan: Plan, shards: int, k: in
                 starts = np.cumsum([0, *map(len, found)]).astype("i4")
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.ListArray.from_arrays(pa.array(starts), values).cast(tops)], names=["query_id", "top"])
 
+    common.importable(index.sparkSession)
     found = met.mapInArrow(run, "query_id long, top array<struct<neg:double,vec_id:long>>")
     return found.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("top"))), 1, k).alias("best"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.sources.storage import cut, ensure_checkpoint_dir  # noqa: F401
+from tidemark.sources.storage import cut, ensure_checkpoint_dir, importable  # noqa: F401
 
 #: Rows that an operator works on at once inside a Python worker, whatever the size of the Arrow batch.
 CHUNK_ROWS = 512
@@ -37,6 +37,7 @@ def map_rows(df: DataFrame, cols: list[str], fn: Callable[[list[list]], dict], s
                 arrays = [part.column(i) for i in carried] + [pa.array(made[n], type=arrow.field(n).type) for n in names]
                 yield pa.RecordBatch.from_arrays(arrays, names=arrow.names)
 
+    importable(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in sent]).mapInArrow(run, fields)
 
 

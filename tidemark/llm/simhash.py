@@ -183,6 +183,7 @@ def _edges(rows: DataFrame, group: list[str], lanes: list[str], radius: int) ->
             held = [[c[until:] for c in cols]] if until < len(cols[0]) else []
             size = len(cols[0]) - until
 
+    common.importable(rows.sparkSession)
     return dealt.mapInArrow(run, "a long, b long")
 
 
