@@ -27,6 +27,8 @@ from .components import components, own_exchange
 
 #: Fingerprints compared with each other in one group before it is split.
 LIMIT = 2048
+#: Of each near copy's candidates so many nearest ones are compared whole, besides those that join groups.
+WITNESSES = 6
 #: Rows sorted into groups at once by a worker.
 ROWS_AT_ONCE = 65_536
 SEEDS = (42, 43, 44, 45)
@@ -76,8 +78,8 @@ class Groups:
             self.planes.append(np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8"))
         self.planes = np.concatenate(self.planes)  # bits x words
 
-    def links(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each lag, the row indices of the pairs within the radius."""
+    def links(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each lag, the row indices of the pairs within the radius and in how many bits they differ."""
         lag = 0
         k = max(1, int(self.radius).bit_length())
         start = (1 << k) - 1 - self.radius
@@ -116,30 +118,46 @@ class Groups:
                 hits = np.unpackbits((live & ~over).view(np.uint8), bitorder="little").reshape(len(at), 64)
                 w, j = np.nonzero(hits)
                 i = at[w] * 64 + j
-                yield i, i + lag
+                differ = sum((c[w] >> j.astype(np.uint64) & np.uint64(1)).astype(np.int64) << b for b, c in enumerate(counters)) - start
+                yield i, i + lag, differ
 
-    def roots(self) -> np.ndarray:
-        """The first row of each row's component."""
+    def forest(self) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        """The first row of each row's component, and linked pairs that hold the components together.
+
+        The pairs are those that first joined two components, and each row with the ``WITNESSES`` nearest rows before it.
+        """
         up = np.arange(self.n)
-        for i, j in self.links():
-            while True:
-                i, j = up[i], up[j]
-                ri, rj = up[i], up[j]
-                if (ri == i).all() and (rj == j).all():
-                    break
-            for a, b in {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a != b}:
-                while up[a] != a:
-                    a = up[a]
-                while up[b] != b:
-                    b = up[b]
-                up[max(a, b)] = min(a, b)
+        pairs: list[tuple[int, int]] = []
+        nearest, distance = np.full((WITNESSES, self.n), -1), np.full((WITNESSES, self.n), self.radius + 1)
+        for i, j, differ in self.links():
+            lag_of = j[0] - i[0] if len(j) else 0
+            for near, far in zip(nearest, distance, strict=True):  # put in place, hand on what it displaces
+                closer = differ < far[j]
+                pushed, pushed_far = np.where(closer, near[j], i), np.where(closer, far[j], differ)
+                near[j[closer]], far[j[closer]] = i[closer], differ[closer]
+                i, differ = pushed, pushed_far
+            i = j - lag_of
+            apart = up[i] != up[j]
+            for a, b in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
+                x, y = a, b
+                while up[x] != x:
+                    x = up[x]
+                while up[y] != y:
+                    y = up[y]
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    pairs.append((a, b))
             while (up[up] != up).any():
                 up = up[up]
-        return up
+        slot, some = np.nonzero(nearest >= 0)
+        return up, pairs + list(zip(nearest[slot, some].tolist(), some.tolist(), strict=True))
+
 
+def _edges(rows: DataFrame, group: list[str], lanes: list[str], radius: int, pairs: bool = False) -> DataFrame:
+    """Edges ``a``, ``b`` between nodes whose lanes differ in at most ``radius`` bits within a group.
 
-def _edges(rows: DataFrame, group: list[str], lanes: list[str], radius: int) -> DataFrame:
-    """Star edges ``a``, ``b`` between nodes whose lanes differ in at most ``radius`` bits within a group."""
+    They form the star of each component, or with ``pairs`` a few linked pairs of each node.
+    """
     picked = rows.select(*group, "node", *lanes)
     dealt = picked.repartition(F.xxhash64(*group)).sortWithinPartitions(*group, "node")
 
@@ -156,7 +174,10 @@ def _edges(rows: DataFrame, group: list[str], lanes: list[str], radius: int) ->
             if not many.any():
                 return None
             node = cols[len(group)][many]
-            root = Groups(key[many], [np.ascontiguousarray(c[many]).view("<u8") for c in cols[len(group) + 1 :]], radius).roots()
+            root, held_by = Groups(key[many], [np.ascontiguousarray(c[many]).view("<u8") for c in cols[len(group) + 1 :]], radius).forest()
+            if pairs:
+                one, two = np.array(held_by, dtype=int).reshape(-1, 2).T
+                return pa.RecordBatch.from_arrays([pa.array(node[one]), pa.array(node[two])], names=["a", "b"]) if len(one) else None
             linked = root != np.arange(len(root))
             return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], names=["a", "b"]) if linked.any() else None
 
@@ -199,11 +220,11 @@ def _split(rows: DataFrame, group: list[str], limit: int) -> tuple[DataFrame, Da
     return met.filter("n IS NULL").drop("n"), met.filter("n IS NOT NULL")
 
 
-def _linked(rows: DataFrame, group: list[str], finer, lanes: list[str], radius: int, limit: int) -> DataFrame:  # noqa: ANN001
+def _linked(rows: DataFrame, group: list[str], finer, lanes: list[str], radius: int, limit: int, pairs: bool = False) -> DataFrame:  # noqa: ANN001
     """Edges within groups; ``finer`` deals rows of large groups into finer ones that each linked pair still shares."""
     small, large = _split(rows, group, limit)
     large = common.cut(large)
-    edges = _edges(small, group, lanes, radius)
+    edges = _edges(small, group, lanes, radius, pairs)
     if large.isEmpty():
         return edges
     fine = [*group, "s"]
@@ -213,7 +234,7 @@ def _linked(rows: DataFrame, group: list[str], finer, lanes: list[str], radius:
     chunk = F.pmod(F.xxhash64(F.lit(6), "node"), m).cast("int")
     crossed = hot.withColumn("_m", m).withColumn("_c", chunk).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
     crossed = crossed.withColumn("i", F.least("_c", "_o")).withColumn("j", F.greatest("_c", "_o"))
-    return edges.unionByName(_edges(middle, fine, lanes, radius)).unionByName(_edges(crossed, [*fine, "i", "j"], lanes, radius))
+    return edges.unionByName(_edges(middle, fine, lanes, radius, pairs)).unionByName(_edges(crossed, [*fine, "i", "j"], lanes, radius, pairs))
 
 
 def _masks(radius: int) -> list[tuple[int, list[int]]]:
@@ -285,9 +306,10 @@ def similarity_radius(similarity: float, bits: int) -> int:
 def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of exact and near copies: ``row, id, root`` for every row, ``row`` being ``row_key()``.
 
-    Fingerprints have 256 bits, over sets of shingles; texts within the radius of ``similarity`` are linked if
+    Fingerprints have 256 bits, over sets of shingles; texts within the radius of ``similarity`` are candidates if
     they share one of the ``KEYS`` least hashes of their shingles, which those of that similarity all but
-    surely do.  Texts with the same words are one node, so copies are compared once; texts without words,
+    surely do.  Of each text's candidates its ``WITNESSES`` nearest and those that join groups are compared by their whole
+    sets of shingles; pairs of ``similarity`` or more link.  Texts with the same words are one node, so copies are compared once; texts without words,
     null ones too, form one group.  An empty table gives an empty result.
     """
     lanes = [f"f{i}" for i in range(len(SEEDS))]
@@ -306,14 +328,28 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
 
     source = docs.select(row_key(id_col, text_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("_t"))
     made = common.cut(common.map_rows(source, ["_t"], fn, f"node long, {', '.join(f'{f} long' for f in lanes)}, keys array<long>", ("row", "id")))
-    texts = common.cut(made.groupBy("node").agg(*[F.first(f).alias(f) for f in lanes], F.first("keys").alias("keys")))
+    texts = common.cut(made.groupBy("node").agg(*[F.first(f).alias(f) for f in lanes], F.first("keys").alias("keys"), F.min("row").alias("row")))
     rows = texts.select("node", *lanes, "keys", F.explode("keys").alias("g"))
 
     def finer(large: DataFrame) -> DataFrame:
         return large.select("*", F.explode(F.when(F.size("keys") < 2, F.col("keys")).otherwise(F.array_remove("keys", F.col("g")))).alias("s"))
 
     radius = similarity_radius(similarity, 64 * len(lanes))
-    roots = components(_linked(rows, ["g"], finer, lanes, radius, limit))
+    met = _linked(rows, ["g"], finer, lanes, radius, limit, pairs=True)
+    pairs = common.cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("e")).distinct()
+    compared = texts.select("node", "row").join(ends, F.col("node") == F.col("e"), "left_semi").select("node", F.col("row").alias("_r"))
+
+    def sets(cols: list[list]) -> dict:
+        return {"set": [[signed(xxhash.xxh64_intdigest(p, SEEDS[0])) for p in dict.fromkeys(shingles(t or "", words))] for t in cols[0]]}
+
+    again = source.join(compared, F.col("row") == F.col("_r")).select("node", "_t")
+    whole = common.map_rows(again, ["_t"], sets, "set array<long>", ("node",)).dropDuplicates(["node"])
+    side = lambda c: whole.select(own_exchange("node").alias("k"), F.col("set").alias(f"{c}_set"))
+    both = pairs.withColumn("k", own_exchange("a")).join(side("a"), "k").drop("k").withColumn("k", own_exchange("b")).join(side("b"), "k")
+    shared = F.size(F.array_intersect("a_set", "b_set"))
+    alike = both.filter(shared >= similarity * (F.size("a_set") + F.size("b_set") - shared) - 1e-9).select("a", "b")
+    roots = components(alike)
     found = made.select("row", "id", "node").withColumn("k", own_exchange("node")).join(roots.select(own_exchange("node").alias("k"), "root"), "k", "left")
     return found.select("row", "id", F.coalesce("root", "node").alias("root"))
 
