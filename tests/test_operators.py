@@ -241,3 +241,11 @@ def test_producers(spark):
     assert {r.prediction_id for r in producers.prediction_violations(preds).collect()} == {2, 3}
     theses = producers.hypothesis_rows(spark.createDataFrame([("t", "high", "debunk"), (" ", "", "discover"), ("u", "urgent", None)], "thesis string, stakes string, mode string")).collect()
     assert [r.violation for r in theses] == [None, "empty thesis", "unknown stakes"] and theses[0].hypothesis_id.startswith("hyp_")
+
+
+def test_undated_runs_survive_since(spark):
+    runs = spark.createDataFrame([("a", "2024-05-01T00:00:00Z"), ("b", None), ("c", ""), ("d", "2023-01-01")], "run string, created string")
+    rows = spark.createDataFrame([("b", "2024-06-01"), ("b", "2024-07-01")], "run string, ts string")
+    dated = gates.created(runs, rows)
+    assert {r.run: r.created for r in dated.collect()}["b"] == "2024-06-01"
+    assert {r.run for r in gates.since(dated, "2024-01-01").collect()} == {"a", "b", "c"}

@@ -67,6 +67,17 @@ def harvest(findings: DataFrame, artifacts: DataFrame, label: str = "CORRECTED",
     return used.select(run, "findings", "corrections", F.array_join("used", ",").alias("used"), F.array_join(F.array_except(every, "used"), ",").alias("gaps"))
 
 
+def created(runs: DataFrame, rows: DataFrame, run: str = "run") -> DataFrame:
+    """When each run began: its own ``created``, else the earliest time of its rows, else empty."""
+    earliest = rows.groupBy(run).agg(F.min("ts").alias("_first"))
+    return runs.join(earliest, run, "left").withColumn("created", F.coalesce(F.nullif(F.col("created"), F.lit("")), "_first", F.lit(""))).drop("_first")
+
+
+def since(runs: DataFrame, day: str) -> DataFrame:
+    """Runs of a day (YYYY-MM-DD) or later by the text of their date; undated ones stay."""
+    return runs.filter((F.col("created") == "") | (F.substring("created", 1, 10) >= day))
+
+
 def freshness(facts: DataFrame, today: str) -> DataFrame:
     """The state of each fact: corrupt, pending, unverified, stale or fresh, with its age in days."""
     day = F.lit(today).cast("date")
