@@ -271,6 +271,38 @@ def test_near_copies(spark, odd):
     assert len(left) == 6 and simhash.drop_near_copies(odd.limit(0)).count() == 0
 
 
+def word_shingles(text):
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_near_copies_of_a_hub(spark):
+    """Copies that are alike by way of one text only, which all of them are near."""
+    random.seed(8)
+    hub = [f"h{i}" for i in range(200)]
+    texts = [" ".join(hub)]
+    for k in range(400):
+        t = list(hub)
+        for j, at in enumerate(random.sample(range(10, 190, 6), 4)):
+            t[at] = f"n{k}x{j}"
+        texts.append(" ".join(t))
+    sets = [word_shingles(t) for t in texts]
+    assert all(len(s & sets[0]) >= 0.8 * len(s | sets[0]) for s in sets)
+    assert sum(len(a & b) < 0.8 * len(a | b) for a, b in zip(sets[1:], sets[2:])) > 300  # noqa: B905
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len({r.root for r in simhash.near_copies(df).collect()}) == 1
+
+
+def test_alike_forest_is_exact():
+    random.seed(9)
+    for _ in range(100):
+        base = random.sample(range(1000), 30)
+        sets = [frozenset([*random.sample(base, random.randrange(20, 31)), *random.sample(range(1000), random.randrange(4))]) for _ in range(40)] + [frozenset()]
+        root = simhash.alike_forest([np.array(sorted(s), "<u8") for s in sets], 0.8)
+        want = brute_components(list(range(41)), lambda a, b, sets=sets: 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) > 0)
+        assert root.tolist() == [want[i] for i in range(41)]
+
+
 def test_ann(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(1500, 16)).astype(np.float32)

@@ -14,7 +14,7 @@ chunks.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +27,9 @@ from .components import components, own_exchange
 
 #: Fingerprints compared with each other in one group before it is split.
 LIMIT = 2048
-#: Of each near copy's candidates so many nearest ones are compared whole, besides those that join groups.
-WITNESSES = 6
-#: Rows sorted into groups at once by a worker.
-ROWS_AT_ONCE = 65_536
-SEEDS = (42, 43, 44, 45)
+#: Rows sorted into groups at once by a worker, and the bytes from which on fewer are.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 65_536, 32_000_000
+SEED = 42
 
 
 def shingles(text: str, size: int) -> list[bytes]:
@@ -57,7 +55,7 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint(parts: list[bytes], seed: int = SEEDS[0]) -> int:
+def fingerprint(parts: list[bytes], seed: int = SEED) -> int:
     if not parts:
         return 0
     digest = xxhash.xxh64_intdigest
@@ -121,22 +119,10 @@ class Groups:
                 differ = sum((c[w] >> j.astype(np.uint64) & np.uint64(1)).astype(np.int64) << b for b, c in enumerate(counters)) - start
                 yield i, i + lag, differ
 
-    def forest(self) -> tuple[np.ndarray, list[tuple[int, int]]]:
-        """The first row of each row's component, and linked pairs that hold the components together.
-
-        The pairs are those that first joined two components, and each row with the ``WITNESSES`` nearest rows before it.
-        """
+    def forest(self) -> np.ndarray:
+        """The first row of each row's component."""
         up = np.arange(self.n)
-        pairs: list[tuple[int, int]] = []
-        nearest, distance = np.full((WITNESSES, self.n), -1), np.full((WITNESSES, self.n), self.radius + 1)
-        for i, j, differ in self.links():
-            lag_of = j[0] - i[0] if len(j) else 0
-            for near, far in zip(nearest, distance, strict=True):  # put in place, hand on what it displaces
-                closer = differ < far[j]
-                pushed, pushed_far = np.where(closer, near[j], i), np.where(closer, far[j], differ)
-                near[j[closer]], far[j[closer]] = i[closer], differ[closer]
-                i, differ = pushed, pushed_far
-            i = j - lag_of
+        for i, j, _ in self.links():
             apart = up[i] != up[j]
             for a, b in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
                 x, y = a, b
@@ -146,19 +132,49 @@ class Groups:
                     y = up[y]
                 if x != y:
                     up[max(x, y)] = min(x, y)
-                    pairs.append((a, b))
             while (up[up] != up).any():
                 up = up[up]
-        slot, some = np.nonzero(nearest >= 0)
-        return up, pairs + list(zip(nearest[slot, some].tolist(), some.tolist(), strict=True))
+        return up
 
 
-def _edges(rows: DataFrame, group: list[str], lanes: list[str], radius: int, pairs: bool = False) -> DataFrame:
-    """Edges ``a``, ``b`` between nodes whose lanes differ in at most ``radius`` bits within a group.
+def alike_forest(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """The first row of each row's component, rows being linked whose sets are that similar: exact for every input.
 
-    They form the star of each component, or with ``pairs`` a few linked pairs of each node.
+    ``sets`` hold distinct hashes.  A component grows from row to row: each of its rows is held against all rows that
+    are in none yet, so that rows which are linked already are not compared with each other.
+    """
+    n = len(sets)
+    root = np.arange(n)
+    sizes = np.array([len(s) for s in sets])
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    own = [ids[e - k : e] for e, k in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    marked = np.zeros(len(values), np.int64)
+    left, flat = np.flatnonzero(sizes > 0), ids  # rows in no component yet, in order, and their sets end to end
+    while len(left) > 1:
+        first, left = int(left[0]), left[1:]
+        flat = flat[sizes[first] :]
+        todo = [first]
+        while todo and len(left):
+            x = todo.pop()
+            marked[own[x]] = 1
+            shared = np.add.reduceat(marked[flat], np.cumsum(sizes[left]) - sizes[left])
+            marked[own[x]] = 0
+            linked = shared >= similarity * (sizes[left] + sizes[x] - shared) - 1e-9
+            if linked.any():
+                todo += left[linked].tolist()
+                root[left[linked]] = first
+                flat = flat[np.repeat(~linked, sizes[left])]
+                left = left[~linked]
+    return root
+
+
+def _stars(rows: DataFrame, group: list[str], values: list[str], forest: Callable[[np.ndarray, list[np.ndarray]], np.ndarray]) -> DataFrame:
+    """Edges ``a``, ``b`` from each node to the first one of its component within its group.
+
+    ``forest`` gets the group and the ``values`` of rows sorted by group, and returns the first row of each row's component.
     """
-    picked = rows.select(*group, "node", *lanes)
+    picked = rows.select(*group, "node", *values)
     dealt = picked.repartition(F.xxhash64(*group)).sortWithinPartitions(*group, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,19 +190,16 @@ def _edges(rows: DataFrame, group: list[str], lanes: list[str], radius: int, pai
             if not many.any():
                 return None
             node = cols[len(group)][many]
-            root, held_by = Groups(key[many], [np.ascontiguousarray(c[many]).view("<u8") for c in cols[len(group) + 1 :]], radius).forest()
-            if pairs:
-                one, two = np.array(held_by, dtype=int).reshape(-1, 2).T
-                return pa.RecordBatch.from_arrays([pa.array(node[one]), pa.array(node[two])], names=["a", "b"]) if len(one) else None
+            root = forest(key[many], [c[many] for c in cols[len(group) + 1 :]])
             linked = root != np.arange(len(root))
             return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], names=["a", "b"]) if linked.any() else None
 
-        size = 0
+        rows_held = bytes_held = 0
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
                 held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)])
-                size += batch.num_rows
-                if size < ROWS_AT_ONCE:
+                rows_held, bytes_held = rows_held + batch.num_rows, bytes_held + batch.nbytes
+                if rows_held < ROWS_AT_ONCE and bytes_held < BYTES_AT_ONCE:
                     continue
             if not held:
                 return
@@ -202,12 +215,29 @@ def _edges(rows: DataFrame, group: list[str], lanes: list[str], radius: int, pai
                 if made is not None:
                     yield made
             held = [[c[until:] for c in cols]] if until < len(cols[0]) else []
-            size = len(cols[0]) - until
+            rows_held, bytes_held = len(cols[0]) - until, bytes_held * (len(cols[0]) - until) // len(cols[0])
 
     common.importable(rows.sparkSession)
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _edges(rows: DataFrame, group: list[str], lanes: list[str], radius: int) -> DataFrame:
+    """The stars of components of nodes whose lanes differ in at most ``radius`` bits within a group."""
+    return _stars(rows, group, lanes, lambda key, cols: Groups(key, [np.ascontiguousarray(c).view("<u8") for c in cols], radius).forest())
+
+
+def _alike(rows: DataFrame, group: list[str], sets: DataFrame, similarity: float) -> DataFrame:
+    """The stars of components of nodes whose whole ``sets`` (``node``, ``set``) are that similar within a group."""
+
+    def forest(key: np.ndarray, cols: list[np.ndarray]) -> np.ndarray:
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]).tolist()
+        return np.concatenate([a + alike_forest([np.frombuffer(x, "<u8") for x in cols[0][a:b]], similarity) for a, b in itertools.pairwise([*starts, len(key)])])
+
+    whole = sets.select(own_exchange("node").alias("k"), "set")
+    met = rows.select(*group, "node").withColumn("k", own_exchange("node")).join(whole, "k")
+    return _stars(met, group, ["set"], forest)
+
+
 def _split(rows: DataFrame, group: list[str], limit: int) -> tuple[DataFrame, DataFrame]:
     """Rows of groups within the limit, and of larger ones with their size ``n``."""
     sizes = rows.groupBy(*group).agg(F.count("*").alias("n")).filter(F.col("n") > limit)
@@ -220,13 +250,12 @@ def _split(rows: DataFrame, group: list[str], limit: int) -> tuple[DataFrame, Da
     return met.filter("n IS NULL").drop("n"), met.filter("n IS NOT NULL")
 
 
-def _linked(rows: DataFrame, group: list[str], finer, lanes: list[str], radius: int, limit: int, pairs: bool = False) -> DataFrame:  # noqa: ANN001
+def _linked(rows: DataFrame, group: list[str], finer: Callable[[DataFrame], DataFrame], edges: Callable[[DataFrame, list[str]], DataFrame], limit: int) -> DataFrame:
     """Edges within groups; ``finer`` deals rows of large groups into finer ones that each linked pair still shares."""
     small, large = _split(rows, group, limit)
     large = common.cut(large)
-    edges = _edges(small, group, lanes, radius, pairs)
     if large.isEmpty():
-        return edges
+        return edges(small, group)
     fine = [*group, "s"]
     middle, hot = _split(finer(large.drop("n")), fine, limit)
     # What is still large is compared whole, chunk against chunk.
@@ -234,7 +263,7 @@ def _linked(rows: DataFrame, group: list[str], finer, lanes: list[str], radius:
     chunk = F.pmod(F.xxhash64(F.lit(6), "node"), m).cast("int")
     crossed = hot.withColumn("_m", m).withColumn("_c", chunk).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
     crossed = crossed.withColumn("i", F.least("_c", "_o")).withColumn("j", F.greatest("_c", "_o"))
-    return edges.unionByName(_edges(middle, fine, lanes, radius, pairs)).unionByName(_edges(crossed, [*fine, "i", "j"], lanes, radius, pairs))
+    return edges(small, group).unionByName(edges(middle, fine)).unionByName(edges(crossed, [*fine, "i", "j"]))
 
 
 def _masks(radius: int) -> list[tuple[int, list[int]]]:
@@ -268,7 +297,7 @@ def link_fingerprints(fps: DataFrame, radius: int = 3, limit: int = LIMIT) -> Da
         dealt = large.select("*", F.posexplode(F.element_at(fine, F.col("t") + 1)).alias("u", "m"))
         return dealt.withColumn("s", F.xxhash64("u", F.col("f0").bitwiseAND(F.col("m")))).drop("u", "m")
 
-    return components(_linked(rows, ["t", "g"], finer, ["f0"], radius, limit))
+    return components(_linked(rows, ["t", "g"], finer, lambda part, group: _edges(part, group, ["f0"], radius), limit))
 
 
 def simhash_components(df: DataFrame, size: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,60 +325,43 @@ def simhash_components(df: DataFrame, size: int = 3, radius: int = 3, id_col: st
 WORDS, SIMILARITY, KEYS = 5, 0.8, 6
 
 
-def similarity_radius(similarity: float, bits: int) -> int:
-    """Differing bits at or under which shingle sets may be that similar, with two deviations of allowance."""
-    cosine = 2 * similarity / (1 + similarity)
-    p = float(np.arccos(cosine) / np.pi)
-    return int(round(bits * p + 2 * np.sqrt(bits * p * (1 - p))))
-
-
 def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of exact and near copies: ``row, id, root`` for every row, ``row`` being ``row_key()``.
 
-    Fingerprints have 256 bits, over sets of shingles; texts within the radius of ``similarity`` are candidates if
-    they share one of the ``KEYS`` least hashes of their shingles, which those of that similarity all but
-    surely do.  Of each text's candidates its ``WITNESSES`` nearest and those that join groups are compared by their whole
-    sets of shingles; pairs of ``similarity`` or more link.  Texts with the same words are one node, so copies are compared once; texts without words,
+    Texts that share one of the ``KEYS`` least hashes of their shingles are compared by their whole sets of shingles,
+    unless links join them already; those of ``similarity`` or more link.
+    Texts with the same words are one node, so copies are compared once; texts without words,
     null ones too, form one group.  An empty table gives an empty result.
     """
-    lanes = [f"f{i}" for i in range(len(SEEDS))]
+
+    def hashes(text: str | None) -> np.ndarray:
+        return np.unique(np.array([xxhash.xxh64_intdigest(p, SEED) for p in set(shingles(text or "", words))], dtype="<u8"))
 
     def fn(cols: list[list]) -> dict:
-        out: dict = {"node": [], **{f: [] for f in lanes}, "keys": []}
+        out: dict = {"node": [], "keys": []}
         for t in cols[0]:
-            parts = list(dict.fromkeys(shingles(t or "", words)))
             out["node"].append(text_key(t))
-            hashes = [np.array([xxhash.xxh64_intdigest(p, s) for p in parts], dtype="<u8") for s in SEEDS]
-            for f, h in zip(lanes, hashes, strict=True):
-                out[f].append(signed(majority(h)) if len(h) else 0)
-            least = np.sort(hashes[0] ^ np.uint64(0x9E3779B97F4A7C15))[:KEYS] if parts else []
-            out["keys"].append([signed(int(x)) for x in least])
+            out["keys"].append([signed(int(x)) for x in hashes(t)[:KEYS]])
         return out
 
+    def whole(cols: list[list]) -> dict:
+        return {"set": [hashes(t).tobytes() for t in cols[0]]}
+
     source = docs.select(row_key(id_col, text_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("_t"))
-    made = common.cut(common.map_rows(source, ["_t"], fn, f"node long, {', '.join(f'{f} long' for f in lanes)}, keys array<long>", ("row", "id")))
-    texts = common.cut(made.groupBy("node").agg(*[F.first(f).alias(f) for f in lanes], F.first("keys").alias("keys"), F.min("row").alias("row")))
-    rows = texts.select("node", *lanes, "keys", F.explode("keys").alias("g"))
+    made = common.cut(common.map_rows(source, ["_t"], fn, "node long, keys array<long>", ("row", "id")))
+    texts = common.cut(made.groupBy("node").agg(F.first("keys").alias("keys"), F.min("row").alias("row")))
+    keyed = texts.select("node", "row", "keys", F.explode("keys").alias("g")).withColumn("k", own_exchange("g"))
+    met = keyed.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select(own_exchange("g").alias("k"))
+    rows = common.cut(keyed.join(met, "k", "left_semi").drop("k"))
+    # Only texts that share a key are read again.
+    compared = rows.groupBy("node").agg(F.first("row").alias("_r"))
+    again = source.join(compared, F.col("row") == F.col("_r")).select("node", "_t")
+    sets = common.cut(common.map_rows(again, ["_t"], whole, "set binary", ("node",)).dropDuplicates(["node"]))
 
     def finer(large: DataFrame) -> DataFrame:
         return large.select("*", F.explode(F.when(F.size("keys") < 2, F.col("keys")).otherwise(F.array_remove("keys", F.col("g")))).alias("s"))
 
-    radius = similarity_radius(similarity, 64 * len(lanes))
-    met = _linked(rows, ["g"], finer, lanes, radius, limit, pairs=True)
-    pairs = common.cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("e")).distinct()
-    compared = texts.select("node", "row").join(ends, F.col("node") == F.col("e"), "left_semi").select("node", F.col("row").alias("_r"))
-
-    def sets(cols: list[list]) -> dict:
-        return {"set": [[signed(xxhash.xxh64_intdigest(p, SEEDS[0])) for p in dict.fromkeys(shingles(t or "", words))] for t in cols[0]]}
-
-    again = source.join(compared, F.col("row") == F.col("_r")).select("node", "_t")
-    whole = common.map_rows(again, ["_t"], sets, "set array<long>", ("node",)).dropDuplicates(["node"])
-    side = lambda c: whole.select(own_exchange("node").alias("k"), F.col("set").alias(f"{c}_set"))
-    both = pairs.withColumn("k", own_exchange("a")).join(side("a"), "k").drop("k").withColumn("k", own_exchange("b")).join(side("b"), "k")
-    shared = F.size(F.array_intersect("a_set", "b_set"))
-    alike = both.filter(shared >= similarity * (F.size("a_set") + F.size("b_set") - shared) - 1e-9).select("a", "b")
-    roots = components(alike)
+    roots = components(_linked(rows, ["g"], finer, lambda part, group: _alike(part, group, sets, similarity), limit))
     found = made.select("row", "id", "node").withColumn("k", own_exchange("node")).join(roots.select(own_exchange("node").alias("k"), "root"), "k", "left")
     return found.select("row", "id", F.coalesce("root", "node").alias("root"))
 
