@@ -293,6 +293,16 @@ def test_near_copies_of_a_hub(spark):
     assert len({r.root for r in simhash.near_copies(df).collect()}) == 1
 
 
+def test_near_copies_of_short_texts(spark):
+    """Sets of four and five shingles, similarity 0.8 exactly."""
+    texts = [t for k in range(300) for t in (" ".join(f"s{k}x{j}" for j in range(8)), " ".join(f"s{k}x{j}" for j in range(9)))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {}
+    for r in simhash.near_copies(df).collect():
+        found.setdefault(r.root, set()).add(r.id)
+    assert sorted(map(sorted, found.values())) == [[2 * k, 2 * k + 1] for k in range(300)]
+
+
 def test_alike_forest_is_exact():
     random.seed(9)
     for _ in range(100):

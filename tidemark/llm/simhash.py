@@ -329,7 +329,9 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     """Groups of exact and near copies: ``row, id, root`` for every row, ``row`` being ``row_key()``.
 
     Texts that share one of the ``KEYS`` least hashes of their shingles are compared by their whole sets of shingles,
-    unless links join them already; those of ``similarity`` or more link.
+    unless links join them already; those of ``similarity`` or more link.  At 0.8 and six keys no pair of sets of up to
+    29 shingles is missed; of larger ones at 0.8 exactly 4 in a million have no key in common if each side has as many
+    shingles of its own, and 64 in a million if one set holds the other.
     Texts with the same words are one node, so copies are compared once; texts without words,
     null ones too, form one group.  An empty table gives an empty result.
     """
