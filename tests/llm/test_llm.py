@@ -303,6 +303,27 @@ def test_near_copies_of_short_texts(spark):
     assert sorted(map(sorted, found.values())) == [[2 * k, 2 * k + 1] for k in range(300)]
 
 
+def test_near_copies_with_one_key_in_a_large_group(spark):
+    """Copies that share one key only link whatever the size of the group."""
+    import xxhash
+
+    random.seed(10)
+    base = [f"b{i}" for i in range(60)]
+    digest = lambda ws: xxhash.xxh64_intdigest(" ".join(ws).encode(), simhash.SEED)
+    least = min(digest(base[i : i + 5]) for i in range(56))
+    texts = []
+    for _ in range(6):
+        t = list(base)
+        while len(t) < 65:  # each word adds a shingle of less hash than those that are shared
+            w = f"e{random.random()}"
+            if digest([*t[-4:], w]) < least:
+                t.append(w)
+        texts.append(" ".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for limit in (simhash.LIMIT, 2):
+        assert len({r.root for r in simhash.near_copies(df, limit=limit).collect()}) == 1
+
+
 def test_alike_forest_is_exact():
     random.seed(9)
     for _ in range(100):

@@ -7,13 +7,14 @@ planes against themselves shifted by ``d`` give the differing bits of 64 pairs a
 counters that start at ``2**k - 1 - radius`` overflow where a pair exceeds the radius, and words whose
 pairs have all overflowed are dropped.  A group yields the star of each of its components, not its pairs.
 
-Groups over ``LIMIT`` are dealt with exactly: first by the bits or keys that remain, then in pairs of
-chunks.
+Groups over ``LIMIT`` are dealt with exactly: first by the bits that remain, or by the sizes of sets,
+then in pairs of chunks.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -325,6 +326,11 @@ def simhash_components(df: DataFrame, size: int = 3, radius: int = 3, id_col: st
 WORDS, SIMILARITY, KEYS = 5, 0.8, 6
 
 
+def size_class(n: int, similarity: float) -> int:
+    """Sets of that similarity are in the same class or in neighbouring ones."""
+    return n if similarity >= 1 or n < 1 else int(math.log(n) / -math.log(similarity) + 1e-9)
+
+
 def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of exact and near copies: ``row, id, root`` for every row, ``row`` being ``row_key()``.
 
@@ -340,19 +346,21 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
         return np.unique(np.array([xxhash.xxh64_intdigest(p, SEED) for p in set(shingles(text or "", words))], dtype="<u8"))
 
     def fn(cols: list[list]) -> dict:
-        out: dict = {"node": [], "keys": []}
+        out: dict = {"node": [], "keys": [], "class": []}
         for t in cols[0]:
+            made = hashes(t)
             out["node"].append(text_key(t))
-            out["keys"].append([signed(int(x)) for x in hashes(t)[:KEYS]])
+            out["keys"].append([signed(int(x)) for x in made[:KEYS]])
+            out["class"].append(size_class(len(made), similarity))
         return out
 
     def whole(cols: list[list]) -> dict:
         return {"set": [hashes(t).tobytes() for t in cols[0]]}
 
     source = docs.select(row_key(id_col, text_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("_t"))
-    made = common.cut(common.map_rows(source, ["_t"], fn, "node long, keys array<long>", ("row", "id")))
-    texts = common.cut(made.groupBy("node").agg(F.first("keys").alias("keys"), F.min("row").alias("row")))
-    keyed = texts.select("node", "row", "keys", F.explode("keys").alias("g")).withColumn("k", own_exchange("g"))
+    made = common.cut(common.map_rows(source, ["_t"], fn, "node long, keys array<long>, class long", ("row", "id")))
+    texts = common.cut(made.groupBy("node").agg(F.first("keys").alias("keys"), F.first("class").alias("class"), F.min("row").alias("row")))
+    keyed = texts.select("node", "row", "class", F.explode("keys").alias("g")).withColumn("k", own_exchange("g"))
     met = keyed.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select(own_exchange("g").alias("k"))
     rows = common.cut(keyed.join(met, "k", "left_semi").drop("k"))
     # Only texts that share a key are read again.
@@ -361,7 +369,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     sets = common.cut(common.map_rows(again, ["_t"], whole, "set binary", ("node",)).dropDuplicates(["node"]))
 
     def finer(large: DataFrame) -> DataFrame:
-        return large.select("*", F.explode(F.when(F.size("keys") < 2, F.col("keys")).otherwise(F.array_remove("keys", F.col("g")))).alias("s"))
+        return large.select("*", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("s"))
 
     roots = components(_linked(rows, ["g"], finer, lambda part, group: _alike(part, group, sets, similarity), limit))
     found = made.select("row", "id", "node").withColumn("k", own_exchange("node")).join(roots.select(own_exchange("node").alias("k"), "root"), "k", "left")
