@@ -1,6 +1,7 @@
 """Secret scan: candidate strings, judged by a random forest, with DataFrame expressions only.
 
-Candidates are long runs of key-like characters with a digit.  Length, character transitions, the share
+Candidates are values of six or more characters given to a key word, keys that begin as those of a known
+issuer, and long runs of key-like characters with a digit.  Length, character transitions, the share
 that dictionary words cover, the path of the text and the neighbouring words make up the features; the
 forest, trained from labelled findings, tells secrets from the hashes, names, numbers and addresses
 that look like them.
@@ -16,16 +17,16 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What a candidate looks like; its neighbourhood in characters; the score at or above which it is a secret.
-CANDIDATE = r"(?<![A-Za-z0-9_+/.-])(?=[A-Za-z_+/.-]*[0-9])[A-Za-z0-9_+/.-]{16,}={0,2}"
+#: The neighbourhood of a candidate in characters; the score at or above which it is a secret.
 BEFORE, AFTER, THRESHOLD = 48, 24, 0.5
 MASK = "[SECRET]"
 #: Trees of the forest, their depth, and the labelled findings that are made to train it.
-TREES, DEPTH, FINDINGS = 24, 9, 6000
+TREES, DEPTH, FINDINGS = 24, 9, 9000
 
 # Words by what they say of a candidate beside or around them.
 KEY_WORDS = "token secret password passwd pwd pass key apikey api_key access auth bearer credential credentials private aws login signature sas".split()
 OTHER_WORDS = "sha sha1 sha256 md5 commit checksum digest hash integrity uuid guid revision rev etag blob image png jpg isbn phone card order invoice serial version id nonce build".split()
+SIGNS = "! @ # $ % ^ & * ~ ?".split()
 PLACEHOLDERS = "example sample test dummy fake placeholder changeme your xxxx todo redacted".split()
 DICTIONARY = (
     "about account address admin after all and api app archive article asset assets author back base blog body book build button cache card cat category center class cloud code com common component"
@@ -37,9 +38,19 @@ DICTIONARY = (
 ).split()
 TEST_PATHS = r"(?i)(^|[/_.-])(tests?|spec|fixtures?|examples?|samples?|docs?|mock|demo|vendor|node_modules|lock)([/_.-]|$)"
 
+PREFIXES = r"(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk_live_|sk-|rk_live_|xox[abprs]-|AIza|SG\.|eyJ|npm_|hf_|dop_v1_)"
+#: What stands before a value that is given to a key word; the first part, a short look back, spares most places the second.
+GIVEN = r"(?<=[=:>][\s\"'`]{0,3})(?<=(?i:" + "|".join(sorted(KEY_WORDS, key=len, reverse=True)) + r")[A-Za-z0-9_-]{0,12}[\"'`\])]{0,2}\s{0,3}(?:=|:|=>|:=)\s{0,2}[\"'`]?)"
+#: What a candidate looks like: a value to its closing quote, one without quotes, a key of an issuer, a long run with a digit.
+VALUE = r"(?:(?<=\")[^\s\"]{6,}(?=\")|(?<=')[^\s']{6,}(?=')|(?<=`)[^\s`]{6,}(?=`)|[^\s\"'`]{5,}[^\s\"'`,;)\]}>])"
+CANDIDATE = (
+    GIVEN + VALUE + r"|(?<![A-Za-z0-9_+/.-])" + PREFIXES + r"[A-Za-z0-9_+/.-]{12,}={0,2}"
+    r"|(?<![A-Za-z0-9_+/.-])(?=[A-Za-z_+/.-]*[0-9])[A-Za-z0-9_+/.-]{16,}={0,2}"
+)
+
 FEATURES = [
     "length", "transitions", "digits", "upper", "lower", "other", "hexadecimal", "distinct", "covered", "vowels", "separators", "key_word", "assigned", "quoted", "other_word", "placeholder", "test_path",
-    "prefix", "numeric",
+    "prefix", "numeric", "given", "signs", "word",
 ]
 
 
@@ -49,12 +60,13 @@ def candidates(docs: DataFrame, key: list[str], text_col: str = "text") -> DataF
     Null and empty texts have none.
     """
     found = docs.select(*key, F.col(text_col).alias("_t")).withColumn("_c", F.regexp_extract_all("_t", F.lit(CANDIDATE), F.lit(0))).filter(F.size("_c") > 0)
-    # Candidates stand in order, so each is the next place of its own text.
+    # What stands between candidates gives their places, also where the same string stands outside of them.
     placed = F.expr(
-        "aggregate(_c, named_struct('at', 0, 'all', cast(array() as array<struct<candidate:string,start:int,end:int>>)),"
-        " (acc, c) -> named_struct('at', locate(c, _t, acc.at + 1) - 1 + length(c),"
-        " 'all', concat(acc.all, array(named_struct('candidate', c, 'start', locate(c, _t, acc.at + 1) - 1, 'end', locate(c, _t, acc.at + 1) - 1 + length(c))))), acc -> acc.all)"
+        "aggregate(sequence(1, size(_c)), named_struct('at', 0, 'all', cast(array() as array<struct<candidate:string,start:int,end:int>>)),"
+        " (acc, i) -> named_struct('at', acc.at + length(element_at(_s, i)) + length(element_at(_c, i)),"
+        " 'all', concat(acc.all, array(named_struct('candidate', element_at(_c, i), 'start', acc.at + length(element_at(_s, i)), 'end', acc.at + length(element_at(_s, i)) + length(element_at(_c, i)))))), acc -> acc.all)"
     )
+    found = found.withColumn("_s", F.split("_t", CANDIDATE, -1))
     each = found.withColumn("_p", F.explode(placed)).select(*key, "_t", "_p.*")
     before = F.expr(f"substring(_t, greatest(start - {BEFORE}, 0) + 1, least(start, {BEFORE}))")
     return each.select(*key, F.col("start").cast("long"), F.col("end").cast("long"), "candidate", before.alias("before"), F.expr(f"substring(_t, end + 1, {AFTER})").alias("after"))
@@ -88,8 +100,9 @@ def features(found: DataFrame, path_col: str | None = None) -> DataFrame:
         "other_word": flag(before.rlike(word(OTHER_WORDS))),
         "placeholder": flag(F.concat(c, F.lit(" "), before).rlike("(?i)" + "|".join(PLACEHOLDERS))),
         "test_path": flag(path.rlike(TEST_PATHS)),
-        "prefix": flag(c.rlike("^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk_live_|sk-|rk_live_|xox[abprs]-|AIza|SG\\.|eyJ|npm_|hf_|dop_v1_)")),
+        "prefix": flag(c.rlike("^" + PREFIXES)),
         "numeric": flag(c.rlike("^[0-9.+/-]+$")),
+        "given": flag(before.rlike(GIVEN + "$")), "signs": _share(r"[^A-Za-z0-9/._:,-]"), "word": flag(c.rlike(r"^\p{L}?[^\p{Lu}\P{L}]*$|^\p{Lu}+$")),
     }
     return found.withColumns(made)
 
@@ -104,6 +117,8 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     up = lambda k, m: F.upper(F.substring(F.translate(F.base64(F.unhex(h(k))), "+/=abcdef01", "XYZQRSTUV29"), 1, m))
     mixed = lambda k, m: F.substring(F.translate(F.base64(F.unhex(h(k))), "+/=", "aB7"), 1, m)
     hexa = lambda k, m: F.substring(h(k), 1, m)
+    letters = lambda k, m: F.substring(F.translate(F.upper(F.base64(F.unhex(h(k)))), "+/=0123456789", "XYZQRSTUVGHJK"), 1, m)
+    signed = lambda k, m: F.substring(F.translate(F.base64(F.unhex(h(k))), "aeiouAEIOU+/=", "@$!%#~^&*?!$@"), 1, m)
     pick = lambda k, xs: F.element_at(F.array(*map(F.lit, xs)), (F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(len(xs))) + 1).cast("int"))
     num = lambda k, m: F.substring(F.translate(h(k), "abcdef", "123456"), 1, m)
     s = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
@@ -117,6 +132,9 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (s("AKIA", up(1, 16)), prose(1)), (s("AKIA", up(2, 16)), named(2)), (s("ghp_", mixed(3, 36)), prose(3)), (s("sk_live_", mixed(4, 24)), named(4)),
         (hexa(5, 40), named(5)), (hexa(6, 18), named(6)), (hexa(7, 32), named(7)), (mixed(8, 40), named(8)), (mixed(9, 22), named(9)), (hexa(10, 64), named(10)),
         (s("xoxb-", num(11, 12), "-", mixed(11, 24)), prose(11)), (s("eyJhbGciOiJIUzI1NiJ9.", mixed(12, 40), ".", mixed(13, 43)), named(12)), (s("AIza", mixed(14, 35)), prose(14)), (hexa(15, 20), named(15)),
+        (s("AKIA", letters(16, 16)), prose(16)), (s("ghp_", letters(17, 36)), named(17)), (mixed(18, 6), named(18)), (mixed(19, 9), named(19)), (mixed(20, 12), named(20)), (signed(70, 8), named(71)), (signed(72, 12), named(72)),
+        (signed(73, 24), named(73)), (s(w(74), num(74, 1), hexa(75, 3), num(76, 1)), named(74)), (s(w(77), pick(78, SIGNS), w(79), num(79, 2)), named(77)), (s(F.initcap(w(80)), num(80, 3), pick(81, SIGNS)), named(80)),
+        (s(pick(82, ["p@ss", "P4ss", "s3cr3t", "adm1n", "qw3rty"]), pick(83, SIGNS), mixed(84, 5)), named(82)),
     ]
     no = [
         (hexa(21, 40), other(21)), (hexa(22, 64), other(22)), (hexa(23, 32), other(23)), (hexa(24, 40), prose(24)),
@@ -127,6 +145,9 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (s("20", num(49, 2), "-0", num(50, 1), "-1", num(51, 1), "T0", num(52, 1), ".", num(53, 6)), prose(49)), (num(54, 16), prose(54)), (num(55, 19), other(55)), (s(num(56, 4), "-", num(57, 4), "-", num(58, 4), "-", num(59, 4)), other(56)),
         (s(num(60, 1), ".", num(61, 2), ".", num(62, 3), "-", w(62), ".", num(63, 2), ".", w(63)), prose(60)), (s("EXAMPLE", up(64, 12), "1"), named(64)), (s("your-", key(65), "-here-", num(65, 3)), named(65)),
         (s(w(66), w(67), w(68), w(69), num(69, 1)), prose(66)), (s("test", num(70, 2), "xxxxxxxxxxxxxxxx"), named(70)),
+        (w(85), named(85)), (F.initcap(w(86)), named(86)), (pick(87, ["required", "optional", "string", "process", "undefined", "function", "everything", "important", "please", "another", "between", "because"]), named(87)),
+        (s(w(88), ".", w(89)), named(88)), (s(w(90), "_", w(91)), named(90)), (s(w(92), "(", w(93), ")"), named(92)), (s("http://", w(94), ".com/", w(95)), named(94)), (s("${", w(96), "_", w(97), "}"), named(96)),
+        (s("changeme", num(98, 2)), named(98)), (s(w(100), ",", w(101)), named(100)), (s(w(102), "-", w(103)), named(102)), (s("process.env.", w(104)), named(104)), (s("<", w(105), "-", w(106), ">"), named(105)),
     ]
     half = max(1, n // 2)
 
@@ -136,7 +157,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         choose = lambda i: reduce(lambda c, k: c.when(which == k, kinds[k][i]), range(1, len(kinds)), F.when(which == 0, kinds[0][i]))
         return rows.select("id", choose(0).alias("candidate"), choose(1).alias("before")).withColumn("label", F.lit(float(label)))
 
-    made = part(yes, 1, 0).unionByName(part(no, 0, half)).filter(F.length("candidate") >= 16)
+    made = part(yes, 1, 0).unionByName(part(no, 0, half)).filter(F.length("candidate") >= 6)
     closing = F.when(F.col("before").rlike("[\"']$"), F.substring("before", -1, 1)).otherwise(F.lit(""))
     path = F.when(F.pmod(F.xxhash64(F.lit("path"), "id"), F.lit(10)) < F.when(F.col("label") == 1, 1).otherwise(3), F.lit("tests/fixtures/data.txt")).otherwise(F.lit("src7"))
     return made.select("candidate", "before", F.concat(closing, F.lit(" "), w(99)).alias("after"), path.alias("path"), "label")
