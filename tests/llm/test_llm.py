@@ -191,6 +191,22 @@ def test_html(spark):
     assert len(rows) == 5 and rows[0].text == "" and rows[2].text == "x" and rows[4].text == "deep"
 
 
+def test_html_keeps_the_whole_article():
+    long = "".join(f"<p>Paragraph {i} of the body, with words, commas, and a full stop at its end.</p>" for i in range(30))
+    lines = [f"Paragraph {i} of the body, with words, commas, and a full stop at its end." for i in range(30)]
+    links = "".join(f"<li><a href=x>Reference {i}</a></li>" for i in range(4))
+    refs = [f"Reference {i}" for i in range(4)]
+    around = "<nav><a href=x>Home</a></nav>{}<ul><li><a href=y>Elsewhere</a></li></ul><footer>(c)</footer>"
+    own = f"<h1>Title</h1><p>Intro.</p><div class=body>{long}</div><p>Closing.</p>"
+    whole = "\n".join(["Title", "Intro.", *lines, "Closing."])
+    assert pages.main_text(around.format(f"<article>{own}</article>")) == whole
+    assert pages.main_text(around.format(f"<main><h1>Title</h1><article><p>Intro.</p>{long}</article><p>Closing.</p></main>")) == whole
+    assert pages.main_text(around.format(f"<div class=page>{own}</div>")) == whole
+    assert pages.main_text(around.format(f"<article>{own}<ul>{links}</ul></article>")) == "\n".join([whole, *refs])
+    table = "".join(f"<tr><td>{x}</td></tr>" for x in lines)
+    assert pages.main_text(around.format(f"<article><h1>Title</h1><p>Intro.</p><table>{table}</table><p>Closing.</p></article>")) == whole
+
+
 def brute_components(values, near):
     labels = dict.fromkeys(values)
     for v in values:

@@ -3,8 +3,10 @@
 A page is read as a stream of tags into a light tree.  For each root-to-leaf tag path the length and
 punctuation of its text are added up and set against the number of nodes; the two ratios are smoothed
 along the page, fused, and paths above a share of the spread are content.  The smallest element that
-holds nearly all text of content paths is the article; all its blocks are kept, short ones too, but for
-elements that are page furniture by tag, role or name, and lists of bare links.
+holds nearly all text of content paths is the article's core.  The article is the ``article`` or ``main``
+around the core, or else the highest element up to which what is added is for the most part prose.  All its
+blocks are kept, short ones too, but for elements that are page furniture by tag, role or name, and lists of
+bare links beside the core.
 """
 
 from __future__ import annotations
@@ -39,13 +41,15 @@ NAMES = re.compile(
     r"toolbar|topbar|share|sharing|social|related|recommend(?:ed|ations?)?|more-?stories|tags?|taglist|meta|byline|login|search|skip|hidden|toc)(?:$|[\s_-])",
     re.I,
 )
+#: Blocks whose text is prose.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption caption summary".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar alertdialog".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 PUNCTUATION = re.compile(r"[.,;:!?…、。！？]")
 
-#: Smoothing radius and width, the share of the spread a path must exceed, and how much text the article holds.
+#: Smoothing radius and width, the share of the spread a path must exceed, and how much text the core holds.
 RADIUS, WIDTH, SPREAD, HELD = 2, 1.0, 0.8, 0.9
 
 
@@ -184,6 +188,47 @@ def path_scores(nodes: list[tuple[str, int, int]]) -> dict[str, float]:
     return {p: a * (1 + b) for p, a, b in zip(paths, smooth(ratio), smooth(marks), strict=True)}
 
 
+def _within(nodes: set[Node], box: Node | None) -> set[Node]:
+    """Those that are ``box`` or stand in it."""
+    known: dict[Node | None, bool] = {box: True, None: False}
+    for x in nodes:
+        chain, up = [], x
+        while up not in known:
+            chain.append(up)
+            up = up.up
+        known.update(dict.fromkeys(chain, known[up]))
+    return {x for x in nodes if known[x]}
+
+
+def _article(core: Node, solid: list[tuple[Node, int, bool]], content: set[str], bare: set[Node]) -> Node:
+    """The element around ``core`` that holds the whole article."""
+    around, up = [core], core.up
+    while up is not None:
+        around.append(up)
+        up = up.up
+    marked = [x for x in around if x.tag in ("article", "main") and not x.out]
+    if marked:
+        around = around[around.index(marked[0]) : around.index(marked[-1]) + 1]
+    added: dict[Node, list[int]] = defaultdict(lambda: [0, 0])  # by the lowest of ``around``: characters, and those of prose
+    at = set(around)
+    for node, n, link in solid:
+        block, up, listed = None, node, False
+        while up is not None and up not in at:
+            block = block or (up if up.tag in BLOCK else None)
+            listed = listed or up in bare
+            up = up.up
+        if up is not None and not listed:
+            added[up][0] += n
+            added[up][1] += n * (not link and (node.path in content or block is not None and block.tag in PROSE))
+    article = around[0]
+    for x in around[1:]:
+        n, prose = added[x]
+        if 2 * prose < n:
+            break
+        article = x
+    return article
+
+
 def main_text(html: str) -> str:
     """The article of one page; empty if there is none."""
     texts = parse(html)
@@ -200,7 +245,7 @@ def main_text(html: str) -> str:
     mean = sum(scores.values()) / len(scores) if scores else 0
     spread = sqrt(sum((x - mean) ** 2 for x in scores.values()) / len(scores)) if scores else 0
     content = {p for p, x in scores.items() if x >= SPREAD * spread}
-    # The smallest element that holds nearly all text of content paths.
+    # The core, the smallest element that holds nearly all text of content paths.
     held: dict[Node, int] = defaultdict(int)
     total = 0
     linked: dict[Node, list[int]] = defaultdict(lambda: [0, 0])
@@ -216,10 +261,14 @@ def main_text(html: str) -> str:
             up = up.up
     if total:
         depth = lambda x: x.path.count("/")
-        box = max((x for x, n in held.items() if n >= HELD * total and x.tag in BLOCK | {""} and x.tag not in ("p", "li", "pre", "h1", "h2", "td", "blockquote")), key=depth, default=None)
+        core = max((x for x, n in held.items() if n >= HELD * total and x.tag in BLOCK | {""} and x.tag not in ("p", "li", "pre", "h1", "h2", "td", "blockquote")), key=depth, default=None)
     else:
-        box = None
+        core = None
     bare = {x for x, (n, k) in linked.items() if k >= 0.9 * n and x.tag != "section"}
+    box = _article(core, solid, content, bare) if core is not None else None
+    if box is not None:  # lists of links in the article's own element are part of it
+        own = box if box.tag in ("article", "main") else core if core.tag not in ("", "html", "body") else None
+        bare -= _within(bare, own)
     known: dict[Node, bool] = {}
 
     def inside(node: Node) -> bool:
