@@ -50,22 +50,42 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int, id_col: str = "doc_id", text_col: str = "text"
-) -> list[tuple[str, int]]:
-    """Texts and labels to fit a classifier on, at most ``per_class`` of either label.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Texts and labels to fit a classifier on (``id``, ``text``, ``y``), at most ``per_class`` of either label.
 
     The rows come from all that are not held out, in the order of a hash of their ids; texts over
-    ``max_chars`` are passed over, so the sample's size is bounded by the two parameters.  Only ids that
-    were chosen are broadcast.
+    ``max_chars`` are passed over and of several texts of one id the least counts, so the sample's size is
+    bounded by the two parameters.  Only ids that were chosen are broadcast.  Null ids, labels and texts take no part.
     """
-    known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label).cast("int").alias("_y"))
-    order = [F.xxhash64(F.lit(3), id_col), F.col(id_col)]
-    chosen = known.filter("_y = 1").orderBy(*order).limit(per_class).unionByName(known.filter("_y = 0").orderBy(*order).limit(per_class))
-    texts = docs.select(id_col, F.col(text_col).alias("_t")).filter(F.col("_t").isNotNull() & (F.length("_t") <= max_chars))
-    rows = texts.join(F.broadcast(chosen), id_col).select(id_col, "_t", "_y").collect()
-    # In the order of the hash again, whatever order the rows arrived in; copies of a text count once.
-    import xxhash
-
-    rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r[0])), r[1]))
-    return list(dict.fromkeys((r[1], r[2]) for r in rows))
+    known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
+    known = known.groupBy("id").agg(F.max("y").alias("y"))
+    order = [F.xxhash64(F.lit(3), "id"), F.col("id")]
+    chosen = known.filter("y = 1").orderBy(*order).limit(per_class).unionByName(known.filter("y = 0").orderBy(*order).limit(per_class))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull() & (F.length("text") <= max_chars))
+    return texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+
+
+def fit_sample(sample: DataFrame, fit: Callable[[list[tuple[str, int]]], object], max_total: int) -> object:
+    """The model that ``fit`` makes of a labelled sample, in one task of an executor; only the model reaches the driver.
+
+    Texts come in the order of a hash of their ids, copies once, until ``max_total`` characters of either label
+    are reached, so that the task's memory is bounded whatever the texts.  A lost executor repeats the task.
+    """
+    import pickle
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r[0])), r[1]))
+        kept, room = {}, [max_total, max_total]
+        for _, text, y in rows:
+            if (text, y) not in kept and room[y > 0] >= len(text):
+                kept[text, y] = None
+                room[y > 0] -= len(text)
+        del rows
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(list(kept)))], pa.binary())], names=["model"])
+
+    importable(sample.sparkSession)
+    made = sample.select("id", "text", "y").repartition(1).mapInArrow(run, "model binary").first()
+    return fit([]) if made is None else pickle.loads(made["model"])

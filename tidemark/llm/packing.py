@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
@@ -27,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import SPLIT, byte_alphabet
+from .bpe import SPLIT, byte_alphabet, codec
 
 #: Tokens of a sequence, and pieces packed together.
 SEQUENCE, BLOCK = 2048, 65_536
+#: Runs on which the fast encoder recurses or takes time by their square.
+LONG_RUN = re.compile(r"\s{2000}|\S{2000}")
 #: Rounds of local search over the underfull bins of a block.
 ROUNDS = 20
 
@@ -49,6 +52,9 @@ def encoder(path: str) -> tuple[tiktoken.Encoding, tuple[str, ...]]:
 
 
 def token_ids(text: str, path: str) -> list[int]:
+    """The ids of a text of any length; the automaton takes texts with runs that the fast encoder has no room for."""
+    if LONG_RUN.search(text):
+        return np.frombuffer(codec(path).encode(text), "<u4").tolist()
     enc, special = encoder(path)
     return enc.encode(text, allowed_special="all") if any(s in text for s in special) else enc.encode_ordinary(text)
 

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from . import common
 from .toxicity import best_threshold
 
-#: The fitting sample: texts of either label, and their longest length.
-PER_CLASS, MAX_CHARS = 4000, 20_000
+#: The fitting sample: texts of either label, their longest length, and the characters of either label in all.
+PER_CLASS, MAX_CHARS, MAX_TOTAL = 4000, 20_000, 16_000_000
 BUCKETS, RANK = 1 << 16, 8
 EPOCHS, BATCH, RATE, DECAY = 12, 64, 0.05, 1e-5
 THRESHOLD = 0.5
@@ -90,7 +90,7 @@ def fit_texts(sample: list[tuple[str, int]]) -> Model:
     linear, factors, bias = np.zeros(n, np.float32), rng.normal(0, 0.02, (n, RANK)).astype(np.float32), 0.0
     if len(set(y.tolist())) < 2 or len(y) < 20:
         return Model(float(30 * (2 * y.mean() - 1)) if len(y) else 0.0, linear, factors * 0)
-    rows = [vector(t) for t, _ in sample]
+    rows = [(np.array(i, np.int32), np.array(v, np.float32)) for i, v in (vector(t) for t, _ in sample)]
     train = np.array([i for i in range(len(rows)) if i % 5])
     check = np.array([i for i in range(len(rows)) if i % 5 == 0])
     weight = np.where(y > 0, 0.5 / max(y[train].mean(), 1e-9), 0.5 / max(1 - y[train].mean(), 1e-9))
@@ -99,7 +99,7 @@ def fit_texts(sample: list[tuple[str, int]]) -> Model:
     def batch(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         sizes = [len(rows[i][0]) for i in which]
         return (
-            np.concatenate([np.array(rows[i][0]) for i in which]), np.concatenate([np.array(rows[i][1], dtype=np.float32) for i in which]),
+            np.concatenate([rows[i][0] for i in which]), np.concatenate([rows[i][1] for i in which]),
             np.cumsum([0, *sizes[:-1]]), np.repeat(np.arange(len(which)), sizes),
         )
 
@@ -140,8 +140,12 @@ def _balanced(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on a bounded sample of labelled rows that are not held out."""
-    return fit_texts(common.labelled_sample(docs, labels, "quality", per_class, max_chars, id_col, text_col))
+    """Fit on a bounded sample of labelled rows that are not held out, in one task of an executor.
+
+    Null texts and labels take no part, of repeated ids one text does; without rows of both labels, empty
+    tables too, the model gives every text one score.
+    """
+    return common.fit_sample(common.labelled_sample(docs, labels, "quality", per_class, max_chars, id_col, text_col), fit_texts, MAX_TOTAL)
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

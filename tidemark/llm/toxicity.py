@@ -1,11 +1,11 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are built: one trained on ordinary text, and one that adds to it what is
-particular to toxic text, i.e. the passages of toxic documents made of byte n-grams that ordinary ones
-all but lack, most frequent last (where a compressor reaches them most cheaply).  A document is cut into
-windows of whole words; what a window's compressed length falls by under the toxic dictionary is its
-distance.  A logistic function of the distances of all windows, calibrated on labelled texts that took no
-part in the dictionaries, gives the score; it is placed so that the threshold of the best
+Two zstandard dictionaries are trained: one on ordinary text, and one on toxic text, namely on those of its
+passages whose byte n-grams ordinary text all but lacks (trained on whole toxic texts it learns what all text
+shares).  A document is cut into windows of whole words, and each window is compressed with the ordinary
+dictionary and with the toxic one, which stands on the ordinary one; the bytes between the two are its
+distance.  A logistic function of the distances of all windows gives the score.  It is calibrated on distances
+to dictionaries that were trained without the text in question, and placed so that the threshold of the best
 F-measure (with precision weighing more) lies at ``THRESHOLD``.
 """
 
@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-#: The fitting sample: texts of either label, and their longest length.
-PER_CLASS, MAX_CHARS = 4000, 20_000
-#: Words of a window; bytes of n-grams and of the dictionaries.
-WINDOW, GRAM, ORDINARY_BYTES, TOXIC_BYTES = 6, 6, 24_000, 8_000
+#: The fitting sample: texts of either label, their longest length, and the characters of either label in all.
+PER_CLASS, MAX_CHARS, MAX_TOTAL = 4000, 20_000, 16_000_000
+#: Words of a window; bytes of n-grams and of the dictionaries; bytes of ordinary text to train on, whole texts only.
+WINDOW, GRAM, ORDINARY_BYTES, TOXIC_BYTES, TRAIN_BYTES = 10, 6, 24_000, 4_000, 4_000_000
+#: Parts that the sample is dealt into: each is calibrated on with dictionaries of the others.
+FOLDS = 3
 #: A toxic n-gram stands in this many toxic texts, in this share of them, and is this many times as frequent there.
 LEAST_TEXTS, LEAST_SHARE, RATIO = 5, 0.02, 4
 THRESHOLD = 0.7
@@ -61,10 +63,14 @@ def _compressor(content: bytes):  # noqa: ANN202
     return zstd.ZstdCompressor(compression_params=params, dict_data=book).compress
 
 
-def distances(text: str, ordinary: bytes, toxic: bytes) -> list[int]:
-    """For each window, the bytes that it is shorter by under the toxic dictionary."""
+def window_distances(words: list[bytes], ordinary: bytes, toxic: bytes) -> list[int]:
+    """For each window of a text's words, the bytes that it is shorter by under the toxic dictionary."""
     a, b = _compressor(ordinary), _compressor(toxic)
-    return [len(a(w)) - len(b(w)) for w in windows(normal(text))]
+    return [len(a(w)) - len(b(w)) for w in windows(words)]
+
+
+def distances(text: str, ordinary: bytes, toxic: bytes) -> list[int]:
+    return window_distances(normal(text), ordinary, toxic)
 
 
 def features(ds: list[int]) -> list[float]:
@@ -104,14 +110,14 @@ def _grams(texts: list[list[bytes]]) -> Counter:
     return found
 
 
-def _particular(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> bytes:
-    """Passages within words that toxic texts share and ordinary ones lack, most frequent last."""
+def _passages(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
+    """Of each toxic text the parts of its words that toxic texts share and ordinary ones lack; texts without any are left out."""
     ft, fo = _grams(toxic), _grams(ordinary)
     good = {g for g, c in ft.items() if c >= max(LEAST_TEXTS, LEAST_SHARE * len(toxic)) and c / len(toxic) >= RATIO * (fo[g] + 0.5) / len(ordinary)}
-    passages: Counter = Counter()
+    found = []
     for t in toxic:
-        own = set()
-        for w in set(t):
+        own = []
+        for w in t:
             p = b" " + w + b" "
             i, n = 0, len(p) - GRAM + 1
             while i < n:
@@ -119,16 +125,32 @@ def _particular(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> bytes:
                 while j < n and p[j : j + GRAM] in good:
                     j += 1
                 if j > i:
-                    own.add(p[i : j + GRAM - 1])
+                    own.append(p[i : j + GRAM - 1])
                 i = j + 1
-        passages.update(own)
-    content = b""
-    for s, c in sorted(passages.items(), key=lambda x: (-x[1], x[0])):
-        if c < 2 or len(content) + len(s) >= TOXIC_BYTES:
+        if own:
+            found.append(b"\n".join(own))
+    return found
+
+
+def _trained(samples: list[bytes], size: int) -> bytes:
+    """A dictionary that zstandard trains on the samples; of too little text, the text itself."""
+    try:
+        return zstd.train_dictionary(size, samples).as_bytes()[-size:]
+    except zstd.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
+    """The ordinary dictionary, and the toxic one before it; the latter adds nothing if toxic texts share nothing of their own."""
+    plain, size = [], 0
+    for t in ordinary:
+        text = b" " + b" ".join(t) + b" "
+        size += len(text)
+        if plain and size > TRAIN_BYTES:
             break
-        if s not in content:
-            content = s + b"\n" + content
-    return content
+        plain.append(text)
+    base, own = _trained(plain, ORDINARY_BYTES), _passages(toxic, ordinary)
+    return base, (_trained(own, TOXIC_BYTES) if own else b"") + base
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -157,27 +179,27 @@ def best_threshold(logits: np.ndarray, y: np.ndarray, beta: float = 1.0) -> floa
 
 
 def fit_texts(sample: list[tuple[str, int]]) -> Model:
-    """Fit on labelled texts: of each five, three train the dictionaries and two calibrate.
+    """Fit on labelled texts: each fold calibrates with dictionaries of the others, the model's are of all.
 
     Without texts of both labels there is nothing to compare: every score is then 0 (no toxic texts).
     """
-    by_label = [_apart([t for t, y in sample if y == k]) for k in (0, 1)]
-    if min(map(len, by_label)) < 5:
+    words: dict[bytes, bytes] = {}
+    by_label = [[[words.setdefault(w, w) for w in normal(t)] for t in _apart([t for t, y in sample if y == k])] for k in (0, 1)]
+    if min(map(len, by_label)) < 2 * FOLDS:
         return Model(b"", b"", (0.0,) * 5, -30.0)
-    train = [[normal(t) for i, t in enumerate(ts) if i % 5 < 3] for ts in by_label]
-    plain = [b" " + b" ".join(t) + b" " for t in train[0]]
-    try:
-        ordinary = zstd.train_dictionary(ORDINARY_BYTES, [t[:3000] for t in plain]).as_bytes()[-ORDINARY_BYTES:]
-    except zstd.ZstdError:  # too little text to train on: the texts are their own dictionary
-        ordinary = b"".join(plain)[-ORDINARY_BYTES:]
-    particular = _particular(train[1], train[0])
-    if not particular:  # too few toxic texts to share anything: every score is their share
+    x, y = [], []
+    for fold in range(FOLDS):
+        rest = [[t for i, t in enumerate(ts) if i % FOLDS != fold] for ts in by_label]
+        ordinary, toxic = dictionaries(rest[1], rest[0])
+        for k in (0, 1):
+            mine = by_label[k][fold::FOLDS]
+            x += [features(window_distances(t, ordinary, toxic)) for t in mine]
+            y += [k] * len(mine)
+    ordinary, toxic = dictionaries(by_label[1], by_label[0])
+    if toxic == ordinary:  # too few toxic texts to share anything: every score is their share
         p = len(by_label[1]) / (len(by_label[0]) + len(by_label[1]))
         return Model(b"", b"", (0.0,) * 5, float(np.log(p / (1 - p))))
-    toxic = particular + ordinary
-    held = [(t, y) for y, ts in enumerate(by_label) for i, t in enumerate(ts) if i % 5 >= 3]
-    x = np.array([features(distances(t, ordinary, toxic)) for t, _ in held])
-    y = np.array([y for _, y in held])
+    x, y = np.array(x), np.array(y)
     w, b = _logistic(x, y)
     w = np.maximum(w, 0) if (w[:4] < 0).all() else w
     at = best_threshold(x @ w + b, y, 0.5)
@@ -185,8 +207,12 @@ def fit_texts(sample: list[tuple[str, int]]) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on a bounded sample of labelled rows that are not held out."""
-    return fit_texts(common.labelled_sample(docs, labels, "toxic", per_class, max_chars, id_col, text_col))
+    """Fit on a bounded sample of labelled rows that are not held out, in one task of an executor.
+
+    Null texts and labels take no part, of repeated ids one text does; without rows of both labels, empty
+    tables too, the model gives every text one score.
+    """
+    return common.fit_sample(common.labelled_sample(docs, labels, "toxic", per_class, max_chars, id_col, text_col), fit_texts, MAX_TOTAL)
 
 
 def score_text(text: str, model: Model) -> float:
