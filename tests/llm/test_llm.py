@@ -212,6 +212,37 @@ def test_html_keeps_the_whole_article():
     assert pages.main_text(around.format(f"<article><h1>Title</h1><p>Intro.</p><table>{table}</table><p>Closing.</p></article>")) == whole
 
 
+PARAGRAPHS = "".join(f"<p>Paragraph {i} with words, commas, and a full stop at its end.</p>" for i in range(3))
+LINES = [f"Paragraph {i} with words, commas, and a full stop at its end." for i in range(3)]
+
+
+@pytest.mark.parametrize(
+    ("inner", "want"),
+    [
+        ("<p title=don't>First, long enough to count.</p><p>Second, it's here too.</p>", ["First, long enough to count.", "Second, it's here too."]), (f"<div class='side-by-side'>{PARAGRAPHS}</div><div class='meta-analysis'>{PARAGRAPHS}</div>", LINES * 2),
+        (f"<div class='ad-hoc-study'>{PARAGRAPHS}</div><div class='cookie-recipe'>{PARAGRAPHS}</div>", LINES * 2), (f"{PARAGRAPHS}<div class=comment-list><p>More, more, more comments here.</p></div><section id=comments><p>Great, so much text, really.</p></section>", LINES),
+        (f"<header><hgroup><h1>Head</h1></hgroup><p>By me</p></header>{PARAGRAPHS}", ["Head", *LINES]), (f"<p><b>un<br>closed{PARAGRAPHS}", ["un closed", *LINES]), (f"{PARAGRAPHS}<p>a < b and c > d, x <3 y</p>", [*LINES, "a < b and c > d, x <3 y"]),
+        (f"{PARAGRAPHS}<svg width=1/><p>after</p><svg><path d='x'/><text>no</text></svg><p>end</p>", [*LINES, "after", "end"]), (f"{PARAGRAPHS}<!-- <p>no</p> --><!--><p>yes</p><p class=ad>buy</p>", [*LINES, "yes"]),
+        (f"<table><tr><td>one<td></div>two</table>{PARAGRAPHS}", ["one", "two", *LINES]), (f"{PARAGRAPHS}<p>x <b>bold<p>y</b> z</p>", [*LINES, "x bold", "y z"]),
+    ],
+)
+def test_html_loses_nothing(inner, want):
+    assert pages.main_text(f"<head><title>t</title><body><nav><a href=x>Home</a></nav><article><h1>Title</h1>{inner}</article><footer>(c)</footer>") == "\n".join(["Title", *want])
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 350_000, "<div>" * 200_000, "<div>x" * 100_000, "<div>" * 100_000 + "</b>" * 100_000, "<b><div>" + "<i>" * 100_000 + "</b>" * 100_000, '<a x="' * 200_000, "<!--" * 250_000, "<ul><li>x" * 60_000, "<table><tr><td>x" * 50_000, "<article>" + "<header>" * 60_000 + "<h1></h1>" * 60_000, "<a " + "= " * 300_000],
+    ids=["tags", "deep", "texts", "ends", "inline", "quotes", "comments", "lists", "tables", "titles", "signs"],
+)
+def test_html_takes_time_by_length(page):
+    import time
+
+    began = time.process_time()
+    pages.main_text(page)
+    assert time.process_time() - began < 10
+
+
 def brute_components(values, near):
     labels = dict.fromkeys(values)
     for v in values:
