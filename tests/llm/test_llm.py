@@ -243,6 +243,32 @@ def test_html_takes_time_by_length(page):
     assert time.process_time() - began < 10
 
 
+@pytest.mark.parametrize("case", ["even", "outlier", "one id", "nulls", "two", "extremes"])
+def test_next_documents_whatever_the_ids(spark, case):
+    """Against sorting, and with no range that holds much more than its share."""
+    random.seed(13)
+    ids = {
+        "even": list(range(3000)), "outlier": [*range(2999), 1 << 60], "one id": [*range(1000), *[500] * 2000], "nulls": [*range(1500), *[None] * 1500], "two": [7, 9], "extremes": [(1 << 63) - 1, -(1 << 63), 0, *[k * k * k for k in range(-700, 700)]],
+    }[case]
+    df = spark.createDataFrame([(k, f"t{i}") for i, k in enumerate(random.sample(ids, len(ids)))], "doc_id long, text string")
+    low = -(1 << 63)
+    rows = df.select("*", F.xxhash64("doc_id", "text").alias("tie")).collect()
+    order = sorted(rows, key=lambda r: (-(low if r.doc_id is None else r.doc_id), r.tie))
+    got = {r.text: (r.next_doc_id, r.next_text) for r in fingerprints.with_next(df, neighbours=2).collect()}
+    assert len(got) == len(ids)
+    for a, b in zip(order, [*order[1:], order[0]], strict=True):
+        assert got[a.text] == (b.doc_id, b.text)
+
+
+def test_ranges_are_even(spark):
+    for ids in ([*range(20_000), 1 << 60], [*range(10_000), *[500] * 10_000], [*range(5000), *[None] * 15_000]):
+        df = spark.createDataFrame([(k, f"t{i}") for i, k in enumerate(ids)], "doc_id long, text string")
+        plan = fingerprints.with_next(df, neighbours=8)._jdf.queryExecution().toString()
+        assert "_bucket" in plan
+        placed = fingerprints.placed(df, "doc_id", ("doc_id", "text"), 8)
+        assert placed.groupBy("_bucket").count().agg(F.max("count")).first()[0] < 200
+
+
 def brute_components(values, near):
     labels = dict.fromkeys(values)
     for v in values:

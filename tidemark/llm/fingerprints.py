@@ -24,6 +24,8 @@ _KEPT = 0xFFFFF | 0xFFFFF << 21 | 0xFFFFF << 42
 _LOW = 0xFFFFFFFF
 #: Documents of about this many neighbouring ids are put side by side in one task.
 NEIGHBOURS = 256
+#: Quantiles of the ids that place the ranges, the root of it, and how exact they are.
+KNOTS, ROOT, EXACT = 1024, 32, 20_000
 
 
 def _passage_vector(h: Column) -> Column:
@@ -98,22 +100,60 @@ def _upper_of(buckets: DataFrame) -> DataFrame:
     return level.withColumn("up", F.lead("bucket").over(inside)).join(tops, "top").select("bucket", F.coalesce("up", "after").alias("upper"))
 
 
+def _place(key: Column, tie: Column, knots: list[int], parts: int) -> tuple[Column, Column]:
+    """The range of a row in the order of rising keys and falling ties, given quantiles of the keys in rising order.
+
+    It comes in two steps: first a struct of how many quantiles are below the key and how many up to it, from which
+    (as columns) the second makes the range.
+
+    Between two quantiles a range takes an even share of the keys; a key that holds several quantiles has its rows
+    dealt by their ties over as many ranges as its quantiles have.  So neither outliers nor a key that many rows
+    share makes a range large.
+    """
+    every, top = F.lit(knots), F.lit(knots[::ROOT])
+
+    def at(op: str) -> Column:
+        """How many quantiles are less than (or equal to) the key; looked up in two steps."""
+        less = (lambda x: x < key) if op == "<" else (lambda x: x <= key)
+        block = F.size(F.filter(top, less))
+        return F.when(block == 0, 0).otherwise((block - 1) * ROOT + F.size(F.filter(F.slice(every, (F.greatest(block, F.lit(1)) - 1) * ROOT + 1, ROOT), less)))
+
+    low, high = F.col("_low_at"), F.col("_high_at")
+    below, above = F.get(every, low - 1).cast("double"), F.get(every, low).cast("double")
+    share = F.when(above > below, (key.cast("double") - below) / (above - below)).otherwise(0.0)
+    many = (high - low - 1) * parts
+    own = F.greatest(F.least(F.floor((0.5 - tie.cast("double") / float(1 << 64)) * many), many), F.lit(0)).cast("long")
+    # A key on a quantile begins the ranges up to the next one.
+    placed = F.when(high > low, low.cast("long") * parts + own).otherwise((low.cast("long") - 1) * parts + F.least(F.floor(share * parts), F.lit(parts - 1)).cast("long"))
+    return F.struct(at("<").alias("_low_at"), at("<=").alias("_high_at")), placed
+
+
+def placed(docs: DataFrame, id_col: str, carried: tuple[str, ...], neighbours: int) -> DataFrame:
+    """The ``carried`` columns with ``_key``, ``_tie`` and the ``_bucket`` that holds about ``neighbours`` documents.
+
+    Ties are told by the first two carried columns, so that finding the ranges in use computes no other.
+    """
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    sketch = F.percentile_approx(key, [0.0, 1 / EXACT, *(i / (KNOTS - 4) for i in range(1, KNOTS - 4)), 1 - 1 / EXACT, 1.0], EXACT)
+    quantiles, n = docs.agg(sketch, F.count("*")).first()
+    knots = [-(1 << 63), *sorted(quantiles or [])[:: max(1, KNOTS * neighbours // max(n, 1))]]
+    found, place = _place(F.col("_key"), F.col("_tie"), knots, -(-n // (KNOTS * neighbours)) or 1)
+    rows = docs.select(*carried, key.alias("_key"), F.xxhash64(*carried[:2]).alias("_tie")).select(*carried, "_key", "_tie", found.alias("_at")).select(*carried, "_key", "_tie", "_at.*")
+    return rows.withColumn("_bucket", place).drop("_low_at", "_high_at")
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", carried: tuple[str, ...] = ("text",), neighbours: int = NEIGHBOURS) -> DataFrame:
     """Each document with the id and the ``carried`` columns of the next one by descending id, as ``next_<column>``.
 
     After the last document comes the first; a single one is its own next.  Null ids come last; rows of
-    one id stand by a hash of what they carry.  Documents are shuffled once, by ranges of ids: the heads
-    of the ranges need the same columns as all rows, so both read one exchange.
+    one id stand by a hash of what they carry, whatever their number.  Documents are shuffled once, by ranges
+    between quantiles of the ids: the heads of the ranges need the same columns as all rows, so both read one exchange.
     """
     carried = (id_col, *carried)
-    span = docs.agg(F.min(id_col), F.max(id_col), F.count("*")).first()
-    low, high, n = (0, 0, 0) if span[0] is None else span
-    width = max(1.0, (high - low + 1) * neighbours / max(n, 1))
-    key = F.coalesce(F.col(id_col), F.lit(low - 1 if low > -(1 << 63) else low)).cast("long")
-    placed = docs.select(*carried, key.alias("_key"), F.xxhash64(*carried).alias("_tie"), F.floor(key.cast("double") / F.lit(width)).cast("long").alias("_bucket"))
+    ready = placed(docs, id_col, carried, neighbours)
     order = Window.partitionBy("_bucket").orderBy(F.desc("_key"), "_tie")
-    side = placed.withColumns({f"_next_{c}": F.lead(c).over(order) for c in carried} | {"_last": F.lead("_key").over(order).isNull(), "_first": F.lag("_key").over(order).isNull()})
-    upper = _upper_of(placed.select(F.col("_bucket").alias("bucket")).distinct())
+    side = ready.withColumns({f"_next_{c}": F.lead(c).over(order) for c in carried} | {"_last": F.lead("_key").over(order).isNull(), "_first": F.lag("_key").over(order).isNull()})
+    upper = _upper_of(ready.select(F.col("_bucket").alias("bucket")).distinct())
     # A left join, as an inner one would put a filter on one of the two readers of the exchange.
     heads = side.filter("_first").join(upper, F.col("_bucket") == F.col("bucket"), "left").select(F.col("upper").alias("_upper"), *[F.col(c).alias(f"_head_{c}") for c in carried])
     met = side.join(heads, (F.col("_bucket") == F.col("_upper")) & F.col("_last"), "left")
