@@ -430,11 +430,55 @@ def test_ann(spark):
         assert len(found) == 20 and found == sorted(found, key=lambda v: (-v[1], v[0])) and all(abs(s[i] - sc) < 1e-9 for i, sc in found)
         hits += len({i for i, _ in found} & set(order))
     assert hits >= 0.9 * 20 * len(got)
+    doubles = df.withColumn("embedding", F.col("embedding").cast("array<double>")).withColumn("id", F.lit(1))
+    assert ann.nearest(doubles, F.col("vec_id") == 40).count() == 20
+    short = ann.nearest(spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)] + [(50 + i, [float(i)]) for i in range(1, 4)], "vec_id long, embedding array<double>"), F.col("vec_id") % 2 == 0, 5)
+    assert {r.query_id for r in short.collect()} == {*range(0, 30, 2), 52} and {r.vec_id for r in short.filter("query_id = 52").collect()} == {51, 53}
     tiny = df.filter("vec_id < 5")
     assert ann.nearest(tiny, F.col("vec_id") == 0).count() == 4
     assert ann.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_ann_probes_in_order_of_success():
+    """The buckets visited are those of least squared distance among all moves by one slot, nearly so for those of many borders."""
+    import itertools
+
+    rng = np.random.default_rng(8)
+    plan = ann.Plan(8, 1.0, 1000, hashes=4, width=2.0, probes=20)
+    queries = rng.normal(size=(50, 8))
+    got, at, factors = plan.probe_keys(queries, 1), plan.positions(queries, 1, True), plan.factors(1)
+    for q in range(50):
+        inside, home = at[q] - np.floor(at[q]), np.floor(at[q]).astype(np.int64)
+        cost = {}
+        for move in itertools.product((0, 1, -1), repeat=4):
+            key = int(((home + np.array(move)).astype(np.uint64) * factors).sum(dtype=np.uint64))
+            cost[key] = sum((1 - f) ** 2 if m == 1 else f**2 if m == -1 else 0 for m, f in zip(move, inside, strict=True))
+        mine = [cost[int(k)] for k in got[q]]
+        assert mine == sorted(mine) and len(set(got[q].tolist())) == 20 and mine[0] == 0
+        assert sum(mine) <= 1.1 * sum(sorted(cost.values())[:20]) + 1e-9
+
+
+def test_ann_with_a_hot_bucket(spark):
+    """A third of all vectors are equal and many more nearly so: buckets are salted, ties go to the smaller ids."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(6000, 8))
+    x[:2000] = x[0]
+    x[2000:3000] = x[0] + rng.normal(size=(1000, 8)) * 1e-6
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    plan = ann._plan(df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), ann.Plan(8, float(np.sqrt((x * x).sum(axis=1)).max()), 6000), 20, 0.9)
+    assert plan.hot and max(m for _, m in plan.hot) > 1
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 200 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    hits = 0
+    for q, found in got.items():
+        s = (x * x[q]).sum(axis=1)
+        want = sorted((i for i in range(6000) if i != q), key=lambda i: (-s[i], i))[:20]
+        hits += len(set(found) & set(want))
+        assert found == sorted(found, key=lambda i: (-s[i], i))
+    assert len(got) == 30 and hits >= 0.9 * 600
+
+
 def test_fingerprints(spark, odd, docs):
     rows = {r.doc_id: r for r in fingerprints.edit_fingerprints(docs.withColumn("vector", F.lit(1))).collect()}
     order = sorted(((r.doc_id, r.text) for r in docs.collect()), reverse=True)
