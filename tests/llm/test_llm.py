@@ -338,13 +338,17 @@ def test_near_copies(spark, odd):
     sh = [set(" ".join(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for _, t, _ in rows]
     root = {i: r for r, s in found.items() for i in s}
     near = [(a, b) for a in range(len(rows)) for b in range(a) if groups[a] == groups[b] and len(sh[a] & sh[b]) / len(sh[a] | sh[b]) >= 0.8]
-    assert near and sum(root[a] == root[b] for a, b in near) >= 0.98 * len(near)
-    kept = simhash.drop_near_copies(df)
-    assert kept.columns == df.columns and kept.count() == len(found)
-    small = {}
-    for r in simhash.near_copies(df, limit=2).collect():
-        small.setdefault(r.root, set()).add(r.id)
-    assert sum(len(s) > 1 for s in small.values()) >= 0.95 * sum(len(s) > 1 for s in found.values())
+    linked = brute_components(list(range(len(rows))), lambda a, b: len(sh[a] & sh[b]) >= 0.8 * len(sh[a] | sh[b]))
+    want = sorted(sorted(i for i in linked if linked[i] == r) for r in set(linked.values()))
+    assert near and sorted(map(sorted, found.values())) == want
+    clashing = df.withColumns({"r1": F.lit(1), "_row": F.lit(2), "node": F.lit("x"), "root": F.lit(0)})
+    kept = simhash.drop_near_copies(clashing)
+    assert kept.columns == clashing.columns and sorted(r.doc_id for r in kept.collect()) == [s[0] for s in want]
+    for limit in (2, 64):
+        small = {}
+        for r in simhash.near_copies(df, limit=limit).collect():
+            small.setdefault(r.root, set()).add(r.id)
+        assert sorted(map(sorted, small.values())) == want
     left = simhash.drop_near_copies(odd.unionByName(odd)).collect()
     assert len(left) == 6 and simhash.drop_near_copies(odd.limit(0)).count() == 0
 
@@ -386,20 +390,27 @@ def test_near_copies_with_one_key_in_a_large_group(spark):
     import xxhash
 
     random.seed(10)
-    base = [f"b{i}" for i in range(60)]
+    base = [f"b{i}" for i in range(100)]
     digest = lambda ws: xxhash.xxh64_intdigest(" ".join(ws).encode(), simhash.SEED)
-    least = min(digest(base[i : i + 5]) for i in range(56))
+    least = min(range(96), key=lambda i: digest(base[i : i + 5]))
+    common, bound = base[least : least + 5], digest(base[least : least + 5])
     texts = []
-    for _ in range(6):
+    for _ in range(2):
         t = list(base)
-        while len(t) < 65:  # each word adds a shingle of less hash than those that are shared
+        while len(t) < 100 + simhash.KEYS - 1:  # each word adds a shingle of less hash than those that are shared
             w = f"e{random.random()}"
-            if digest([*t[-4:], w]) < least:
+            if digest([*t[-4:], w]) < bound:
                 t.append(w)
         texts.append(" ".join(t))
+    keys = [set(sorted(digest(t.split()[i : i + 5]) for i in range(len(t.split()) - 4))[: simhash.KEYS]) for t in texts]
+    assert len(keys[0] & keys[1]) == 1
+    texts += [" ".join([*common, *(f"o{k}x{j}" for j in range(20 + k % 150))]) for k in range(3100)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for limit in (simhash.LIMIT, 2):
-        assert len({r.root for r in simhash.near_copies(df, limit=limit).collect()}) == 1
+    for n, limit in ((40, 2), (40, 64), (len(texts), simhash.LIMIT)):
+        found = {}
+        for r in simhash.near_copies(df.filter(F.col("doc_id") < n), limit=limit).collect():
+            found.setdefault(r.root, set()).add(r.id)
+        assert sorted(map(sorted, found.values())) == [[0, 1], *([i] for i in range(2, n))]
 
 
 def test_alike_forest_is_exact():

@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -323,7 +323,7 @@ def simhash_components(df: DataFrame, size: int = 3, radius: int = 3, id_col: st
 
 
 #: Near copies: words of a shingle, the similarity of shingle sets, and keys that a document is grouped by.
-WORDS, SIMILARITY, KEYS = 5, 0.8, 6
+WORDS, SIMILARITY, KEYS = 5, 0.8, 10
 
 
 def size_class(n: int, similarity: float) -> int:
@@ -331,25 +331,38 @@ def size_class(n: int, similarity: float) -> int:
     return n if similarity >= 1 or n < 1 else int(math.log(n) / -math.log(similarity) + 1e-9)
 
 
+def _grouped(texts: DataFrame) -> DataFrame:
+    """Texts (``node``, ``class``, ``keys``) by each key ``g`` that two or more share; of keys that the same texts share one stays.
+
+    What texts share a key is told by their number and 128 bits of hash, so that copies, which share most of their
+    keys, are compared in one group and not in one for each key.
+    """
+    keyed = texts.select("node", "class", F.explode("keys").alias("g")).withColumn("k", own_exchange("g"))
+    marks = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"x{i}") for i in (1, 2)]
+    shared = keyed.groupBy("g").agg(F.count("*").alias("n"), *marks).filter("n > 1").groupBy("n", "x1", "x2").agg(F.min("g").alias("g"))
+    return common.cut(keyed.join(shared.select(own_exchange("g").alias("k")), "k", "left_semi").drop("k"))
+
+
 def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of exact and near copies: ``row, id, root`` for every row, ``row`` being ``row_key()``.
+    """Groups of exact and near copies: ``r1, r2, id, root`` for every row, ``r1`` and ``r2`` being ``row_key()``.
 
     Texts that share one of the ``KEYS`` least hashes of their shingles are compared by their whole sets of shingles,
-    unless links join them already; those of ``similarity`` or more link.  At 0.8 and six keys no pair of sets of up to
-    29 shingles is missed; of larger ones at 0.8 exactly 4 in a million have no key in common if each side has as many
-    shingles of its own, and 64 in a million if one set holds the other.
+    unless links join them already; those of ``similarity`` or more link.  At 0.8 and ten keys no pair of sets of up to
+    49 shingles is missed; of larger ones at 0.8 exactly 6 in ten thousand million have no key in common if each side has
+    as many shingles of its own, and 1 in ten million if one set holds the other.
     Texts with the same words are one node, so copies are compared once; texts without words,
-    null ones too, form one group.  An empty table gives an empty result.
+    null ones too, form one group.  Rows and texts are told apart by 128 bits of hash.  An empty table gives an empty result.
     """
 
     def hashes(text: str | None) -> np.ndarray:
         return np.unique(np.array([xxhash.xxh64_intdigest(p, SEED) for p in set(shingles(text or "", words))], dtype="<u8"))
 
     def fn(cols: list[list]) -> dict:
-        out: dict = {"node": [], "keys": [], "class": []}
+        out: dict = {"t1": [], "t2": [], "keys": [], "class": []}
         for t in cols[0]:
             made = hashes(t)
-            out["node"].append(text_key(t))
+            for n, v in zip(("t1", "t2"), text_key(t), strict=True):
+                out[n].append(v)
             out["keys"].append([signed(int(x)) for x in made[:KEYS]])
             out["class"].append(size_class(len(made), similarity))
         return out
@@ -357,49 +370,53 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     def whole(cols: list[list]) -> dict:
         return {"set": [hashes(t).tobytes() for t in cols[0]]}
 
-    source = docs.select(row_key(id_col, text_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("_t"))
-    made = common.cut(common.map_rows(source, ["_t"], fn, "node long, keys array<long>, class long", ("row", "id")))
-    texts = common.cut(made.groupBy("node").agg(F.first("keys").alias("keys"), F.first("class").alias("class"), F.min("row").alias("row")))
-    keyed = texts.select("node", "row", "class", F.explode("keys").alias("g")).withColumn("k", own_exchange("g"))
-    met = keyed.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select(own_exchange("g").alias("k"))
-    rows = common.cut(keyed.join(met, "k", "left_semi").drop("k"))
+    source = docs.select(*row_key(id_col, text_col), F.col(id_col).alias("id"), F.col(text_col).alias("_t"))
+    made = common.cut(common.map_rows(source, ["_t"], fn, "t1 long, t2 long, keys array<long>, class long", ("r1", "r2", "id")))
+    texts = made.groupBy("t1", "t2").agg(F.first("keys").alias("keys"), F.first("class").alias("class"), F.min(F.struct("r1", "r2")).alias("row"))
+    texts = common.cut(texts.withColumn("node", F.monotonically_increasing_id()))
+    rows = _grouped(texts)
     # Only texts that share a key are read again.
-    compared = rows.groupBy("node").agg(F.first("row").alias("_r"))
-    again = source.join(compared, F.col("row") == F.col("_r")).select("node", "_t")
+    compared = texts.join(rows.select("node").distinct(), "node", "left_semi").select("node", F.col("row.r1").alias("r1"), F.col("row.r2").alias("r2"))
+    again = source.join(compared, ["r1", "r2"]).select("node", "_t")
     sets = common.cut(common.map_rows(again, ["_t"], whole, "set binary", ("node",)).dropDuplicates(["node"]))
 
     def finer(large: DataFrame) -> DataFrame:
         return large.select("*", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("s"))
 
     roots = components(_linked(rows, ["g"], finer, lambda part, group: _alike(part, group, sets, similarity), limit))
-    found = made.select("row", "id", "node").withColumn("k", own_exchange("node")).join(roots.select(own_exchange("node").alias("k"), "root"), "k", "left")
-    return found.select("row", "id", F.coalesce("root", "node").alias("root"))
+    rooted = texts.select("t1", "t2", "node").join(roots, "node", "left").select(own_exchange("t1").alias("k"), F.col("t2").alias("_t2"), F.coalesce("root", "node").alias("root"))
+    found = made.select("r1", "r2", "id", "t1", "t2").withColumn("k", own_exchange("t1")).join(rooted, ["k"]).filter("t2 = _t2")
+    return found.select("r1", "r2", "id", "root")
 
 
 def drop_near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of exact and near copies, that of least id; all columns stay.
+    """One document of each group of exact and near copies, that of least id; all columns stay, whatever their names.
 
-    Null ids come after others; of rows with the same id and text one stays.
+    Null ids come after others; of rows with the same id and text one stays.  Null texts and texts without words
+    are copies of each other.  An empty table stays empty.
     """
-    found = common.cut(near_copies(docs, words, similarity, id_col=id_col, text_col=text_col))
-    rank = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    renamed = docs.toDF(*plain)
+    id_at, text_at = plain[docs.columns.index(id_col)], plain[docs.columns.index(text_col)]
+    found = common.cut(near_copies(renamed, words, similarity, id_col=id_at, text_col=text_at))
+    rank = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("r1"), F.col("r2"))
     first = found.groupBy("root").agg(F.min(rank).alias("first"))
     met = found.withColumn("k", own_exchange("root")).join(first.select(own_exchange("root").alias("k"), "first"), "k")
-    losers = met.filter(F.col("row") != F.col("first.row")).select(F.col("row").alias("_loser")).distinct()
-    keyed = docs.withColumn("_row", row_key(id_col, text_col))
-    kept = keyed.join(losers, F.col("_row") == F.col("_loser"), "left_anti")
-    twice = common.cut(found.groupBy("row").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("row").alias("_twice")))
+    losers = met.filter((F.col("r1") != F.col("first.r1")) | (F.col("r2") != F.col("first.r2"))).select("r1", "r2").distinct()
+    keyed = renamed.select("*", *row_key(id_at, text_at))
+    kept = keyed.join(losers, ["r1", "r2"], "left_anti")
+    twice = common.cut(found.groupBy("r1", "r2").agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
     if not twice.isEmpty():
-        again = F.col("_row") == F.col("_twice")
-        kept = kept.join(twice, again, "left_anti").unionByName(kept.join(twice, again, "left_semi").dropDuplicates(["_row"]))
-    return kept.drop("_row")
+        kept = kept.join(twice, ["r1", "r2"], "left_anti").unionByName(kept.join(twice, ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"]))
+    return kept.select(*plain).toDF(*docs.columns)
 
 
-def row_key(id_col: str, text_col: str):  # noqa: ANN201
-    """A hash of a row's id and text."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """128 bits of hash of a row's id and text, as ``r1`` and ``r2``."""
+    return [F.xxhash64(F.lit(i), F.col(id_col), F.col(text_col)).alias(f"r{i}") for i in (1, 2)]
 
 
-def text_key(text: str | None) -> int:
-    """A hash of a text's words as shingles see them."""
-    return signed(xxhash.xxh64_intdigest(b" ".join((text or "").encode().lower().split()), 7))
+def text_key(text: str | None) -> tuple[int, int]:
+    """128 bits of hash of a text's words as shingles see them."""
+    made = xxhash.xxh3_128_intdigest(b" ".join((text or "").encode().lower().split()), 7)
+    return signed(made >> 64), signed(made & (1 << 64) - 1)
