@@ -5,16 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; where it is unset, which only a local master may, a new one of this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is not None:
+        return named
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share (master: {master})")
+    import tempfile
+
+    return tempfile.mkdtemp(prefix="tidemark-checkpoint-")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point checkpoints at the shared folder that the cluster names; set one only where none is set."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        import tempfile
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def _path(spark: SparkSession, path: str):  # noqa: ANN202
+    made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), made
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there whole."""
+    files, at = _path(spark, f"{path}/_SUCCESS")
+    return files.exists(at)
+
 
-        named = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
-    spark.sparkContext.setCheckpointDir(named)
+def remove(spark: SparkSession, path: str) -> None:
+    files, at = _path(spark, path)
+    files.delete(at, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
