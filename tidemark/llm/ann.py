@@ -37,7 +37,7 @@ SAMPLE, SAMPLE_QUERIES, RECALL = 20_000, 120, 0.93
 #: Groups of a table at least, vectors of a group on average at most, and buckets that may be salted at most.
 GROUPS, GROUP_ROWS, HOT = 4, 100_000, 10_000
 #: Queries worked on at once in a group, pairs held at once, and probes of the first round.
-CHUNK, PAIRS, FIRST = 2048, 2_000_000, 16
+CHUNK, PAIRS, FIRST = 4096, 2_000_000, 16
 
 
 @lru_cache(maxsize=16)
@@ -365,6 +365,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     good = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("_q")).filter(usable(F.col("v")) & F.col("id").isNotNull())
     if good.schema["v"].dataType.simpleString() != "array<float>":
         good = good.withColumn("v", F.col("v").cast("array<double>"))
+    good = common.cut(good)  # every pass reads vectors that were looked at once
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     out = vectors.sparkSession.createDataFrame([], schema)
     for of in good.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(norm).alias("longest"), F.max("_q").alias("asked")).orderBy("dim").collect():
