@@ -39,14 +39,53 @@ def test_types_and_quality(spark):
 
 def test_softblock_precedence(spark):
     def v(body="x" * 4000, status=200, hit=None, unpassed=False):
-        return one(spark, web.softblock(F.lit(body), F.lit(status), F.lit(hit).cast("boolean"), F.lit(unpassed)))
+        return one(spark, web.softblock(F.lit(body), F.lit(status).cast("string") if status is None else F.lit(status), F.lit(hit).cast("boolean"), F.lit(unpassed)))
 
     wall = "just a moment"
     assert v(wall, hit=True) == "blocked" and v("", hit=True) == "empty_shell" and v(wall + "x" * 4000, hit=True) == "ok"
+    assert v(status="oops") == "suspect" and v(status="200") == "weak_ok" and v(status=None) == "weak_ok" and v(status="oops", unpassed=True) == "blocked"
     assert v(status=404) == "http_error" and v(status=403) == "suspect" and v(wall, 403) == "blocked" and v(wall + "x" * 4000) == "suspect"
     assert v("enable javascript") == "js_wall" and v() == "weak_ok" and v("tiny", hit=False) == "empty_shell" and v(unpassed=True, hit=True) == "blocked"
 
 
+def test_addresses(spark):
+    """Against the standard library's reading of addresses."""
+    import ipaddress
+
+    cases = ["2001:0db8:0:0:0:0:0:1", "::1", "::", "1::", "2001:db8:0:0:1:0:0:1", "2001:db8:0:1:1:1:1:1", "::ffff:192.0.2.33", "fe80:0:0:0:200:f8ff:fe21:67cf", "1:2:3:4:5:6:7:8", "0:0:0:0:0:0:0:0", "1:0:0:2:0:0:0:3", "FD00::00AB"]
+    df = spark.createDataFrame([(c,) for c in [*cases, "1:2:3", "g::1", "1:::2", "1::2::3"]], "h string").select("h", web.ipv6_compressed(F.col("h")).alias("x"), web.registrable(F.concat(F.lit("http://["), "h", F.lit("]/p"))).alias("r"))
+    got = {r.h: (r.x, r.r) for r in df.collect()}
+    for c in cases:
+        # Those of mapped addresses are written in hexadecimal digits, which are those of the same address.
+        assert ipaddress.ip_address(got[c][0]) == ipaddress.ip_address(c) and got[c][1] == got[c][0]
+        assert "." in c or got[c][0] == ipaddress.ip_address(c).compressed
+    assert [got[c][0] for c in ("1:2:3", "g::1", "1:::2", "1::2::3")] == [None] * 4
+    closed = ["", "127.0.0.1", "10.1.2.3", "172.16.0.1", "192.168.1.1", "169.254.169.254", "224.0.0.1", "240.0.0.1", "0.0.0.0", "::1", "::", "fe80::1", "fc00::1", "ff02::1"]
+    free = ["8.8.8.8", "172.32.0.1", "example.com", "2606:4700::1111", "1.2.3", "192.169.0.1"]
+    df = spark.createDataFrame([(c,) for c in closed + free], "h string").select("h", web.closed_host(F.col("h")).alias("x"))
+    assert {r.h for r in df.collect() if r.x} == set(closed)
+    paths = {"refs/a.html": True, "/etc/passwd": False, "/home/x/../../etc/passwd": False, "/etcetera/x": True, "C:\\Windows\\x": False, "c:/program files/x": False, "research/r_1/../x": True, "/dev": False, None: False}
+    df = spark.createDataFrame([(p,) for p in paths], "p string").select("p", web.open_path(F.col("p")).alias("x"))
+    assert {r.p: r.x for r in df.collect()} == paths
+
+
+def test_dates_and_numbers(spark):
+    days = {"2024-06-01": True, " 2024-6-1 ": True, "2024-06-01T00:00": False, "2024-13-01": False, "": False, None: False}
+    df = spark.createDataFrame([(d,) for d in days], "d string").select("d", web.strict_date(F.col("d")).isNotNull().alias("ok"), web.date_of(F.col("d")).isNotNull().alias("begins"))
+    assert {r.d: r.ok for r in df.collect()} == days and {r.d for r in df.collect() if r.begins} == {"2024-06-01", " 2024-6-1 ", "2024-06-01T00:00"} - {" 2024-6-1 "}
+    numbers = {"costs 1,234 won": 1234.0, "-5 then 6": -5.0, "1e6": 1e6, "1,2,3": 1.0, "3.50": 3.5, "none": None, "12,34": 12.0, "1,234,567.8e-1": 123456.78}
+    df = spark.createDataFrame([(t,) for t in numbers], "t string").select("t", tx.first_number(F.col("t")).alias("x"))
+    assert {r.t: r.x for r in df.collect()} == numbers
+
+
+def test_registry(spark):
+    rows = [(0, "a", "c", "observed", ["s"], "x", "2024-06-01", None, 5), (1, "a", "c", "observed", ["s"], "x", "2024-06-01", None, 5), (2, " ", "c", "observed", ["s"], "x", "2024-06-01", None, 5), (3, "b", "c", "rumour", ["s"], "x", "2024-06-01", None, 5)]
+    rows += [(4, "b", "c", "observed", ["s"], "x", "2024-06-01", None, 5), (5, "d", "c", "dead", ["s"], "x", "2024-06-01T00:00", None, 5), (6, "e", "c", "dead", ["s"], "x", "2024-06-01", None, 50), (7, "f", "c", "observed", [], "x", "2024-06-01", None, 5), (8, "g", "c", "observed", ["s"], "x", "2024-06-01", "soon", 5)]
+    facts = spark.createDataFrame(rows, "ord int, id string, claim string, status string, source_refs array<string>, scope string, observed_at string, effective_at string, ttl_days int")
+    got = {r.ord: r.warning for r in gates.registry_check(facts, "2024-06-10").collect()}
+    assert got == {0: "stale", 1: "duplicate id", 2: "id missing", 3: "status unknown", 4: "duplicate id", 5: "observed_at invalid", 6: "dead", 7: "source_refs empty", 8: "effective_at invalid"}
+
+
 def test_text_functions(spark):
     assert one(spark, tx.error_rate(F.lit("abcde"), F.lit("abxde"))) == 0.2
     assert one(spark, tx.error_rate(F.lit(""), F.lit("x"))) == 0.0
@@ -143,10 +182,10 @@ def test_calibration_edges(spark):
 def test_cards(spark):
     schema = "task_id string, answer_kind string, gold_value string, tolerance double, stable boolean, holdout boolean, poison boolean, captured_at string, ttl_days string"
     cards = spark.createDataFrame([
-        ("n", "numeric", "10", 1.0, True, False, False, None, None), ("w", "settled-fact", "art", 0.0, False, True, False, None, None), ("p", "numeric", "x", 0.0, False, False, True, None, None),
-        ("q", "numeric", "x", 0.0, False, False, True, None, None), ("old", "numeric", "1", 0.0, True, False, False, "2024-01-01", "0"), ("bad", None, "1", 0.0, True, False, False, None, None),
+        ("n", "count", "1,010", 1.0, True, False, False, None, None), ("w", "settled-fact", "art", 0.0, False, True, False, None, None), ("p", "api-number", "x", 0.0, False, False, True, None, None),
+        ("q", "on-screen-price", "x", 0.0, False, False, True, None, None), ("old", "count", "1", 0.0, True, False, False, "2024-01-01", "0"), ("bad", None, "1", 0.0, True, False, False, None, None),
     ], schema)
-    res = spark.createDataFrame([("n", "about 11"), ("w", "a party"), ("p", "unknown"), ("old", "1")], "task_id string, answer string")
+    res = spark.createDataFrame([("n", "about 1,011 in all"), ("w", "a party"), ("p", "unknown"), ("old", "1")], "task_id string, answer string")
     got = {r.task_id: (r.passed, r.expired) for r in scoring.judged_cards(cards, res, "2024-01-02").collect()}
     assert got == {"n": (True, False), "w": (False, False), "p": (True, False), "q": (False, False), "old": (True, True)}
     assert scoring.scorecard(cards, res, "2024-01-01").first().n_expired == 0
@@ -202,7 +241,28 @@ def test_media(spark):
     assert got == {"loop": ("DEGENERATE", "repeat_loop"), "ok": ("OK", None), "count": ("DEGENERATE", "tiny_tokens"), "none": ("NO_SPEECH_OR_MASKED", None)}
     frames = spark.createDataFrame([("c", 0, 0), ("c", 1, 7), ("c", 2, 255), ("c", 3, 254)], "clip string, idx int, hash long")
     assert [r.idx for r in media.kept_frames(frames).orderBy("idx").collect()] == [0, 2]
-    assert media.thin(frames, 2, "clip", "idx").count() == 2
+    for n in range(1, 40):
+        many = spark.range(n).select(F.lit("c").alias("clip"), F.col("id").alias("idx"))
+        for cap in (2, 3, 7):
+            want = list(range(n)) if n <= cap else sorted({int(i * (n / cap)) for i in range(cap)})
+            if n % 6 == cap % 6 or n == 5:
+                assert [r.idx for r in media.thin(many, cap, "clip", "idx").orderBy("idx").collect()] == want
+    assert media.thin(frames, 0, "clip", "idx").count() == 4
+    pixels = spark.createDataFrame([("c", 0, 255, 0, 0), ("c", 0, 0, 0, 0), ("c", 0, 10, 200, 30), ("c", 0, 7, 8, 90)], "clip string, frame int, r int, g int, b int")
+    import colorsys
+
+    for r in pixels.select("r", "g", "b", media.hsv(F.col("r"), F.col("g"), F.col("b")).alias("x")).collect():
+        h, s_, v = colorsys.rgb_to_hsv(r.r / 255, r.g / 255, r.b / 255)
+        assert abs(r.x.h - h * 255) < 1.01 and abs(r.x.s - s_ * 255) < 1.01 and r.x.v == round(v * 255)
+    assert media.colour_statistics(pixels).first().brightness == round((255 + 0 + 200 + 90) / 4, 1)
+    lumas = spark.createDataFrame([("c", 0, i, 200 if i in (0, 5, 63) else 10) for i in range(64)], "clip string, idx int, i int, luma int")
+    assert media.average_hash(lumas).first().hash == (1 | 1 << 5 | 1 << 63) - (1 << 64)
+    assert media.best_of(spark.createDataFrame([("a", False, 0.81, False, "m"), ("a", False, 0.84, True, "l"), ("a", True, 0.99, True, "x")], "transcript_id string, degenerate boolean, coverage_ratio double, is_strong boolean, model string")).first().model == "l"
+    lines = spark.createDataFrame([("a", 0, "Hello."), ("a", 1, "Thanks for watching!"), ("a", 2, "x"), ("a", 3, "x")], "transcript_id string, idx int, text string")
+    assert media.strip_boilerplate(lines, ["thanks for watching"]).count() == 3 and media.collapse_repeats(lines).count() == 3
+    reads = spark.createDataFrame([("c", 0, "SALE now", 0.9), ("c", 1, "sale 50", 0.9), ("c", 2, "lost", 0.1)], "clip string, idx int, text string, confidence double")
+    assert [r.term for r in media.ocr_terms(reads).orderBy("ord").collect()] == ["SALE", "now"]
+    assert media.palette(pixels, 1).first().weight == 0.25 and round(media.loudness(spark.createDataFrame([("c", 0.6), ("c", -0.8)], "clip string, sample double")).first().rms, 6) == round(0.5**0.5, 6)
 
 
 def test_logs(spark, tmp_path):
@@ -232,6 +292,16 @@ def test_producers(spark):
     # A recon stamp with reasons is not recognised, as it never was.
     assert [one(spark, producers.run_stamp(F.lit(x))) for x in ("[ALPHA] [RECON]", "[RECON]", "[RECON: thin]")] == ["ALPHA", "RECON", "unlabeled"]
     std = spark.createDataFrame([("a", 3, 2, 1.5, ["traceability"], ["web"]), ("b", 1, 2, 0.5, ["breadth", "typo"], ["sound"]), ("c", None, None, None, None, None)], "standard_id string, min_distinct_hosts int, min_independent_sources int, dup_similarity double, fatal_domains array<string>, required_modalities array<string>")
+    texts = spark.createDataFrame([("a", "breadth", "[]"), ("b", '["typo"]', '["web"]'), ("c", "[]", None)], "standard_id string, fatal_domains string, required_modalities string").withColumns({c: F.lit(1.0) for c in ("min_distinct_hosts", "min_independent_sources", "dup_similarity")})
+    assert {r.standard_id: r.warnings for r in producers.standard_warnings(texts).collect()} == {"a": "fatal_domains_not_list", "b": "fatal_domains_unknown", "c": "fatal_set_trivial"}
+    known = spark.createDataFrame([("a1", "http://x")], "artifact_id string, source string")
+    dates = spark.createDataFrame([(1, "a1", "2024-01-01"), (2, "a1", "soon"), (3, "zz", "2024-01-01")], "seq int, artifact_id string, published_at string")
+    assert {r.seq: r.violation for r in producers.pubdate_violations(dates, known).collect()} == {2: "no date", 3: "unknown artifact"}
+    anchored = spark.createDataFrame([(1, 0.5, "2025-01-01", "a1"), (2, 0.5, "2025-01-01", "zz"), (3, 0.5, "2025-01-01", None)], "prediction_id int, stated_confidence double, resolve_by string, anchor_artifact_id string")
+    assert {r.prediction_id: r.violation for r in producers.prediction_violations(anchored, known).collect()} == {2: "unknown anchor"}
+    assert producers.research_rows(spark.createDataFrame([("g", 1), ("g", 2)], "goal string, seq int")).collect() == [("g", 1, "r_" + __import__("hashlib").sha256(b"g").hexdigest()[:10])]
+    measures = spark.createDataFrame([(1, "a1", "t"), (2, "a1", " "), (3, "zz", "t")], "seq int, artifact_id string, truth string")
+    assert {r.seq for r in producers.measure_violations(measures, known).collect()} == {2, 3}
     assert {r.standard_id: r.warnings for r in producers.standard_warnings(std).collect()} == {"a": "volume_bar_incoherent,fatal_set_trivial,dup_similarity_range", "b": "fatal_domains_unknown,required_modalities_invalid", "c": ""}
     items = spark.createDataFrame([(0, "video", "x")], "ord int, kind string, id string")
     new = spark.createDataFrame([(0, "video", "x"), (1, "channel", "y"), (2, "video", "y")], "ord int, kind string, id string")

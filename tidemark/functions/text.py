@@ -7,13 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that say nothing of a text's subject; a parameter wherever tokens are made.
-FILLERS = (
-    "about", "after", "again", "also", "although", "among", "because", "been", "before", "being", "between", "both", "could", "does", "during", "each", "even", "from", "have", "having", "here", "however",
-    "into", "itself", "just", "like", "many", "more", "most", "much", "only", "other", "over", "said", "same", "should", "since", "some", "still", "such", "than", "that", "their", "them", "then", "there",
-    "these", "they", "this", "those", "through", "under", "until", "upon", "very", "well", "were", "what", "when", "where", "whether", "which", "while", "will", "with", "within", "would", "your",
-    "그리고", "그러나", "하지만", "또는", "에서", "으로", "까지", "부터",
-)
+# Words that say nothing of a text's subject; a parameter wherever tokens are made.
+FILLERS = tuple(
+    "about according after also around been before between could during from have here including into just like made make more most only over posted reached reported said says should some still such than that"
+    " their them then there these they this those very were what when where which while will with within would your"
+    " 그러나 그런 그리고 까지 된다 됩니다 또는 라고 보다 부터 없다 에게 에서 에요 예요 으로 이고 이다 이라 이런 이며 이에요 입니다 있다 저런 처럼 하는 하지만 한다 합니다 했다".split()
+)
 WORD = r"[\p{L}\p{Nl}\p{No}]{2,}"
 NUMBER = r"\d+(?:,\d{3})*(?:\.\d+)?"
 #: Tokens of a shingle, and the similarity from which texts count as near copies.
@@ -80,8 +79,9 @@ def spoken_key(text: Column) -> Column:
 
 
 def first_number(text: Column) -> Column:
-    """The first number of a text, with sign and exponent; null if there is none."""
-    return F.regexp_extract(F.coalesce(text, F.lit("")), r"(-?\d[\d,]*\.?\d*(?:[eE][-+]?\d+)?)", 1).try_cast("double")
+    """The first number of a text, with sign, groups of thousands and exponent; null if there is none."""
+    found = F.regexp_extract(F.coalesce(text, F.lit("")), r"-?\d+(?:,\d{3})*(?:\.\d+)?(?:[eE][+-]?\d+)?", 0)
+    return F.regexp_replace(found, ",", "").try_cast("double")
 
 
 def deloop(text: Column, most: int = 2) -> Column:

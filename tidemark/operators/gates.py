@@ -14,7 +14,9 @@ BUDGETS = {
     "high": {"least": 50, "most": 100, "required": ("ocr", "semi-structured", "structured", "unstructured", "video"), "per_shape": 5},
 }
 STAKES = ("low", "med", "high")
-UNVERIFIED, UNHEALTHY = ("unverified", "rumored"), ("dead", "degraded")
+# What a record's status may be, those that say it isn't verified, and those of ill health.
+STATUSES = ("announced", "dead", "degraded", "effective", "observed", "partially-verified", "unverified")
+UNVERIFIED, UNHEALTHY = ("partially-verified", "unverified"), ("dead", "degraded")
 
 
 def shape_counts(findings: DataFrame, artifacts: DataFrame, run: str = "run") -> DataFrame:
@@ -95,16 +97,31 @@ def registry_warnings(facts: DataFrame, today: str) -> DataFrame:
     return judged.filter((F.col("freshness") != "fresh") | F.col("status").isin(*UNHEALTHY)).select("id", F.when(F.col("freshness") != "fresh", F.col("freshness")).otherwise(F.col("status")).alias("warning"))
 
 
-def valid_facts(facts: DataFrame, statuses: tuple[str, ...]) -> DataFrame:
-    """Each record with its first issue (null if valid); of repeated ids the first by ``ord`` stays."""
-    issue = (
-        F.when(F.coalesce(F.trim("id"), F.lit("")) == "", "id missing").when(F.coalesce(F.trim("claim"), F.lit("")) == "", "claim missing").when(~F.coalesce(F.col("status").isin(*statuses), F.lit(False)), "status unknown")
-        .when(web.date_of(F.col("observed_at")).isNull(), "observed_at invalid").when(F.col("effective_at").isNotNull() & web.date_of(F.col("effective_at")).isNull(), "effective_at invalid")
-        .when(F.coalesce(F.col("ttl_days") <= 0, F.lit(True)), "ttl_days invalid")
-    )
-    judged = facts.withColumn("issue", issue)
-    firsts = judged.filter("issue IS NULL").groupBy("id").agg(F.min("ord").alias("_first"))
-    return judged.join(firsts, "id", "left").withColumn("issue", F.when(F.col("issue").isNull() & (F.col("ord") > F.col("_first")), "duplicate id").otherwise(F.col("issue"))).drop("_first")
+def registry_check(facts: DataFrame, today: str, statuses: tuple[str, ...] = STATUSES) -> DataFrame:
+    """All warnings of a registry, ``ord, id, warning``: what is amiss with invalid records, and valid ones not to be relied on."""
+    judged = valid_facts(facts, statuses)
+    broken = judged.filter("issue IS NOT NULL").select("ord", "id", F.col("issue").alias("warning"))
+    valid = judged.filter("issue IS NULL").drop("issue")
+    return broken.unionByName(registry_warnings(valid, today).join(valid.select("id", "ord"), "id").select("ord", "id", "warning"))
+
+
+def valid_facts(facts: DataFrame, statuses: tuple[str, ...] = STATUSES) -> DataFrame:
+    """Each record with its first ``issue`` (null if valid); of repeated ids the first by ``ord`` counts, valid or not.
+
+    Dates must be whole texts.  Source references and scope are looked at where the registry has them.
+    """
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    firsts = facts.filter(~blank("id")).groupBy("id").agg(F.min("ord").alias("_first"))
+    judged = facts.join(firsts, "id", "left")
+    issue = F.when(blank("id"), "id missing").when(F.col("ord") > F.col("_first"), "duplicate id").when(~F.coalesce(F.col("status").isin(*statuses), F.lit(False)), "status unknown").when(blank("claim"), "claim missing")
+    if "source_refs" in facts.columns:
+        none = F.col("source_refs").isNull() | (F.size("source_refs") == 0)
+        issue = issue.when(none, "source_refs empty").when(F.exists("source_refs", lambda x: F.coalesce(F.trim(x), F.lit("")) == ""), "source_refs blank")
+    if "scope" in facts.columns:
+        issue = issue.when(blank("scope"), "scope missing")
+    day = web.strict_date
+    issue = issue.when(day(F.col("observed_at")).isNull(), "observed_at invalid").when((F.coalesce("effective_at", F.lit("")) != "") & day(F.col("effective_at")).isNull(), "effective_at invalid").when(F.coalesce(F.col("ttl_days") <= 0, F.lit(True)), "ttl_days invalid")
+    return judged.withColumn("issue", issue).drop("_first")
 
 
 def skill_staleness(files: DataFrame, today: str, ttl_days: int = 30) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import web
 
+# Labels of captures that are none.
 BAD_QUALITY = ("BOT_WALL", "JS_WALL", "LOGIN_WALL", "PAYWALL", "EMPTY", "HTTP_ERROR", "MALFORMED", "API_ERROR", "EXTRACT_FAILED", "COVERAGE_GAP", "LOW_CONFIDENCE", "DEGENERATE", "SILENT", "NO_SPEECH_OR_MASKED")
 
 

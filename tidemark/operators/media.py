@@ -66,12 +66,18 @@ def collapse_repeats(lines: DataFrame, key: str = "transcript_id") -> DataFrame:
 
 
 def thin(rows: DataFrame, most: int, key: str, order: str) -> DataFrame:
-    """At most ``most`` rows of each key, evenly spaced in order."""
+    """At most ``most`` rows of each key, evenly spaced in order: the places that multiples of their distance fall on.
+
+    Without a limit (0 or less) all rows stay.
+    """
+    if most <= 0:
+        return rows
     w = Window.partitionBy(key)
     placed = rows.withColumns({"_i": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count("*").over(w)})
-    slot = lambda i: F.floor(i * most / F.col("_n"))
-    first = (F.col("_i") == 0) | (slot(F.col("_i")) != slot(F.col("_i") - 1))
-    return placed.filter((F.col("_n") <= most) | first).drop("_i", "_n")
+    step, i = F.col("_n") / most, F.col("_i")
+    near = F.ceil(i / step)
+    falls = [(near + d >= 0) & (near + d < most) & (F.floor((near + d) * step) == i) for d in (-1, 0, 1)]  # whatever the rounding
+    return placed.filter((F.col("_n") <= most) | falls[0] | falls[1] | falls[2]).drop("_i", "_n")
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -97,6 +103,28 @@ def kept_frames(frames: DataFrame, radius: int = 4, key: str = "clip") -> DataFr
     return ordered.select(key, F.explode(kept).alias("f")).select(key, "f.*")
 
 
+def hsv(r: Column, g: Column, b: Column) -> Column:
+    """Hue, saturation and value of a colour, each from 0 to 255."""
+    top, low = F.greatest(r, g, b).cast("double"), F.least(r, g, b).cast("double")
+    span = top - low
+    sixth = F.when(span == 0, 0.0).when(r == top, F.pmod((g - b) / span, F.lit(6.0))).when(g == top, (b - r) / span + 2).otherwise((r - g) / span + 4)
+    return F.struct(F.floor(sixth / 6 * 255).cast("int").alias("h"), F.when(top == 0, 0).otherwise(F.floor(span / top * 255)).cast("int").alias("s"), top.cast("int").alias("v"))
+
+
+def colour_statistics(pixels: DataFrame, key: str = "clip") -> DataFrame:
+    """Mean brightness, saturation and contrast of each clip's frames (``clip, frame, r, g, b``): contrast is the deviation of values within a frame."""
+    c = hsv(F.col("r"), F.col("g"), F.col("b"))
+    frames = pixels.groupBy(key, "frame").agg(F.avg(c["v"]).alias("v"), F.avg(c["s"]).alias("s"), F.stddev_pop(c["v"]).alias("d"))
+    return frames.groupBy(key).agg(F.count("*").alias("frames"), F.bround(F.avg("v"), 1).alias("brightness"), F.bround(F.avg("s"), 1).alias("saturation"), F.bround(F.avg("d"), 1).alias("contrast"))
+
+
+def average_hash(lumas: DataFrame, key: str = "clip") -> DataFrame:
+    """A 64-bit hash of each frame's 64 luma values (``clip, idx, i, luma``): a bit is set where a value is over the mean."""
+    mean = lumas.groupBy(key, "idx").agg(F.avg("luma").alias("_m"))
+    bit = F.when(F.col("luma") > F.col("_m"), F.expr("shiftleft(1L, cast(i as int))")).otherwise(F.lit(0).cast("long"))
+    return lumas.join(mean, [key, "idx"]).groupBy(key, "idx").agg(F.bit_or(bit).alias("hash"))
+
+
 def palette(pixels: DataFrame, k: int = 6, key: str = "clip", step: int = 32) -> DataFrame:
     """The ``k`` most frequent colours of each clip's pixels (``clip, r, g, b``) on a coarse grid, with their weight."""
     grid = lambda c: (F.floor(F.col(c) / step) * step + step // 2).cast("int")

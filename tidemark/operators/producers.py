@@ -30,22 +30,57 @@ def hypothesis_rows(theses: DataFrame) -> DataFrame:
     return theses.withColumns({"hypothesis_id": stable_id("hyp_", F.coalesce("thesis", F.lit("")), 12), "violation": bad})
 
 
-def prediction_violations(predictions: DataFrame) -> DataFrame:
-    """Forecasts whose confidence is no probability or whose deadline is no date: ``prediction_id, violation``."""
+def research_rows(goals: DataFrame) -> DataFrame:
+    """Research runs (``goal, seq``) with the slug that their goal gives them, each created once."""
+    return goals.groupBy("goal").agg(F.min("seq").alias("seq")).withColumn("slug", stable_id("r_", F.col("goal"), 10))
+
+
+def pubdate_violations(pubdates: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Publication dates that may not be appended: ``seq, violation``; of an unknown artifact, or no date."""
+    known = artifacts.select("artifact_id").distinct().withColumn("_k", F.lit(True))
+    bad = F.when(F.col("_k").isNull(), "unknown artifact").when(web.date_of(F.col("published_at")).isNull(), "no date")
+    return pubdates.join(known, "artifact_id", "left").select("seq", bad.alias("violation")).filter("violation IS NOT NULL")
+
+
+def measure_violations(measured: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Measurements of captures that may not be appended: ``seq, violation``; a blank truth, or an unknown artifact."""
+    known = artifacts.select("artifact_id").distinct().withColumn("_k", F.lit(True))
+    bad = F.when(F.trim(F.coalesce("truth", F.lit(""))) == "", "truth empty").when(F.col("_k").isNull(), "unknown artifact")
+    return measured.join(known, "artifact_id", "left").select("seq", bad.alias("violation")).filter("violation IS NOT NULL")
+
+
+def prediction_violations(predictions: DataFrame, artifacts: DataFrame | None = None) -> DataFrame:
+    """Forecasts whose confidence is no probability, or whose deadline is no date, or (given ``artifacts``) whose anchor is unknown: ``prediction_id, violation``."""
     p = F.col("stated_confidence")
     bad = F.when(p.isNull() | ~p.between(0, 1), "confidence out of range").when(web.date_of(F.col("resolve_by")).isNull(), "deadline is no date")
+    if artifacts is not None:
+        known = artifacts.select(F.col("artifact_id").alias("anchor_artifact_id")).distinct().withColumn("_k", F.lit(True))
+        predictions = predictions.join(known, "anchor_artifact_id", "left")
+        bad = bad.when((F.coalesce("anchor_artifact_id", F.lit("")) != "") & F.col("_k").isNull(), "unknown anchor")
     return predictions.select("prediction_id", bad.alias("violation")).filter("violation IS NOT NULL")
 
 
 def standard_warnings(standards: DataFrame) -> DataFrame:
-    """Warnings on declared standards (``standard_id`` and a column for each knob): ``standard_id, warnings``."""
+    """Warnings on declared standards (``standard_id`` and a column for each knob): ``standard_id, warnings``.
+
+    Lists may also come as JSON text, of which anything but a list is warned of.
+    """
     hosts, sources, dup = F.col("min_distinct_hosts"), F.col("min_independent_sources"), F.col("dup_similarity")
-    fatal, needed = F.col("fatal_domains"), F.col("required_modalities")
     names = lambda xs: F.array(*[F.lit(x) for x in xs])
+
+    def listed(c: str) -> tuple[Column, Column]:
+        """A list, and whether it is something else."""
+        if standards.schema[c].dataType.simpleString() != "string":
+            return F.col(c), F.lit(False)
+        made = F.from_json(F.when(F.col(c).rlike(r"^\s*\["), F.col(c)), "array<string>")
+        return made, F.col(c).isNotNull() & made.isNull()
+
+    (fatal, odd_fatal), (needed, odd_needed) = listed("fatal_domains"), listed("required_modalities")
+    trivial = [d for d in DOMAINS if d not in ARITHMETIC]
     found = F.array_compact(F.array(
-        F.when(hosts > sources, "volume_bar_incoherent"), F.when(F.size(F.array_except(fatal, names(DOMAINS))) > 0, "fatal_domains_unknown"),
-        F.when(fatal.isNotNull() & ~F.coalesce(F.arrays_overlap(fatal, names(ARITHMETIC)), F.lit(False)), "fatal_set_trivial"),
-        F.when(~((dup > 0) & (dup <= 1)), "dup_similarity_range"), F.when(F.size(F.array_except(needed, names(sorted(web.MODALITIES)))) > 0, "required_modalities_invalid"),
+        F.when(hosts > sources, "volume_bar_incoherent"), F.when(odd_fatal, "fatal_domains_not_list"), F.when(F.size(F.array_except(fatal, names(DOMAINS))) > 0, "fatal_domains_unknown"),
+        F.when(F.size(F.array_except(fatal, names(trivial))) == 0, "fatal_set_trivial"), F.when(~((dup > 0) & (dup <= 1)), "dup_similarity_range"),
+        F.when(odd_needed | (F.size(F.array_except(needed, names(sorted(web.MODALITIES)))) > 0), "required_modalities_invalid"),
     ))
     return standards.select("standard_id", F.array_join(found, ",").alias("warnings"))
 

@@ -10,8 +10,9 @@ from tidemark.functions import web
 
 from . import evidence, ledger
 
-ABSTAIN = ("", "abstain", "unknown", "n/a", "none", "i don't know", "cannot determine", "not found", "insufficient evidence")
-NUMERIC = ("numeric", "number", "count", "price", "percent", "year")
+# Answers that abstain, and kinds of answers that are numbers.
+ABSTAIN = ("", "abstain", "n/a", "none", "unknown", "모름", "확인불가")
+NUMERIC = ("api-number", "count", "on-screen-price")
 
 
 def resolved(predictions: DataFrame, resolutions: DataFrame) -> DataFrame:

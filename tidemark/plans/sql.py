@@ -84,14 +84,14 @@ _RESOLVED = f"""{_PREDICTIONS}, {_RESOLUTIONS}, last AS (SELECT prediction_id, a
 _FRONTIER = "frontier AS (SELECT conv_id // 3 AS item, CASE turn % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'visit' ELSE 'close' END AS op, conv_id * 100000 + turn AS seq FROM conversations)"
 _FETCHED = """fetched AS (SELECT page_id, url, html, CASE WHEN page_id % 13 = 0 THEN '' ELSE html END AS body, CASE page_id % 12 WHEN 3 THEN 404 WHEN 5 THEN 403 WHEN 7 THEN 503 WHEN 9 THEN 429 ELSE 200 END AS status,
   CASE page_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS hit, page_id % 41 = 0 AS unpassed FROM pages)"""
-_CARDS = """cards AS (SELECT CAST(p_partkey AS VARCHAR) AS task_id, CASE p_partkey % 3 WHEN 0 THEN 'settled-fact' ELSE 'price' END AS answer_kind,
+_CARDS = """cards AS (SELECT CAST(p_partkey AS VARCHAR) AS task_id, CASE p_partkey % 3 WHEN 0 THEN 'settled-fact' WHEN 1 THEN 'api-number' ELSE 'on-screen-price' END AS answer_kind,
   CASE p_partkey % 3 WHEN 0 THEN p_brand ELSE CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS VARCHAR) END AS gold, p_partkey % 2 = 0 AS stable, p_partkey % 5 = 0 AS holdout, p_partkey % 11 = 0 AS poison,
   date_diff('day', DATE '2024-01-01' + CAST(p_partkey % 300 AS INTEGER), DATE '2024-09-01') > 200 AS expired FROM part),
  firsts AS (SELECT l_partkey, arg_min(l_extendedprice, (l_orderkey, l_linenumber)) AS e, arg_min(l_quantity, (l_orderkey, l_linenumber)) AS n FROM lineitem GROUP BY 1),
  results AS (SELECT CAST(p_partkey AS VARCHAR) AS task_id, CASE WHEN p_partkey % 22 = 0 THEN 'Unknown' WHEN p_partkey % 3 = 0 THEN 'It is ' || p_brand || '.' ELSE CAST(CAST(e / n AS DECIMAL(18,2)) AS VARCHAR) END AS answer
    FROM firsts JOIN part ON l_partkey = p_partkey),
  judged AS (SELECT *, r.task_id IS NOT NULL AS answered, CASE WHEN poison THEN r.task_id IS NOT NULL AND lower(answer) = 'unknown' WHEN r.task_id IS NULL OR lower(answer) = 'unknown' THEN false
-   WHEN answer_kind = 'price' THEN coalesce(abs(TRY_CAST(answer AS DOUBLE) - TRY_CAST(gold AS DOUBLE)) <= 1000, false) ELSE regexp_matches(lower(answer), '(^|\\W)' || lower(gold) || '($|\\W)') END AS passed
+   WHEN answer_kind <> 'settled-fact' THEN coalesce(abs(TRY_CAST(answer AS DOUBLE) - TRY_CAST(gold AS DOUBLE)) <= 1000, false) ELSE regexp_matches(lower(answer), '(^|\\W)' || lower(gold) || '($|\\W)') END AS passed
    FROM cards LEFT JOIN results r USING (task_id))"""
 _FACTS = f"""facts AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE o_orderkey % 5 WHEN 0 THEN 'unverified' WHEN 1 THEN 'degraded' ELSE 'verified' END AS status,
   date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-12-01') AS age_days, CASE WHEN o_orderkey % 9 = 0 THEN CAST(o_orderdate AS DATE) + 900 END AS effective_at, 30 + o_orderkey % 900 AS ttl_days FROM orders),

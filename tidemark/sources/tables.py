@@ -89,7 +89,7 @@ class Tables:
     def cards(self) -> DataFrame:
         """A question on each part's price; answers come from its order lines."""
         return self.raw("part").selectExpr(
-            "cast(p_partkey AS string) AS task_id", "CASE p_partkey % 3 WHEN 0 THEN 'settled-fact' ELSE 'price' END AS answer_kind", "CASE p_partkey % 3 WHEN 0 THEN p_brand ELSE cast(cast(p_retailprice AS decimal(18,2)) AS string) END AS gold_value",
+            "cast(p_partkey AS string) AS task_id", "CASE p_partkey % 3 WHEN 0 THEN 'settled-fact' WHEN 1 THEN 'api-number' ELSE 'on-screen-price' END AS answer_kind", "CASE p_partkey % 3 WHEN 0 THEN p_brand ELSE concat('costs ', format_number(cast(p_retailprice AS decimal(18,2)), 2), ' won') END AS gold_value",
             "1000D AS tolerance", "p_partkey % 2 = 0 AS stable", "p_partkey % 5 = 0 AS holdout", "p_partkey % 11 = 0 AS poison", "cast(date_add(date'2024-01-01', cast(p_partkey % 300 AS int)) AS string) AS captured_at", "'200' AS ttl_days",
         )
 
@@ -97,7 +97,7 @@ class Tables:
         lines = self.raw("lineitem").groupBy("l_partkey").agg(F.min_by(F.struct("l_extendedprice", "l_quantity"), F.struct("l_orderkey", "l_linenumber")).alias("l"))
         return lines.join(self.raw("part"), F.col("l_partkey") == F.col("p_partkey")).selectExpr(
             "cast(p_partkey AS string) AS task_id",
-            "CASE WHEN p_partkey % 22 = 0 THEN 'Unknown' WHEN p_partkey % 3 = 0 THEN concat('It is ', p_brand, '.') ELSE cast(cast(l.l_extendedprice / l.l_quantity AS decimal(18,2)) AS string) END AS answer",
+            "CASE WHEN p_partkey % 22 = 0 THEN 'Unknown' WHEN p_partkey % 3 = 0 THEN concat('It is ', p_brand, '.') ELSE concat('about ', format_number(cast(l.l_extendedprice / l.l_quantity AS decimal(18,2)), 2)) END AS answer",
         )
 
     def facts(self) -> DataFrame:
