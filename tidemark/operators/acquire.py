@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import web
+from tidemark.sources.storage import importable
 
 NOAI = ("noai", "noimageai", "noml")
 
@@ -114,3 +118,30 @@ def acquisition_state(fetched: DataFrame, consent: bool = False) -> DataFrame:
         .when(~F.coalesce("has_schema", F.lit(False)), F.when(doubt, "suspect").otherwise("ok_unvalidated")).when(F.coalesce("n_issues", F.lit(0)) > 0, "validation_failed").when(doubt, "ok_suspect").otherwise("ok")
     )
     return fetched.select("url", state.alias("state"), state.isin("ok", "ok_unvalidated").alias("ok"))
+
+
+def parsed(fetched: DataFrame, parser: Callable[[str, str], list[dict]], schema: str, key: str = "url", body: str = "body") -> DataFrame:
+    """What a parser makes of each body: ``key, parse_failed, n_rows, rows``; an error of it is a failure of that page only.
+
+    ``parser`` gets address and body and returns records of ``schema``.  Null bodies are passed over.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kind = fetched.schema[key].dataType.simpleString()
+    out = f"{key} {kind}, parse_failed boolean, n_rows long, rows array<struct<{schema}>>"
+    arrow = to_arrow_schema(fetched.sparkSession.createDataFrame([], out).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list] = [[], [], [], []]
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    made, failed = parser(k, text), False
+                except Exception:  # noqa: BLE001
+                    made, failed = [], True
+                for c, v in zip(cols, (k, failed, len(made), made), strict=True):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], names=arrow.names)
+
+    importable(fetched.sparkSession)
+    return fetched.filter(F.col(body).isNotNull()).select(key, body).mapInArrow(run, out)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.functions import web
+from tidemark.sources.storage import cut
 
 from . import graph
 
@@ -27,26 +28,78 @@ def numeric_conflicts(findings: DataFrame, group: str = "conclusion_id") -> Data
     return met.select(group, "a_seq", "b_seq", "a", "b", shown.alias("numbers"))
 
 
+def shingle_sets(items: DataFrame, group: list[str], node: str, text: str) -> DataFrame:
+    """The hashed shingles ``s``, sorted, of each item ``n`` of a group; made once and read again by what compares them."""
+    hashed = F.transform(tx.shingles(tx.tokens(F.col(text))), lambda w: F.xxhash64(w))
+    return cut(items.select(*group, F.col(node).alias("n"), F.array_sort(hashed).alias("s")))
+
+
+def near_classes(own: DataFrame, group: list[str], least: float) -> DataFrame:
+    """Pairs of a group's different sets with similarity of ``least`` or more, each set by its least item: ``group, a, b, similarity``.
+
+    Equal sets are one, so copies are compared once.  A set's shingles are put in order of how many sets of the group
+    have them; pairs that are alike share one of the first few of that order, so frequent shingles, which hold the most
+    pairs, are not joined on.  The candidates are compared by their whole sets.
+    """
+    sets = cut(own.filter(F.size("s") > 0).groupBy(*group, "s").agg(F.min("n").alias("n")))
+    each = sets.select(*group, "n", F.size("s").alias("size"), F.explode("s").alias("w"))
+    shared = each.join(each.groupBy(*group, "w").agg(F.count("*").alias("many")).filter("many > 1"), [*group, "w"])
+    mine = Window.partitionBy(*group, "n")
+    # Shingles that no other set has come first in the order, and are counted without being joined.
+    place = F.row_number().over(mine.orderBy("many", "w")) + F.col("size") - F.count("*").over(mine)
+    first = shared.withColumn("_p", place).filter(F.col("_p") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1)
+    side = lambda x: first.select(*group, "w", F.col("n").alias(x), F.col("size").alias(f"{x}_size"))
+    alike = (F.col("a") < F.col("b")) & (F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * least - 1e-9)
+    pairs = side("a").join(side("b"), [*group, "w"]).filter(alike).select(*group, "a", "b").distinct()
+    whole = lambda x: sets.select(*group, F.col("n").alias(x), F.col("s").alias(f"{x}_s"))
+    both = F.size(F.array_intersect("a_s", "b_s"))
+    met = pairs.join(whole("a"), [*group, "a"]).join(whole("b"), [*group, "b"])
+    return met.select(*group, "a", "b", (both / (F.size("a_s") + F.size("b_s") - both)).alias("similarity")).filter(F.col("similarity") >= least)
+
+
+def _members(own: DataFrame, group: list[str]) -> DataFrame:
+    """Items with the least item ``c`` of equal set; those without shingles are alike to none."""
+    classes = own.filter(F.size("s") > 0).groupBy(*group, "s").agg(F.min("n").alias("c"))
+    return own.join(classes, [*group, "s"]).select(*group, "n", "c")
+
+
 def near_pairs(items: DataFrame, group: list[str], node: str, text: str, least: float = tx.NEAR) -> DataFrame:
     """Pairs of a group's texts with shingle similarity of ``least`` or more: ``group, a, b, similarity``.
 
-    An inverted index of shingles within groups counts what pairs share; sizes give the union.
+    All pairs are listed, copies too; where their number is not wanted ``distinct_texts`` and ``first_earlier`` do with
+    pairs of different sets.
     """
-    own = items.select(*group, F.col(node).alias("n"), tx.shingles(tx.tokens(F.col(text))).alias("s"))
-    sized = own.select(*group, "n", F.size("s").alias("size"))
-    each = own.select(*group, "n", F.explode("s").alias("w"))
-    met = each.select(*group, "w", F.col("n").alias("a")).join(each.select(*group, "w", F.col("n").alias("b")), [*group, "w"]).filter("a < b")
-    shared = met.groupBy(*group, "a", "b").agg(F.count("*").alias("both"))
-    sizes = lambda s: sized.select(*group, F.col("n").alias(s), F.col("size").alias(f"{s}_size"))
-    scored = shared.join(sizes("a"), [*group, "a"]).join(sizes("b"), [*group, "b"])
-    return scored.select(*group, "a", "b", (F.col("both") / (F.col("a_size") + F.col("b_size") - F.col("both"))).alias("similarity")).filter(F.col("similarity") >= least)
+    own = shingle_sets(items, group, node, text)
+    members = _members(own, group)
+    of = lambda c, n: members.select(*group, F.col("c").alias(c), F.col("n").alias(n))
+    apart = near_classes(own, group, least).withColumnsRenamed({"a": "ca", "b": "cb"}).join(of("ca", "x"), [*group, "ca"]).join(of("cb", "y"), [*group, "cb"])
+    equal = of("ca", "x").join(of("ca", "y"), [*group, "ca"]).filter("x < y").select(*group, "x", "y", F.lit(1.0).alias("similarity"))
+    every = apart.select(*group, "x", "y", "similarity").unionByName(equal)
+    return every.select(*group, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+
+
+def first_earlier(items: DataFrame, group: list[str], node: str, text: str, least: float = tx.NEAR) -> DataFrame:
+    """The first item before each that is a near copy of it: ``node, first``; items without one are left out."""
+    own = shingle_sets(items, group, node, text)
+    members = _members(own, group)
+    linked = near_classes(own, group, least).select(*group, "a", "b")
+    both = linked.unionByName(linked.select(*group, F.col("b").alias("a"), F.col("a").alias("b")))
+    # The first item of a set is the set's name, so the first near copy is one of the names linked, the own one included.
+    names = both.select(*group, F.col("a").alias("c"), F.col("b").alias("first")).unionByName(members.select(*group, "c", F.col("c").alias("first")).distinct())
+    lowest = names.groupBy(*group, "c").agg(F.min("first").alias("first"))
+    return members.join(lowest, [*group, "c"]).filter(F.col("first") < F.col("n")).select(F.col("n").alias(node), "first")
 
 
 def distinct_texts(items: DataFrame, group: str, node: str, text: str, least: float = tx.NEAR) -> DataFrame:
-    """How many texts of each group are left when near copies count once: ``group, n, n_distinct``."""
-    nodes = items.select(group, F.col(node).alias("node"))
-    counts = graph.component_counts(nodes, near_pairs(items, [group], node, text, least).select(group, "a", "b"), group)
-    return nodes.groupBy(group).agg(F.count("*").alias("n")).join(counts, group).select(group, "n", F.col("n_components").alias("n_distinct"))
+    """How many texts of each group are left when near copies count once: ``group, n, n_distinct``.
+
+    Texts without shingles are alike to none, so each counts.
+    """
+    own = shingle_sets(items, [group], node, text)
+    sets = own.filter(F.size("s") > 0).groupBy(group, "s").agg(F.min("n").alias("node")).select(group, "node")
+    apart = graph.component_counts(sets, near_classes(own, [group], least).select(group, "a", "b"), group)
+    counts = own.groupBy(group).agg(F.count("*").alias("n"), F.count_if(F.size("s") == 0).alias("_bare"))
+    return counts.join(apart, group, "left").select(group, "n", (F.coalesce("n_components", F.lit(0)) + F.col("_bare")).alias("n_distinct"))
 
 
 def supports(findings: DataFrame, artifacts: DataFrame, group: str = "conclusion_id") -> DataFrame:
@@ -66,7 +119,8 @@ def effective_sources(cited: DataFrame, group: str = "conclusion_id", dup_simila
     hosts = cited.filter("host != ''").groupBy(group, "host").agg(F.min("artifact_id").alias("b"))
     edges = cited.filter("host != ''").join(hosts, [group, "host"]).select(group, F.col("artifact_id").alias("a"), "b")
     if dup_similarity is not None:
-        edges = edges.unionByName(near_pairs(cited, [group], "artifact_id", "quote", dup_similarity).select(group, "a", "b"))
+        own = shingle_sets(cited, [group], "artifact_id", "quote")
+        edges = edges.unionByName(near_classes(own, [group], dup_similarity).select(group, "a", "b")).unionByName(_members(own, [group]).select(group, F.col("n").alias("a"), F.col("c").alias("b")))
     return graph.component_counts(nodes, edges, group).withColumnRenamed("n_components", "effective_sources")
 
 
@@ -142,8 +196,8 @@ def triangulate(findings: DataFrame, artifacts: DataFrame, key: str = "hypothesi
 
 def prediction_counts(predictions: DataFrame, key: str = "hypothesis_id") -> DataFrame:
     """Raw and distinct predictions of each hypothesis; near copies count once only with the same deadline."""
-    grouped = predictions.withColumn("_g", F.xxhash64(key, "resolve_by"))
-    parts = distinct_texts(grouped, "_g", "prediction_id", "claim").join(grouped.select("_g", key).distinct(), "_g")
+    grouped = predictions.withColumn("_g", F.struct(key, "resolve_by"))
+    parts = distinct_texts(grouped, "_g", "prediction_id", "claim").withColumn(key, F.col(f"_g.{key}"))
     return parts.groupBy(key).agg(F.sum("n").alias("raw_predictions"), F.sum("n_distinct").alias("distinct_predictions"))
 
 
@@ -223,12 +277,17 @@ def echo_clusters(findings: DataFrame, key: str = "hypothesis_id", least: float
     order (a greedy seed order counts chains differently; whether there is any cluster is the same).  Texts
     under a shingle's length are compared by their words.
     """
-    long = findings.filter(F.size(tx.tokens(F.col("text"))) >= tx.SHINGLE)
-    pairs = near_pairs(long, [key], "seq", "text", least).select(key, "a", "b")
-    words = findings.select(key, "seq", F.array_distinct(tx.tokens(F.col("text"))).alias("w"), (F.size(tx.tokens(F.col("text"))) < tx.SHINGLE).alias("short"))
-    each = words.select(key, "seq", "w", "short", F.explode("w").alias("x"))
-    a, b = each.select(key, "x", F.col("seq").alias("a"), F.col("w").alias("aw"), F.col("short").alias("as")), each.select(key, "x", F.col("seq").alias("b"), F.col("w").alias("bw"), F.col("short").alias("bs"))
-    brief = a.filter("as").join(b, [key, "x"]).filter((F.col("a") != F.col("b")) & (tx.jaccard(F.col("aw"), F.col("bw")) >= least)).select(key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    made = cut(findings.select(key, "seq", "text", tx.tokens(F.col("text")).alias("t")))
+    own = shingle_sets(made.filter(F.size("t") >= tx.SHINGLE), [key], "seq", "text")
+    copies = _members(own, [key]).filter("n != c").select(key, F.col("n").alias("a"), F.col("c").alias("b"))
+    pairs = near_classes(own, [key], least).select(key, "a", "b").unionByName(copies)
+    words = made.select(key, "seq", F.array_distinct("t").alias("w"), (F.size("t") < tx.SHINGLE).alias("short"))
+    # Only short texts, of one word or two, look for others, and their words are few.
+    asked = words.filter("short").select(key, F.col("seq").alias("a"), F.col("w").alias("aw"), F.explode("w").alias("x"))
+    # A text like a short one has few words itself.
+    most = int((tx.SHINGLE - 1) / least)
+    near = words.filter(F.size("w") <= most).select(key, F.col("seq").alias("b"), F.col("w").alias("bw"), F.explode("w").alias("x"))
+    brief = asked.join(near, [key, "x"]).filter((F.col("a") != F.col("b")) & (tx.jaccard(F.col("aw"), F.col("bw")) >= least)).select(key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     edges = pairs.unionByName(brief).distinct()
     nodes = edges.select(key, F.explode(F.array("a", "b")).alias("node")).distinct()
     return graph.component_counts(nodes, edges, key).withColumnRenamed("n_components", "echo_clusters")
@@ -240,3 +299,8 @@ def independence(judged: DataFrame, echoes: DataFrame, concentration: DataFrame,
     debunk = F.coalesce(F.col("mode") == "debunk", F.lit(False))
     passed = F.when(debunk, F.col("label") != "UNRESOLVED").otherwise((F.col("label") == "ALPHA") & (F.col("echo_clusters") == 0) & ~F.col("concentrated"))
     return met.filter("n_signals > 0").select(key, "label", "echo_clusters", "concentrated", passed.alias("passed"))
+
+
+def run_gate(judged: DataFrame) -> DataFrame:
+    """Whether a run passes, one row: at least one of its hypotheses was judged, and all that were pass."""
+    return judged.agg(F.count("*").alias("evaluated"), F.count_if(~F.col("passed")).alias("failed")).withColumn("passed", (F.col("evaluated") > 0) & (F.col("failed") == 0))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import web
 
+from .producers import run_stamp
+
 # How much evidence of which shapes a declared stake asks for.
 BUDGETS = {
     "low": {"least": 12, "most": 20, "required": ("unstructured",), "per_shape": 3},
@@ -69,6 +71,46 @@ def harvest(findings: DataFrame, artifacts: DataFrame, label: str = "CORRECTED",
     return used.select(run, "findings", "corrections", F.array_join("used", ",").alias("used"), F.array_join(F.array_except(every, "used"), ",").alias("gaps"))
 
 
+def harvest_runs(runs: DataFrame, findings: DataFrame, artifacts: DataFrame, hypotheses: DataFrame, predictions: DataFrame) -> DataFrame:
+    """A profile of each run (``run, created, summary``) that has hypotheses: its label, counts, and what it lacks or corrected.
+
+    Columns: ``run, created, label, findings, n_modalities, n_hosts, has_prediction, has_disconfirm, gaps, corrections``.
+    Gaps are those of unfinished runs, corrections those of finished ones.
+    """
+    known = artifacts.select("artifact_id", web.modality(F.col("type")).alias("modality"), web.registrable(F.col("source")).alias("host"))
+    met = findings.join(known, "artifact_id", "left")
+    facts = met.groupBy("run").agg(
+        F.count("*").alias("findings"), F.count_distinct(F.when(F.col("modality") != "other", F.col("modality"))).alias("n_modalities"), F.count_distinct(F.when(F.col("host") != "", F.col("host"))).alias("n_hosts"),
+        F.bool_or(F.coalesce(F.col("polarity") == "disconfirms", F.lit(False))).alias("has_disconfirm"), F.count_distinct(F.coalesce("modality", F.lit("other"))).alias("_all"),
+    )
+    made = runs.join(hypotheses.select("run").distinct(), "run", "left_semi").join(facts, "run", "left").join(predictions.select("run").distinct().withColumn("has_prediction", F.lit(True)), "run", "left")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("findings", "n_modalities", "n_hosts", "_all")}
+    made = made.withColumns(zero | {c: F.coalesce(c, F.lit(False)) for c in ("has_prediction", "has_disconfirm")}).withColumn("label", run_stamp(F.coalesce("summary", F.lit(""))))
+    alpha, recon = F.col("label") == "ALPHA", F.col("label") == "RECON"
+    gaps = F.array_compact(F.array(
+        F.when(recon & (F.col("n_modalities") <= 1), "single-modality"), F.when(recon & ~F.col("has_prediction"), "no-prediction"), F.when(recon & ~F.col("has_disconfirm"), "no-disconfirm"), F.when(recon & (F.col("n_hosts") < 3), "thin-hosts"),
+    ))
+    corrections = F.array_compact(F.array(
+        F.when(alpha & (F.col("n_modalities") >= 2) & (F.col("_all") >= 2), "modality-expansion"), F.when(alpha & F.col("has_disconfirm"), "disconfirm-added"), F.when(alpha & (F.col("n_hosts") >= 3), "host-diversification"),
+    ))
+    return made.select("run", "created", "label", "findings", "n_modalities", "n_hosts", "has_prediction", "has_disconfirm", gaps.alias("gaps"), corrections.alias("corrections"))
+
+
+def harvest_counts(profiles: DataFrame) -> DataFrame:
+    """How many runs have each label, gap and correction: ``what, name, n``."""
+    labels = profiles.groupBy(F.lit("label").alias("what"), F.col("label").alias("name")).agg(F.count("*").alias("n"))
+    each = [profiles.select(F.explode(c).alias("name")).groupBy(F.lit(c).alias("what"), "name").agg(F.count("*").alias("n")) for c in ("gaps", "corrections")]
+    return labels.unionByName(each[0]).unionByName(each[1])
+
+
+def top_hosts(findings: DataFrame, artifacts: DataFrame, k: int = 5, run: str = "run") -> DataFrame:
+    """The ``k`` hosts that most findings of a run come from, first seen first among equals: ``run, place, host, n``."""
+    known = artifacts.select("artifact_id", web.registrable(F.col("source")).alias("host"))
+    counts = findings.join(known, "artifact_id").filter("host != ''").groupBy(run, "host").agg(F.count("*").alias("n"), F.min("seq").alias("_first"))
+    order = Window.partitionBy(run).orderBy(F.desc("n"), "_first")
+    return counts.select(run, F.row_number().over(order).alias("place"), "host", "n").filter(F.col("place") <= k)
+
+
 def created(runs: DataFrame, rows: DataFrame, run: str = "run") -> DataFrame:
     """When each run began: its own ``created``, else the earliest time of its rows, else empty."""
     earliest = rows.groupBy(run).agg(F.min("ts").alias("_first"))
@@ -83,9 +125,9 @@ def since(runs: DataFrame, day: str) -> DataFrame:
 def freshness(facts: DataFrame, today: str) -> DataFrame:
     """The state of each fact: corrupt, pending, unverified, stale or fresh, with its age in days."""
     day = F.lit(today).cast("date")
-    age = F.date_diff(day, web.date_of(F.col("observed_at")))
+    age = F.date_diff(day, web.strict_date(F.col("observed_at")))
     state = (
-        F.when(age < 0, "corrupt").when(web.date_of(F.col("effective_at")) > day, "pending").when(F.col("status").isin(*UNVERIFIED), "unverified")
+        F.when(age < 0, "corrupt").when(web.strict_date(F.col("effective_at")) > day, "pending").when(F.col("status").isin(*UNVERIFIED), "unverified")
         .when(age >= F.col("ttl_days"), "stale").otherwise("fresh")
     )
     return facts.select("id", age.alias("age_days"), state.alias("freshness"), "status")

@@ -52,11 +52,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def component_counts(nodes: DataFrame, edges: DataFrame, group: str, node: str = "node") -> DataFrame:
     """How many components the nodes of each group form: ``group, n_components``.
 
-    ``nodes`` has (group, node), ``edges`` (group, a, b) with ends among the group's nodes.
+    ``nodes`` has (group, node), ``edges`` (group, a, b) with ends among the group's nodes.  Nodes are numbered, so no
+    two are ever taken for one.  Null groups count as one group.
     """
-    key = lambda c: F.xxhash64(F.col(group), F.col(c))
-    roots = components(edges.select(key("a").alias("a"), key("b").alias("b")))
-    own = nodes.select(group, key(node).alias("k")).distinct()
+    named = cut(nodes.select(F.col(group).alias("_g"), F.col(node).alias("_n")).distinct().withColumn("k", F.monotonically_increasing_id()))
+    met = edges.select(F.col(group).alias("_g"), F.col("a").alias("_a"), F.col("b").alias("_b")).filter("_a != _b")
+    for end in ("a", "b"):
+        side = named.select(F.col("_g").alias("_h"), F.col("_n").alias("_m"), F.col("k").alias(f"k{end}"))
+        met = met.join(side, F.col("_g").eqNullSafe(F.col("_h")) & (F.col(f"_{end}") == F.col("_m"))).drop("_h", "_m")
+    roots = components(met.select("ka", "kb"), "ka", "kb")
     # A node that some root stands above is no component of its own.
-    below = own.join(roots, own.k == roots.node, "left")
-    return below.groupBy(group).agg(F.count_if(F.col("root").isNull()).alias("n_components"))
+    below = named.join(roots, F.col("k") == F.col("node"), "left")
+    return below.groupBy(F.col("_g").alias(group)).agg(F.count_if(F.col("root").isNull()).alias("n_components"))

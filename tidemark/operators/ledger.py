@@ -100,23 +100,71 @@ def ingest(landed: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return first(made, ["logical_key"]) if known is None else missing_from(known, made, ["logical_key"])
 
 
+# What kind of evidence a type is to the seal; any other is structured data.
+EVIDENCE_KINDS = {"html": "page_html", "image": "frame_screenshot", "ocr": "ocr_text", "transcript": "transcript_cue", "video": "transcript_cue"}
+WARNING = " [WARN low-quality source]"
+
+
 def seal_plan(findings: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Ordered steps that would seal findings: a source is registered once, at its first finding, then anchored.
 
-    The anchor is the quote, else a number of the text, else the text's beginning; sources that are no web
-    addresses are left out.  Columns: ``seq, artifact_id, registers, anchor_kind, anchor``.
+    The anchor is the quote, else the cue or frame of the ``locator``, else the text's beginning; what can't be sealed is
+    in ``seal_skipped``.  Columns: ``seq, artifact_id, registers, anchor_kind, anchor, evidence_kind, claim``.
     """
-    met = findings.join(artifacts.select("artifact_id", "source"), "artifact_id").filter(F.lower("source").startswith("http"))
+    met = findings.join(artifacts.select("artifact_id", "source", "type", "quality_label"), "artifact_id").filter(F.col("source").rlike("^https?://"))
     firsts = met.groupBy("artifact_id").agg(F.min("seq").alias("first_seq"))
-    number = F.regexp_extract("text", r"\d+(?:[.,]\d+)*", 0)
-    kind = F.when(F.coalesce(F.col("quote"), F.lit("")) != "", "quote").when(number != "", "number").otherwise("text")
-    anchor = F.when(kind == "quote", F.col("quote")).when(kind == "number", number).otherwise(F.substring("text", 1, 120))
-    return met.join(firsts, "artifact_id").select("seq", "artifact_id", (F.col("seq") == F.col("first_seq")).alias("registers"), kind.alias("anchor_kind"), F.substring(anchor, 1, 200).alias("anchor"))
-
-
-def digest_lines(findings: DataFrame, frontier: DataFrame, hypotheses: DataFrame) -> DataFrame:
-    """A report as rows ``section, ord, line``: findings by label, open items, hypotheses with their verdict."""
-    found = findings.select(F.lit("1-findings").alias("section"), F.concat_ws("|", "label", F.lpad(F.col("seq").cast("string"), 20, "0")).alias("ord"), F.concat(F.lit("["), "label", F.lit("] "), F.substring("text", 1, 100)).alias("line"))
-    left = frontier.filter("is_open").select(F.lit("2-open"), F.lpad(F.col("opened_at").cast("string"), 20, "0"), F.col("item").cast("string"))
-    bets = hypotheses.select(F.lit("3-hypotheses"), F.lpad(F.col("hypothesis_id").cast("string"), 20, "0"), F.concat(F.lit("["), "label", F.lit("] "), F.col("hypothesis_id").cast("string"), F.when(F.col("reasons") != "", F.concat(F.lit(": "), "reasons")).otherwise(F.lit(""))))
-    return found.union(left).union(bets)
+    said, at = F.coalesce(F.col("quote"), F.lit("")), F.coalesce(F.col("locator"), F.lit(""))
+    kind = F.when(said != "", "text_span").when(at.rlike(r"^cue=\d+$"), "transcript_cue").when(at.startswith("frame="), "frame").otherwise("text_span")
+    anchor = F.when(kind == "transcript_cue", F.substring(at, 5, 1 << 30)).when(kind == "frame", "0").when(said != "", said).otherwise(F.substring("text", 1, 120))
+    of_type = F
+    for name, evidence in EVIDENCE_KINDS.items():
+        of_type = of_type.when(F.col("type") == name, evidence)
+    evidence_kind = F.when(kind == "transcript_cue", "transcript_cue").when(kind == "frame", "frame_screenshot").otherwise(of_type.otherwise("structured_data"))
+    claim = F.concat("text", F.when(F.col("quality_label").isin(*BAD_QUALITY), WARNING).otherwise(""))
+    return met.join(firsts, "artifact_id").select("seq", "artifact_id", (F.col("seq") == F.col("first_seq")).alias("registers"), kind.alias("anchor_kind"), anchor.alias("anchor"), evidence_kind.alias("evidence_kind"), claim.alias("claim"))
+
+
+def seal_skipped(findings: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Findings that can't be sealed: ``seq, artifact_id, reason``; of unknown artifacts, or of sources that are no web addresses."""
+    loose = dangling(findings, artifacts, "artifact_id").select("seq", "artifact_id", F.lit("dangling").alias("reason"))
+    away = artifacts.filter(~F.coalesce(F.col("source").rlike("^https?://"), F.lit(False))).select("artifact_id")
+    return loose.unionByName(findings.join(away, "artifact_id", "left_semi").select("seq", "artifact_id", F.lit("no_source_url").alias("reason")))
+
+
+def audit(artifacts: DataFrame, findings: DataFrame, present: DataFrame, measures: DataFrame, frontier: DataFrame, conflicts: DataFrame, grades: DataFrame) -> DataFrame:
+    """The whole report on a log, one row: ``integrity`` and what else is to be looked at.
+
+    ``frontier`` is the folded state, ``conflicts`` has the pairs of conflicting findings, ``grades`` (seq, conclusion_id,
+    standard_id, overall) all gradings, of which the last of each conclusion and standard counts.
+    """
+    bad = artifacts.filter(F.col("quality_label").isin(*BAD_QUALITY)).select("artifact_id")
+    last = latest(grades.select("conclusion_id", "standard_id", "seq", "overall"), ["conclusion_id", "standard_id"])
+    ungraded = findings.select("conclusion_id").filter("conclusion_id IS NOT NULL").distinct().join(grades.select("conclusion_id").distinct(), "conclusion_id", "left_anti")
+    parts = [
+        capture_errors(findings, measures).agg(F.count_distinct("artifact_id").alias("capture_errors")), conflicts.agg(F.count("*").alias("numeric_conflicts")), frontier.agg(F.count_if("is_open").alias("open_at_stop")),
+        findings.filter("hypothesis_id IS NOT NULL").join(bad, "artifact_id", "left_semi").agg(F.count_distinct("artifact_id").alias("signals_on_bad_capture")),
+        last.agg(F.count("*").alias("graded"), F.count_if(F.col("overall") == "SHORTFALL").alias("shortfalls")), ungraded.agg(F.count("*").alias("ungraded_conclusions")),
+    ]
+    report = integrity(artifacts, findings, present)
+    for part in parts:
+        report = report.join(part, how="cross")  # of one row each
+    return report
+
+
+def digest_lines(artifacts: DataFrame, findings: DataFrame, frontier: DataFrame, hypotheses: DataFrame, predictions: DataFrame, calibration: DataFrame) -> DataFrame:
+    """A report as rows ``section, ord, line``: evidence, findings by label, hypotheses with their verdict, predictions with their totals, open items.
+
+    ``hypotheses`` are judged ones with their triangulation, ``predictions`` have ``near_duplicate_of``, ``calibration`` is the one row of totals.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    place = lambda c: F.lpad(F.col(c).cast("string"), 20, "0")
+    seen = artifacts.select(F.lit("1-evidence").alias("section"), place("seq").alias("ord"), F.concat(F.lit("["), text("type"), F.lit("] "), text("source"), F.lit(" (gate="), text("quality_label"), F.lit(", sha="), F.substring(text("sha256"), 1, 12), F.lit(")")).alias("line"))
+    found = findings.select(F.lit("2-findings"), F.concat_ws("|", "label", place("seq")), F.concat(F.lit("("), "label", F.lit(") "), F.substring("text", 1, 100), F.lit(" <-"), text("artifact_id"), F.lit("@"), text("locator")))
+    stamp = F.concat(F.when(F.col("warning") != "", F.concat(F.lit("[!"), "warning", F.lit("] "))).otherwise(""), F.lit("["), "label", F.when(F.col("reasons") != "", F.concat(F.lit(": "), "reasons")).otherwise(""), F.lit("]"))
+    counts = [F.lit(" [confirm "), text("confirming"), F.lit(" (distinct "), text("confirming_claims"), F.lit(", hosts "), text("confirming_hosts"), F.lit(", modalities "), F.size("modalities").cast("string"), F.lit(") / disconfirm "), text("disconfirming"), F.lit(" / net "), text("net_hosts"), F.lit("] ")]
+    bets = hypotheses.select(F.lit("3-hypotheses"), place("hypothesis_id"), F.concat(text("hypothesis_id"), *counts, stamp))
+    totals = calibration.select(F.lit("4-predictions"), F.lit(""), F.concat(text("n_predictions"), F.lit(" made, "), text("n_distinct"), F.lit(" distinct, "), text("n_resolved"), F.lit(" resolved, "), text("n_premature"), F.lit(" premature, brier "), text("brier_all")))
+    again = F.when(F.col("near_duplicate_of").isNotNull(), F.concat(F.lit(" (dup of "), text("near_duplicate_of"), F.lit(")"))).otherwise("")
+    forecasts = predictions.select(F.lit("4-predictions"), place("seq"), F.concat(F.lit("(conf "), text("stated_confidence"), F.lit(", by "), text("resolve_by"), F.lit(") "), F.substring(F.coalesce("claim", F.lit("")), 1, 100), again))
+    left = frontier.filter("is_open").select(F.lit("5-open"), place("opened_at"), F.col("item").cast("string"))
+    return seen.union(found).union(bets).union(totals).union(forecasts).union(left)

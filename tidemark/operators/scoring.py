@@ -23,7 +23,7 @@ def resolved(predictions: DataFrame, resolutions: DataFrame) -> DataFrame:
 
 
 def calibration(predictions: DataFrame, resolutions: DataFrame) -> DataFrame:
-    """One row of totals, resolution rate and Brier scores over all and over anchored resolutions.
+    """One row of totals, resolution rate, Brier scores over all and over anchored resolutions, and the greatest gap of a bucket.
 
     Resolutions at or before the forecast count, and are reported as premature.
     """
@@ -32,9 +32,17 @@ def calibration(predictions: DataFrame, resolutions: DataFrame) -> DataFrame:
     scored = done.agg(F.count("*").alias("n_resolved"), F.count_if("premature").alias("n_premature"), F.round(F.avg(error), 4).alias("brier_all"), F.round(F.avg(F.when(F.col("anchored"), error)), 4).alias("brier_anchored"))
     met = predictions.agg(F.count("*").alias("n_predictions")).join(scored, how="cross")
     rate = F.when(F.col("n_predictions") > 0, F.round(F.col("n_resolved") / F.col("n_predictions"), 3)).otherwise(0.0)
+    distinct = evidence.prediction_counts(predictions).agg(F.coalesce(F.sum("distinct_predictions"), F.lit(0)).alias("n_distinct"))
+    worst = reliability(predictions, resolutions).agg(F.max("gap").alias("worst_bucket_gap"))
+    met = met.join(distinct, how="cross").join(worst, how="cross")  # of one row each
     return met.withColumns({"resolution_rate": rate, "brier_divergence": F.round(F.col("brier_all") - F.col("brier_anchored"), 4)})
 
 
+def blind(cards: DataFrame) -> DataFrame:
+    """What is asked of whoever answers: ``task_id, question``."""
+    return cards.select("task_id", "question")
+
+
 def reliability(predictions: DataFrame, resolutions: DataFrame, buckets: int = 5) -> DataFrame:
     """Mean confidence against hit rate in equal buckets; a confidence of 1 lies in the last, empty ones are left out."""
     bucket = F.least((F.col("p") * buckets).cast("int"), F.lit(buckets - 1))
@@ -115,8 +123,7 @@ def conformance(expected: DataFrame, actual: DataFrame, key: str, group: str) ->
 
 def prediction_duplicates(predictions: DataFrame, least: float = tx.NEAR) -> DataFrame:
     """Predictions with the first earlier near copy of the same deadline and hypothesis, null if none."""
-    grouped = predictions.withColumn("_g", F.xxhash64(F.coalesce("hypothesis_id", F.lit("")), "resolve_by"))
-    pairs = evidence.near_pairs(grouped, ["_g"], "seq", "claim", least)
-    earlier = pairs.groupBy(F.col("b").alias("seq")).agg(F.min("a").alias("_first"))
-    names = predictions.select(F.col("seq").alias("_first"), F.col("prediction_id").alias("near_duplicate_of"))
-    return predictions.select("seq", "prediction_id").join(earlier, "seq", "left").join(names, "_first", "left").select("seq", "prediction_id", "near_duplicate_of")
+    names = predictions.withColumn("_h", F.coalesce(F.col("hypothesis_id").cast("string"), F.lit("")))
+    earlier = evidence.first_earlier(names, ["_h", "resolve_by"], "seq", "claim", least).withColumnRenamed("first", "_first")
+    found = predictions.select(F.col("seq").alias("_first"), F.col("prediction_id").alias("near_duplicate_of"))
+    return predictions.select("seq", "prediction_id").join(earlier, "seq", "left").join(found, "_first", "left").select("seq", "prediction_id", "near_duplicate_of")

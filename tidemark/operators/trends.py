@@ -95,3 +95,29 @@ def top_velocity(items: DataFrame, as_of: str, k: int = 5, least_age: float = 0.
     """The ``k`` items of most views a day of age: ``id, per_day``; age counts as half a day at least."""
     age = F.greatest(F.lit(least_age), (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros("published_at")) / 8.64e10)
     return items.select("id", F.round(F.col("views") / age, 4).alias("per_day")).orderBy(F.desc("per_day"), "id").limit(k)
+
+
+def discover(items: DataFrame, as_of: str, least: int, most: int, k: int = 5, least_age: float = 0.5) -> DataFrame:
+    """The ``k`` items of most views a day among those of a length between ``least`` and ``most`` seconds, channels of topics left out.
+
+    ``items`` has (id, channel, duration, views, likes, comments, published_at).  Adds rounded age and velocity and the
+    share of views that were answered by a like or comment, in percent.
+    """
+    days = F.greatest(F.lit(least_age), (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros("published_at")) / 8.64e10)
+    half_up = lambda x: F.floor(x + 0.5)
+    answered = F.when(F.col("views") > 0, half_up((F.col("likes") + F.col("comments")) / F.col("views") * 10000) / 100).otherwise(0.0)
+    fit = items.filter(F.col("duration").between(least, most) & ~F.coalesce("channel", F.lit("")).rlike("Topic$"))
+    made = fit.select("id", "channel", "duration", "views", half_up(days).cast("long").alias("age_days"), half_up(F.col("views") / days).cast("long").alias("per_day"), answered.alias("answered"))
+    return made.orderBy(F.desc("per_day"), "id").limit(k)
+
+
+def longest_residents(residence: DataFrame, k: int = 15) -> DataFrame:
+    """Of each region the ``k`` ids that stood longest, the better rank first among equals: ``region, place, id, days_on_chart, best_rank``."""
+    order = Window.partitionBy("region").orderBy(F.desc("days_on_chart"), "best_rank", "id")
+    return residence.select("region", F.row_number().over(order).alias("place"), "id", "days_on_chart", "best_rank").filter(F.col("place") <= k)
+
+
+def last_days(daily: DataFrame, k: int = 7) -> DataFrame:
+    """The last ``k`` observed days of each region's chart."""
+    order = Window.partitionBy("region").orderBy(F.desc("day"))
+    return daily.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")

@@ -78,6 +78,25 @@ def chart_residence(t: Tables) -> DataFrame:
     return trends.chart_residence(t.chart()).withColumns({c: F.col(c).cast("string") for c in ("first_seen", "last_seen")})
 
 
+@query(q.CHART_TOP)
+def chart_top(t: Tables) -> DataFrame:
+    return trends.longest_residents(trends.chart_residence(t.chart()))
+
+
+@query(q.CHART_WEEK)
+def chart_week(t: Tables) -> DataFrame:
+    return trends.last_days(trends.chart_daily(t.chart())).withColumn("day", F.col("day").cast("string"))
+
+
+@query(q.DISCOVERY)
+def discovery(t: Tables) -> DataFrame:
+    items = t.events().groupBy(F.col("user_id").alias("id")).agg(
+        F.sum(F.round(F.col("value") * 100).cast("long")).alias("views"), F.min("ts").alias("published_at"), F.count("*").alias("likes"), F.count_distinct("event_type").alias("comments"), F.max("event_id").alias("last")
+    )
+    made = items.selectExpr("*", "CASE WHEN id % 4 = 0 THEN concat('c', id, ' - Topic') ELSE concat('c', id) END AS channel", "last % 900 AS duration")
+    return trends.discover(made, "2030-01-01 00:00:00", 60, 600)
+
+
 @query(q.TOP_VELOCITY)
 def top_velocity(t: Tables) -> DataFrame:
     items = t.events().groupBy(F.col("user_id").alias("id")).agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("views"), F.min("ts").alias("published_at"))
@@ -101,7 +120,7 @@ def first_per_key(t: Tables) -> DataFrame:
 @query(q.INSERT_ONCE)
 def insert_once(t: Tables) -> DataFrame:
     known = t.raw("customer").select(F.col("c_custkey").alias("k"))
-    return ledger.missing_from(known, t.raw("orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("seq")).unionByName(t.raw("events").select(F.col("user_id").alias("k"), (-F.col("event_id")).alias("seq"))), ["k"])
+    return ledger.missing_from(known, t.raw("orders").selectExpr("o_custkey + CASE WHEN o_orderkey % 5 = 0 THEN 1000000 ELSE 0 END AS k", "o_orderkey AS seq").unionByName(t.raw("events").select(F.col("user_id").alias("k"), (-F.col("event_id")).alias("seq"))), ["k"])
 
 
 @query(q.FRONTIER)
@@ -142,8 +161,22 @@ def ingest(t: Tables) -> DataFrame:
 
 @query(q.SEAL)
 def seal_plan(t: Tables) -> DataFrame:
-    blank = F.when(F.col("seq") % 5 != 0, F.col("quote"))
-    return ledger.seal_plan(t.findings().withColumn("quote", blank), t.artifacts())
+    return ledger.seal_plan(_quoted(t), t.artifacts())
+
+
+@query(q.SEAL_SKIPPED)
+def seal_skipped(t: Tables) -> DataFrame:
+    return ledger.seal_skipped(_quoted(t), t.artifacts())
+
+
+def _quoted(t: Tables) -> DataFrame:
+    return t.findings().withColumn("quote", F.when(F.col("seq") % 5 == 0, F.col("quote")))
+
+
+@query(q.AUDIT)
+def audit(t: Tables) -> DataFrame:
+    frontier = ledger.frontier_state(t.frontier_events())
+    return ledger.audit(t.artifacts(), t.findings(), t.present(), t.measures(), frontier, evidence.numeric_conflicts(t.findings()), t.gradings())
 
 
 # Evidence
@@ -205,16 +238,31 @@ def host_concentration(t: Tables) -> DataFrame:
     return evidence.host_concentration(t.findings(), t.artifacts())
 
 
-@query()
-def independence_gate(t: Tables) -> DataFrame:
+def _gated(t: Tables) -> DataFrame:
     yes = t.findings().filter("polarity = 'confirms'")
     return evidence.independence(evidence.verdict(_with_stakes(t)), evidence.echo_clusters(yes), evidence.host_concentration(t.findings(), t.artifacts()))
 
 
-@query()
+@query(q.ECHOES)
+def echo_clusters(t: Tables) -> DataFrame:
+    return evidence.echo_clusters(t.findings().filter("polarity = 'confirms'"))
+
+
+@query(q.INDEPENDENCE)
+def independence_gate(t: Tables) -> DataFrame:
+    return _gated(t)
+
+
+@query(q.RUN_GATE)
+def run_gate(t: Tables) -> DataFrame:
+    return evidence.run_gate(_gated(t))
+
+
+@query(q.DIGEST)
 def digest_lines(t: Tables) -> DataFrame:
     judged = evidence.verdict(_with_stakes(t))
-    return ledger.digest_lines(t.findings(), ledger.frontier_state(t.frontier_events()), judged)
+    forecasts = t.predictions().join(scoring.prediction_duplicates(t.predictions()).select("seq", "near_duplicate_of"), "seq")
+    return ledger.digest_lines(t.artifacts(), t.findings(), ledger.frontier_state(t.frontier_events()), judged, forecasts, scoring.calibration(t.predictions(), t.resolutions()))
 
 
 # Gates
@@ -235,6 +283,31 @@ def harvest_gaps(t: Tables) -> DataFrame:
     return gates.harvest(t.findings(), t.artifacts())
 
 
+@query(q.HARVEST_RUNS)
+def harvest_runs(t: Tables) -> DataFrame:
+    return _profiles(t).withColumns({c: F.array_join(c, ",") for c in ("gaps", "corrections")})
+
+
+@query(q.HARVEST_COUNTS)
+def harvest_counts(t: Tables) -> DataFrame:
+    return gates.harvest_counts(_profiles(t))
+
+
+def _profiles(t: Tables) -> DataFrame:
+    runs = gates.since(gates.created(t.runs(), t.findings()), "2024-06-01")
+    return gates.harvest_runs(runs, t.findings(), t.artifacts(), t.hypotheses(), t.predictions().join(t.findings().select("seq", "run"), "seq"))
+
+
+@query(q.TOP_HOSTS)
+def top_hosts(t: Tables) -> DataFrame:
+    return gates.top_hosts(t.findings(), t.artifacts())
+
+
+@query(q.REGISTRY_CHECK)
+def registry_check(t: Tables) -> DataFrame:
+    return gates.registry_check(t.records(), TODAY)
+
+
 @query(q.FRESHNESS)
 def registry_freshness(t: Tables) -> DataFrame:
     return gates.freshness(t.facts(), TODAY)
@@ -392,3 +465,6 @@ def conformance(t: Tables) -> DataFrame:
     actual = evidence.grade(t.findings(), t.artifacts(), t.pubdates(), KNOBS).select("conclusion_id", F.col("overall").alias("actual"))
     expected = t.findings().select("conclusion_id").distinct().select("conclusion_id", F.expr("CASE WHEN conclusion_id % 2 = 0 THEN 'MEETS' ELSE 'SHORTFALL' END").alias("expected"), (F.col("conclusion_id") % 5).alias("area"))
     return scoring.conformance(expected, actual, "conclusion_id", "area")
+
+
+from . import files, records  # noqa: E402, F401  (they add their queries)

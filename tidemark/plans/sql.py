@@ -44,6 +44,8 @@ def _modality(kind: str) -> str:
 
 # Adapters
 
+_HYP = "(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE unicode(text) END * 10000 + CASE WHEN length(coalesce(text, '')) < 2 THEN 0 ELSE unicode(substr(text, 2, 1)) END * 100 + length(split_part(coalesce(text, ''), ' ', 1)))"
+
 _SNAPSHOTS = """snapshots AS (SELECT user_id AS id, ts AS t0, event_id AS seq,
   sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS views FROM events)"""
 _POINTS = (
@@ -67,14 +69,15 @@ _CHART = """daily AS (SELECT event_type AS region, date_trunc('day', ts) AS t0,
 _ARTIFACTS = """artifacts AS (SELECT doc_id AS seq, 'a' || doc_id AS artifact_id, 'https://s' || ((doc_id * doc_id + doc_id // 11) % 9) || '.co.uk/p' || doc_id AS source,
   's' || ((doc_id * doc_id + doc_id // 11) % 9) || '.co.uk' AS host, CASE doc_id % 7 WHEN 5 THEN 'json' WHEN 6 THEN 'pdf' ELSE 'html' END AS type, CASE WHEN doc_id % 23 = 0 THEN NULL ELSE sha256(text) END AS sha256,
   CASE WHEN doc_id % 29 = 0 THEN 'BOT_WALL' ELSE 'OK' END AS quality_label FROM documents)"""
-_FINDINGS = """findings AS (SELECT doc_id AS seq, source AS run, CASE WHEN doc_id % 17 = 0 THEN 'missing' ELSE 'a' || doc_id END AS artifact_id, text, text AS quote,
+_FINDINGS = f"""findings AS (SELECT doc_id AS seq, source AS run, CASE WHEN doc_id % 17 = 0 THEN 'missing' ELSE 'a' || doc_id END AS artifact_id, text, text AS quote,
   CASE doc_id % 3 WHEN 0 THEN 'OBSERVED' WHEN 1 THEN 'INFERRED' ELSE 'CORRECTED' END AS label, CASE doc_id // 2 % 5 WHEN 0 THEN 'disconfirms' WHEN 1 THEN 'neutral' ELSE 'confirms' END AS polarity,
-  doc_id // 4 AS conclusion_id, doc_id // 10 AS hypothesis_id, CASE WHEN doc_id % 11 = 0 THEN 'wire' || (doc_id % 4) ELSE '' END AS origin,
-  CASE WHEN doc_id % 6 = 0 THEN ['a' || (doc_id + 1)] ELSE [] END AS corroborated_by FROM documents)"""
+  doc_id // 4 AS conclusion_id, {_HYP} AS hypothesis_id, CASE WHEN doc_id % 11 = 0 THEN 'wire' || (doc_id % 4) ELSE '' END AS origin,
+  CASE WHEN doc_id % 6 = 0 THEN ['a' || (doc_id + 1)] ELSE [] END AS corroborated_by,
+  CASE doc_id % 8 WHEN 1 THEN 'cue=' || (doc_id % 90) WHEN 2 THEN 'frame=12.5' WHEN 3 THEN 'cue=x' ELSE '' END AS locator FROM documents)"""
 _MEASURES = """measures AS (SELECT 'a' || doc_id AS artifact_id, doc_id * 2 AS seq, (doc_id % 100) / 100 AS cer FROM documents UNION ALL SELECT 'a' || doc_id, doc_id * 2 + 1, (doc_id % 50) / 100 FROM documents)"""
-_HYPOTHESES = """hypotheses AS (SELECT doc_id // 10 AS hypothesis_id, min(doc_id) AS seq, min(source) AS run, CASE doc_id // 10 % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE '' END AS stakes,
-  CASE WHEN doc_id // 10 % 2 = 0 THEN 'debunk' ELSE 'discover' END AS mode FROM documents GROUP BY doc_id // 10)"""
-_PREDICTIONS = """predictions AS (SELECT doc_id AS seq, doc_id AS prediction_id, text AS claim, (doc_id % 101) / 100 AS stated_confidence, '2025-0' || (1 + doc_id % 2) AS resolve_by, doc_id // 10 AS hypothesis_id,
+_HYPOTHESES = f"""hypotheses AS (SELECT h AS hypothesis_id, min(doc_id) AS seq, min(source) AS run, CASE h % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE '' END AS stakes,
+  CASE WHEN h % 2 = 0 THEN 'debunk' ELSE 'discover' END AS mode FROM (SELECT *, {_HYP} AS h FROM documents) GROUP BY h)"""
+_PREDICTIONS = f"""predictions AS (SELECT doc_id AS seq, doc_id AS prediction_id, text AS claim, (doc_id % 101) / 100 AS stated_confidence, '2025-0' || (1 + doc_id % 2) AS resolve_by, {_HYP} AS hypothesis_id,
   '2024-06-01T00:00:00Z' AS created FROM labels JOIN documents USING (doc_id))"""
 _RESOLUTIONS = """resolutions AS (SELECT doc_id AS prediction_id, 2 * doc_id AS seq, CASE WHEN quality = 1 THEN 'hit' ELSE 'miss' END AS outcome, toxic = 0 AS anchored,
   CASE WHEN doc_id % 13 = 0 THEN '2024-06-01T00:00:00Z' ELSE '2024-07-01T00:00:00Z' END AS ts FROM labels
@@ -93,7 +96,7 @@ _CARDS = """cards AS (SELECT CAST(p_partkey AS VARCHAR) AS task_id, CASE p_partk
  judged AS (SELECT *, r.task_id IS NOT NULL AS answered, CASE WHEN poison THEN r.task_id IS NOT NULL AND lower(answer) = 'unknown' WHEN r.task_id IS NULL OR lower(answer) = 'unknown' THEN false
    WHEN answer_kind <> 'settled-fact' THEN coalesce(abs(TRY_CAST(answer AS DOUBLE) - TRY_CAST(gold AS DOUBLE)) <= 1000, false) ELSE regexp_matches(lower(answer), '(^|\\W)' || lower(gold) || '($|\\W)') END AS passed
    FROM cards LEFT JOIN results r USING (task_id))"""
-_FACTS = f"""facts AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE o_orderkey % 5 WHEN 0 THEN 'unverified' WHEN 1 THEN 'degraded' ELSE 'verified' END AS status,
+_FACTS = f"""facts AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE o_orderkey % 5 WHEN 0 THEN 'unverified' WHEN 1 THEN 'degraded' ELSE 'observed' END AS status,
   date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-12-01') AS age_days, CASE WHEN o_orderkey % 9 = 0 THEN CAST(o_orderdate AS DATE) + 900 END AS effective_at, 30 + o_orderkey % 900 AS ttl_days FROM orders),
  states AS (SELECT id, age_days, CASE WHEN age_days < 0 THEN 'corrupt' WHEN effective_at > DATE '1998-12-01' THEN 'pending' WHEN status IN {_in(gates.UNVERIFIED)} THEN 'unverified' WHEN age_days >= ttl_days THEN 'stale' ELSE 'fresh' END AS freshness,
   status FROM facts)"""
@@ -129,11 +132,17 @@ CHART_DAILY = f"""WITH {_CHART}, days AS (SELECT region, day, lag(day) OVER w AS
  SELECT region, CAST(day AS VARCHAR) AS day, entries, coalesce(exits, 0) AS exits, size FROM entered LEFT JOIN gone USING (region, day)"""
 CHART_RESIDENCE = f"""WITH {_CHART} SELECT region, id, CAST(min(day) AS VARCHAR) AS first_seen, CAST(max(day) AS VARCHAR) AS last_seen, count(*) AS days_on_chart, min(rank) AS best_rank, arg_max(rank, day) AS latest_rank,
  arg_max(title, day) AS title, arg_min(channel, day) AS channel FROM chart GROUP BY region, id"""
+CHART_TOP = f"""SELECT region, place, id, days_on_chart, best_rank FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY days_on_chart DESC, best_rank, id) AS place FROM ({CHART_RESIDENCE})) WHERE place <= 15"""
+CHART_WEEK = f"""SELECT region, day, entries, exits, size FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY day DESC) AS r FROM ({CHART_DAILY})) WHERE r <= 7"""
+DISCOVERY = """WITH items AS (SELECT user_id AS id, sum(CAST(round(value * 100) AS BIGINT)) AS views, min(ts) AS born, count(*) AS likes, count(DISTINCT event_type) AS comments, max(event_id) AS last FROM events GROUP BY 1),
+ aged AS (SELECT *, greatest(0.5, (epoch_us(TIMESTAMP '2030-01-01 00:00:00') - epoch_us(born)) / 8.64e10) AS age FROM items)
+ SELECT id, 'c' || id AS channel, last % 900 AS duration, CAST(views AS BIGINT) AS views, CAST(floor(age + 0.5) AS BIGINT) AS age_days, CAST(floor(views / age + 0.5) AS BIGINT) AS per_day, CASE WHEN views > 0 THEN floor((likes + comments) / views * 10000 + 0.5) / 100 ELSE 0.0 END AS answered
+ FROM aged WHERE last % 900 BETWEEN 60 AND 600 AND id % 4 <> 0 ORDER BY per_day DESC, id LIMIT 5"""
 TOP_VELOCITY = """SELECT user_id AS id, round(sum(CAST(round(value * 100) AS BIGINT)) / greatest(0.5, (epoch_us(TIMESTAMP '2030-01-01 00:00:00') - epoch_us(min(ts))) / 8.64e10), 4) AS per_day FROM events GROUP BY user_id ORDER BY per_day DESC, id LIMIT 5"""
 
 LATEST = f"WITH {_MEASURES} SELECT artifact_id, max(seq) AS seq, arg_max(cer, seq) AS cer FROM measures GROUP BY artifact_id"
 FIRST = """SELECT user_id || '|' || event_type AS logical_key, min(event_id) AS seq, arg_min(CAST(round(value * 100) AS BIGINT), event_id) AS cents, 'a_' || substr(sha256(user_id || '|' || event_type), 1, 16) AS artifact_id FROM events GROUP BY user_id, event_type"""
-INSERT_ONCE = "SELECT k, min(seq) AS seq FROM (SELECT o_custkey AS k, o_orderkey AS seq FROM orders UNION ALL SELECT user_id, -event_id FROM events) WHERE k NOT IN (SELECT c_custkey FROM customer) GROUP BY k"
+INSERT_ONCE = "SELECT k, min(seq) AS seq FROM (SELECT o_custkey + CASE WHEN o_orderkey % 5 = 0 THEN 1000000 ELSE 0 END AS k, o_orderkey AS seq FROM orders UNION ALL SELECT user_id, -event_id FROM events) WHERE k NOT IN (SELECT c_custkey FROM customer) GROUP BY k"
 FRONTIER = f"""WITH {_FRONTIER}, closes AS (SELECT item, max(seq) FILTER (op = 'close') AS c FROM frontier GROUP BY item), state AS (SELECT item, min(seq) FILTER (op = 'open' AND (c IS NULL OR seq > c)) AS opened_at, min(seq) FILTER (op = 'close') AS closed_at,
  min(seq) FILTER (op = 'visit') AS visited_at FROM frontier JOIN closes USING (item) GROUP BY item)
  SELECT item, opened_at IS NOT NULL AS is_open, closed_at IS NOT NULL AS is_closed, visited_at IS NOT NULL AS is_visited, opened_at, closed_at, visited_at FROM state"""
@@ -148,9 +157,11 @@ INTEGRITY = f"""WITH {_FAKE}, present AS (SELECT 'a' || doc_id AS artifact_id, C
  SELECT *, mismatch = 0 AND unverifiable = 0 AND dangling = 0 AS ok FROM (SELECT (SELECT count(*) FROM state WHERE s = 'i') AS intact, (SELECT count(*) FROM state WHERE s = 'm') AS mismatch, (SELECT count(*) FROM state WHERE s = 'u') AS unverifiable,
  (SELECT count(*) FROM findings f WHERE NOT EXISTS (SELECT 1 FROM artifacts a WHERE a.artifact_id = f.artifact_id)) AS dangling,
  (SELECT count(*) FROM findings JOIN artifacts USING (artifact_id) WHERE quality_label <> 'OK') AS low_quality, (SELECT count(DISTINCT artifact_id) FROM fake) AS fake_corroborated)"""
-SEAL = f"""WITH {_FINDINGS}, {_ARTIFACTS}, met AS (SELECT f.seq, f.artifact_id, f.text, CASE WHEN f.seq % 5 <> 0 THEN quote END AS quote, min(f.seq) OVER (PARTITION BY f.artifact_id) AS first_seq FROM findings f JOIN artifacts a USING (artifact_id))
- SELECT seq, artifact_id, seq = first_seq AS registers, CASE WHEN coalesce(quote, '') <> '' THEN 'quote' WHEN regexp_matches(text, '\\d') THEN 'number' ELSE 'text' END AS anchor_kind,
- CASE WHEN coalesce(quote, '') <> '' THEN substr(quote, 1, 200) WHEN regexp_matches(text, '\\d') THEN substr(regexp_extract(text, '\\d+(?:[.,]\\d+)*'), 1, 200) ELSE substr(text, 1, 120) END AS anchor FROM met"""
+SEAL = f"""WITH {_FINDINGS}, {_ARTIFACTS}, met AS (SELECT f.seq, f.artifact_id, f.text, a.type, a.quality_label, locator, CASE WHEN f.seq % 5 = 0 THEN quote END AS quote, min(f.seq) OVER (PARTITION BY f.artifact_id) AS first_seq FROM findings f JOIN artifacts a USING (artifact_id)),
+ kinds AS (SELECT *, CASE WHEN coalesce(quote, '') <> '' THEN 'text_span' WHEN regexp_full_match(locator, 'cue=[0-9]+') THEN 'transcript_cue' WHEN starts_with(locator, 'frame=') THEN 'frame' ELSE 'text_span' END AS anchor_kind FROM met)
+ SELECT seq, artifact_id, seq = first_seq AS registers, anchor_kind, CASE anchor_kind WHEN 'transcript_cue' THEN substr(locator, 5) WHEN 'frame' THEN '0' ELSE CASE WHEN coalesce(quote, '') <> '' THEN quote ELSE substr(text, 1, 120) END END AS anchor,
+ CASE anchor_kind WHEN 'transcript_cue' THEN 'transcript_cue' WHEN 'frame' THEN 'frame_screenshot' ELSE CASE type WHEN 'html' THEN 'page_html' ELSE 'structured_data' END END AS evidence_kind, text || CASE WHEN quality_label <> 'OK' THEN ' [WARN low-quality source]' ELSE '' END AS claim FROM kinds"""
+SEAL_SKIPPED = f"""WITH {_FINDINGS}, {_ARTIFACTS} SELECT f.seq, f.artifact_id, 'dangling' AS reason FROM findings f WHERE NOT EXISTS (SELECT 1 FROM artifacts a WHERE a.artifact_id = f.artifact_id)"""
 
 _NUMBERS = "list_sort(list_distinct(list_transform(regexp_extract_all(quote, '\\d+(?:,\\d{3})*(?:\\.\\d+)?'), lambda x: CAST(replace(x, ',', '') AS DOUBLE))))"
 _CONFLICTS = f"""own AS (SELECT conclusion_id, seq, artifact_id, {_NUMBERS} AS ns, list_distinct({_tokens('quote')}) AS ws FROM findings),
@@ -204,10 +215,33 @@ DEBUNK = f"""WITH RECURSIVE {_TRI}, {_COUNTED}, labelled AS (SELECT *, CASE WHEN
  CASE WHEN label <> 'CONFIRMED-TRUE' AND confirming_claims < confirming THEN 'echoed-claims(' || confirming || '->' || confirming_claims || ')' END, CASE WHEN label <> 'CONFIRMED-TRUE' AND confirming > 0 AND len(modalities) < 2 THEN 'single-modality' END,
  CASE WHEN dis = 0 THEN 'no-overturn-condition' WHEN raw > dis THEN 'echoed-predictions(' || raw || '->' || dis || ')' END], lambda x: x IS NOT NULL), ',') AS reasons,
  CASE WHEN label = 'UNRESOLVED' AND stakes = 'high' THEN 'HIGH-STAKES DEBUNK UNRESOLVED' ELSE '' END AS warning FROM labelled"""
+_ECHO = f"""yes AS (SELECT * FROM findings WHERE polarity = 'confirms'), ytoks AS (SELECT hypothesis_id AS g, seq AS n, {_tokens('text')} AS t FROM yes), ylong AS (SELECT g, n, {_SHINGLES} AS s FROM ytoks WHERE len(t) >= 3),
+ yeach AS (SELECT g, n, unnest(s) AS w FROM ylong), ymet AS (SELECT x.g, x.n AS a, y.n AS b, count(*) AS nb FROM yeach x JOIN yeach y ON x.g = y.g AND x.w = y.w AND x.n < y.n GROUP BY ALL),
+ ynear AS (SELECT ymet.g, a, b FROM ymet JOIN ylong sa ON sa.g = ymet.g AND sa.n = a JOIN ylong sb ON sb.g = ymet.g AND sb.n = b WHERE nb / (len(sa.s) + len(sb.s) - nb) >= {tx.NEAR}),
+ ywords AS (SELECT g, n, list_distinct(t) AS w, len(t) < 3 AS short FROM ytoks WHERE len(t) > 0),
+ ybrief AS (SELECT x.g, least(x.n, y.n) AS a, greatest(x.n, y.n) AS b FROM ywords x JOIN ywords y ON x.g = y.g AND x.n <> y.n AND x.short AND len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) >= {tx.NEAR}),
+ yedges AS (SELECT g, a, b FROM ynear UNION SELECT g, a, b FROM ybrief), ynodes AS (SELECT g, a AS n FROM yedges UNION SELECT g, b FROM yedges), {_count_components('ynodes', 'yedges', 'echo')}"""
+ECHOES = f"WITH RECURSIVE {_FINDINGS}, {_ECHO} SELECT g AS hypothesis_id, n_components AS echo_clusters FROM echo"
 CONCENTRATION = f"""WITH {_FINDINGS}, {_ARTIFACTS}, yes AS (SELECT f.hypothesis_id, f.seq, coalesce(host, '') AS host FROM findings f LEFT JOIN artifacts a USING (artifact_id) WHERE polarity = 'confirms'),
  hosts AS (SELECT hypothesis_id, host, count(*) AS n, min(seq) AS s FROM yes WHERE host <> '' GROUP BY ALL), top AS (SELECT hypothesis_id, arg_max(host, (n, -s)) AS host, max(n) AS n FROM hosts GROUP BY 1), total AS (SELECT hypothesis_id, count(*) AS confirming FROM yes GROUP BY 1)
  SELECT hypothesis_id, confirming, coalesce(host, '') AS host, coalesce(n, 0) AS n, coalesce(n, 0) / confirming > 0.5 AS concentrated FROM total LEFT JOIN top USING (hypothesis_id)"""
 
+_JUDGED = f"""staked2 AS (SELECT hypothesis_id, mode FROM hypotheses), verdicts AS (SELECT hypothesis_id, CASE WHEN mode = 'debunk' THEN b.label ELSE d.label END AS label, CASE WHEN mode = 'debunk' THEN b.reasons ELSE d.reasons END AS reasons, mode
+ FROM staked2 JOIN ({DISCOVER}) d USING (hypothesis_id) JOIN ({DEBUNK}) b USING (hypothesis_id))"""
+_GATE = f"""{_FINDINGS}, {_HYPOTHESES}, {_JUDGED}, {_ECHO}, gate AS (SELECT hypothesis_id, label, coalesce(n_components, 0) AS echo_clusters, coalesce(concentrated, false) AS concentrated,
+ CASE WHEN mode = 'debunk' THEN label <> 'UNRESOLVED' ELSE label = 'ALPHA' AND coalesce(n_components, 0) = 0 AND NOT coalesce(concentrated, false) END AS passed
+ FROM verdicts LEFT JOIN echo ON echo.g = hypothesis_id LEFT JOIN ({CONCENTRATION}) c USING (hypothesis_id))"""
+INDEPENDENCE = f"WITH RECURSIVE {_GATE} SELECT hypothesis_id, label, echo_clusters, concentrated, passed FROM gate"
+RUN_GATE = f"WITH RECURSIVE {_GATE} SELECT evaluated, failed, evaluated > 0 AND failed = 0 AS passed FROM (SELECT count(*) AS evaluated, count(*) FILTER (NOT passed) AS failed FROM gate)"
+
+_GRADINGS = """gradings AS (SELECT doc_id AS seq, doc_id // 4 AS conclusion_id, 'std' || (doc_id % 2) AS standard_id, CASE doc_id % 5 WHEN 0 THEN 'MEETS' WHEN 1 THEN 'UNKNOWN' ELSE 'SHORTFALL' END AS overall FROM documents WHERE doc_id // 4 % 3 <> 0)"""
+AUDIT = f"""WITH {_FINDINGS}, {_CONFLICTS}, {_MEASURES}, {_FRONTIER}, {_ARTIFACTS}, {_GRADINGS}, closes AS (SELECT item, max(seq) FILTER (op = 'close') AS c FROM frontier GROUP BY item),
+ lasts AS (SELECT conclusion_id, standard_id, arg_max(overall, seq) AS overall FROM gradings GROUP BY ALL)
+ SELECT i.*, (SELECT count(DISTINCT artifact_id) FROM findings JOIN measures USING (artifact_id)) AS capture_errors, (SELECT count(*) FROM conflicts) AS numeric_conflicts,
+ (SELECT count(DISTINCT item) FROM frontier JOIN closes USING (item) WHERE op = 'open' AND (c IS NULL OR seq > c)) AS open_at_stop,
+ (SELECT count(DISTINCT artifact_id) FROM findings JOIN artifacts USING (artifact_id) WHERE quality_label <> 'OK') AS signals_on_bad_capture, (SELECT count(*) FROM lasts) AS graded,
+ (SELECT count(*) FROM lasts WHERE overall = 'SHORTFALL') AS shortfalls, (SELECT count(DISTINCT conclusion_id) FROM findings WHERE conclusion_id NOT IN (SELECT conclusion_id FROM gradings)) AS ungraded_conclusions FROM ({INTEGRITY}) i"""
+
 _SHAPED = f"{_FINDINGS}, {_ARTIFACTS}, shaped AS (SELECT run, CASE a.type WHEN 'html' THEN 'unstructured' WHEN 'json' THEN 'structured' WHEN 'pdf' THEN 'semi-structured' ELSE 'dangling' END AS shape, count(*) AS n FROM findings f LEFT JOIN artifacts a USING (artifact_id) GROUP BY ALL)"
 SHAPE_COUNTS = f"WITH {_SHAPED} SELECT run, shape, n FROM shaped"
 
@@ -227,6 +261,27 @@ SHAPE_BUDGET = f"""WITH {_SHAPED}, {_HYPOTHESES}, ranks AS (SELECT run, max(CASE
  SELECT run, stakes, CAST(total AS BIGINT) AS total, array_to_string(issues, ';') AS issues, len(issues) = 0 AS passed FROM judged"""
 HARVEST = f"""WITH {_FINDINGS}, {_ARTIFACTS}, used AS (SELECT run, count(*) AS findings, count(*) FILTER (label = 'CORRECTED') AS corrections, coalesce(list_sort(list_distinct(list({_modality('a.type')}) FILTER (a.type IS NOT NULL))), []) AS used
  FROM findings f LEFT JOIN artifacts a USING (artifact_id) GROUP BY 1) SELECT run, findings, corrections, array_to_string(used, ',') AS used, array_to_string(list_filter({_list(sorted(web.MODALITIES))}, lambda m: NOT list_contains(used, m)), ',') AS gaps FROM used"""
+_RUNS = f"""{_FINDINGS}, {_ARTIFACTS}, {_PREDICTIONS}, runs0 AS (SELECT source AS run, min(doc_id) AS d FROM documents GROUP BY 1),
+ runs AS (SELECT run, CASE d % 3 WHEN 0 THEN '2024-07-01T00:00:00Z' ELSE '2024-12-31' END AS created, CASE d % 4 WHEN 0 THEN 'ALPHA' WHEN 1 THEN 'RECON' WHEN 2 THEN 'ALPHA' ELSE 'unlabeled' END AS label FROM runs0),
+ facts AS (SELECT run, count(*) AS findings, count(DISTINCT CASE WHEN m <> 'other' THEN m END) AS n_modalities, count(DISTINCT host) AS n_hosts, coalesce(bool_or(polarity = 'disconfirms'), false) AS has_disconfirm, count(DISTINCT m) AS n_all
+  FROM (SELECT f.*, a.host, CASE WHEN a.artifact_id IS NULL THEN 'other' ELSE {_modality('a.type')} END AS m FROM findings f LEFT JOIN artifacts a USING (artifact_id)) GROUP BY run),
+ foretold AS (SELECT DISTINCT f.run, true AS has_prediction FROM predictions p JOIN findings f USING (seq)), starters AS (SELECT DISTINCT min(source) AS run FROM (SELECT *, {_HYP} AS h FROM documents) GROUP BY h),
+ profiles AS (SELECT run, created, label, findings, n_modalities, n_hosts, coalesce(has_prediction, false) AS has_prediction, has_disconfirm,
+  list_filter([CASE WHEN label = 'RECON' AND n_modalities <= 1 THEN 'single-modality' END, CASE WHEN label = 'RECON' AND has_prediction IS NULL THEN 'no-prediction' END, CASE WHEN label = 'RECON' AND NOT has_disconfirm THEN 'no-disconfirm' END,
+   CASE WHEN label = 'RECON' AND n_hosts < 3 THEN 'thin-hosts' END], lambda x: x IS NOT NULL) AS gaps,
+  list_filter([CASE WHEN label = 'ALPHA' AND n_modalities >= 2 AND n_all >= 2 THEN 'modality-expansion' END, CASE WHEN label = 'ALPHA' AND has_disconfirm THEN 'disconfirm-added' END, CASE WHEN label = 'ALPHA' AND n_hosts >= 3 THEN 'host-diversification' END],
+   lambda x: x IS NOT NULL) AS corrections FROM runs JOIN starters USING (run) JOIN facts USING (run) LEFT JOIN foretold USING (run))"""
+HARVEST_RUNS = f"WITH {_RUNS} SELECT * REPLACE (array_to_string(gaps, ',') AS gaps, array_to_string(corrections, ',') AS corrections) FROM profiles"
+HARVEST_COUNTS = f"""WITH {_RUNS} SELECT 'label' AS what, label AS name, count(*) AS n FROM profiles GROUP BY ALL UNION ALL SELECT 'gaps', g, count(*) FROM (SELECT unnest(gaps) AS g FROM profiles) GROUP BY ALL
+ UNION ALL SELECT 'corrections', g, count(*) FROM (SELECT unnest(corrections) AS g FROM profiles) GROUP BY ALL"""
+TOP_HOSTS = f"""WITH {_FINDINGS}, {_ARTIFACTS}, counts AS (SELECT run, host, count(*) AS n, min(f.seq) AS s FROM findings f JOIN artifacts a USING (artifact_id) GROUP BY ALL)
+ SELECT run, place, host, n FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY n DESC, s) AS place FROM counts) WHERE place <= 5"""
+REGISTRY_CHECK = f"""WITH {_FACTS}, records AS (SELECT o_orderkey AS ord, CASE WHEN o_orderkey % 97 = 0 THEN ' ' WHEN o_orderkey % 89 = 0 THEN 'twice' ELSE CAST(o_orderkey AS VARCHAR) END AS id FROM orders),
+ seen AS (SELECT ord, id, trim(id) = '' AS bare, ord > min(ord) OVER (PARTITION BY id) AS twice FROM records),
+ issues AS (SELECT ord, id, CASE WHEN bare THEN 'id missing' WHEN twice THEN 'duplicate id' WHEN ord % 79 = 0 THEN 'status unknown' WHEN ord % 83 = 0 OR trim(o_orderpriority) = '' THEN 'claim missing' WHEN ord % 67 = 0 THEN 'source_refs empty'
+  WHEN ord % 67 = 1 THEN 'source_refs blank' WHEN ord % 61 = 0 THEN 'scope missing' WHEN ord % 73 = 0 THEN 'observed_at invalid' WHEN ord % 71 = 0 THEN 'ttl_days invalid' END AS issue FROM seen JOIN orders ON o_orderkey = ord)
+ SELECT ord, id, issue AS warning FROM issues WHERE issue IS NOT NULL
+ UNION ALL SELECT ord, i.id, CASE WHEN freshness <> 'fresh' THEN freshness ELSE s.status END FROM issues i JOIN states s ON s.id = CAST(ord AS VARCHAR) WHERE issue IS NULL AND (freshness <> 'fresh' OR s.status IN {_in(gates.UNHEALTHY)})"""
 FRESHNESS = f"WITH {_FACTS} SELECT id, age_days, freshness, status FROM states"
 WARNINGS = f"WITH {_FACTS} SELECT id, CASE WHEN freshness <> 'fresh' THEN freshness ELSE status END AS warning FROM states WHERE freshness <> 'fresh' OR status IN {_in(gates.UNHEALTHY)}"
 VALIDATION = """WITH a AS (SELECT count(*) AS n, count(*) FILTER (l_quantity <> trunc(l_quantity) OR contains(CAST(l_quantity AS VARCHAR), '.')) AS bad_q, count(*) FILTER (l_extendedprice < 1000) AS low_e, count(*) FILTER (regexp_matches(l_returnflag, '(?i)^r$')) AS junk_r,
@@ -234,9 +289,11 @@ VALIDATION = """WITH a AS (SELECT count(*) AS n, count(*) FILTER (l_quantity <>
  SELECT field, issue, CAST(n AS BIGINT) AS n FROM (SELECT 'l_quantity' AS field, 'not_coercible' AS issue, bad_q AS n FROM a UNION ALL SELECT 'l_extendedprice', 'below_min', low_e FROM a UNION ALL SELECT 'l_returnflag', 'junk', junk_r FROM a
   UNION ALL SELECT 'l_linenumber', 'duplicates', dup_l FROM a UNION ALL SELECT 'l_shipdate', 'not_str', ships FROM a UNION ALL SELECT 'l_comment', 'empty_ratio', n FROM a UNION ALL SELECT 'l_tax', 'unknown_type', 1 FROM a UNION ALL SELECT 'l_linestatus', 'invalid_regex', 1 FROM a) WHERE n > 0"""
 
-CALIBRATION = f"""WITH {_RESOLVED}, s AS (SELECT count(*) AS n_resolved, count(*) FILTER (premature) AS n_premature, round(avg((p - y) ** 2), 4) AS brier_all, round(avg((p - y) ** 2) FILTER (anchored), 4) AS brier_anchored FROM done)
- SELECT n_predictions, n_resolved, n_premature, brier_all, brier_anchored, CASE WHEN n_predictions > 0 THEN round(n_resolved / n_predictions, 3) ELSE 0.0 END AS resolution_rate, round(brier_all - brier_anchored, 4) AS brier_divergence
- FROM s, (SELECT count(*) AS n_predictions FROM predictions)"""
+CALIBRATION = f"""WITH RECURSIVE {_RESOLVED}, s AS (SELECT count(*) AS n_resolved, count(*) FILTER (premature) AS n_premature, round(avg((p - y) ** 2), 4) AS brier_all, round(avg((p - y) ** 2) FILTER (anchored), 4) AS brier_anchored FROM done),
+ gaps AS (SELECT round(abs(avg(p) - avg(y)), 3) AS gap FROM done GROUP BY least(CAST(trunc(p * 5) AS INTEGER), 4)),
+ {_PRED_NEAR}, pred_nodes AS (SELECT hypothesis_id || resolve_by AS g, seq AS n FROM predictions), {_count_components('pred_nodes', 'pnear', 'preds')}
+ SELECT n_predictions, n_resolved, n_premature, brier_all, brier_anchored, CASE WHEN n_predictions > 0 THEN round(n_resolved / n_predictions, 3) ELSE 0.0 END AS resolution_rate, round(brier_all - brier_anchored, 4) AS brier_divergence,
+ (SELECT coalesce(sum(n_components), 0) FROM preds) AS n_distinct, (SELECT max(gap) FROM gaps) AS worst_bucket_gap FROM s, (SELECT count(*) AS n_predictions FROM predictions)"""
 RELIABILITY = f"""WITH {_RESOLVED} SELECT least(CAST(trunc(p * 5) AS INTEGER), 4) AS bucket, count(*) AS n, round(avg(p), 3) AS mean_confidence, round(avg(y), 3) AS hit_rate, round(abs(avg(p) - avg(y)), 3) AS gap FROM done GROUP BY 1"""
 _RATE = "round(avg(CASE WHEN passed THEN 1.0 ELSE 0.0 END) FILTER ({}), 4)"
 SCORECARD = f"""WITH {_CARDS} SELECT *, round(dev_rate - holdout_rate, 4) AS holdout_gap FROM (SELECT count(*) AS n_cards, count(*) AS n_valid, count(*) FILTER (answered) AS n_scored, count(*) FILTER (expired) AS n_expired, count(*) FILTER (NOT expired AND NOT poison) AS n_live,
@@ -252,6 +309,18 @@ AGREEMENT = f"""WITH k AS (SELECT p_partkey, {_KEY.format('p_name')} AS a, {_KEY
 PREDICTION_DUPLICATES = f"""WITH {_PREDICTIONS}, {_near('predictions', "hypothesis_id || '|' || resolve_by", 'seq', 'claim')}, firsts AS (SELECT b AS seq, min(a) AS a FROM near GROUP BY 1)
  SELECT p.seq, p.prediction_id, a AS near_duplicate_of FROM predictions p LEFT JOIN firsts USING (seq)"""
 
+_ORD = "lpad(CAST({} AS VARCHAR), 20, '0')"
+DIGEST = f"""WITH RECURSIVE {_FINDINGS}, {_HYPOTHESES}, {_ARTIFACTS}, {_PREDICTIONS}, {_JUDGED}, warned AS (SELECT hypothesis_id, CASE WHEN mode = 'debunk' THEN b.warning ELSE d.warning END AS warning FROM hypotheses JOIN ({DISCOVER}) d USING (hypothesis_id) JOIN ({DEBUNK}) b USING (hypothesis_id))
+ SELECT '1-evidence' AS section, {_ORD.format('seq')} AS ord, '[' || type || '] ' || source || ' (gate=' || quality_label || ', sha=' || substr(coalesce(sha256, ''), 1, 12) || ')' AS line FROM artifacts
+ UNION ALL SELECT '2-findings', label || '|' || {_ORD.format('seq')}, '(' || label || ') ' || substr(text, 1, 100) || ' <-' || artifact_id || '@' || locator FROM findings
+ UNION ALL SELECT '3-hypotheses', {_ORD.format('hypothesis_id')}, hypothesis_id || ' [confirm ' || confirming || ' (distinct ' || confirming_claims || ', hosts ' || confirming_hosts || ', modalities ' || CASE WHEN modalities = '' THEN 0 ELSE len(string_split(modalities, ',')) END
+  || ') / disconfirm ' || disconfirming || ' / net ' || net_hosts || '] ' || CASE WHEN warning <> '' THEN '[!' || warning || '] ' ELSE '' END || '[' || label || CASE WHEN reasons <> '' THEN ': ' || reasons ELSE '' END || ']'
+  FROM verdicts JOIN warned USING (hypothesis_id) JOIN ({TRIANGULATE}) USING (hypothesis_id)
+ UNION ALL SELECT '4-predictions', '', n_predictions || ' made, ' || n_distinct || ' distinct, ' || n_resolved || ' resolved, ' || n_premature || ' premature, brier ' || brier_all FROM ({CALIBRATION})
+ UNION ALL SELECT '4-predictions', {_ORD.format('p.seq')}, '(conf ' || stated_confidence || ', by ' || resolve_by || ') ' || substr(claim, 1, 100) || CASE WHEN near_duplicate_of IS NOT NULL THEN ' (dup of ' || near_duplicate_of || ')' ELSE '' END
+  FROM predictions p JOIN ({PREDICTION_DUPLICATES}) USING (seq)
+ UNION ALL SELECT '5-open', {_ORD.format('opened_at')}, CAST(item AS VARCHAR) FROM ({FRONTIER}) WHERE is_open"""
+
 _URL_HOST = "lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1))"
 HOSTS = f"SELECT page_id, {_host('url')} AS host, {_URL_HOST} AS full_host FROM pages"
 

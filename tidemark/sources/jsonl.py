@@ -7,18 +7,37 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def read_lines(spark: SparkSession, path: str, schema: StructType | str, seq: str = "seq") -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str], schema: StructType | str, seq: str = "seq") -> DataFrame:
     """Records of JSON lines with their order ``seq``; blank and broken lines, such as a torn last one, are left out.
 
-    The order is that of files by path and of lines within them.  Files are read unsplit, so an append-only log
-    should be kept in files of moderate size.
+    The order is that of files by path, of the parts that a large file is read in, and of lines within them.
     """
-    texts = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("_f"), F.posexplode(F.split("value", "\n")).alias("_p", "_l"))
+    lines = spark.read.text(path).select(F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("line")).alias("_s"), F.col("value").alias("_l"))
     kind = schema if isinstance(schema, str) else schema.simpleString()
     corrupt = f"struct<{_fields(kind)},_broken:string>"
-    parsed = texts.filter(F.trim("_l") != "").select("_f", "_p", F.from_json("_l", corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("r"))
+    parsed = lines.select("_s", "_l", F.from_json("_l", corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("r")).filter(F.trim("_l") != "")
     good = parsed.filter(F.col("r").isNotNull() & F.col("r._broken").isNull())
-    return good.select(F.struct("_f", "_p").alias(seq), "r.*").drop("_broken")
+    return good.select(F.col("_s").alias(seq), "r.*").drop("_broken")
+
+
+def read_runs(spark: SparkSession, base: str, schema: StructType | str, file: str = "ledger.jsonl", seq: str = "seq") -> DataFrame:
+    """Records of all runs' logs with the ``run`` they are of: ``base/r_*`` and, nested once more, ``base/*/r_*``.
+
+    A log that both ways lead to is read once, by its path without ``.`` and ``..``; runs come in the order of their paths.
+    """
+    files = [f for pattern in (f"{base}/r_*/{file}", f"{base}/*/r_*/{file}") for f in matching(spark, pattern)]
+    if not files:
+        kind = schema if isinstance(schema, str) else schema.simpleString()
+        return spark.createDataFrame([], f"{seq} struct<file:string,part:bigint,line:bigint>, run string, {_fields(kind)}")
+    rows = read_lines(spark, sorted(dict.fromkeys(files)), schema, seq)
+    return rows.select(seq, F.regexp_extract(F.col(f"{seq}.file"), r"/([^/]+)/[^/]+$", 1).alias("run"), *[c for c in rows.columns if c != seq])
+
+
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths of the files that a pattern matches, resolved."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted({files.resolvePath(f.getPath()).toString() for f in files.globStatus(path) or []})
 
 
 def _fields(kind: str) -> str:
@@ -56,6 +75,11 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return texts.select(F.explode(F.from_json("value", "map<string,string>")).alias("task_id", "answer"))
 
 
+def read_maps(spark: SparkSession, path: str) -> DataFrame:
+    """Answers from lines that each hold a map of task to answer; null answers stay."""
+    return spark.read.text(path).select(F.explode(F.from_json("value", "map<string,string>")).alias("task_id", "answer"))
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files: ``path, content``."""
     return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))

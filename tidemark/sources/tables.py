@@ -6,9 +6,17 @@ derived from keys, so that results can be recomputed elsewhere from the same fil
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .storage import shared_folder
+
+
+#: Copies of a text begin alike, so this is a hypothesis in which they meet.
+HYPOTHESIS = "ascii(coalesce(text, '')) * 10000 + ascii(substr(coalesce(text, ''), 2, 1)) * 100 + length(substring_index(coalesce(text, ''), ' ', 1))"
+
 
 class Tables:
     """Readers of the tables of one folder."""
@@ -53,9 +61,9 @@ class Tables:
         return self.raw("documents").selectExpr(
             "doc_id AS seq", "source AS run", "CASE WHEN doc_id % 17 = 0 THEN 'missing' ELSE concat('a', doc_id) END AS artifact_id", "text", "text AS quote",
             "CASE doc_id % 3 WHEN 0 THEN 'OBSERVED' WHEN 1 THEN 'INFERRED' ELSE 'CORRECTED' END AS label",
-            "CASE doc_id div 2 % 5 WHEN 0 THEN 'disconfirms' WHEN 1 THEN 'neutral' ELSE 'confirms' END AS polarity", "doc_id div 4 AS conclusion_id", "doc_id div 10 AS hypothesis_id",
+            "CASE doc_id div 2 % 5 WHEN 0 THEN 'disconfirms' WHEN 1 THEN 'neutral' ELSE 'confirms' END AS polarity", "doc_id div 4 AS conclusion_id", f"cast({HYPOTHESIS} AS bigint) AS hypothesis_id",
             "CASE WHEN doc_id % 11 = 0 THEN concat('wire', doc_id % 4) ELSE '' END AS origin", "CASE WHEN doc_id % 6 = 0 THEN array(concat('a', doc_id + 1)) ELSE cast(array() AS array<string>) END AS corroborated_by",
-            "'2024-12-31' AS ts",
+            "'2024-12-31' AS ts", "CASE doc_id % 8 WHEN 1 THEN concat('cue=', doc_id % 90) WHEN 2 THEN 'frame=12.5' WHEN 3 THEN 'cue=x' ELSE '' END AS locator",
         )
 
     def pubdates(self) -> DataFrame:
@@ -66,13 +74,13 @@ class Tables:
         return self.raw("documents").selectExpr("concat('a', doc_id) AS artifact_id", "explode(array(struct(doc_id * 2 AS seq, (doc_id % 100) / 100D AS cer), struct(doc_id * 2 + 1 AS seq, (doc_id % 50) / 100D AS cer))) AS m").select("artifact_id", "m.*")
 
     def hypotheses(self) -> DataFrame:
-        """The thesis of every ten documents, with stakes and mode."""
+        """The thesis of all documents that begin alike, with stakes and mode."""
         return self.findings().groupBy("hypothesis_id").agg(F.min("seq").alias("seq"), F.min("run").alias("run")).selectExpr("hypothesis_id", "seq", "run", "CASE hypothesis_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE '' END AS stakes", "CASE WHEN hypothesis_id % 2 = 0 THEN 'debunk' ELSE 'discover' END AS mode")
 
     def predictions(self) -> DataFrame:
         """A forecast for each labelled document."""
         return self.raw("labels").join(self.raw("documents"), "doc_id").selectExpr(
-            "doc_id AS seq", "doc_id AS prediction_id", "text AS claim", "(doc_id % 101) / 100D AS stated_confidence", "concat('2025-0', 1 + doc_id % 2) AS resolve_by", "doc_id div 10 AS hypothesis_id", "'2024-06-01T00:00:00Z' AS created"
+            "doc_id AS seq", "doc_id AS prediction_id", "text AS claim", "(doc_id % 101) / 100D AS stated_confidence", "concat('2025-0', 1 + doc_id % 2) AS resolve_by", f"cast({HYPOTHESIS} AS bigint) AS hypothesis_id", "'2024-06-01T00:00:00Z' AS created"
         )
 
     def resolutions(self) -> DataFrame:
@@ -102,10 +110,35 @@ class Tables:
 
     def facts(self) -> DataFrame:
         return self.raw("orders").selectExpr(
-            "o_orderkey AS ord", "cast(o_orderkey AS string) AS id", "o_orderpriority AS claim", "CASE o_orderkey % 5 WHEN 0 THEN 'unverified' WHEN 1 THEN 'degraded' ELSE 'verified' END AS status",
+            "o_orderkey AS ord", "cast(o_orderkey AS string) AS id", "o_orderpriority AS claim", "CASE o_orderkey % 5 WHEN 0 THEN 'unverified' WHEN 1 THEN 'degraded' ELSE 'observed' END AS status",
             "cast(cast(o_orderdate AS date) AS string) AS observed_at", "CASE WHEN o_orderkey % 9 = 0 THEN cast(date_add(cast(o_orderdate AS date), 900) AS string) END AS effective_at", "cast(30 + o_orderkey % 900 AS int) AS ttl_days",
         )
 
+    def records(self) -> DataFrame:
+        """The facts as a registry holds them, some of them invalid."""
+        return self.facts().selectExpr(
+            "ord", "CASE WHEN ord % 97 = 0 THEN ' ' WHEN ord % 89 = 0 THEN 'twice' ELSE id END AS id", "CASE WHEN ord % 83 = 0 THEN '' ELSE claim END AS claim", "CASE WHEN ord % 79 = 0 THEN 'rumour' ELSE status END AS status",
+            "CASE WHEN ord % 73 = 0 THEN concat(observed_at, 'T00:00') WHEN ord % 2 = 0 THEN concat(' ', observed_at) ELSE observed_at END AS observed_at", "effective_at", "CASE WHEN ord % 71 = 0 THEN 0 ELSE ttl_days END AS ttl_days",
+            "CASE ord % 67 WHEN 0 THEN array() WHEN 1 THEN array('') ELSE array('s') END AS source_refs", "CASE WHEN ord % 61 = 0 THEN '' ELSE 'all' END AS scope",
+        )
+
+    def gradings(self) -> DataFrame:
+        """Grades of two conclusions in three, graded again now and then."""
+        graded = self.raw("documents").selectExpr("doc_id AS seq", "doc_id div 4 AS conclusion_id", "concat('std', doc_id % 2) AS standard_id", "CASE doc_id % 5 WHEN 0 THEN 'MEETS' WHEN 1 THEN 'UNKNOWN' ELSE 'SHORTFALL' END AS overall")
+        return graded.filter("conclusion_id % 3 != 0")
+
+    def runs(self) -> DataFrame:
+        """Runs with the summary that was left of them."""
+        return self.raw("documents").groupBy(F.col("source").alias("run")).agg(F.min("doc_id").alias("d")).selectExpr(
+            "run", "CASE d % 3 WHEN 0 THEN '2024-07-01T00:00:00Z' WHEN 1 THEN '' END AS created", "CASE d % 4 WHEN 0 THEN '# x [ALPHA]' WHEN 1 THEN '[RECON] y' WHEN 2 THEN '[ALPHA] and [RECON]' ELSE 'z' END AS summary"
+        )
+
+    def spooled(self, lines: DataFrame) -> str:
+        """A folder of the shared storage into which lines (``value``) have been written as text."""
+        path = f"{shared_folder(self.spark)}/spool-{uuid.uuid4().hex}"
+        lines.write.text(path)
+        return path
+
     def segments(self) -> DataFrame:
         """Turns of conversations as timed segments."""
         return self.raw("conversations").selectExpr(

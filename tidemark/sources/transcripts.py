@@ -32,6 +32,26 @@ def parse_timed(texts: DataFrame, key: str = "transcript_id", text: str = "conte
     return plain.unionByName(cued)
 
 
+def plain_text(texts: DataFrame, key: str = "transcript_id", text: str = "content") -> DataFrame:
+    """The words of SubRip texts: ``key, text``; numbers and times go, and lines equal to the one before."""
+    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\r\n?|\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    said = texts.select(key, F.filter(lines, lambda x: (x != "") & ~x.rlike(r"^\d+$") & ~x.contains("-->")).alias("ls"))
+    fresh = F.filter("ls", lambda x, i: (i == 0) | (x != F.get("ls", i - 1)))
+    return said.select(key, F.array_join(fresh, " ").alias("text"))
+
+
+def segments_json(segments: DataFrame, key: str = "transcript_id") -> DataFrame:
+    """Segments of each transcript as one JSON list: ``key, content``.  A transcript's segments meet in one row."""
+    rows = segments.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "start", "end", "text"))).alias("ss"))
+    return rows.select(key, F.to_json(F.transform("ss", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text")))).alias("content"))
+
+
+def transcript_lines(segments: DataFrame, header: Column, key: str = "transcript_id") -> DataFrame:
+    """The lines of a transcript file, header first: ``key, idx, line``; written in order they are what ``parse_timed`` reads."""
+    lines = segments.select(key, "idx", F.concat(F.format_string("[%8.2f --> %8.2f] ", F.col("start"), F.col("end")), F.trim("text")).alias("line"))
+    return segments.select(key).distinct().select(key, F.lit(-1).alias("idx"), F.concat(F.lit("# "), header).alias("line")).unionByName(lines)
+
+
 def quality_label(texts: DataFrame, key: str = "transcript_id", text: str = "content") -> DataFrame:
     """The label that comment lines give a transcript: the last ``gate=`` token, else a failure, else unknown."""
     gates = F.regexp_extract_all(F.col(text), F.lit(r"(?m)^#.*?\bgate=([A-Z_]+)"), F.lit(1))

@@ -21,16 +21,32 @@ def insert_once(stream: DataFrame, keys: list[str]) -> DataFrame:
     return stream.dropDuplicates(keys)
 
 
+def latest(stream: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
+    """The last row of each key so far, by log order and not by arrival; state is one row a key.
+
+    Written in update mode a batch gives the keys it changes, in complete mode all.
+    """
+    rest = [c for c in stream.columns if c not in keys and c != order]
+    return stream.groupBy(*keys).agg(F.max(F.struct(order, *rest)).alias("_r")).select(*keys, "_r.*")
+
+
 def velocity(stream: DataFrame) -> DataFrame:
-    """Change per hour against the previous point of an item (``id, at, views``): ``id, at, per_hour``.
+    """Change per hour against the previous point of an item (``id, at, views, seq``): ``id, at, per_hour``.
 
-    Rows of one batch are put in order; a row older than the last point of an earlier batch is dropped, where
+    Rows of one batch are put in order, of rows at one time the first by ``seq`` counts; a row older than the last point of an earlier batch is dropped, where
     the batch operator would insert it.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         at, views = state.get if state.exists else (None, None)
-        rows = pd.concat(list(parts)).dropna(subset=["views"]).drop_duplicates("at").sort_values("at")
+        # Each part is reduced before the next is read, so a hot item holds one row for each point in time.
+        rows = None
+        for part in parts:
+            part = part.dropna(subset=["views"])
+            part = part if rows is None else pd.concat([rows, part])
+            rows = part.sort_values(["at", "seq"]).drop_duplicates("at")
+        if rows is None:
+            return
         out = []
         for t, v in zip(rows["at"], rows["views"], strict=True):
             us = int(t.value // 1000)
@@ -45,7 +61,7 @@ def velocity(stream: DataFrame) -> DataFrame:
 
     importable(stream.sparkSession)
     kind = stream.schema["id"].dataType.simpleString()
-    picked = stream.select("id", F.col("at").cast("timestamp").alias("at"), F.col("views").cast("long").alias("views"))
+    picked = stream.select("id", F.col("at").cast("timestamp").alias("at"), F.col("views").cast("long").alias("views"), F.col("seq").cast("long").alias("seq"))
     return picked.groupBy("id").applyInPandasWithState(step, f"id {kind}, at timestamp, per_hour double", "at long, views long", "append", GroupStateTimeout.NoTimeout)
 
 
