@@ -332,15 +332,21 @@ def size_class(n: int, similarity: float) -> int:
 
 
 def _grouped(texts: DataFrame) -> DataFrame:
-    """Texts (``node``, ``class``, ``keys``) by each key ``g`` that two or more share; of keys that the same texts share one stays.
+    """Texts (``node``, ``class``, ``keys``) by each key ``g`` that two or more of like size share; of keys that the same texts share one stays.
 
-    What texts share a key is told by their number and 128 bits of hash, so that copies, which share most of their
-    keys, are compared in one group and not in one for each key.
+    Sets that are alike are of one class of sizes or of neighbouring ones, so texts that no other text of a key comes
+    near in size need not be compared there.  What texts share a key is told by their number and 128 bits of hash, so
+    that copies, which share most of their keys, are compared in one group and not in one for each key.
     """
-    keyed = texts.select("node", "class", F.explode("keys").alias("g")).withColumn("k", own_exchange("g"))
+    keyed = texts.select("node", "class", F.explode("keys").alias("g"))
+    many = keyed.groupBy("g", "class").agg(F.count("*").alias("n"))
+    near = many.select("g", F.explode(F.array(*[F.struct((F.col("class") + d).alias("class"), F.col("n"), F.lit(d == 0).alias("own")) for d in (0, -1, 1)])).alias("x")).select("g", "x.*")
+    met = near.groupBy("g", "class").agg(F.sum("n").alias("n"), F.bool_or("own").alias("own")).filter("own AND n > 1").select(own_exchange("g").alias("k"), F.col("class").alias("_class"))
+    shared = keyed.withColumn("k", own_exchange("g")).join(met.withColumnRenamed("k", "_k"), (F.col("k") == F.col("_k")) & (F.col("class") == F.col("_class")), "left_semi")
     marks = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"x{i}") for i in (1, 2)]
-    shared = keyed.groupBy("g").agg(F.count("*").alias("n"), *marks).filter("n > 1").groupBy("n", "x1", "x2").agg(F.min("g").alias("g"))
-    return common.cut(keyed.join(shared.select(own_exchange("g").alias("k")), "k", "left_semi").drop("k"))
+    shared = common.cut(shared.select("node", "class", "g"))
+    kept = shared.groupBy("g").agg(F.count("*").alias("n"), *marks).groupBy("n", "x1", "x2").agg(F.min("g").alias("g"))
+    return common.cut(shared.withColumn("k", own_exchange("g")).join(kept.select(own_exchange("g").alias("k")), "k", "left_semi").drop("k"))
 
 
 def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -377,8 +383,8 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     rows = _grouped(texts)
     # Only texts that share a key are read again.
     compared = texts.join(rows.select("node").distinct(), "node", "left_semi").select("node", F.col("row.r1").alias("r1"), F.col("row.r2").alias("r2"))
-    again = source.join(compared, ["r1", "r2"]).select("node", "_t")
-    sets = common.cut(common.map_rows(again, ["_t"], whole, "set binary", ("node",)).dropDuplicates(["node"]))
+    again = source.join(compared, ["r1", "r2"]).select("r1", "r2", "node", "_t").dropDuplicates(["r1", "r2"])
+    sets = common.cut(common.map_rows(again, ["_t"], whole, "set binary", ("node",)))
 
     def finer(large: DataFrame) -> DataFrame:
         return large.select("*", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("s"))
