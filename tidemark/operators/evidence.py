@@ -30,8 +30,7 @@ def numeric_conflicts(findings: DataFrame, group: str = "conclusion_id") -> Data
 
 def shingle_sets(items: DataFrame, group: list[str], node: str, text: str) -> DataFrame:
     """The hashed shingles ``s``, sorted, of each item ``n`` of a group; made once and read again by what compares them."""
-    hashed = F.transform(tx.shingles(tx.tokens(F.col(text))), lambda w: F.xxhash64(w))
-    return cut(items.select(*group, F.col(node).alias("n"), F.array_sort(hashed).alias("s")))
+    return cut(items.select(*group, F.col(node).alias("n"), tx.hashed_shingles(tx.tokens(F.col(text))).alias("s")))
 
 
 def near_classes(own: DataFrame, group: list[str], least: float) -> DataFrame:
