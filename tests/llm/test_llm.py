@@ -631,6 +631,91 @@ def test_window_distances(docs):
     assert max(toxicity.distances(toxic[0], ordinary, dictionary)) > max(toxicity.distances(texts[0], ordinary, dictionary))
 
 
+def test_other_tokenizer_files_are_refused(path, tmp_path):
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"] = spec["model"] | {"vocab": {"a": 0}, "merges": []}
+    for name, change in {"normalizer": {"type": "NFC"}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}, "model": spec["model"] | {"byte_fallback": True}, "decoder": None}.items():
+        other = tmp_path / f"{name}.json"
+        other.write_text(json.dumps(spec | {name: change}), encoding="utf-8")
+        with pytest.raises(ValueError, match="no plain byte-level"):
+            bpe.codec(str(other))
+
+
+def test_fitting_takes_part_of_a_table(spark):
+    """One text of an id, in the order of a hash of the ids, up to the characters given; nothing of what is held out."""
+    from tidemark.llm import common
+
+    rows = [(i % 50, f"text {i} " * 20) for i in range(400)] + [(None, "x"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(None, 1), (7, None)], "doc_id long, toxic int")
+    sample = common.labelled_sample(docs, labels, "toxic", 10, 10_000)
+    got = {r.id: r for r in sample.collect()}
+    assert len(got) == 20 and all(zlib.crc32(str(i).encode()) % 3 != 1 and r.y == i % 2 and r.text == min(f"text {k} " * 20 for k in range(i, 400, 50)) for i, r in got.items())
+    assert sum(len(t) for t, y in common.fit_sample(sample, lambda texts: texts, 500) if y) <= 500 < sum(len(r.text) for r in got.values() if r.y)
+
+
+def test_pipeline_against_brute_force(spark):
+    """Each stage's decisions, made text by text and pair by pair; some texts are given a secret."""
+    planted = F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit(' token = "'), F.sha1(F.col("doc_id").cast("string").cast("binary")), F.lit('"'))).otherwise(F.col("text"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("text", planted).withColumn("n_chars", F.length("text").cast("long"))
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    given = {r.doc_id: r for r in docs.collect()}
+
+    model = toxicity.fit(docs, labels)
+    first = spark.createDataFrame([r for r in given.values() if toxicity.score_text(r.text or "", model) < toxicity.THRESHOLD], docs.schema)
+    assert sorted(r.doc_id for r in stages["toxicity"](spark, docs, SF).collect()) == sorted(r.doc_id for r in first.collect())
+
+    model = quality.fit(first, labels)
+
+    def good(text):
+        idx, val = (np.array(x) for x in quality.vector(text or ""))
+        vx = model.factors[idx].astype(float) * val[:, None]
+        pairs = sum(float(vx[i] @ vx[i + 1 :].sum(axis=0)) for i in range(len(idx) - 1))
+        return 1 / (1 + np.exp(-np.clip(model.bias + float(model.linear[idx].astype(float) @ val) + pairs, -30, 30))) >= quality.THRESHOLD
+
+    second = spark.createDataFrame([r for r in first.collect() if good(r.text)], docs.schema)
+    assert sorted(r.doc_id for r in stages["quality"](spark, first, SF).collect()) == sorted(r.doc_id for r in second.collect())
+
+    def set_of(text):
+        words = re.sub("[A-Z]", lambda m: m.group().lower(), text or "").split()
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+    sets = {r.doc_id: set_of(r.text) for r in second.collect()}
+    linked = brute_components(sorted(sets), lambda a, b: sets[a] == sets[b] or 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) > 0)
+    third = stages["near_dedup"](spark, second, SF)
+    assert sorted(r.doc_id for r in third.collect()) == sorted(set(linked.values())) and len(set(linked.values())) < len(linked)
+
+    forest = secrets.fit(secrets.labelled_findings(spark))
+    spans = {}
+    for r in secrets.scan(third, forest, ["doc_id"], path_col="source").filter("predicted = 1").collect():
+        spans.setdefault(r.doc_id, []).append((r.start, r.end))
+    fourth = stages["secrets"](spark, third, SF)
+    for r in fourth.collect():
+        want, at = "", 0
+        for a, b in sorted(spans.get(r.doc_id, [])):
+            want, at = want + given[r.doc_id].text[at:a] + secrets.MASK, b
+        assert r.text == want + given[r.doc_id].text[at:] and r.n_chars == len(r.text)
+        assert r.doc_id % 10 or r.text.endswith(f' token = "{secrets.MASK}"')
+    assert spans
+
+    path = queries.tokenizer_file()
+    library = tokenizers.Tokenizer.from_file(path)
+    by_doc, bins = {}, {}
+    for r in stages["packing"](spark, fourth, SF).collect():
+        by_doc.setdefault(r.doc_id, []).append(r)
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for r in fourth.collect():
+        ids = np.array([*library.encode(r.text, add_special_tokens=False).ids, 0], dtype="<u4")
+        mine = sorted(by_doc[r.doc_id], key=lambda p: p.piece)
+        assert [p.start for p in mine] == [sum(q.length for q in mine[:i]) for i in range(len(mine))] and sum(p.length for p in mine) == len(ids)
+        assert all(p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes()) for p in mine)
+    assert all(sum(n for _, n in b) <= 2048 and sorted(o for o, _ in b) == [sum(n for _, n in sorted(b)[:i]) for i in range(len(b))] for b in bins.values())
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("score", F.lit(1))
     for name, stage in corpus_pipeline.STAGES[:-1]:

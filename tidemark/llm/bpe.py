@@ -154,12 +154,31 @@ class Automaton:
         return out
 
 
+def read_spec(path: str) -> dict:
+    """A tokenizer file of the kind that this module encodes as its library does; any other is refused.
+
+    That is byte-level BPE with the public pre-split pattern, without normalizer, prefix space, dropout or the like, and
+    with added tokens that are found as they stand.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    split, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    odd = [n for n in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(n)]
+    odd += [f"pre_tokenizer.{n}" for n, v in plain.items() if split.get(n, True if n == "use_regex" else None) != v]
+    odd += [n for n in ("normalizer",) if spec.get(n)] + [f"added token {t['content']!r}" for t in spec.get("added_tokens", []) if any(t.get(n) for n in ("single_word", "lstrip", "rstrip"))]
+    if (spec.get("decoder") or {}).get("type") != "ByteLevel":
+        odd.append("decoder")
+    if model.get("type") != "BPE" or odd:
+        raise ValueError(f"{path} is no plain byte-level BPE tokenizer: {', '.join(odd) or model.get('type')}")
+    return spec
+
+
 class Codec:
     """Encodes whole texts to little-endian unsigned 32-bit ids and back."""
 
     def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = read_spec(path)
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.automaton = Automaton(spec["model"]["vocab"], spec["model"]["merges"], special)
         self.find = regex.compile(SPLIT).findall
@@ -214,7 +233,11 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """Decode id lists by emitting arc labels: ``id_col``, ``text``.  Null lists and null ids count as none."""
+    """Decode id lists by emitting arc labels: ``id_col``, ``text``.
+
+    Null lists and null ids count as none.  Repeated rows give repeated results; an empty table gives an empty table;
+    lists of any length are taken whole; other columns are not read.
+    """
 
     def fn(cols: list[list]) -> dict:
         dec = codec(path).decode

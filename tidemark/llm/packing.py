@@ -12,7 +12,6 @@ what its lengths force, whatever the number of blocks.
 from __future__ import annotations
 
 import base64
-import json
 import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import SPLIT, byte_alphabet, codec
+from .bpe import SPLIT, byte_alphabet, codec, read_spec
 
 #: Tokens of a sequence, and pieces packed together.
 SEQUENCE, BLOCK = 2048, 65_536
@@ -43,8 +42,7 @@ PIECES = "piece int, start long, length long, ids_crc32 long"
 @lru_cache(maxsize=2)
 def encoder(path: str) -> tuple[tiktoken.Encoding, tuple[str, ...]]:
     """A fast encoder with the merges of a byte-level tokenizer file (tests hold it against the file's own library)."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+    spec = read_spec(path)
     alphabet = byte_alphabet()
     ranks = {bytes(alphabet[c] for c in s): i for s, i in spec["model"]["vocab"].items()}
     special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -172,7 +170,11 @@ def local_search(bins: list[list[int]], lengths: list[int], size: int, rounds: i
 
 
 def pieces(df: DataFrame, path: str, end_id: int = 0, size: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Token pieces of every whole text, with the length and CRC of their ids; null texts count as empty."""
+    """Token pieces of every whole text, with the length and CRC of their ids.
+
+    Null and empty texts give the end id alone, repeated rows repeated pieces, an empty table none; texts of any
+    length are taken whole; other columns are not read.
+    """
 
     def fn(cols: list[list]) -> dict:
         out: dict = {n: [] for n in (id_col, "piece", "start", "length", "ids_crc32")}
