@@ -264,7 +264,7 @@ def _plan(vectors: DataFrame, plan: Plan, k: int, recall: float) -> Plan:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = np.concatenate([_matrix(b.column(0), plan.dim) for b in batches])
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(x, plan, k, recall))], pa.binary())], names=["plan"])
+        yield pa.RecordBatch.from_arrays([pa.array([common.in_child(lambda: pickle.dumps(fit(x, plan, k, recall)))], pa.binary())], names=["plan"])
 
     fitted: Plan = pickle.loads(rows.mapInArrow(run, "plan binary").first()["plan"])
 

@@ -36,6 +36,7 @@ def map_rows(df: DataFrame, cols: list[str], fn: Callable[[list[list]], dict], s
                 made = fn([part.column(i).to_pylist() for i in inputs])
                 arrays = [part.column(i) for i in carried] + [pa.array(made[n], type=arrow.field(n).type) for n in names]
                 yield pa.RecordBatch.from_arrays(arrays, names=arrow.names)
+        release()
 
     importable(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in sent]).mapInArrow(run, fields)
@@ -73,7 +74,7 @@ def fit_sample(sample: DataFrame, fit: Callable[[list[tuple[str, int]]], object]
     """
     import pickle
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: list[pa.RecordBatch]) -> bytes:
         import xxhash
 
         rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
@@ -84,8 +85,49 @@ def fit_sample(sample: DataFrame, fit: Callable[[list[tuple[str, int]]], object]
                 kept[text, y] = None
                 room[y > 0] -= len(text)
         del rows
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(list(kept)))], pa.binary())], names=["model"])
+        return pickle.dumps(fit(list(kept)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([in_child(lambda held=list(batches): made(held))], pa.binary())], names=["model"])
+        release()
 
     importable(sample.sparkSession)
-    made = sample.select("id", "text", "y").repartition(1).mapInArrow(run, "model binary").first()
-    return fit([]) if made is None else pickle.loads(made["model"])
+    model = sample.select("id", "text", "y").repartition(1).mapInArrow(run, "model binary").first()
+    return fit([]) if model is None else pickle.loads(model["model"])
+
+
+def in_child(work: Callable[[], bytes]) -> bytes:
+    """What ``work`` returns, done in a child of this process, so that its memory goes with it."""
+    import os
+
+    out, into = os.pipe()
+    child = os.fork()
+    if child == 0:
+        status = 1
+        try:
+            os.close(out)
+            with os.fdopen(into, "wb") as f:
+                f.write(work())
+            status = 0
+        finally:
+            if status:
+                import traceback
+
+                traceback.print_exc()
+            os._exit(status)
+    os.close(into)
+    with os.fdopen(out, "rb") as f:
+        made = f.read()
+    if os.waitpid(child, 0)[1]:
+        raise RuntimeError("the work in the child process failed; its error is in the log")
+    return made
+
+
+def release() -> None:
+    """Give freed memory back to the system; workers stay for later tasks, and what they hold counts all the while."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)

@@ -218,6 +218,7 @@ def _stars(rows: DataFrame, group: list[str], values: list[str], forest: Callabl
                     yield made
             held = [[c[until:] for c in cols]] if until < len(cols[0]) else []
             rows_held, bytes_held = len(cols[0]) - until, bytes_held * (len(cols[0]) - until) // len(cols[0])
+        common.release()
 
     common.importable(rows.sparkSession)
     return dealt.mapInArrow(run, "a long, b long")
