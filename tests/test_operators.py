@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.functions import web
 from tidemark.operators import acquire, evidence, gates, graph, ledger, media, producers, scoring, trends, validate
-from tidemark.sources import jsonl, transcripts
+from tidemark.sources import audio, jsonl, transcripts
 
 FINDING = "seq long, artifact_id string, text string, quote string, label string, polarity string, conclusion_id string, hypothesis_id string, origin string, corroborated_by array<string>, ts string"
 ARTIFACT = "artifact_id string, source string, type string, sha256 string, quality_label string"
@@ -275,6 +275,84 @@ def test_logs(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 2
 
 
+def test_lines_of_split_files_keep_their_order(spark, tmp_path):
+    """A file that is read in many parts, after one that comes before it by name."""
+    (tmp_path / "b.jsonl").write_text("".join(f'{{"k": {i}, "pad": "{"x" * 90}"}}\n' for i in range(3000)), encoding="utf-8")
+    (tmp_path / "a.jsonl").write_text('{"k": -1}\n', encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = jsonl.read_lines(spark, str(tmp_path), "k int")
+        assert rows.rdd.getNumPartitions() > 3 and [r.k for r in rows.orderBy("seq").collect()] == [-1, *range(3000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_runs_are_read_once(spark, tmp_path):
+    for run in ("r_a", "research/r_b"):
+        (tmp_path / run).mkdir(parents=True)
+        (tmp_path / run / "ledger.jsonl").write_text('{"k": 1}\n{"k": 2}\n', encoding="utf-8")
+    (tmp_path / "r_empty").mkdir()
+    rows = jsonl.read_runs(spark, f"{tmp_path}/./", "k int")
+    assert [(r.run, r.k) for r in rows.orderBy("seq").collect()] == [("r_a", 1), ("r_a", 2), ("r_b", 1), ("r_b", 2)]
+    assert jsonl.read_runs(spark, str(tmp_path / "none"), "k int").count() == 0
+    assert {r.path.rsplit("/", 1)[1] for r in jsonl.read_documents(spark, f"{tmp_path}/r_a/*").collect()} == {"ledger.jsonl"}
+    assert jsonl.newest(spark, f"{tmp_path}/r_a").first().path.endswith("ledger.jsonl")
+
+
+def test_sound(spark, tmp_path):
+    import math
+    import wave
+
+    for name, level in (("loud", 16384), ("silent", 0)):
+        with wave.open(str(tmp_path / f"{name}.wav"), "wb") as w:
+            w.setnchannels(2)
+            w.setsampwidth(2)
+            w.setframerate(8000)
+            w.writeframes(b"".join(int(level * (1 if i % 2 else -1)).to_bytes(2, "little", signed=True) * 2 for i in range(1000)))
+    (tmp_path / "broken.wav").write_bytes(b"RIFFnothing")
+    got = {r.path.rsplit("/", 1)[1]: r for r in audio.read_wav(spark, str(tmp_path)).collect()}
+    assert math.isclose(got["loud.wav"].rms, 0.5) and got["loud.wav"].frames == 1000 and got["loud.wav"].channels == 2 and got["silent.wav"].rms == 0.0 and got["broken.wav"].rms is None
+
+
+def test_transcript_writers(spark):
+    segs = spark.createDataFrame([("a", 0, 0.0, 1.5, " hi "), ("a", 1, 61.25, 62.0, "there")], "transcript_id string, idx int, start double, end double, text string")
+    assert transcripts.segments_json(segs).first().content == '[{"start":0.0,"end":1.5,"text":" hi "},{"start":61.25,"end":62.0,"text":"there"}]'
+    lines = [r.line for r in transcripts.transcript_lines(segs, F.lit("gate=OK")).orderBy("idx").collect()]
+    assert lines == ["# gate=OK", "[    0.00 -->     1.50] hi", "[   61.25 -->    62.00] there"]
+    srt = spark.createDataFrame([("s", "1\r\n00:00:01,000 --> 00:00:02,000\r\nhello\r\n\r\n2\r\n00:00:02,000 --> 00:00:03,000\r\nhello\r\n42\r\nworld\r\n"), ("n", None)], "transcript_id string, content string")
+    assert {r.transcript_id: r.text for r in transcripts.plain_text(srt).collect()} == {"s": "hello world", "n": ""}
+
+
+def test_parser_failures_stay_on_their_page(spark):
+    pages = spark.createDataFrame([("a", "1,2"), ("b", "x"), ("c", None)], "url string, body string")
+    got = {r.url: r for r in acquire.parsed(pages, lambda url, body: [{"n": int(x)} for x in body.split(",")], "n: int").collect()}
+    assert not got["a"].parse_failed and [r.n for r in got["a"].rows] == [1, 2] and got["b"].parse_failed and "c" not in got
+
+
+def test_near_pairs_against_all_pairs(spark):
+    """Also with a shingle that every text of a group has, copies, and texts without words."""
+    import random
+
+    random.seed(3)
+    words = [w for w in ("".join(random.choice("abcdefghij") for _ in range(6)) for _ in range(60))]
+    texts = [" ".join(["common", "shared", "opening", *(random.choice(words[:12]) for _ in range(random.randrange(1, 9)))]) for _ in range(120)]
+    texts += [texts[0]] * 5 + ["", "a b c", "wordone wordtwo"]
+    rows = [(i % 2, i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "g int, n int, text string")
+
+    def shingles(t):
+        ws = t.split() if len(t) > 5 else []
+        return {tuple(ws[i : i + 3]) for i in range(len(ws) - 2)} if len(ws) >= 3 else set(ws)
+
+    for least in (0.4, 0.6, 1.0):
+        want = {(g, a, b) for g, a, x in rows for h, b, y in rows if g == h and a < b and shingles(x) and len(shingles(x) & shingles(y)) >= least * len(shingles(x) | shingles(y)) > 0}
+        assert {(r.g, r.a, r.b) for r in evidence.near_pairs(df, ["g"], "n", "text", least).collect()} == want
+        first = {}
+        for _, a, b in want:
+            first[b] = min(first.get(b, a), a)
+        assert {r.n: r.first for r in evidence.first_earlier(df, ["g"], "n", "text", least).collect()} == first
+
+
 def test_transcripts(spark):
     vtt = "WEBVTT\n\n00:01.500 --> 00:00:03,25\nhello\nthere\n\n00:04.000 --> 00:05.000\n\n"
     plain = "# gate=OK\n[00:01 -> 00:02] one\nnoise\n[1:00:00 --> 1:00:01] two"

@@ -86,10 +86,10 @@ def counts_by_window(stream: DataFrame, every: str = "1 hour", late: str = "1 da
     return stream.withWatermark("ts", late).groupBy(F.window("ts", every), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
 
 
-def replace_days(stream: DataFrame, path: str, day: str = "day"):  # noqa: ANN201
+def replace_days(stream: DataFrame, path: str, day: str = "day", checkpoint: str | None = None):  # noqa: ANN201
     """A sink in which a day's later batch takes the place of what was written for that day before."""
 
     def write(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}.checkpoint").trigger(availableNow=True)
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint or f"{path}.checkpoint").trigger(availableNow=True)
