@@ -318,7 +318,7 @@ def test_simhash_rows(spark, odd, docs):
     assert simhash.simhash_components(odd.limit(0)).count() == 0
 
 
-def test_near_copies(spark, odd):
+def test_near_copies(spark, odd, monkeypatch):
     random.seed(5)
     words = [f"w{i}" for i in range(4000)]
     rows, groups = [], {}
@@ -344,7 +344,8 @@ def test_near_copies(spark, odd):
     clashing = df.withColumns({"r1": F.lit(1), "_row": F.lit(2), "node": F.lit("x"), "root": F.lit(0)})
     kept = simhash.drop_near_copies(clashing)
     assert kept.columns == clashing.columns and sorted(r.doc_id for r in kept.collect()) == [s[0] for s in want]
-    for limit in (2, 64):
+    for limit, weight in ((2, simhash.WEIGHT), (64, simhash.WEIGHT), (simhash.LIMIT, 300)):
+        monkeypatch.setattr(simhash, "WEIGHT", weight)
         small = {}
         for r in simhash.near_copies(df, limit=limit).collect():
             small.setdefault(r.root, set()).add(r.id)

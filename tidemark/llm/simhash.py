@@ -29,6 +29,8 @@ from . import common
 
 #: Fingerprints compared with each other in one group before it is split.
 LIMIT = 2048
+#: Shingles of the sets that are compared with each other in one group before it is split.
+WEIGHT = 6_000_000
 #: Rows sorted into groups at once by a worker, and the bytes from which on fewer are.
 ROWS_AT_ONCE, BYTES_AT_ONCE = 65_536, 32_000_000
 SEED = 42
@@ -242,15 +244,16 @@ def _alike(rows: DataFrame, group: list[str], sets: DataFrame, similarity: float
 
 
 def _split(rows: DataFrame, group: list[str], limit: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of groups within the limit, and of larger ones with their size ``n``."""
-    sizes = rows.groupBy(*group).agg(F.count("*").alias("n")).filter(F.col("n") > limit)
+    """Rows of groups within the limits of rows and of ``weight``, and of larger ones with the number ``m`` of chunks that are."""
+    chunks = F.ceil(F.greatest(F.count("*") / max(limit // 2, 1), F.sum("weight") / (WEIGHT // 2)))
+    sizes = rows.groupBy(*group).agg(F.count("*").alias("n"), F.sum("weight").alias("w"), chunks.cast("int").alias("m")).filter((F.col("n") > limit) | (F.col("w") > WEIGHT))
     keyed = rows.withColumn("_k", own_exchange(F.xxhash64(*group)))
-    hot = sizes.select(*[F.col(c).alias(f"_{c}") for c in group], "n", own_exchange(F.xxhash64(*group)).alias("_h"))
+    hot = sizes.select(*[F.col(c).alias(f"_{c}") for c in group], "m", own_exchange(F.xxhash64(*group)).alias("_h"))
     same = (F.col("_k") == F.col("_h")) & F.lit(True)
     for c in group:
         same &= F.col(c) == F.col(f"_{c}")
     met = keyed.join(hot, same, "left").drop("_k", "_h", *[f"_{c}" for c in group])
-    return met.filter("n IS NULL").drop("n"), met.filter("n IS NOT NULL")
+    return met.filter("m IS NULL").drop("m"), met.filter("m IS NOT NULL")
 
 
 def _linked(rows: DataFrame, group: list[str], finer: Callable[[DataFrame], DataFrame], edges: Callable[[DataFrame, list[str]], DataFrame], limit: int) -> DataFrame:
@@ -260,11 +263,10 @@ def _linked(rows: DataFrame, group: list[str], finer: Callable[[DataFrame], Data
     if large.isEmpty():
         return edges(small, group)
     fine = [*group, "s"]
-    middle, hot = _split(finer(large.drop("n")), fine, limit)
+    middle, hot = _split(finer(large.drop("m")), fine, limit)
     # What is still large is compared whole, chunk against chunk.
-    m = F.ceil(F.col("n") / (limit // 2)).cast("int")
-    chunk = F.pmod(F.xxhash64(F.lit(6), "node"), m).cast("int")
-    crossed = hot.withColumn("_m", m).withColumn("_c", chunk).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
+    chunk = F.pmod(F.xxhash64(F.lit(6), "node"), F.col("m")).cast("int")
+    crossed = hot.withColumn("_c", chunk).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     crossed = crossed.withColumn("i", F.least("_c", "_o")).withColumn("j", F.greatest("_c", "_o"))
     return edges(small, group).unionByName(edges(middle, fine)).unionByName(edges(crossed, [*fine, "i", "j"]))
 
@@ -294,7 +296,7 @@ def link_fingerprints(fps: DataFrame, radius: int = 3, limit: int = LIMIT) -> Da
     masks = _masks(radius)
     coarse = F.array(*[F.lit(signed(m)) for m, _ in masks])
     fine = F.array(*[F.array(*[F.lit(signed(x)) for x in xs]) for _, xs in masks])
-    rows = fps.select(F.col("fp").alias("node"), F.col("fp").alias("f0"), F.posexplode(coarse).alias("t", "m")).withColumn("g", F.col("f0").bitwiseAND(F.col("m"))).drop("m")
+    rows = fps.select(F.col("fp").alias("node"), F.col("fp").alias("f0"), F.posexplode(coarse).alias("t", "m")).withColumn("g", F.col("f0").bitwiseAND(F.col("m"))).drop("m").withColumn("weight", F.lit(0).cast("long"))
 
     def finer(large: DataFrame) -> DataFrame:
         dealt = large.select("*", F.posexplode(F.element_at(fine, F.col("t") + 1)).alias("u", "m"))
@@ -340,13 +342,13 @@ def _grouped(texts: DataFrame) -> DataFrame:
     near in size need not be compared there.  What texts share a key is told by their number and 128 bits of hash, so
     that copies, which share most of their keys, are compared in one group and not in one for each key.
     """
-    keyed = texts.select("node", "class", F.explode("keys").alias("g"))
+    keyed = texts.select("node", "class", "weight", F.explode("keys").alias("g"))
     many = keyed.groupBy("g", "class").agg(F.count("*").alias("n"))
     near = many.select("g", F.explode(F.array(*[F.struct((F.col("class") + d).alias("class"), F.col("n"), F.lit(d == 0).alias("own")) for d in (0, -1, 1)])).alias("x")).select("g", "x.*")
     met = near.groupBy("g", "class").agg(F.sum("n").alias("n"), F.bool_or("own").alias("own")).filter("own AND n > 1").select(own_exchange("g").alias("k"), F.col("class").alias("_class"))
     shared = keyed.withColumn("k", own_exchange("g")).join(met.withColumnRenamed("k", "_k"), (F.col("k") == F.col("_k")) & (F.col("class") == F.col("_class")), "left_semi")
     marks = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"x{i}") for i in (1, 2)]
-    shared = common.cut(shared.select("node", "class", "g"))
+    shared = common.cut(shared.select("node", "class", "weight", "g"))
     kept = shared.groupBy("g").agg(F.count("*").alias("n"), *marks).groupBy("n", "x1", "x2").agg(F.min("g").alias("g"))
     return common.cut(shared.withColumn("k", own_exchange("g")).join(kept.select(own_exchange("g").alias("k")), "k", "left_semi").drop("k"))
 
@@ -366,21 +368,22 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
         return np.unique(np.array([xxhash.xxh64_intdigest(p, SEED) for p in set(shingles(text or "", words))], dtype="<u8"))
 
     def fn(cols: list[list]) -> dict:
-        out: dict = {"t1": [], "t2": [], "keys": [], "class": []}
+        out: dict = {"t1": [], "t2": [], "keys": [], "class": [], "weight": []}
         for t in cols[0]:
             made = hashes(t)
             for n, v in zip(("t1", "t2"), text_key(t), strict=True):
                 out[n].append(v)
             out["keys"].append([signed(int(x)) for x in made[:KEYS]])
             out["class"].append(size_class(len(made), similarity))
+            out["weight"].append(len(made))
         return out
 
     def whole(cols: list[list]) -> dict:
         return {"set": [hashes(t).tobytes() for t in cols[0]]}
 
     source = docs.select(*row_key(id_col, text_col), F.col(id_col).alias("id"), F.col(text_col).alias("_t"))
-    made = common.cut(common.map_rows(source, ["_t"], fn, "t1 long, t2 long, keys array<long>, class long", ("r1", "r2", "id")))
-    texts = made.groupBy("t1", "t2").agg(F.first("keys").alias("keys"), F.first("class").alias("class"), F.min(F.struct("r1", "r2")).alias("row"))
+    made = common.cut(common.map_rows(source, ["_t"], fn, "t1 long, t2 long, keys array<long>, class long, weight long", ("r1", "r2", "id")))
+    texts = made.groupBy("t1", "t2").agg(F.first("keys").alias("keys"), F.first("class").alias("class"), F.first("weight").alias("weight"), F.min(F.struct("r1", "r2")).alias("row"))
     texts = common.cut(texts.withColumn("node", F.monotonically_increasing_id()))
     rows = _grouped(texts)
     # Only texts that share a key are read again.
