@@ -2,6 +2,7 @@
 
 from math import exp, log
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
@@ -287,6 +288,21 @@ def test_lines_of_split_files_keep_their_order(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_files_of_other_kinds(spark, tmp_path):
+    assert jsonl.read_lines(spark, str(tmp_path / "none.jsonl"), "k int").columns == ["seq", "k"] and jsonl.read_lines(spark, str(tmp_path / "none.jsonl"), "k int").count() == 0
+    for region in ("KR", "US"):
+        (tmp_path / f"chart_{region}.jsonl").write_text('{"rank": 1}\n', encoding="utf-8")
+    assert {(r.region, r["rank"]) for r in jsonl.read_charts(spark, str(tmp_path), "rank int").collect()} == {("KR", 1), ("US", 1)}
+    for name, content in (("list", '[{"task_id": "a"}]'), ("object", '{"cards": [{"task_id": "a"}]}'), ("other", '{"x": 1}')):
+        (tmp_path / f"{name}.json").write_text(content, encoding="utf-8")
+    assert [r.task_id for n in ("list", "object") for r in jsonl.read_cards(spark, str(tmp_path / f"{n}.json"), "task_id string").collect()] == ["a", "a"]
+    with pytest.raises(Exception, match="neither a list"):
+        jsonl.read_cards(spark, str(tmp_path / "other.json"), "task_id string").collect()
+    assert [r.violation for r in producers.frontier_rows(spark.createDataFrame([("a", "open"), (" ", "open"), ("b", "jump")], "item string, op string")).collect()] == [None, "empty item", "unknown operation"]
+    texts = spark.createDataFrame([("v", 0, 1, "10"), ("v", 3600, 2, "n/a"), ("v", 7200, 3, " 30 ")], "id string, s long, seq long, views string").withColumn("at", F.timestamp_seconds("s"))
+    assert [r.per_hour for r in trends.velocity_series(texts).collect()] == [10.0]
+
+
 def test_runs_are_read_once(spark, tmp_path):
     for run in ("r_a", "research/r_b"):
         (tmp_path / run).mkdir(parents=True)

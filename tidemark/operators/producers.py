@@ -10,6 +10,7 @@ from tidemark.functions import web
 from .ledger import stable_id
 
 # Closed vocabularies.
+OPERATIONS = ("open", "close", "visit", "note")
 POLARITIES, STAKES, MODES, OUTCOMES, KINDS = ("confirms", "disconfirms", "neutral", ""), ("", "low", "med", "high"), ("discover", "debunk"), ("hit", "miss", "unresolved"), ("video", "channel")
 DOMAINS = ("breadth", "recency", "consistency", "traceability", "source_type", "modality")
 ARITHMETIC = ("breadth", "recency", "consistency")
@@ -24,6 +25,12 @@ def finding_violations(findings: DataFrame, artifacts: DataFrame) -> DataFrame:
     return loose.unionByName(others).unionByName(odd)
 
 
+def frontier_rows(events: DataFrame) -> DataFrame:
+    """Events of a frontier (``item, op``) with their violation, null if fit to append: a blank item or an unknown operation."""
+    bad = F.when(F.trim(F.coalesce("item", F.lit(""))) == "", "empty item").when(~F.coalesce("op", F.lit("")).isin(*OPERATIONS), "unknown operation")
+    return events.withColumn("violation", bad)
+
+
 def hypothesis_rows(theses: DataFrame) -> DataFrame:
     """Hypotheses (``thesis, stakes, mode``) with their id and first violation, null if fit to append."""
     bad = F.when(F.trim(F.coalesce("thesis", F.lit(""))) == "", "empty thesis").when(~F.coalesce("stakes", F.lit("")).isin(*STAKES), "unknown stakes").when(~F.coalesce("mode", F.lit("discover")).isin(*MODES), "unknown mode")

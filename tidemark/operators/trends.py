@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 def velocity_series(snapshots: DataFrame) -> DataFrame:
     """Change per hour between consecutive usable snapshots of an item: ``id, at, hours, per_hour``.
 
-    ``snapshots`` has (id, at timestamp, seq, views bigint or null).  Rows without a count are passed over
-    first, then of rows at one time the first in log order counts.
+    ``snapshots`` has (id, at timestamp, seq, views bigint or text or null).  Rows without a count, or whose text is none,
+    are passed over first, then of rows at one time the first in log order counts.
     """
+    if snapshots.schema["views"].dataType.simpleString() == "string":
+        snapshots = snapshots.withColumn("views", F.when(F.trim("views").rlike(r"^[+-]?\d+$"), F.trim("views").try_cast("long")))
     usable = snapshots.filter(F.col("views").isNotNull()).groupBy("id", "at").agg(F.min_by("views", "seq").alias("views"))
     w = Window.partitionBy("id").orderBy("at")
     hours = (F.unix_micros("at") - F.unix_micros(F.lag("at").over(w))) / 3.6e9

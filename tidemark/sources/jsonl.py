@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -10,10 +11,17 @@ from pyspark.sql.types import StructType
 def read_lines(spark: SparkSession, path: str | list[str], schema: StructType | str, seq: str = "seq") -> DataFrame:
     """Records of JSON lines with their order ``seq``; blank and broken lines, such as a torn last one, are left out.
 
-    The order is that of files by path, of the parts that a large file is read in, and of lines within them.
+    The order is that of files by path, of the parts that a large file is read in, and of lines within them.  Where there
+    is no file there are no records.
     """
-    lines = spark.read.text(path).select(F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("line")).alias("_s"), F.col("value").alias("_l"))
     kind = schema if isinstance(schema, str) else schema.simpleString()
+    try:
+        texts = spark.read.text(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"{seq} struct<file:string,part:bigint,line:bigint>, {_fields(kind)}")
+    lines = texts.select(F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("line")).alias("_s"), F.col("value").alias("_l"))
     corrupt = f"struct<{_fields(kind)},_broken:string>"
     parsed = lines.select("_s", "_l", F.from_json("_l", corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("r")).filter(F.trim("_l") != "")
     good = parsed.filter(F.col("r").isNotNull() & F.col("r._broken").isNull())
@@ -40,6 +48,12 @@ def matching(spark: SparkSession, pattern: str) -> list[str]:
     return sorted({files.resolvePath(f.getPath()).toString() for f in files.globStatus(path) or []})
 
 
+def read_charts(spark: SparkSession, base: str, schema: StructType | str, prefix: str = "chart", seq: str = "seq") -> DataFrame:
+    """Records of charts, of which each region has a file ``<prefix>_<region>.jsonl``, with their ``region``."""
+    rows = read_lines(spark, f"{base}/{prefix}_*.jsonl", schema, seq)
+    return rows.select(seq, F.regexp_extract(F.col(f"{seq}.file"), rf"/{prefix}_([^/]*)\.jsonl$", 1).alias("region"), *[c for c in rows.columns if c != seq])
+
+
 def _fields(kind: str) -> str:
     return kind[len("struct<") : -1] if kind.startswith("struct<") else kind
 
@@ -48,8 +62,8 @@ def read_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of files that each hold one JSON array; missing or broken files give none."""
     try:
         texts = spark.read.option("wholetext", True).text(path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
     return texts.select(F.explode(F.from_json("value", f"array<struct<{_fields(schema)}>>")).alias("r")).select("r.*")
@@ -62,10 +76,10 @@ def read_registry(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_cards(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Benchmark cards from a list or from ``{"cards": [...]}``."""
+    """Benchmark cards from a list or from ``{"cards": [...]}``; any other file is an error."""
     texts = spark.read.option("wholetext", True).text(path)
     each = f"array<struct<{_fields(schema)}>>"
-    cards = F.when(F.col("value").rlike(r"^\s*\["), F.from_json("value", each)).otherwise(F.from_json("value", f"struct<cards:{each}>")["cards"])
+    cards = F.when(F.col("value").rlike(r"^\s*\["), F.from_json("value", each)).otherwise(F.coalesce(F.from_json("value", f"struct<cards:{each}>")["cards"], F.raise_error(F.lit("cards are neither a list nor in an object's list of that name")).cast(each)))
     return texts.select(F.explode(cards).alias("r")).select("r.*")
 
 
