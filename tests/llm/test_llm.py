@@ -645,6 +645,19 @@ def test_other_tokenizer_files_are_refused(path, tmp_path):
             bpe.codec(str(other))
 
 
+def test_work_in_a_child(monkeypatch):
+    import time
+
+    from tidemark.llm import common
+
+    assert common.in_child(lambda: b"x" * 1_000_000) == b"x" * 1_000_000 and common.in_child(lambda: b"") == b""
+    with pytest.raises(RuntimeError, match="failed"):
+        common.in_child(lambda: 1 / 0)
+    monkeypatch.setattr(common, "CHILD_SECONDS", 1)
+    with pytest.raises(RuntimeError, match="over 1 s"):
+        common.in_child(lambda: time.sleep(60) or b"")
+
+
 def test_fitting_takes_part_of_a_table(spark):
     """One text of an id, in the order of a hash of the ids, up to the characters given; nothing of what is held out."""
     from tidemark.llm import common

@@ -13,6 +13,8 @@ from tidemark.sources.storage import cut, ensure_checkpoint_dir, importable  # n
 
 #: Rows that an operator works on at once inside a Python worker, whatever the size of the Arrow batch.
 CHUNK_ROWS = 512
+#: Seconds that a child process may take.
+CHILD_SECONDS = 3600
 
 
 def map_rows(df: DataFrame, cols: list[str], fn: Callable[[list[list]], dict], schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -97,8 +99,13 @@ def fit_sample(sample: DataFrame, fit: Callable[[list[tuple[str, int]]], object]
 
 
 def in_child(work: Callable[[], bytes]) -> bytes:
-    """What ``work`` returns, done in a child of this process, so that its memory goes with it."""
+    """What ``work`` returns, done in a child of this process, so that its memory goes with it.
+
+    A child that fails or hangs fails the task, which Spark repeats.
+    """
     import os
+    import select
+    import signal
 
     out, into = os.pipe()
     child = os.fork()
@@ -117,9 +124,12 @@ def in_child(work: Callable[[], bytes]) -> bytes:
             os._exit(status)
     os.close(into)
     with os.fdopen(out, "rb") as f:
+        late = not select.select([f], [], [], CHILD_SECONDS)[0]
+        if late:
+            os.kill(child, signal.SIGKILL)
         made = f.read()
     if os.waitpid(child, 0)[1]:
-        raise RuntimeError("the work in the child process failed; its error is in the log")
+        raise RuntimeError(f"the child process took over {CHILD_SECONDS} s" if late else "the work in the child process failed; its error is in the log")
     return made
 
 

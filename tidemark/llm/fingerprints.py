@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Where passages end: after a line feed, and after a stop or comma with a space.
 PASSAGES = r"(?<=\n)|(?<=[.!?,;:] )"
 #: 32-bit sums; words of three 20-bit counters with a guard bit each; hashes that feed the counters.
@@ -153,7 +155,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", carried: tuple[str, ...]
     ready = placed(docs, id_col, carried, neighbours)
     order = Window.partitionBy("_bucket").orderBy(F.desc("_key"), "_tie")
     side = ready.withColumns({f"_next_{c}": F.lead(c).over(order) for c in carried} | {"_last": F.lead("_key").over(order).isNull(), "_first": F.lag("_key").over(order).isNull()})
-    upper = _upper_of(ready.select(F.col("_bucket").alias("bucket")).distinct())
+    upper = _upper_of(common.cut(ready.select(F.col("_bucket").alias("bucket")).distinct()))
     # A left join, as an inner one would put a filter on one of the two readers of the exchange.
     heads = side.filter("_first").join(upper, F.col("_bucket") == F.col("bucket"), "left").select(F.col("upper").alias("_upper"), *[F.col(c).alias(f"_head_{c}") for c in carried])
     met = side.join(heads, (F.col("_bucket") == F.col("_upper")) & F.col("_last"), "left")
