@@ -25,14 +25,18 @@ def resolved(predictions: DataFrame, resolutions: DataFrame) -> DataFrame:
 def calibration(predictions: DataFrame, resolutions: DataFrame) -> DataFrame:
     """One row of totals, resolution rate, Brier scores over all and over anchored resolutions, and the greatest gap of a bucket.
 
-    Resolutions at or before the forecast count, and are reported as premature.
+    Resolutions at or before the forecast count, and are reported as premature.  Distinct forecasts are counted where
+    these have their claim, deadline and hypothesis.
     """
     done = resolved(predictions, resolutions)
     error = F.pow(F.col("p") - F.col("y"), 2)
     scored = done.agg(F.count("*").alias("n_resolved"), F.count_if("premature").alias("n_premature"), F.round(F.avg(error), 4).alias("brier_all"), F.round(F.avg(F.when(F.col("anchored"), error)), 4).alias("brier_anchored"))
     met = predictions.agg(F.count("*").alias("n_predictions")).join(scored, how="cross")
     rate = F.when(F.col("n_predictions") > 0, F.round(F.col("n_resolved") / F.col("n_predictions"), 3)).otherwise(0.0)
-    distinct = evidence.prediction_counts(predictions).agg(F.coalesce(F.sum("distinct_predictions"), F.lit(0)).alias("n_distinct"))
+    if {"claim", "resolve_by", "hypothesis_id"} <= set(predictions.columns):
+        distinct = evidence.prediction_counts(predictions).agg(F.coalesce(F.sum("distinct_predictions"), F.lit(0)).alias("n_distinct"))
+    else:
+        distinct = predictions.sparkSession.range(1).select(F.lit(None).cast("long").alias("n_distinct"))
     worst = reliability(predictions, resolutions).agg(F.max("gap").alias("worst_bucket_gap"))
     met = met.join(distinct, how="cross").join(worst, how="cross")  # of one row each
     return met.withColumns({"resolution_rate": rate, "brier_divergence": F.round(F.col("brier_all") - F.col("brier_anchored"), 4)})
