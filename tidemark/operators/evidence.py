@@ -188,8 +188,10 @@ def triangulate(findings: DataFrame, artifacts: DataFrame, key: str = "hypothesi
         of("confirms", "host").alias("confirming_hosts"), of("disconfirms", "host").alias("disconfirming_hosts"), of("confirms", "unit").alias("confirming_origins"), of("disconfirms", "unit").alias("disconfirming_origins"),
         F.array_sort(F.collect_set(F.when(F.col("polarity") == "confirms", F.col("modality")))).alias("modalities"),
     )
-    sides = [distinct_texts(findings.filter(F.col("polarity") == p), key, "seq", "text").select(key, F.col("n_distinct").alias(f"{n}_claims")) for p, n in (("confirms", "confirming"), ("disconfirms", "disconfirming"))]
-    out = counted.join(sides[0], key, "left").join(sides[1], key, "left")
+    told = findings.filter(F.col("polarity").isin("confirms", "disconfirms")).withColumn("_g", F.struct(key, "polarity"))
+    claims = distinct_texts(told, "_g", "seq", "text").select(F.col(f"_g.{key}").alias(key), F.col("_g.polarity").alias("_p"), "n_distinct")
+    of_side = lambda p: F.sum(F.when(F.col("_p") == p, F.col("n_distinct")))
+    out = counted.join(claims.groupBy(key).agg(of_side("confirms").alias("confirming_claims"), of_side("disconfirms").alias("disconfirming_claims")), key, "left")
     return out.withColumns({"confirming_claims": F.coalesce("confirming_claims", F.lit(0)), "disconfirming_claims": F.coalesce("disconfirming_claims", F.lit(0)), "net_hosts": F.col("confirming_hosts") - F.col("disconfirming_hosts"), "net_origins": F.col("confirming_origins") - F.col("disconfirming_origins")})
 
 
