@@ -7,19 +7,26 @@ from math import log
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import own_exchange
+
 
 def velocity_series(snapshots: DataFrame) -> DataFrame:
     """Change per hour between consecutive usable snapshots of an item: ``id, at, hours, per_hour``.
 
     ``snapshots`` has (id, at timestamp, seq, views bigint or text or null).  Rows without a count, or whose text is none,
-    are passed over first, then of rows at one time the first in log order counts.
+    are passed over first, then of rows at one time the first in log order counts.  Rows without id or time take no part.
     """
     if snapshots.schema["views"].dataType.simpleString() == "string":
         snapshots = snapshots.withColumn("views", F.when(F.trim("views").rlike(r"^[+-]?\d+$"), F.trim("views").try_cast("long")))
-    usable = snapshots.filter(F.col("views").isNotNull()).groupBy("id", "at").agg(F.min_by("views", "seq").alias("views"))
-    w = Window.partitionBy("id").orderBy("at")
-    hours = (F.unix_micros("at") - F.unix_micros(F.lag("at").over(w))) / 3.6e9
-    pairs = usable.select("id", "at", hours.alias("hours"), (F.col("views") - F.lag("views").over(w)).alias("change"))
+    usable = snapshots.filter(F.col("views").isNotNull() & F.col("at").isNotNull()).groupBy("id", "at").agg(F.min_by("views", "seq").alias("views")).withColumn("_d", F.date_trunc("day", "at"))
+    # Points are put in order within a day; only a day's last one is put in order with those of other days.
+    w = Window.partitionBy("id", "_d").orderBy("at")
+    inside = usable.select("id", "_d", "at", "views", F.lag(F.struct("at", "views")).over(w).alias("_b"))
+    ends = usable.groupBy("id", "_d").agg(F.max(F.struct("at", "views")).alias("_e"))
+    earlier = ends.select("id", "_d", F.lag("_e").over(Window.partitionBy("id").orderBy("_d")).alias("_e"))
+    met = inside.join(earlier, ["id", "_d"]).withColumn("_b", F.coalesce("_b", "_e"))
+    hours = (F.unix_micros("at") - F.unix_micros("_b.at")) / 3.6e9
+    pairs = met.select("id", "at", hours.alias("hours"), (F.col("views") - F.col("_b.views")).alias("change"))
     return pairs.filter("hours > 0").select("id", "at", "hours", (F.col("change") / F.col("hours")).alias("per_hour"))
 
 
@@ -29,20 +36,20 @@ def half_life(points: DataFrame, least: int = 3) -> DataFrame:
     The peak is the first greatest point; a line is fitted to the logarithm of the positive points from
     there on.  ``have`` is what the status rests on: all points, or those of the decline.
     """
-    w = Window.partitionBy("id").orderBy("at")
-    ranked = points.withColumn("i", F.row_number().over(w))
-    every = Window.partitionBy("id")
-    # Of equal peaks the first: the greatest pair of value and negative position.
-    top = F.max(F.struct("per_hour", (-F.col("i")).alias("neg"))).over(every)
-    marked = ranked.select("id", "at", "per_hour", "i", (-top["neg"]).alias("peak"), F.count("*").over(every).alias("n"))
-    part = (F.col("i") >= F.col("peak")) & (F.col("per_hour") > 0)
+    # Of equal peaks the first; an item's facts are met with its points by a key that lets a hot item be split.
+    facts = points.groupBy("id").agg(F.count("*").alias("n"), F.max("at").alias("_last"), F.max(F.struct("per_hour", (-F.unix_micros("at")).alias("neg"))).alias("_top"))
+    key = own_exchange(F.xxhash64("id"))
+    near = facts.select(F.col("id").alias("_id"), key.alias("_h"), "n", "_last", (-F.col("_top.neg")).alias("_peak"))
+    met = points.withColumn("_k", key).join(near, (F.col("_k") == F.col("_h")) & F.col("id").eqNullSafe(F.col("_id")))
+    marked = met.select("id", "at", "per_hour", "n", (F.unix_micros("_last") <= F.col("_peak")).alias("at_end"), (F.unix_micros("at") >= F.col("_peak")).alias("after"))
+    part = F.col("after") & (F.col("per_hour") > 0)
     # Hours since a fixed time fit the same line as hours since the peak.
     x = F.when(part, (F.unix_micros("at") / 3.6e9) - 470_000)
     y = F.when(part, F.ln("per_hour"))
     fitted = marked.groupBy("id").agg(
-        F.max("n").alias("n"), F.max("peak").alias("peak"), F.count_if(part).alias("m"), F.regr_slope(y, x).alias("slope"), F.regr_r2(y, x).alias("r2"), F.count_distinct(x).alias("nx"), F.count_distinct(y).alias("ny")
+        F.max("n").alias("n"), F.max("at_end").alias("at_end"), F.count_if(part).alias("m"), F.regr_slope(y, x).alias("slope"), F.regr_r2(y, x).alias("r2"), F.count_distinct(x).alias("nx"), F.count_distinct(y).alias("ny")
     )
-    few = F.when(F.col("peak") >= F.col("n"), "not_decaying").otherwise("insufficient_data")
+    few = F.when(F.col("at_end"), "not_decaying").otherwise("insufficient_data")
     status = F.when(F.col("n") < least, "insufficient_data").when(F.col("m") < least, few).when(F.col("nx") < 2, "insufficient_data").when(F.col("slope") >= 0, "not_decaying").otherwise("ok")
     ok = F.col("status") == "ok"
     return fitted.withColumn("status", status).select(
