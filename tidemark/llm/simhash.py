@@ -30,9 +30,9 @@ from . import common
 #: Fingerprints compared with each other in one group before it is split.
 LIMIT = 2048
 #: Shingles of the sets that are compared with each other in one group before it is split.
-WEIGHT = 6_000_000
+WEIGHT = 2_000_000
 #: Rows sorted into groups at once by a worker, and the bytes from which on fewer are.
-ROWS_AT_ONCE, BYTES_AT_ONCE = 65_536, 32_000_000
+ROWS_AT_ONCE, BYTES_AT_ONCE = 65_536, 12_000_000
 SEED = 42
 
 
@@ -151,9 +151,10 @@ def alike_forest(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     root = np.arange(n)
     sizes = np.array([len(s) for s in sets])
     values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    values, ids = len(values), ids.astype(np.int32)
     ends = np.cumsum(sizes)
     own = [ids[e - k : e] for e, k in zip(ends.tolist(), sizes.tolist(), strict=True)]
-    marked = np.zeros(len(values), np.int64)
+    marked = np.zeros(values, np.int32)
     left, flat = np.flatnonzero(sizes > 0), ids  # rows in no component yet, in order, and their sets end to end
     while len(left) > 1:
         first, left = int(left[0]), left[1:]
