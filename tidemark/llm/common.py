@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.sources.storage import cut, ensure_checkpoint_dir, importable  # noqa: F401
+from tidemark.sources.storage import cut, ensure_checkpoint_dir, importable, remove, shared_folder  # noqa: F401
 
 #: Rows that an operator works on at once inside a Python worker, whatever the size of the Arrow batch.
 CHUNK_ROWS = 512
@@ -133,6 +133,21 @@ def in_child(work: Callable[[], bytes]) -> bytes:
     return made
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder of the shared storage, removed with the application."""
+    import atexit
+    import uuid
+
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def gone() -> None:
+        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+            remove(spark, folder)
+
+    atexit.register(gone)
+    return folder
+
+
 def release() -> None:
     """Give freed memory back to the system; workers stay for later tasks, and what they hold counts all the while."""
     import ctypes
