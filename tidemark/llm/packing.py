@@ -57,6 +57,14 @@ def token_ids(text: str, path: str) -> list[int]:
     return enc.encode(text, allowed_special="all") if any(s in text for s in special) else enc.encode_ordinary(text)
 
 
+def token_array(text: str, path: str) -> np.ndarray:
+    """``token_ids`` as an array, without a list between."""
+    enc, special = encoder(path)
+    if LONG_RUN.search(text):
+        return np.frombuffer(codec(path).encode(text), "<u4")
+    return enc.encode_to_numpy(text, allowed_special="all" if any(s in text for s in special) else set(), disallowed_special=())
+
+
 def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     """Bins of indices: each piece by falling length goes where the least room remains."""
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from . import common
-from .packing import token_ids
+from .packing import token_array
 
 #: Ids of a shard, at least, unless its partition ends; a longer document is a shard of its own.
 BLOCK = 1 << 20
@@ -66,18 +66,28 @@ class Grammar:
         out[made] = self.spans[symbols[made] - self.first]
         return out
 
-    def expanded(self, symbols: np.ndarray) -> np.ndarray:
+    def _unfolded(self, symbols: np.ndarray) -> np.ndarray:
         """The ids that symbols stand for: each pass replaces all new symbols by the two of their rules."""
         seq = symbols.astype("i8")
         while (made := seq >= self.first).any():
             width = made + 1
             at = np.cumsum(width) - width
             out = np.empty(int(width.sum()), "i8")
-            out[at] = np.where(made, self.left[np.where(made, seq - self.first, 0)] if len(self.left) else 0, seq)
-            out[at[made] + 1] = self.right[seq[made] - self.first]
+            out[at] = seq
+            out[at[made]], out[at[made] + 1] = self.left[seq[made] - self.first], self.right[seq[made] - self.first]
             seq = out
         return seq.astype("<u4")
 
+    def expanded(self, symbols: np.ndarray) -> np.ndarray:
+        """The ids that symbols stand for: rules are unfolded once, and each symbol copies what its rule stands for."""
+        used = np.unique(symbols[symbols >= self.first])
+        copied = np.concatenate([self._unfolded(used), symbols.astype("<u4")])
+        spans = self.lengths(used)
+        n, begin = self.lengths(symbols), np.arange(len(symbols)) + int(spans.sum())
+        made = symbols >= self.first
+        begin[made] = (np.cumsum(spans) - spans)[np.searchsorted(used, symbols[made])]
+        return copied[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
     def tokens(self, start: int = 0, length: int | None = None) -> np.ndarray:
         """``length`` ids from ``start`` on, decoding only the symbols that hold them."""
         ends = np.cumsum(self.lengths(self.symbols))
@@ -91,12 +101,16 @@ class Grammar:
         return self.expanded(self.symbols[a : b + 1])[skip : skip + until - start]
 
 
+def _slots(pairs: np.ndarray, bits: int) -> np.ndarray:
+    return ((pairs * _MIX) >> np.int64(64 - bits)) & ((1 << bits) - 1)
+
+
 def re_pair(ids: np.ndarray, least: int = LEAST, rounds: int = ROUNDS, share: int = SHARE) -> Grammar:
     """The grammar of a sequence of ids.
 
     Each round replaces all pairs that stand at least as often as one ``share``-th of the most frequent one, ``least``
-    times at any rate.  Of pairs that overlap the one further left is taken.  Pairs are told apart by their symbols;
-    a table of hashed counts only says which are too rare to be looked at.
+    times at any rate.  Of pairs that overlap the one further left is taken.  A table of hashed counts says which are
+    too rare to be looked at.
     """
     seq = np.asarray(ids).astype("i8")
     first = made = int(seq.max()) + 1 if len(seq) else 0
@@ -108,17 +122,25 @@ def re_pair(ids: np.ndarray, least: int = LEAST, rounds: int = ROUNDS, share: in
         if len(seq) < 2:
             break
         pairs = (seq[:-1] << 32) | seq[1:]
-        slots = ((pairs * _MIX) >> np.int64(64 - bits)) & ((1 << bits) - 1)
+        slots = _slots(pairs, bits)
         counts = np.bincount(slots, minlength=1 << bits)
         often = max(least, int(counts.max()) // share)
         at = np.flatnonzero((counts >= often)[slots])
-        known, which, n = np.unique(pairs[at], return_inverse=True, return_counts=True)
-        if not (n >= often).any():
+        found = np.sort(pairs[at])
+        begins = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else np.zeros(0, "i8")
+        n = np.diff(np.append(begins, len(found)))
+        known = found[begins[n >= often]]
+        if not len(known):
             if often == least:
                 break
             share *= 4  # the greatest count was of pairs that share a slot
             continue
-        at, which = at[(n >= often)[which]], which[(n >= often)[which]]
+        # Of frequent pairs that share a slot one is taken now.
+        owner = np.full(1 << bits, -1, "i4")
+        owner[_slots(known, bits)] = np.arange(len(known))
+        which = owner[slots[at]]
+        mine = (which >= 0) & (known[which] == pairs[at])
+        at, which = at[mine], which[mine]
         # Neighbouring places overlap: of each stretch of them every other one is taken.
         begins = np.ones(len(at), bool)
         begins[1:] = at[1:] != at[:-1] + 1
@@ -174,7 +196,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, block: in
 
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = np.array([*token_ids(batch.column(1)[i].as_py() or "", tokenizer), end_id], "<u4")
+                ids = np.append(token_array(batch.column(1)[i].as_py() or "", tokenizer), np.uint32(end_id))
                 held.append(ids)
                 names.append(batch.column(0)[i].as_py())
                 n += len(ids)
