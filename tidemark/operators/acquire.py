@@ -53,34 +53,64 @@ def robots_decision(pages: DataFrame, robots: DataFrame, agent: str) -> DataFram
 
     Of a group's rules that match path and query the longest decides, an allow among equals; every group
     for one of the agent's products must allow, else those for ``*``.  Without a rule a page is allowed.
+
+    Rules are found by their literal beginnings, so a page meets those only that it may match; patterns are tried on
+    wildcard rules alone.
     """
     groups = robots_groups(robots)
     names = product_tokens(F.lit(agent))
     own = groups.withColumn("specific", F.size(F.array_intersect(F.array_remove("agents", "*"), names)) > 0)
     hosts = own.groupBy("host").agg(F.bool_or("specific").alias("any_specific"))
     applied = own.join(hosts, "host").filter(F.col("specific") | ~F.col("any_specific") & F.array_contains("agents", "*"))
-    rules = applied.filter("kind IN ('allow', 'disallow') AND value != ''").select("host", "grp", "kind", "value", rule_pattern(F.col("value")).alias("pattern"))
+    literal = F.regexp_extract("value", r"(?s)^(.*?)(?:\*.*|\$)?$", 1)
+    ruled = applied.filter("kind IN ('allow', 'disallow') AND value != ''").select("host", "grp", "kind", "value", literal.alias("start")).distinct()
+    rules = ruled.withColumn("pattern", F.when(F.col("start") != F.col("value"), rule_pattern(F.col("value"))))
     query = F.try_parse_url("url", F.lit("QUERY"))
     path = F.concat(F.when(F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("")) == "", "/").otherwise(F.try_parse_url("url", F.lit("PATH"))), F.when(query.isNotNull(), F.concat(F.lit("?"), query)).otherwise(F.lit("")))
     asked = pages.select("url", web.host_name(F.col("url")).alias("host"), path.alias("path"))
-    matched = asked.join(rules, "host").filter(F.expr("path RLIKE pattern"))
+    # What stands before a rule's first wildcard is looked up among the beginnings of the path, of the lengths that the host's rules have.
+    sizes = rules.groupBy("host").agg(F.collect_set(F.length("start")).alias("sizes"))
+    begins = asked.join(sizes, "host").select("url", "host", "path", F.explode(F.filter("sizes", lambda n: n <= F.length("path"))).alias("n")).withColumn("start", F.expr("left(path, n)"))
+    matched = begins.join(rules, ["host", "start"]).filter(F.expr("pattern IS NULL OR path RLIKE pattern"))
     best = matched.groupBy("url", "host", "grp").agg(F.max_by("kind", F.struct(F.length("value"), (F.col("kind") == "allow").alias("a"))).alias("kind"))
     refused = best.filter("kind = 'disallow'").select("url", "host").distinct().withColumn("refused", F.lit(True))
     return asked.join(refused, ["url", "host"], "left").select("url", "host", F.col("refused").isNull().alias("allowed"))
 
 
-def meta_signals(html: Column, headers: Column | None = None) -> Column:
-    """Sorted opt-out signals of a page's meta tags and headers (a map of lower-case names): tdmrep, noai, noimageai, noml.
+#: Comments, declarations, raw text and quoted attributes are consumed whole, so a tag within them is none.
+_MARKUP = (
+    r"""(?is)<!--(?:-?>|.*?(?:--!?>|\z))|<[!?][^>]*>|<(script|style)(?=[\s/>])[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>.*?(?:</\1(?=[\s/>])|\z)"""
+    r"""|<meta(?=[\s/>])[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>|</?[a-z][^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>"""
+)
+_ATTRIBUTE = r"""(?s)([^\s"'>/=][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|(?!["'])[^>\s]*))?"""
+
 
-    Attributes may stand in any order and quoting.
+def meta_tags(html: Column) -> Column:
+    """The meta tags of a page in order: an array of ``name`` (or property, or http-equiv) and ``content``, lower case.
+
+    Tags in comments, scripts and styles are none; attributes may stand in any order and quoting, hold ``>`` in
+    quotes, and repeat, when the last counts.  A tag that isn't closed is none.  Character references aren't decoded.
     """
-    tags = F.regexp_extract_all(F.lower(F.coalesce(html, F.lit(""))), F.lit(r"<meta\b[^>]*>"), F.lit(0))
-    value = lambda t, a: F.regexp_extract(t, rf"[\s\"'/]{a}\s*=\s*[\"']?\s*([^\"'>]*)", 1)
-    named = lambda t: F.concat_ws(" ", value(t, "name"), value(t, "property"), value(t, "http-equiv"))
-    robots = F.array_join(F.transform(F.filter(tags, lambda t: F.trim(named(t)).isin("robots", "x-robots-tag")), lambda t: value(t, "content")), " ")
+    tags = F.filter(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(_MARKUP), F.lit(0)), lambda t: t.rlike(r"^(?i)<meta[\s/>]"))
+    inner = lambda t: F.regexp_replace(F.regexp_replace(t, r"^(?i)<meta", ""), r"/?>\z", "")
+
+    def read(t: Column) -> Column:
+        names, values = (F.regexp_extract_all(inner(t), F.lit(_ATTRIBUTE), F.lit(i)) for i in (1, 2))
+        pairs = F.transform(F.arrays_zip(names.alias("k"), values.alias("v")), lambda x: F.struct(F.lower(x["k"]).alias("k"), F.regexp_replace(x["v"], r"""(?s)^(["'])(.*)\1$""", "$2").alias("v")))
+        last = lambda n: F.lower(F.coalesce(F.try_element_at(F.filter(pairs, lambda x: x["k"] == n), F.lit(-1))["v"], F.lit("")))
+        one = lambda *ns: F.coalesce(*[F.when(last(n) != "", last(n)) for n in ns], F.lit(""))
+        return F.struct(one("name", "property", "http-equiv").alias("name"), last("content").alias("content"))
+
+    return F.filter(F.transform(tags, read), lambda m: m["name"] != "")
+
+
+def meta_signals(html: Column, headers: Column | None = None) -> Column:
+    """Sorted opt-out signals of a page's meta tags and headers (a map of lower-case names): tdmrep, noai, noimageai, noml."""
+    tags = meta_tags(html)
+    robots = F.array_join(F.transform(F.filter(tags, lambda m: F.trim(m["name"]).isin("robots", "x-robots-tag")), lambda m: m["content"]), " ")
     head = lambda n: F.lower(F.coalesce(headers[n], F.lit(""))) if headers is not None else F.lit("")
     said = F.concat(robots, F.lit(" "), head("x-robots-tag"))
-    reserved = (F.size(F.filter(tags, lambda t: (F.trim(named(t)) == "tdm-reservation") & (F.trim(value(t, "content")) == "1"))) > 0) | (F.trim(head("tdm-reservation")) == "1")
+    reserved = F.exists(tags, lambda m: (F.trim(m["name"]) == "tdm-reservation") & (F.trim(m["content"]) == "1")) | (F.trim(head("tdm-reservation")) == "1")
     return F.array_compact(F.array(*[F.when(said.rlike(rf"\b{n}\b"), F.lit(n)) for n in NOAI], F.when(reserved, F.lit("tdmrep"))))
 
 

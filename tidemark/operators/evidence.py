@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.functions import text as tx
 from tidemark.functions import web
-from tidemark.sources.storage import cut
+from tidemark.sources.storage import cut, importable
 
-from . import graph
+from . import graph, groups
 
 
 def numeric_conflicts(findings: DataFrame, group: str = "conclusion_id") -> DataFrame:
@@ -28,6 +34,74 @@ def numeric_conflicts(findings: DataFrame, group: str = "conclusion_id") -> Data
     return met.select(group, "a_seq", "b_seq", "a", "b", shown.alias("numbers"))
 
 
+#: Classes of findings that are compared with one another at once.
+CHUNK = 4096
+
+
+def _links_of(rows: list[tuple]) -> list[tuple]:
+    """For each asked class how many findings conflict with it, and the first: rows ``c, numbers, words, m, asked, known``, by ``c``."""
+    known = [r for r in rows if r[5]]
+    named: dict[tuple, int] = {}
+    number = lambda r: named.setdefault(tuple(r[1]), len(named))
+    values, many = np.array([number(r) for r in known]), np.array([r[3] for r in known])
+    words = np.concatenate([np.asarray(r[2], "i8") for r in known])
+    owner = np.repeat(np.arange(len(known)), [len(r[2]) for r in known])
+    by_word = np.argsort(words, kind="stable")
+    words, owner = words[by_word], owner[by_word]
+    out = []
+    for r in rows:
+        if not r[4]:
+            continue
+        mine = np.asarray(r[2], "i8")
+        lo, hi = np.searchsorted(words, mine, "left"), np.searchsorted(words, mine, "right")
+        n = hi - lo
+        met = np.zeros(len(known), bool)
+        met[owner[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]] = True
+        met &= values != number(r)
+        if met.any():
+            out.append((r[0], int(many[met].sum()), known[int(np.argmax(met))][0]))
+    return out
+
+
+def conflict_links(findings: DataFrame, group: str = "conclusion_id", chunk: int = CHUNK) -> DataFrame:
+    """Each finding with numbers, and how many of its group it conflicts with: ``group, seq, artifact_id, class_seq, n_links, first_seq``.
+
+    Two findings conflict if they share a content word and differ in their numbers.  Those with the same numbers and
+    the same words are one class, named by its first finding (``class_seq``); ``first_seq`` is the first finding of the
+    classes in conflict, null if there is none.  Classes are dealt into chunks of about ``chunk``, and every chunk is held
+    against every other of its group, so a group of any size is dealt over tasks and pairs are counted, not listed.
+    Words are told apart by a 64-bit hash.  Null groups take no part.
+    """
+    words = F.array_sort(F.transform(F.array_distinct(tx.tokens(F.col("quote"))), lambda w: F.xxhash64(w)))
+    own = cut(findings.select(group, "seq", "artifact_id", tx.numbers(F.col("quote")).alias("numbers"), words.alias("words")).filter((F.size("numbers") > 0) & F.col(group).isNotNull()))
+    classes = cut(own.groupBy(group, "numbers", "words").agg(F.min("seq").alias("c"), F.count("*").alias("m")))
+    dealt = classes.filter(F.size("words") > 0).join(classes.groupBy(group).agg(F.ceil(F.count("*") / chunk).alias("parts")), group).withColumn("part", F.pmod(F.xxhash64("c"), "parts"))
+    every, own_part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("o"), F.col("o") == F.col("part")
+    body = ["c", "numbers", "words", "m"]
+    asked = dealt.select(group, "part", *body, every).select(group, F.col("part").alias("i"), F.col("o").alias("j"), *body, F.lit(True).alias("asked"), own_part.alias("known"))
+    held = dealt.select(group, "part", *body, every).filter(~own_part).select(group, F.col("o").alias("i"), F.col("part").alias("j"), *body, F.lit(False).alias("asked"), F.lit(True).alias("known"))
+    ready = asked.unionByName(held).repartition(F.col(group), "i", "j").sortWithinPartitions(group, "i", "j", "c")
+    fields = StructType([ready.schema[group], StructField("c", ready.schema["c"].dataType), StructField("n", LongType()), StructField("first", ready.schema["c"].dataType)])
+    arrow = to_arrow_schema(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in groups.whole_groups(batches, 3):
+            if found := _links_of([r[3:] for r in rows]):
+                columns = [[key[0]] * len(found), *zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], names=arrow.names)
+
+    importable(findings.sparkSession)
+    counted = ready.mapInArrow(run, fields).groupBy(group, "c").agg(F.sum("n").alias("n_links"), F.min("first").alias("first_seq"))
+    named = own.join(classes.select(group, "numbers", "words", "c"), [group, "numbers", "words"]).select(group, "seq", "artifact_id", "c")
+    return named.join(counted, [group, "c"], "left").select(group, "seq", "artifact_id", F.col("c").alias("class_seq"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "first_seq")
+
+
+def conflict_counts(findings: DataFrame, group: str = "conclusion_id") -> DataFrame:
+    """How many pairs of findings of each group conflict: ``group, conflicts``; groups without any are left out."""
+    links = conflict_links(findings, group).groupBy(group).agg(F.sum("n_links").alias("n"))
+    return links.filter("n > 0").select(group, (F.col("n") / 2).cast("long").alias("conflicts"))
+
+
 def shingle_sets(items: DataFrame, group: list[str], node: str, text: str) -> DataFrame:
     """The hashed shingles ``s``, sorted, of each item ``n`` of a group; made once and read again by what compares them."""
     return cut(items.select(*group, F.col(node).alias("n"), tx.hashed_shingles(tx.tokens(F.col(text))).alias("s")))
@@ -142,7 +216,7 @@ def grade(findings: DataFrame, artifacts: DataFrame, pubdates: DataFrame, knobs:
         F.min(F.when(F.col("age") >= 0, F.col("age"))).alias("freshest_age"), F.bool_and(F.coalesce(F.col("sha256") != "", F.lit(False))).alias("all_hashed"),
         F.count_distinct(F.coalesce("type", F.lit(""))).alias("n_types"), F.array_sort(F.collect_set(web.modality(F.coalesce("type", F.lit(""))))).alias("modalities"),
     )
-    conflicts = numeric_conflicts(findings, group).groupBy(group).agg(F.count("*").alias("conflicts"))
+    conflicts = conflict_counts(findings, group)
     everything = findings.select(group).distinct().join(facts, group, "left").join(effective_sources(cited, group, knobs.get("dup_similarity")), group, "left").join(conflicts, group, "left")
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("n_artifacts", "distinct_hosts", "n_dated", "n_future", "n_types", "effective_sources", "conflicts")}
     m = everything.withColumns(zero | {"all_hashed": F.coalesce("all_hashed", F.lit(False)), "modalities": F.coalesce("modalities", F.array().cast("array<string>"))})
@@ -271,25 +345,49 @@ def host_concentration(findings: DataFrame, artifacts: DataFrame, key: str = "hy
     return total.join(top, key, "left").select(key, "confirming", F.coalesce("t.host", F.lit("")).alias("host"), F.coalesce("t.n", F.lit(0)).alias("n"), (F.coalesce("t.n", F.lit(0)) / F.col("confirming") > over).alias("concentrated"))
 
 
-def echo_clusters(findings: DataFrame, key: str = "hypothesis_id", least: float = tx.NEAR) -> DataFrame:
-    """How many clusters of near-identical signals each hypothesis has.
+def _alike_texts(findings: DataFrame, key: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """Classes of signals with the same shingles, or the same words if they are short, and the pairs of classes that are alike.
 
-    Clusters are connected components of the similar pairs, so their number doesn't depend on the log's
-    order (a greedy seed order counts chains differently; whether there is any cluster is the same).  Texts
-    under a shingle's length are compared by their words.
+    ``key, seq, c`` with the first signal of each class as its name ``c``, and ``key, a, b``.
     """
-    made = cut(findings.select(key, "seq", "text", tx.tokens(F.col("text")).alias("t")))
-    own = shingle_sets(made.filter(F.size("t") >= tx.SHINGLE), [key], "seq", "text")
-    copies = _members(own, [key]).filter("n != c").select(key, F.col("n").alias("a"), F.col("c").alias("b"))
-    pairs = near_classes(own, [key], least).select(key, "a", "b").unionByName(copies)
-    words = made.select(key, "seq", F.array_distinct("t").alias("w"), (F.size("t") < tx.SHINGLE).alias("short"))
-    # Only short texts, of one word or two, look for others, and their words are few.
-    asked = words.filter("short").select(key, F.col("seq").alias("a"), F.col("w").alias("aw"), F.explode("w").alias("x"))
-    # A text like a short one has few words itself.
+    made = cut(findings.select(key, "seq", tx.tokens(F.col("text")).alias("t")).filter(F.size("t") > 0))
+    long = F.size("t") >= tx.SHINGLE
+    own = cut(made.filter(long).select(key, F.col("seq").alias("n"), tx.hashed_shingles(F.col("t")).alias("s")))
+    words = made.select(key, "seq", F.array_sort(F.array_distinct("t")).alias("w"), (~long).alias("short"))
+    brief = words.filter("short").groupBy(key, "w").agg(F.min("seq").alias("c"))
+    classes = _members(own, [key]).select(key, F.col("n").alias("seq"), "c").unionByName(words.filter("short").join(brief, [key, "w"]).select(key, "seq", "c"))
+    # Only short texts, of one word or two, look for others, and their words are few; what is like them has few words too.
     most = int((tx.SHINGLE - 1) / least)
-    near = words.filter(F.size("w") <= most).select(key, F.col("seq").alias("b"), F.col("w").alias("bw"), F.explode("w").alias("x"))
-    brief = asked.join(near, [key, "x"]).filter((F.col("a") != F.col("b")) & (tx.jaccard(F.col("aw"), F.col("bw")) >= least)).select(key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    edges = pairs.unionByName(brief).distinct()
+    names = words.filter(F.size("w") <= most).join(classes.filter("seq = c").select(key, "seq"), [key, "seq"], "left_semi")
+    asked = brief.select(key, F.col("c").alias("a"), F.col("w").alias("aw"), F.explode("w").alias("x"))
+    near = names.select(key, F.col("seq").alias("b"), F.col("w").alias("bw"), F.explode("w").alias("x"))
+    met = asked.join(near, [key, "x"]).filter((F.col("a") != F.col("b")) & (tx.jaccard(F.col("aw"), F.col("bw")) >= least)).select(key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return cut(classes), near_classes(own, [key], least).select(key, "a", "b").unionByName(met).distinct()
+
+
+def echo_members(findings: DataFrame, key: str = "hypothesis_id", least: float = tx.NEAR) -> DataFrame:
+    """Signals that echo an earlier one: ``key, seq, seed``, the seed being the signal whose cluster they belong to.
+
+    Clusters are greedy in log order: a signal that no earlier seed is like is a seed, and takes the later ones like
+    it.  Texts under a shingle's length are compared by their words; those without words are like none.
+    """
+    classes, pairs = _alike_texts(findings, key, least)
+    taken = graph.first_seeds(pairs, [key]).withColumnRenamed("node", "c")
+    # Signals of one class have the same neighbours, so the first of them decides for all.
+    told = classes.join(taken, [key, "c"], "left").select(key, "seq", F.coalesce("seed", "c").alias("seed"))
+    return told.filter("seq != seed")
+
+
+def echo_clusters(findings: DataFrame, key: str = "hypothesis_id", least: float = tx.NEAR, chained: bool = False) -> DataFrame:
+    """How many clusters of near-identical signals each hypothesis has; those without any are left out.
+
+    Clusters are those of ``echo_members``.  With ``chained`` they are connected components instead, which a chain of
+    signals, each like the next, forms one of.
+    """
+    if not chained:
+        return echo_members(findings, key, least).groupBy(key).agg(F.count_distinct("seed").alias("echo_clusters"))
+    classes, pairs = _alike_texts(findings, key, least)
+    edges = pairs.unionByName(classes.filter("seq != c").select(key, F.col("seq").alias("a"), F.col("c").alias("b")))
     nodes = edges.select(key, F.explode(F.array("a", "b")).alias("node")).distinct()
     return graph.component_counts(nodes, edges, key).withColumnRenamed("n_components", "echo_clusters")
 

@@ -8,12 +8,17 @@ split a hub's rows over tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources.storage import cut
+from tidemark.sources.storage import cut, importable
 
 _MASK = 0x5DEECE66D
+#: Edges that are few enough for one task to go through in order.
+FEW = 100_000
 
 
 def own_exchange(c: Column | str) -> Column:
@@ -64,3 +69,58 @@ def component_counts(nodes: DataFrame, edges: DataFrame, group: str, node: str =
     # A node that some root stands above is no component of its own.
     below = named.join(roots, F.col("k") == F.col("node"), "left")
     return below.groupBy(F.col("_g").alias(group)).agg(F.count_if(F.col("root").isNull()).alias("n_components"))
+
+
+def _in_order(edges: DataFrame, group: list[str]) -> DataFrame:
+    """The members among a few edges, by going through them in order in one task: ``group, x``."""
+    kinds = {c: edges.schema[c] for c in [*group, "b"]}
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructField, StructType
+
+    fields = StructType([*[kinds[c] for c in group], StructField("x", kinds["b"].dataType)])
+    arrow = to_arrow_schema(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members, out = set(), []
+        for batch in batches:
+            for *of, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a_, b_ = repr((of, a)), repr((of, b))
+                if a_ not in members and b_ not in members:
+                    members.add(b_)
+                    out.append((*of, b))
+        columns = list(zip(*out, strict=True)) if out else [[] for _ in arrow]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], names=arrow.names)
+
+    importable(edges.sparkSession)
+    # An end is decided once all edges that come to it from before are read: those of a are read before those from a.
+    return edges.select(*group, "a", "b").repartition(1).sortWithinPartitions("b", "a").mapInArrow(run, fields)
+
+
+def first_seeds(edges: DataFrame, group: list[str], few: int = FEW) -> DataFrame:
+    """Greedy clusters in order: ``group, node, seed`` of every node that is no seed itself.
+
+    In the order of the nodes each one that no earlier seed is linked to becomes a seed and takes all later ones linked
+    to it; a node belongs to the first of its seeds.  ``edges`` has ends ``a`` and ``b`` of any type with an order; either
+    direction and repeats are allowed, null ends and groups are ignored.
+
+    In a round all nodes that no undecided earlier one is linked to become seeds at once, and those linked to them
+    members; that gives what one pass in order gives, in as many rounds as the longest chain of nodes that wait for
+    one another has.  When no more than ``few`` edges are left one task goes through them.
+    """
+    every = cut(edges.select(*group, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).dropna(subset=group).filter("a < b").distinct())
+    at = lambda df, end: df.withColumnRenamed("x", end)
+    left, members = every, []
+    while n := left.count():
+        if n <= few:
+            members.append(cut(_in_order(left, group)))
+            break
+        later = left.select(*group, F.col("b").alias("x")).distinct()
+        seeds = left.select(*group, F.col("a").alias("x")).distinct().join(later, [*group, "x"], "left_anti")
+        taken = cut(left.join(at(seeds, "a"), [*group, "a"], "left_semi").select(*group, F.col("b").alias("x")).distinct())
+        members.append(taken)
+        # All edges of a seed lead to what it has taken, so they go too.
+        left = cut(left.join(at(taken, "b"), [*group, "b"], "left_anti").join(at(taken, "a"), [*group, "a"], "left_anti"))
+    of_seeds = every
+    for taken in members:
+        of_seeds = of_seeds.join(at(taken, "a"), [*group, "a"], "left_anti")
+    return of_seeds.groupBy(*group, F.col("b").alias("node")).agg(F.min("a").alias("seed"))

@@ -134,14 +134,14 @@ def seal_skipped(findings: DataFrame, artifacts: DataFrame) -> DataFrame:
 def audit(artifacts: DataFrame, findings: DataFrame, present: DataFrame, measures: DataFrame, frontier: DataFrame, conflicts: DataFrame, grades: DataFrame) -> DataFrame:
     """The whole report on a log, one row: ``integrity`` and what else is to be looked at.
 
-    ``frontier`` is the folded state, ``conflicts`` has the pairs of conflicting findings, ``grades`` (seq, conclusion_id,
+    ``frontier`` is the folded state, ``conflicts`` the number of conflicting pairs of each conclusion, ``grades`` (seq, conclusion_id,
     standard_id, overall) all gradings, of which the last of each conclusion and standard counts.
     """
     bad = artifacts.filter(F.col("quality_label").isin(*BAD_QUALITY)).select("artifact_id")
     last = latest(grades.select("conclusion_id", "standard_id", "seq", "overall"), ["conclusion_id", "standard_id"])
     ungraded = findings.select("conclusion_id").filter("conclusion_id IS NOT NULL").distinct().join(grades.select("conclusion_id").distinct(), "conclusion_id", "left_anti")
     parts = [
-        capture_errors(findings, measures).agg(F.count_distinct("artifact_id").alias("capture_errors")), conflicts.agg(F.count("*").alias("numeric_conflicts")), frontier.agg(F.count_if("is_open").alias("open_at_stop")),
+        capture_errors(findings, measures).agg(F.count_distinct("artifact_id").alias("capture_errors")), conflicts.agg(F.coalesce(F.sum("conflicts"), F.lit(0)).alias("numeric_conflicts")), frontier.agg(F.count_if("is_open").alias("open_at_stop")),
         findings.filter("hypothesis_id IS NOT NULL").join(bad, "artifact_id", "left_semi").agg(F.count_distinct("artifact_id").alias("signals_on_bad_capture")),
         last.agg(F.count("*").alias("graded"), F.count_if(F.col("overall") == "SHORTFALL").alias("shortfalls")), ungraded.agg(F.count("*").alias("ungraded_conclusions")),
     ]

@@ -6,27 +6,64 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
+from tidemark.sources.storage import cut
 
+from . import graph
 
-def words_of(segments: DataFrame, key: str = "transcript_id") -> DataFrame:
-    """Words of each transcript in order: ``key, i, word``."""
-    cleaned = F.regexp_replace("text", r"(?U)[^\w가-힣]", " ")
-    each = segments.select(key, "idx", F.posexplode(F.filter(F.split(cleaned, r"\s+"), lambda w: w != "")).alias("p", "word"))
-    return each.select(key, "word", F.row_number().over(Window.partitionBy(key).orderBy("idx", "p")).alias("i"))
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(text, r"(?U)[^\w가-힣]", " "), r"\s+"), lambda w: w != "")
 
-def longest_run(words: DataFrame, key: str = "transcript_id") -> DataFrame:
-    """The longest run of one word: ``key, longest``.  Islands: a word's place less its place among its like."""
-    island = F.col("i") - F.row_number().over(Window.partitionBy(key, "word").orderBy("i"))
-    runs = words.select(key, "word", island.alias("g")).groupBy(key, "word", "g").agg(F.count("*").alias("n"))
-    return runs.groupBy(key).agg(F.max("n").alias("longest"))
+
+#: A run summary that of nothing; ``lead`` and ``tail`` are the lengths of the first and the last run.
+_NO_RUN = "named_struct('n', 0L, 'first', cast(null AS string), 'lead', 0L, 'last', cast(null AS string), 'tail', 0L, 'longest', 0L)"
+
+
+def run_summary(words: Column) -> Column:
+    """The runs of equal words of an array in short: how many words, first and last run, and the longest."""
+
+    def step(x: Column, w: Column) -> Column:
+        same = F.coalesce(x["last"] == w, F.lit(False))
+        tail = F.when(same, x["tail"] + 1).otherwise(F.lit(1).cast("long"))
+        lead = F.when((x["n"] == x["lead"]) & (same | (x["n"] == 0)), x["lead"] + 1).otherwise(x["lead"])
+        return F.struct((x["n"] + 1).alias("n"), F.coalesce(x["first"], w).alias("first"), lead.alias("lead"), w.alias("last"), tail.alias("tail"), F.greatest(x["longest"], tail).alias("longest"))
+
+    return F.aggregate(words, F.expr(_NO_RUN), step)
+
+
+def merged_runs(x: Column, y: Column) -> Column:
+    """The summary of two stretches of words, one after the other, from theirs; any grouping in order gives the same."""
+    meet = F.coalesce(x["last"] == y["first"], F.lit(False))
+    lead = F.when(meet & (x["lead"] == x["n"]), x["n"] + y["lead"]).otherwise(x["lead"])
+    tail = F.when(meet & (y["tail"] == y["n"]), y["n"] + x["tail"]).otherwise(y["tail"])
+    longest = F.greatest(x["longest"], y["longest"], F.when(meet, x["tail"] + y["lead"]).otherwise(F.lit(0).cast("long")))
+    both = F.struct((x["n"] + y["n"]).alias("n"), x["first"].alias("first"), lead.alias("lead"), y["last"].alias("last"), tail.alias("tail"), longest.alias("longest"))
+    return F.when(x["n"] == 0, y).when(y["n"] == 0, x).otherwise(both)
+
+
+def longest_run(segments: DataFrame, key: str = "transcript_id", fan: int = 1024) -> DataFrame:
+    """The longest run of one word in each transcript (``key, idx, text``), across segments too: ``key, longest``.
+
+    Each segment is summarised where it is read, and summaries of neighbours are merged in order, ``fan`` places of
+    ``idx`` at a time, until a transcript is one; so a transcript of any length is dealt over tasks.
+    """
+    parts = segments.select(key, F.col("idx").cast("long").alias("p"), run_summary(_words(F.col("text"))).alias("r")).filter("r.n > 0")
+    low, high = segments.agg(F.min("idx").cast("long"), F.max("idx").cast("long")).first()
+    spread = 0 if low is None else high - low
+    parts = parts.withColumn("p", F.col("p") - F.lit(low or 0))
+    while True:
+        block = F.floor(F.col("p") / F.lit(fan)).cast("long")
+        inner = F.aggregate(F.array_sort(F.collect_list(F.struct("p", "r"))), F.expr(_NO_RUN), lambda x, y: merged_runs(x, y["r"]))
+        parts, spread = parts.groupBy(key, block.alias("q")).agg(inner.alias("r")).withColumnRenamed("q", "p"), spread // fan
+        if not spread:
+            return parts.select(key, F.col("r.longest").alias("longest"))
 
 
 def degeneracy(segments: DataFrame, key: str = "transcript_id") -> DataFrame:
     """Why a transcript is garbage, null if it isn't: ``key, n_words, reason``.  Under six words nothing is judged."""
-    words = words_of(segments, key)
+    words = segments.select(key, F.explode(_words(F.col("text"))).alias("word"))
     tiny = F.col("word").rlike(r"^\d+$") | (F.length("word") <= 1)
-    facts = words.groupBy(key).agg(F.count("*").alias("n_words"), F.count_distinct("word").alias("n_distinct"), F.count_if(tiny).alias("n_tiny")).join(longest_run(words, key), key)
+    facts = words.groupBy(key).agg(F.count("*").alias("n_words"), F.count_distinct("word").alias("n_distinct"), F.count_if(tiny).alias("n_tiny")).join(longest_run(segments, key), key)
     n = F.col("n_words")
     reason = F.when(n < 6, None).when(F.col("n_tiny") / n > 0.5, "tiny_tokens").when(F.col("longest") >= F.greatest(F.lit(8), F.floor(n * 0.25)), "repeat_loop").when(F.col("n_distinct") / n < 0.35, "low_diversity")
     return facts.select(key, "n_words", reason.alias("reason"))
@@ -92,15 +129,40 @@ def ocr_terms(reads: DataFrame, least: float = 0.5, key: str = "clip") -> DataFr
     return firsts.select(key, F.col("f.term").alias("term"), F.row_number().over(Window.partitionBy(key).orderBy("f.idx", "f.p")).alias("ord"))
 
 
-def kept_frames(frames: DataFrame, radius: int = 4, key: str = "clip") -> DataFrame:
+def hamming_pairs(a: DataFrame, b: DataFrame, radius: int, key: str) -> DataFrame:
+    """Pairs of a key's 64-bit hashes (``key, hash``) that differ by ``radius`` bits at most: ``key, x, y``.
+
+    Two hashes that near agree on one of ``radius`` + 1 blocks of bits, so only those that share a block are compared.
+    """
+    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
+    blocks = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(F.shiftleft("hash", 64 - hi), 64 - hi + lo).alias("v")) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))])  # noqa: B905
+    side = lambda df, name: df.select(key, F.col("hash").alias(name), F.explode(blocks).alias("block"))
+    return side(a, "x").join(side(b, "y"), [key, "block"]).filter(hamming(F.col("x"), F.col("y")) <= radius).select(key, "x", "y").distinct()
+
+
+def kept_frames(frames: DataFrame, radius: int = 4, key: str = "clip", least: int = 256) -> DataFrame:
     """Frames (``clip, idx, hash``) that differ from every kept frame before by more than ``radius`` bits.
 
-    The choice of a frame depends on all kept before it, so frames of one clip are folded in order.  Only
-    indices and hashes are folded, so a clip of any length stays small.
+    Frames without a hash are all kept.  Of equal hashes the first counts.  In a round the first few undecided frames
+    of every clip are decided among themselves, in order (``graph.first_seeds``), and of the rest those near a kept one
+    go; kept frames are far from one another, so a long still scene is gone after one comparison.  The number of frames
+    looked at grows while most of them are kept.  No clip is gathered anywhere: what a round takes of it is bounded.
     """
-    ordered = frames.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "hash"))).alias("fs"))
-    kept = F.aggregate("fs", F.array().cast("array<struct<idx:int,hash:bigint>>"), lambda acc, f: F.when(F.exists(acc, lambda k: F.bit_count(k["hash"].bitwiseXOR(f["hash"])) <= radius), acc).otherwise(F.concat(acc, F.array(f))))
-    return ordered.select(key, F.explode(kept).alias("f")).select(key, "f.*")
+    left = cut(frames.filter("hash IS NOT NULL").groupBy(key, "hash").agg(F.min("idx").alias("idx")))
+    kept, most = frames.filter("hash IS NULL").select(key, "idx", "hash"), least
+    while not left.isEmpty():
+        rank = F.row_number().over(Window.partitionBy(key).orderBy("idx", "hash"))
+        looked = cut(left.withColumn("_r", rank).filter(F.col("_r") <= most).select(key, "idx", "hash"))
+        named = lambda x: looked.select(key, F.col("hash").alias(x), F.struct("idx", "hash").alias({"x": "a", "y": "b"}[x]))  # noqa: B023, E731
+        edges = hamming_pairs(looked, looked, radius, key).filter("x != y").join(named("x"), [key, "x"]).join(named("y"), [key, "y"]).filter("a < b").select(key, "a", "b")
+        members = graph.first_seeds(edges, [key]).select(key, F.col("node.hash").alias("hash"))
+        chosen = cut(looked.join(members, [key, "hash"], "left_anti"))
+        near = hamming_pairs(chosen, left, radius, key).select(key, F.col("y").alias("hash")).distinct()
+        left = cut(left.join(near, [key, "hash"], "left_anti").join(looked, [key, "hash"], "left_anti"))
+        share = chosen.count() / looked.count()
+        most = min(4 * most, 64 * least) if share > 0.5 else least
+        kept = kept.unionByName(chosen.select(key, "idx", "hash"))
+    return kept
 
 
 def hsv(r: Column, g: Column, b: Column) -> Column:

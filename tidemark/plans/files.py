@@ -141,28 +141,29 @@ def colour_statistics(t: Tables) -> DataFrame:
     return media.colour_statistics(_pixels(t))
 
 
-_LUMAS = "SELECT doc_id % 3 AS clip, doc_id AS idx, i, CASE WHEN i = 63 THEN 0 ELSE (doc_id * 37 + i * i * 13) % 256 END AS luma FROM documents, range(0, 64) x(i)"
+#: Each document as a frame of its source's clip: the codes of 64 of its letters stand for brightness.
+_LUMAS = "SELECT source AS clip, doc_id AS idx, i, coalesce(unicode(nullif(substr(text, i * 3 + 20, 1), '')), 0) AS luma FROM documents, range(0, 64) x(i)"
+_HASHES = f"l AS ({_LUMAS}), m AS (SELECT clip, idx, avg(luma) AS m FROM l GROUP BY ALL), h AS (SELECT clip, idx, sum(CASE WHEN luma > m THEN CASE WHEN i = 63 THEN -9223372036854775808 ELSE 1::BIGINT << i END ELSE 0 END)::BIGINT AS hash FROM l JOIN m USING (clip, idx) GROUP BY ALL)"
 
 
 def _hashes(t: Tables) -> DataFrame:
-    lumas = t.raw("documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
-    return media.average_hash(lumas.selectExpr("doc_id % 3 AS clip", "doc_id AS idx", "i", "CASE WHEN i = 63 THEN 0 ELSE (doc_id * 37 + i * i * 13) % 256 END AS luma"))
+    lumas = t.raw("documents").select("source", "doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
+    return media.average_hash(lumas.selectExpr("source AS clip", "doc_id AS idx", "i", "coalesce(ascii(nullif(substring(text, i * 3 + 20, 1), '')), 0) AS luma"))
 
 
-@query(f"WITH l AS ({_LUMAS}), m AS (SELECT clip, idx, avg(luma) AS m FROM l GROUP BY ALL) SELECT clip, idx, bit_or(CASE WHEN luma > m THEN 1::BIGINT << i ELSE 0 END) AS hash FROM l JOIN m USING (clip, idx) GROUP BY ALL")
+@query(f"WITH {_HASHES} SELECT clip, idx, hash FROM h")
 def average_hash(t: Tables) -> DataFrame:
     return _hashes(t)
 
 
 @query(
-    f"""WITH RECURSIVE l AS ({_LUMAS}), m AS (SELECT clip, idx, avg(luma) AS m FROM l GROUP BY ALL), h AS (SELECT clip, idx, bit_or(CASE WHEN luma > m THEN 1::BIGINT << i ELSE 0 END) AS hash FROM l JOIN m USING (clip, idx) WHERE idx < 60 GROUP BY ALL),
- p AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY idx) AS r FROM h), kept AS (SELECT clip, r, [hash] AS hs, idx, true AS ok FROM p WHERE r = 1
- UNION ALL SELECT p.clip, p.r, CASE WHEN len(list_filter(hs, lambda x: bit_count(xor(x, p.hash)) <= 4)) > 0 THEN hs ELSE list_append(hs, p.hash) END, p.idx, len(list_filter(hs, lambda x: bit_count(xor(x, p.hash)) <= 4)) = 0 FROM kept JOIN p ON p.clip = kept.clip AND p.r = kept.r + 1)
- SELECT clip, idx FROM kept WHERE ok"""
+    f"""WITH RECURSIVE {_HASHES}, p AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY idx) AS r FROM h), kept AS (SELECT clip, r, [hash] AS hs, idx, hash, true AS ok FROM p WHERE r = 1
+ UNION ALL SELECT p.clip, p.r, CASE WHEN near THEN hs ELSE list_append(hs, p.hash) END, p.idx, p.hash, NOT near FROM (SELECT p.*, hs, len(list_filter(hs, lambda x: bit_count(xor(x, p.hash)) <= 4)) > 0 AS near FROM kept JOIN p ON p.clip = kept.clip AND p.r = kept.r + 1) p)
+ SELECT clip, idx, hash FROM kept WHERE ok"""
 )
 def kept_frames(t: Tables) -> DataFrame:
-    """The frames of clips of twenty; the hashes come from the operator before."""
-    return media.kept_frames(_hashes(t).filter("idx < 60").withColumn("idx", F.col("idx").cast("int"))).select("clip", "idx")
+    """The frames of all clips; the hashes come from the operator before."""
+    return media.kept_frames(_hashes(t)).select("clip", "idx", "hash")
 
 
 @query("SELECT l_suppkey AS clip, round(sqrt(avg((l_discount - 0.05) * (l_discount - 0.05))), 9) AS rms FROM lineitem GROUP BY 1")

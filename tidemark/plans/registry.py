@@ -176,7 +176,7 @@ def _quoted(t: Tables) -> DataFrame:
 @query(q.AUDIT)
 def audit(t: Tables) -> DataFrame:
     frontier = ledger.frontier_state(t.frontier_events())
-    return ledger.audit(t.artifacts(), t.findings(), t.present(), t.measures(), frontier, evidence.numeric_conflicts(t.findings()), t.gradings())
+    return ledger.audit(t.artifacts(), t.findings(), t.present(), t.measures(), frontier, evidence.conflict_counts(t.findings()), t.gradings())
 
 
 # Evidence
@@ -187,6 +187,17 @@ def numeric_conflicts(t: Tables) -> DataFrame:
     return evidence.numeric_conflicts(t.findings())
 
 
+@query(q.CONFLICT_LINKS)
+def conflict_links(t: Tables) -> DataFrame:
+    return evidence.conflict_links(t.findings())
+
+
+@query(q.RUN_CONFLICTS)
+def run_conflicts(t: Tables) -> DataFrame:
+    """Conflicts among all findings of a source, as if each were one conclusion: groups that grow with the table."""
+    return evidence.conflict_counts(t.findings().withColumn("quote", F.substring_index("text", " ", 40)), "run")
+
+
 @query(q.NEAR_PAIRS)
 def near_dup_pairs(t: Tables) -> DataFrame:
     return evidence.near_pairs(t.findings(), ["hypothesis_id"], "seq", "text").withColumn("similarity", F.round("similarity", 6))
@@ -248,6 +259,17 @@ def echo_clusters(t: Tables) -> DataFrame:
     return evidence.echo_clusters(t.findings().filter("polarity = 'confirms'"))
 
 
+@query(q.ECHO_MEMBERS)
+def echo_members(t: Tables) -> DataFrame:
+    return evidence.echo_members(t.findings().filter("polarity = 'confirms'"))
+
+
+@query(q.ECHO_CHAINS)
+def echo_chains(t: Tables) -> DataFrame:
+    """Clusters as components: what a chain of copies of copies comes to."""
+    return evidence.echo_clusters(t.findings().filter("polarity = 'confirms'"), chained=True)
+
+
 @query(q.INDEPENDENCE)
 def independence_gate(t: Tables) -> DataFrame:
     return _gated(t)
@@ -426,7 +448,7 @@ def acquire_state(t: Tables) -> DataFrame:
 
 @query(q.RUNS)
 def run_length(t: Tables) -> DataFrame:
-    return media.longest_run(media.words_of(t.segments()))
+    return media.longest_run(t.segments())
 
 
 @query(q.DELOOP)

@@ -168,6 +168,11 @@ _CONFLICTS = f"""own AS (SELECT conclusion_id, seq, artifact_id, {_NUMBERS} AS n
  conflicts AS (SELECT x.conclusion_id, x.seq AS a_seq, y.seq AS b_seq, x.artifact_id AS a, y.artifact_id AS b, list_sort(list_distinct(list_concat(x.ns, y.ns))) AS ns FROM own x JOIN own y ON x.conclusion_id = y.conclusion_id AND x.seq < y.seq
   WHERE len(x.ns) > 0 AND len(y.ns) > 0 AND x.ns <> y.ns AND list_has_any(x.ws, y.ws))"""
 CONFLICTS = f"WITH {_FINDINGS}, {_CONFLICTS} SELECT conclusion_id, a_seq, b_seq, a, b, array_to_string(list_transform(ns, lambda x: printf('%.4f', x)), ',') AS numbers FROM conflicts"
+CONFLICT_LINKS = f"""WITH {_FINDINGS}, {_CONFLICTS}, sides AS (SELECT conclusion_id, a_seq AS seq, b_seq AS other FROM conflicts UNION ALL SELECT conclusion_id, b_seq, a_seq FROM conflicts),
+ counted AS (SELECT conclusion_id, seq, count(*) AS n, min(other) AS first_seq FROM sides GROUP BY ALL)
+ SELECT own.conclusion_id, own.seq, artifact_id, min(own.seq) OVER (PARTITION BY own.conclusion_id, ns, list_sort(ws)) AS class_seq, coalesce(n, 0) AS n_links, first_seq FROM own LEFT JOIN counted USING (conclusion_id, seq) WHERE len(ns) > 0"""
+RUN_CONFLICTS = f"""WITH {_FINDINGS}, quoted AS (SELECT run, seq, array_to_string(list_slice(string_split(text, ' '), 1, 40), ' ') AS quote FROM findings), own AS (SELECT run, seq, {_NUMBERS} AS ns, list_distinct({_tokens('quote')}) AS ws FROM quoted)
+ SELECT x.run, count(*) AS conflicts FROM own x JOIN own y ON x.run = y.run AND x.seq < y.seq WHERE len(x.ns) > 0 AND len(y.ns) > 0 AND x.ns <> y.ns AND list_has_any(x.ws, y.ws) GROUP BY 1"""
 NEAR_PAIRS = f"WITH {_FINDINGS}, {_near('findings', 'hypothesis_id', 'seq', 'text')} SELECT g AS hypothesis_id, a, b, round(similarity, 6) AS similarity FROM near"
 DISTINCT_CLAIMS = f"WITH RECURSIVE {_FINDINGS}, {_near('findings', 'hypothesis_id', 'seq', 'text')}, nodes AS (SELECT hypothesis_id AS g, seq AS n FROM findings), {_count_components('nodes', 'near')} SELECT g AS hypothesis_id, n_nodes AS n, n_components AS n_distinct FROM parts"
 _SUPPORTS = f"""{_FINDINGS}, {_ARTIFACTS}, cites AS (SELECT conclusion_id, seq, substr(quote, 1, 200) AS quote, unnest(list_concat([artifact_id], corroborated_by)) AS artifact_id, generate_subscripts(list_concat([artifact_id], corroborated_by), 1) AS p FROM findings),
@@ -220,8 +225,15 @@ _ECHO = f"""yes AS (SELECT * FROM findings WHERE polarity = 'confirms'), ytoks A
  ynear AS (SELECT ymet.g, a, b FROM ymet JOIN ylong sa ON sa.g = ymet.g AND sa.n = a JOIN ylong sb ON sb.g = ymet.g AND sb.n = b WHERE nb / (len(sa.s) + len(sb.s) - nb) >= {tx.NEAR}),
  ywords AS (SELECT g, n, list_distinct(t) AS w, len(t) < 3 AS short FROM ytoks WHERE len(t) > 0),
  ybrief AS (SELECT x.g, least(x.n, y.n) AS a, greatest(x.n, y.n) AS b FROM ywords x JOIN ywords y ON x.g = y.g AND x.n <> y.n AND x.short AND len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) >= {tx.NEAR}),
- yedges AS (SELECT g, a, b FROM ynear UNION SELECT g, a, b FROM ybrief), ynodes AS (SELECT g, a AS n FROM yedges UNION SELECT g, b FROM yedges), {_count_components('ynodes', 'yedges', 'echo')}"""
+ yedges AS (SELECT g, a, b FROM ynear UNION SELECT g, a, b FROM ybrief), ynodes AS (SELECT g, a AS n FROM yedges UNION SELECT g, b FROM yedges),
+ yplaced AS (SELECT ynodes.g, n, row_number() OVER (PARTITION BY ynodes.g ORDER BY n) AS r, coalesce(before, []) AS before FROM ynodes LEFT JOIN (SELECT g, b, list(a) AS before FROM yedges GROUP BY g, b) e ON e.g = ynodes.g AND e.b = n),
+ yfold AS (SELECT g, n, r, [n] AS seeds, NULL::BIGINT AS seed FROM yplaced WHERE r = 1 UNION ALL
+  SELECT p.g, p.n, p.r, CASE WHEN list_has_any(f.seeds, p.before) THEN f.seeds ELSE list_append(f.seeds, p.n) END, list_min(list_intersect(f.seeds, p.before)) FROM yfold f JOIN yplaced p ON p.g = f.g AND p.r = f.r + 1),
+ echo AS (SELECT g, count(DISTINCT seed) AS n_components FROM yfold WHERE seed IS NOT NULL GROUP BY g)"""
+_CHAINS = f"{_ECHO}, {_count_components('ynodes', 'yedges', 'chains')}"
 ECHOES = f"WITH RECURSIVE {_FINDINGS}, {_ECHO} SELECT g AS hypothesis_id, n_components AS echo_clusters FROM echo"
+ECHO_MEMBERS = f"WITH RECURSIVE {_FINDINGS}, {_ECHO} SELECT g AS hypothesis_id, n AS seq, seed FROM yfold WHERE seed IS NOT NULL"
+ECHO_CHAINS = f"WITH RECURSIVE {_FINDINGS}, {_CHAINS} SELECT g AS hypothesis_id, n_components AS echo_clusters FROM chains"
 CONCENTRATION = f"""WITH {_FINDINGS}, {_ARTIFACTS}, yes AS (SELECT f.hypothesis_id, f.seq, coalesce(host, '') AS host FROM findings f LEFT JOIN artifacts a USING (artifact_id) WHERE polarity = 'confirms'),
  hosts AS (SELECT hypothesis_id, host, count(*) AS n, min(seq) AS s FROM yes WHERE host <> '' GROUP BY ALL), top AS (SELECT hypothesis_id, arg_max(host, (n, -s)) AS host, max(n) AS n FROM hosts GROUP BY 1), total AS (SELECT hypothesis_id, count(*) AS confirming FROM yes GROUP BY 1)
  SELECT hypothesis_id, confirming, coalesce(host, '') AS host, coalesce(n, 0) AS n, coalesce(n, 0) / confirming > 0.5 AS concentrated FROM total LEFT JOIN top USING (hypothesis_id)"""
