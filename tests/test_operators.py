@@ -200,9 +200,9 @@ def test_freshness_boundaries(spark):
 
 def test_skills(spark):
     files = spark.createDataFrame([("a", "---\nname: x\nlast_verified: 2024-01-01\n---\nbody"), ("b", "no"), ("c", "---\nname: y\n---\n")], "path string, content string")
-    assert {r.path: r.state for r in gates.skill_staleness(files, "2024-01-31").collect()} == {"a": "stale", "b": "no_frontmatter", "c": "unverified"}
+    assert {r.path: r.state for r in gates.skill_staleness(files, "2024-01-31").collect()} == {"a": "stale", "b": "missing", "c": "missing"}
     fixed = gates.with_field(files, "last_verified", F.lit("2024-01-30"))
-    assert {r.path: r.state for r in gates.skill_staleness(fixed, "2024-01-31").collect()} == {"a": "fresh", "b": "no_frontmatter", "c": "fresh"}
+    assert {r.path: r.state for r in gates.skill_staleness(fixed, "2024-01-31").collect()} == {"a": "fresh", "b": "missing", "c": "fresh"}
 
 
 def test_validation(spark):
@@ -413,3 +413,74 @@ def test_undated_runs_survive_since(spark):
     dated = gates.created(runs, rows)
     assert {r.run: r.created for r in dated.collect()}["b"] == "2024-06-01"
     assert {r.run for r in gates.since(dated, "2024-01-01").collect()} == {"a", "b", "c"}
+
+
+def test_states_of_stamped_documents(spark):
+    block = lambda *ls: "---\n" + "\n".join(ls) + "\n---\nbody\nlast_verified: 2024-05-01\n"
+    cases = {
+        "quoted": (block('last_verified: "2024-06-01"'), "fresh"), "single": (block("last_verified: '2024-6-1'"), "fresh"), "time": (block("last_verified: 2024-06-01T00:00"), "invalid-date"), "ahead": (block("last_verified: 2030-01-01"), "fresh"),
+        "dated": (block("last_verified: 2024-06-01", "verified_by: date-stamp-unverified"), "stamped-unverified"), "old": (block("last_verified: 2024-05-02", "verified_by: date-stamp-unverified"), "stale"), "day": (block("last_verified: 2024-02-30"), "invalid-date"),
+        "twice": (block("last_verified: soon", "last_verified: 2024-06-01"), "fresh"), "indented": (block("  last_verified: 2024-06-01"), "missing"), "bare": ("no block", "missing"), "by": (block("last_verified: 2024-06-01", "verified_by: 'date-stamp-unverified'"), "stamped-unverified"),
+    }
+    files = spark.createDataFrame([(k, v[0]) for k, v in cases.items()] + [("null", None)], "path string, content string")
+    states = gates.skill_staleness(files, "2024-06-01")
+    assert {r.path: r.state for r in states.collect()} == {k: v[1] for k, v in cases.items()} | {"null": "missing"}
+    only = lambda *ks: states.filter(F.col("path").isin(*ks))
+    assert [gates.staleness_gate(only("quoted", "dated"), strict).first().passed for strict in (False, True)] == [True, False]
+    fixed = {r.path: r for r in gates.restamped(files, "2024-06-01").collect()}
+    assert fixed["bare"].content == "---\nlast_verified: 2024-06-01\nverified_by: date-stamp-unverified\n---\n\nno block" and fixed["quoted"].content == cases["quoted"][0] and not fixed["quoted"].fixed
+    assert fixed["time"].content == block("last_verified: 2024-06-01", "verified_by: date-stamp-unverified") and fixed["time"].fixed
+    again = {r.path: r.state for r in gates.skill_staleness(spark.createDataFrame([(r.path, r.content) for r in fixed.values()], "path string, content string"), "2024-06-01").collect()}
+    assert set(again.values()) == {"fresh", "stamped-unverified"}
+
+
+def test_hosts_of_odd_addresses(spark):
+    """Against the standard library's splitting, for addresses that stricter readers refuse."""
+    from urllib.parse import urlparse
+
+    urls = ["http://a_b.example.com/x", "http://x.com/a b", "http://u:p@Host.org:8080/p?q#f", "//h.net/x", "mailto:x@y.z", "http:///x", " http://s.com/x", "http://ho\tst.com", "h.com/x", "ftp+x://a.b?c", "http://x.com:y/", "http://a@b@c.com/", "", "1x://h.com"]
+    df = spark.createDataFrame([(u,) for u in urls], "u string").select("u", web.host_name(F.col("u")).alias("h"), web.path_and_query(F.col("u")).alias("p"))
+    for r in df.collect():
+        parts = urlparse(r.u)
+        assert r.h == (parts.hostname or ""), r.u
+        if r.h:
+            assert r.p == (parts.path or "/") + ("?" + parts.query if parts.query else ""), r.u
+    assert one(spark, web.registrable(F.lit("http://a_b.example.com/x"))) == "example.com"
+
+
+def test_a_repeated_forecast_counts_once(spark):
+    preds = spark.createDataFrame([("p", 0.1, "2024-01-01", 1), ("p", 0.9, "2024-01-01", 2), ("q", 0.5, "2024-01-01", 3)], "prediction_id string, stated_confidence double, created string, seq long")
+    res = spark.createDataFrame([("p", 1, "hit", True, "2024-02-01")], "prediction_id string, seq long, outcome string, anchored boolean, ts string")
+    r = scoring.calibration(preds, res).first()
+    assert (r.n_predictions, r.n_resolved, r.brier_all, r.worst_bucket_gap) == (2, 1, 0.01, 0.1)
+    assert [tuple(x) for x in scoring.reliability(preds, res).collect()] == [(4, 1, 0.9, 1.0, 0.1)]
+
+
+def test_samples_of_issues(spark):
+    rows = spark.createDataFrame([(i, str(v), "N/A" if i % 4 == 0 else "x") for i, v in enumerate([5, -3, 200, "1,500", "z", -1, -2, -9, None, " "])], "i int, n string, t string")
+    rules = {"n": {"type": "int", "min": 0, "max": 100}, "t": {"reject_regex": "^n/a$"}, "gone": {"min": 1, "type": "int"}, "bad": 3, "i": {"reject_regex": "("}}
+    got = {(r.field, r.issue, r.place): r.value for r in validate.samples(rows, rules, ["i"]).collect()}
+    assert got == {("n", "below_min", 1): "-3", ("n", "below_min", 2): "-1", ("n", "below_min", 3): "-2", ("n", "above_max", 1): "200", ("n", "above_max", 2): "1,500", ("t", "junk", 1): "N/A", ("t", "junk", 2): "N/A", ("t", "junk", 3): "N/A"}
+    assert validate.samples(rows.limit(0), rules, ["i"]).count() == 0 and validate.samples(rows, {}, ["i"]).count() == 0
+    plan = validate.samples(rows, rules, ["i"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan  # the first few are kept before the shuffle
+
+
+def test_known_values(spark):
+    """Functions on values that the tables don't hold."""
+    cases = [
+        (web.registrable, {"http://[2001:0db8:0:0:0:0:0:1]:80/x": "2001:db8::1", "https://www.news.bbc.co.uk/": "bbc.co.uk", "http://10.0.0.1/": "10.0.0.1", "http://a.com.mx": "a.com.mx", "nonsense": ""}),
+        (web.closed_host, {"169.254.169.254": True, "8.8.8.8": False, "::1": True, "": True, "example.com": False}), (web.open_path, {"/home/../etc/passwd": False, "refs/a.html": True}),
+        (tx.first_number, {"costs 1,234 won": 1234.0, "-5 then 6": -5.0, "1,2,3": 1.0, "2e3 m": 2000.0, "none": None}), (producers.run_stamp, {"[ALPHA] [RECON]": "ALPHA", "[RECON: thin]": "unlabeled"}),
+        (producers.video_id, {"https://youtu.be/abcdefghijk?t=1": "abcdefghijk", "abcdefghijk": "abcdefghijk", "short": None}), (scoring.abstains, {" Unknown ": True, "모름": True, "not found": False}),
+    ]
+    for f, want in cases:
+        got = spark.createDataFrame([(x,) for x in want], "x string").select("x", f(F.col("x")).alias("y"))
+        assert {r.x: r.y for r in got.collect()} == want
+
+
+def test_whole_files_keep_their_lines(spark, tmp_path):
+    (tmp_path / "a.md").write_text("---\nname: x\n---\nbody\n")
+    (tmp_path / "b.json").write_text('[{"k": 1},\n {"k": 2}]\n')
+    assert [r.content for r in jsonl.read_documents(spark, str(tmp_path / "a.md")).collect()] == ["---\nname: x\n---\nbody\n"]
+    assert [r.k for r in jsonl.read_array(spark, str(tmp_path / "b.json"), "k int").collect()] == [1, 2]

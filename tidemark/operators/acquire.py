@@ -65,9 +65,7 @@ def robots_decision(pages: DataFrame, robots: DataFrame, agent: str) -> DataFram
     literal = F.regexp_extract("value", r"(?s)^(.*?)(?:\*.*|\$)?$", 1)
     ruled = applied.filter("kind IN ('allow', 'disallow') AND value != ''").select("host", "grp", "kind", "value", literal.alias("start")).distinct()
     rules = ruled.withColumn("pattern", F.when(F.col("start") != F.col("value"), rule_pattern(F.col("value"))))
-    query = F.try_parse_url("url", F.lit("QUERY"))
-    path = F.concat(F.when(F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("")) == "", "/").otherwise(F.try_parse_url("url", F.lit("PATH"))), F.when(query.isNotNull(), F.concat(F.lit("?"), query)).otherwise(F.lit("")))
-    asked = pages.select("url", web.host_name(F.col("url")).alias("host"), path.alias("path"))
+    asked = pages.select("url", web.host_name(F.col("url")).alias("host"), web.path_and_query(F.col("url")).alias("path"))
     # What stands before a rule's first wildcard is looked up among the beginnings of the path, of the lengths that the host's rules have.
     sizes = rules.groupBy("host").agg(F.collect_set(F.length("start")).alias("sizes"))
     begins = asked.join(sizes, "host").select("url", "host", "path", F.explode(F.filter("sizes", lambda n: n <= F.length("path"))).alias("n")).withColumn("start", F.expr("left(path, n)"))

@@ -103,6 +103,51 @@ def harvest_counts(profiles: DataFrame) -> DataFrame:
     return labels.unionByName(each[0]).unionByName(each[1])
 
 
+def run_theses(hypotheses: DataFrame, run: str = "run") -> DataFrame:
+    """What a run is about: the thesis (its first 100 characters) and stakes of its last hypothesis row."""
+    last = hypotheses.groupBy(run).agg(F.max_by(F.struct("thesis", "stakes"), "seq").alias("h"))
+    return last.select(run, F.substring(F.coalesce("h.thesis", F.lit("")), 1, 100).alias("thesis"), F.coalesce("h.stakes", F.lit("")).alias("stakes"))
+
+
+#: What a correction is said to have come to.
+EFFECTS = {"modality-expansion": "reached ALPHA", "disconfirm-added": "adversarial pass completed"}
+
+
+def correction_parts(profiles: DataFrame, findings: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """What the corrections of finished runs consist of, a row for each part: ``run, type, part, place, value``.
+
+    An expansion of modalities has the modality that most findings are of (``from``) and the ``added`` ones; a
+    disconfirming pass its ``source`` hosts, in log order; more hosts the first five by findings (``host``) and their
+    ``count``; the first two an ``effect``.  Equally frequent ones come in the order they were first seen.  Nothing is
+    gathered into lists, so a run with any number of sources is dealt over tasks.
+    """
+    runs = profiles.select("run", "n_hosts", F.explode("corrections").alias("type"))
+    of = lambda t: runs.filter(F.col("type") == t).select("run", "type")
+    known = artifacts.select("artifact_id", web.modality(F.col("type")).alias("modality"), web.registrable(F.col("source")).alias("host"))
+    met = findings.join(known, "artifact_id", "left").withColumn("modality", F.coalesce("modality", F.lit("other")))
+    counts = met.groupBy("run", "modality").agg(F.count("*").alias("n"), F.min("seq").alias("s"))
+    place = F.row_number().over(Window.partitionBy("run").orderBy(F.desc("n"), "s")) - 1  # a run has as many rows as there are modalities
+    ranked = counts.withColumn("place", place).join(of("modality-expansion"), "run")
+    row = lambda df, part, at, value: df.select("run", "type", part.alias("part"), at.cast("long").alias("place"), value.cast("string").alias("value"))
+    expanded = row(ranked, F.when(F.col("place") == 0, "from").otherwise("added"), F.greatest("place", F.lit(1)), F.col("modality"))
+    passes = met.filter("polarity = 'disconfirms' AND host != ''").join(of("disconfirm-added"), "run")
+    hosts = top_hosts(findings, artifacts).join(of("host-diversification"), "run")
+    total = runs.filter("type = 'host-diversification'")
+    effect = F.create_map(*[F.lit(x) for kv in EFFECTS.items() for x in kv])
+    told = runs.filter(F.col("type").isin(*EFFECTS))
+    parts = [row(passes, F.lit("source"), F.col("seq"), F.col("host")), row(hosts, F.lit("host"), F.col("place"), F.col("host")), row(total, F.lit("count"), F.lit(1), F.col("n_hosts")), row(told, F.lit("effect"), F.lit(1), effect[F.col("type")])]
+    for part in parts:
+        expanded = expanded.unionByName(part)
+    return expanded
+
+
+def first_corrections(profiles: DataFrame, k: int = 10) -> DataFrame:
+    """The first ``k`` corrections by run and their order in it, with their effect: ``run, place, type, effect``."""
+    effect = F.create_map(*[F.lit(x) for kv in EFFECTS.items() for x in kv])
+    each = profiles.select("run", F.posexplode("corrections").alias("place", "type"))
+    return each.select("run", (F.col("place") + 1).alias("place"), "type", F.coalesce(effect[F.col("type")], F.lit("")).alias("effect")).orderBy("run", "place").limit(k)
+
+
 def top_hosts(findings: DataFrame, artifacts: DataFrame, k: int = 5, run: str = "run") -> DataFrame:
     """The ``k`` hosts that most findings of a run come from, first seen first among equals: ``run, place, host, n``."""
     known = artifacts.select("artifact_id", web.registrable(F.col("source")).alias("host"))
@@ -166,14 +211,55 @@ def valid_facts(facts: DataFrame, statuses: tuple[str, ...] = STATUSES) -> DataF
     return judged.withColumn("issue", issue).drop("_first")
 
 
+#: Fixed value: the mark of a date that was written without looking at what it stands for.
+UNLOOKED = "date-stamp-unverified"
+_BLOCK = r"\A---\s*\n([\s\S]*?)\n---"
+
+
+def front_matter(content: Column, field: str) -> Column:
+    """A field of a document's front matter, trimmed; of repeated ones the last, empty if there is none.  Indented lines are no fields."""
+    lines = F.filter(F.split(F.regexp_extract(F.coalesce(content, F.lit("")), _BLOCK, 1), "\n"), lambda x: x.contains(":") & ~x.startswith(" ") & (F.trim(F.split(x, ":", 2)[0]) == field))
+    return F.coalesce(F.regexp_replace(F.split(F.try_element_at(lines, F.lit(-1)), ":", 2)[1], r"^\s+|\s+$", ""), F.lit(""))
+
+
 def skill_staleness(files: DataFrame, today: str, ttl_days: int = 30) -> DataFrame:
-    """State of documents by the ``last_verified`` field of their front matter (``path, content``)."""
-    block = F.regexp_extract("content", r"\A---\s*\n([\s\S]*?)\n---", 1)
-    name = F.trim(F.regexp_extract(block, r"(?m)^name:\s*(.+)$", 1))
-    stamp = F.trim(F.regexp_extract(block, r"(?m)^last_verified:\s*(.*)$", 1))
-    age = F.date_diff(F.lit(today).cast("date"), web.date_of(stamp))
-    state = F.when(block == "", "no_frontmatter").when(stamp == "", "unverified").when(age.isNull(), "invalid").when(age < 0, "future").when(age >= ttl_days, "stale").otherwise("fresh")
-    return files.select("path", name.alias("name"), age.alias("age_days"), state.alias("state"))
+    """State of documents by their front matter (``path, content``): ``path, name, age_days, state``.
+
+    ``missing`` without a ``last_verified``; ``invalid-date`` if it is no whole date, which may stand in quotes; ``stale`` from
+    ``ttl_days`` on; ``stamped-unverified`` where ``verified_by`` says that only the date was written; else ``fresh``, dates
+    ahead too.
+    """
+    bare = lambda c: F.regexp_replace(c, r"""^['"]+|['"]+$""", "")
+    stamp, by = front_matter(F.col("content"), "last_verified"), front_matter(F.col("content"), "verified_by")
+    day = F.when(bare(stamp).rlike(r"\A\d{4}-\d{1,2}-\d{1,2}\z"), web.strict_date(bare(stamp)))
+    age = F.date_diff(F.lit(today).cast("date"), day)
+    state = F.when(stamp == "", "missing").when(age.isNull(), "invalid-date").when(age >= ttl_days, "stale").when(bare(by) == UNLOOKED, "stamped-unverified").otherwise("fresh")
+    return files.select("path", bare(front_matter(F.col("content"), "name")).alias("name"), age.alias("age_days"), state.alias("state"))
+
+
+def staleness_gate(states: DataFrame, strict: bool = False) -> DataFrame:
+    """Whether all documents pass, one row: ``passed, checked`` and how many are in each state.
+
+    With ``strict`` those whose date was written without a look at them fail too.
+    """
+    every = ("fresh", "stale", "missing", "invalid-date", "stamped-unverified")
+    failing = every[1:] if strict else every[1:4]
+    return states.agg((F.count_if(F.col("state").isin(*failing)) == 0).alias("passed"), F.count("*").alias("checked"), *[F.count_if(F.col("state") == x).alias(x.replace("-", "_")) for x in every])
+
+
+def restamped(files: DataFrame, today: str, ttl_days: int = 30) -> DataFrame:
+    """All documents, those that are stale, undated or dated wrongly with today's date and the mark of a date only; ``fixed`` says which.
+
+    A document without front matter is given one.
+    """
+    judged = skill_staleness(files.select("path", "content"), today, ttl_days).select("path", F.col("state").isin("stale", "missing", "invalid-date").alias("fixed"))
+    met = files.join(judged, "path")
+    dated = with_field(with_field(met, "last_verified", F.lit(today)), "verified_by", F.lit(UNLOOKED))
+    none = F.regexp_extract("content", _BLOCK, 0) == ""
+    head = F.concat(F.lit(f"---\nlast_verified: {today}\nverified_by: {UNLOOKED}\n---\n\n"), F.coalesce("content", F.lit("")))
+    # with_field works on its column, so both forms are made before one is chosen.
+    both = dated.withColumnRenamed("content", "_d").join(met.select("path", "content"), "path")
+    return both.withColumn("content", F.when(~F.col("fixed"), F.col("content")).when(F.coalesce(none, F.lit(True)), head).otherwise(F.col("_d"))).drop("_d")
 
 
 def with_field(files: DataFrame, field: str, value: Column) -> DataFrame:

@@ -154,17 +154,32 @@ def audit(artifacts: DataFrame, findings: DataFrame, present: DataFrame, measure
 def digest_lines(artifacts: DataFrame, findings: DataFrame, frontier: DataFrame, hypotheses: DataFrame, predictions: DataFrame, calibration: DataFrame) -> DataFrame:
     """A report as rows ``section, ord, line``: evidence, findings by label, hypotheses with their verdict, predictions with their totals, open items.
 
-    ``hypotheses`` are judged ones with their triangulation, ``predictions`` have ``near_duplicate_of``, ``calibration`` is the one row of totals.
+    Findings are whole, theses shown by their first 90 characters, claims by their first 100.  ``hypotheses`` are judged ones with their ``thesis`` and triangulation, ``predictions`` have ``near_duplicate_of``, ``calibration`` is the one row of totals.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     place = lambda c: F.lpad(F.col(c).cast("string"), 20, "0")
     seen = artifacts.select(F.lit("1-evidence").alias("section"), place("seq").alias("ord"), F.concat(F.lit("["), text("type"), F.lit("] "), text("source"), F.lit(" (gate="), text("quality_label"), F.lit(", sha="), F.substring(text("sha256"), 1, 12), F.lit(")")).alias("line"))
-    found = findings.select(F.lit("2-findings"), F.concat_ws("|", "label", place("seq")), F.concat(F.lit("("), "label", F.lit(") "), F.substring("text", 1, 100), F.lit(" <-"), text("artifact_id"), F.lit("@"), text("locator")))
+    found = findings.select(F.lit("2-findings"), F.concat_ws("|", "label", place("seq")), F.concat(F.lit("("), "label", F.lit(") "), F.coalesce("text", F.lit("")), F.lit(" <-"), text("artifact_id"), F.lit("@"), text("locator")))
     stamp = F.concat(F.when(F.col("warning") != "", F.concat(F.lit("[!"), "warning", F.lit("] "))).otherwise(""), F.lit("["), "label", F.when(F.col("reasons") != "", F.concat(F.lit(": "), "reasons")).otherwise(""), F.lit("]"))
     counts = [F.lit(" [confirm "), text("confirming"), F.lit(" (distinct "), text("confirming_claims"), F.lit(", hosts "), text("confirming_hosts"), F.lit(", modalities "), F.size("modalities").cast("string"), F.lit(") / disconfirm "), text("disconfirming"), F.lit(" / net "), text("net_hosts"), F.lit("] ")]
-    bets = hypotheses.select(F.lit("3-hypotheses"), place("hypothesis_id"), F.concat(text("hypothesis_id"), *counts, stamp))
+    bets = hypotheses.select(F.lit("3-hypotheses"), place("hypothesis_id"), F.concat(F.substring(F.coalesce("thesis", F.lit("")), 1, 90), *counts, stamp))
     totals = calibration.select(F.lit("4-predictions"), F.lit(""), F.concat(text("n_predictions"), F.lit(" made, "), text("n_distinct"), F.lit(" distinct, "), text("n_resolved"), F.lit(" resolved, "), text("n_premature"), F.lit(" premature, brier "), text("brier_all")))
     again = F.when(F.col("near_duplicate_of").isNotNull(), F.concat(F.lit(" (dup of "), text("near_duplicate_of"), F.lit(")"))).otherwise("")
     forecasts = predictions.select(F.lit("4-predictions"), place("seq"), F.concat(F.lit("(conf "), text("stated_confidence"), F.lit(", by "), text("resolve_by"), F.lit(") "), F.substring(F.coalesce("claim", F.lit("")), 1, 100), again))
     left = frontier.filter("is_open").select(F.lit("5-open"), place("opened_at"), F.col("item").cast("string"))
     return seen.union(found).union(bets).union(totals).union(forecasts).union(left)
+
+
+# The headings of a digest's sections.
+SECTIONS = {"1-evidence": "evidence", "2-findings": "findings", "3-hypotheses": "hypotheses", "4-predictions": "predictions", "5-open": "open"}
+
+
+def digest_document(lines: DataFrame, goal: str) -> DataFrame:
+    """The lines of a digest with its title and a heading for each section, which counts it: ``section, ord, line``, to be written in that order."""
+    title = F.create_map(*[F.lit(x) for kv in SECTIONS.items() for x in kv])
+    entries = F.when(F.col("ord") != "", 1)
+    headings = lines.groupBy("section").agg(F.count(entries).alias("n")).select("section", F.lit(" ").alias("ord"), F.concat(F.lit("## "), title[F.col("section")], F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("line"))
+    # A section's totals stand in the line without a place of its own, below the heading.
+    body = lines.select("section", F.concat(F.lit("-"), "ord").alias("ord"), F.concat(F.lit("- "), F.regexp_replace("line", r"\s+", " ")).alias("line"))
+    top = lines.sparkSession.range(1).select(F.lit("0-title").alias("section"), F.lit("").alias("ord"), F.lit(f"# RESEARCH DIGEST: {goal}").alias("line"))
+    return top.union(headings).union(body)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.functions import web
+from tidemark.sources.storage import cut
 
 from . import evidence, ledger
 
@@ -15,8 +16,14 @@ ABSTAIN = ("", "abstain", "n/a", "none", "unknown", "모름", "확인불가")
 NUMERIC = ("api-number", "count", "on-screen-price")
 
 
+def of_last(predictions: DataFrame) -> DataFrame:
+    """The last row of each prediction, where they have an order; a repeated id is one prediction."""
+    return ledger.latest(predictions, ["prediction_id"]) if "seq" in predictions.columns else predictions
+
+
 def resolved(predictions: DataFrame, resolutions: DataFrame) -> DataFrame:
     """Predictions whose latest resolution is a hit or a miss: ``prediction_id, p, y, anchored, premature``."""
+    predictions = of_last(predictions)
     last = ledger.latest(resolutions.select("prediction_id", "seq", "outcome", "anchored", "ts"), ["prediction_id"])
     met = predictions.join(last.filter("outcome IN ('hit', 'miss')"), "prediction_id")
     return met.select("prediction_id", F.col("stated_confidence").alias("p"), (F.col("outcome") == "hit").cast("double").alias("y"), "anchored", (F.col("ts") <= F.col("created")).alias("premature"))
@@ -25,10 +32,11 @@ def resolved(predictions: DataFrame, resolutions: DataFrame) -> DataFrame:
 def calibration(predictions: DataFrame, resolutions: DataFrame) -> DataFrame:
     """One row of totals, resolution rate, Brier scores over all and over anchored resolutions, and the greatest gap of a bucket.
 
-    Resolutions at or before the forecast count, and are reported as premature.  Distinct forecasts are counted where
+    A repeated id is one forecast, as its last row has it.  Resolutions at or before the forecast count, and are reported as premature.  Distinct forecasts are counted where
     these have their claim, deadline and hypothesis.
     """
-    done = resolved(predictions, resolutions)
+    predictions = of_last(predictions)
+    done = cut(resolved(predictions, resolutions))
     error = F.pow(F.col("p") - F.col("y"), 2)
     scored = done.agg(F.count("*").alias("n_resolved"), F.count_if("premature").alias("n_premature"), F.round(F.avg(error), 4).alias("brier_all"), F.round(F.avg(F.when(F.col("anchored"), error)), 4).alias("brier_anchored"))
     met = predictions.agg(F.count("*").alias("n_predictions")).join(scored, how="cross")
@@ -37,7 +45,7 @@ def calibration(predictions: DataFrame, resolutions: DataFrame) -> DataFrame:
         distinct = evidence.prediction_counts(predictions).agg(F.coalesce(F.sum("distinct_predictions"), F.lit(0)).alias("n_distinct"))
     else:
         distinct = predictions.sparkSession.range(1).select(F.lit(None).cast("long").alias("n_distinct"))
-    worst = reliability(predictions, resolutions).agg(F.max("gap").alias("worst_bucket_gap"))
+    worst = _buckets(done, 5).agg(F.max("gap").alias("worst_bucket_gap"))
     met = met.join(distinct, how="cross").join(worst, how="cross")  # of one row each
     return met.withColumns({"resolution_rate": rate, "brier_divergence": F.round(F.col("brier_all") - F.col("brier_anchored"), 4)})
 
@@ -49,8 +57,12 @@ def blind(cards: DataFrame) -> DataFrame:
 
 def reliability(predictions: DataFrame, resolutions: DataFrame, buckets: int = 5) -> DataFrame:
     """Mean confidence against hit rate in equal buckets; a confidence of 1 lies in the last, empty ones are left out."""
+    return _buckets(resolved(predictions, resolutions), buckets)
+
+
+def _buckets(done: DataFrame, buckets: int) -> DataFrame:
     bucket = F.least((F.col("p") * buckets).cast("int"), F.lit(buckets - 1))
-    means = resolved(predictions, resolutions).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.avg("p").alias("mc"), F.avg("y").alias("hr"))
+    means = done.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.avg("p").alias("mc"), F.avg("y").alias("hr"))
     return means.select("bucket", "n", F.round("mc", 3).alias("mean_confidence"), F.round("hr", 3).alias("hit_rate"), F.round(F.abs(F.col("mc") - F.col("hr")), 3).alias("gap"))
 
 

@@ -4,12 +4,52 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TYPES = ("int", "float", "str")
 
 
+def _number(text: Column, here: Column, kind: str) -> tuple[Column, Column, Column]:
+    """The number that a cell's text is, whether it isn't finite, and the number if it is."""
+    bare = F.trim(F.regexp_replace(text, ",", ""))
+    number = bare.try_cast("double")
+    number = F.when(here, F.when(bare.rlike(r"^[+-]?\d+$"), number) if kind == "int" else number)
+    odd = F.isnan(number) | (F.abs(number) == float("inf"))
+    return number, odd, F.when(~odd, number)
+
+
+def samples(rows: DataFrame, rules: dict[str, dict], order: list[str], k: int = 3) -> DataFrame:
+    """The first ``k`` values, in the order of some columns, of each issue that ``validate`` shows values of: ``field, issue, place, value``.
+
+    These are values below the least, above the greatest, or that a rule rejects.  A row gives only the values that
+    break a rule, and each task keeps the first few of them before the shuffle.
+    """
+    found = []
+    for field, rule in rules.items():
+        if not isinstance(rule, dict) or field not in rows.columns:
+            continue
+        raw = F.col(f"`{field}`")
+        text = raw.cast("string")
+        here = raw.isNotNull() & (F.trim(text) != "")
+        broken = {}
+        if rule.get("type") in ("int", "float"):
+            fine = _number(text, here, rule["type"])[2]
+            broken |= {issue: compare(fine, float(rule[bound])) for issue, bound, compare in (("below_min", "min", Column.__lt__), ("above_max", "max", Column.__gt__)) if rule.get(bound) is not None}
+        if rule.get("reject_regex"):
+            try:
+                re.compile(rule["reject_regex"])
+                broken["junk"] = here & text.rlike("(?i)" + rule["reject_regex"])
+            except re.error:
+                pass
+        found += [F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(field).alias("field"), F.lit(issue).alias("issue"), text.alias("value"))) for issue, c in broken.items()]
+    if not found:
+        return rows.sparkSession.createDataFrame([], "field string, issue string, place int, value string")
+    each = rows.select(F.struct(*order).alias("_o"), F.explode(F.array_compact(F.array(*found))).alias("f")).select("_o", "f.*")
+    place = F.row_number().over(Window.partitionBy("field", "issue").orderBy("_o", "value"))
+    return each.withColumn("place", place).filter(F.col("place") <= k).select("field", "issue", "place", "value")
+
+
 def validate(rows: DataFrame, rules: dict[str, dict], min_rows: int | None = None) -> DataFrame:
     """Issues of a table against per-field rules: ``field, issue, n``.
 
@@ -39,12 +79,7 @@ def validate(rows: DataFrame, rules: dict[str, dict], min_rows: int | None = Non
         if "max_empty_ratio" in rule or rule.get("required"):
             plans.append((field, "empty_ratio", empty, empty > F.col("n_rows") * float(rule.get("max_empty_ratio", 0.0))))
         if kind in ("int", "float"):
-            bare = F.trim(F.regexp_replace(text, ",", ""))
-            number = bare.try_cast("double")
-            number = F.when(bare.rlike(r"^[+-]?\d+$"), number) if kind == "int" else number
-            number = F.when(here, number)
-            odd = F.isnan(number) | (F.abs(number) == float("inf"))
-            fine = F.when(~odd, number)
+            number, odd, fine = _number(text, here, kind)
             plans.append((field, "not_coercible", n := add("bad", F.count_if(here & number.isNull())), n > 0))
             plans.append((field, "non_finite", n := add("odd", F.count_if(F.coalesce(odd, F.lit(False)))), n > 0))
             if rule.get("min") is not None:

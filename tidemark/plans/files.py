@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import gates, media
-from tidemark.sources import jsonl, transcripts
+from tidemark.operators import gates, ledger, media
+from tidemark.sources import commits, jsonl, lines, transcripts
 from tidemark.sources.tables import Tables
 
+from . import registry
+from . import sql as q
 from .registry import query
 
 ORDERS = "SELECT o_orderkey AS k, o_custkey AS c, o_orderpriority AS p FROM orders WHERE o_orderkey % 10 > 1"
@@ -30,6 +32,33 @@ def read_results(t: Tables) -> DataFrame:
     return jsonl.read_maps(t.spark, t.spooled(t.raw("part").select(value.alias("value"))))
 
 
+def _files(t: Tables, head: str = "", tail: str = "", every: int = 1) -> str:
+    """A file for each nation, of a JSON list of its suppliers; every so many of them within an object."""
+    each = F.to_json(F.struct(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name")))
+    lists = t.raw("supplier").groupBy(F.col("s_nationkey").alias("n")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", each.alias("j")))).alias("xs"))
+    listed = F.concat(F.lit("["), F.array_join(F.transform("xs", lambda x: x["j"]), ",\n"), F.lit("]"))
+    return t.spooled_by(lists.select("n", F.when(F.col("n") % every == 0, F.concat(F.lit(head), listed, F.lit(tail))).otherwise(listed).alias("value")), "n")
+
+
+_SUPPLIERS = "SELECT s_suppkey AS k, s_name AS name FROM supplier"
+
+
+@query(_SUPPLIERS)
+def read_array(t: Tables) -> DataFrame:
+    return jsonl.read_array(t.spark, _files(t), "k long, name string")
+
+
+@query(_SUPPLIERS)
+def read_cards(t: Tables) -> DataFrame:
+    """Lists, and objects that hold one, by turns."""
+    return jsonl.read_cards(t.spark, _files(t, '{"cards": ', "}", 2), "k long, name string")
+
+
+@query("SELECT row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS ord, s_suppkey AS k, s_name AS name FROM supplier")
+def read_registry(t: Tables) -> DataFrame:
+    return jsonl.read_registry(t.spark, _files(t, '{"x": [1], "records": ', ', "y": [2]}'), "k long, name string")
+
+
 def _talk(t: Tables, line: Column, key: str = "conv_id") -> DataFrame:
     """One text for each conversation, of a line for each of its turns."""
     turns = t.raw("conversations").withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " ")))
@@ -71,6 +100,60 @@ def webvtt(t: Tables) -> DataFrame:
     return transcripts.to_vtt(t.segments())
 
 
+@query(f"SELECT conv_id AS transcript_id, CAST(turn AS DOUBLE) * 5 AS \"start\", trim(regexp_replace(text, '[ \t\x0B\f]*\n[ \t\n\x0B\f\r]*', ' ', 'g')) AS text FROM conversations WHERE trim(text) <> ''")
+def parse_cues(t: Tables) -> DataFrame:
+    """What the reader of cue blocks makes of the texts that the writer made."""
+    return transcripts.parse_timed(transcripts.to_vtt(t.segments())).select("transcript_id", "start", "text")
+
+
+@query(
+    """SELECT conv_id AS transcript_id, -1 AS idx, '# talk ' || conv_id AS line FROM conversations GROUP BY ALL
+ UNION ALL SELECT conv_id, turn, printf('[%8.2f --> %8.2f] ', turn * 5.0, turn * 5.0 + length(text) % 50 / 10.0) || trim(text) FROM conversations"""
+)
+def transcript_lines(t: Tables) -> DataFrame:
+    return transcripts.transcript_lines(t.segments(), F.concat(F.lit("talk "), F.col("transcript_id").cast("string")))
+
+
+@query("SELECT row_number() OVER (ORDER BY conv_id, turn) AS line_no, regexp_replace(text, '\r\n|[\r\n]', ' ', 'g') AS line FROM conversations")
+def ordered_lines(t: Tables) -> DataFrame:
+    """All turns of all conversations written as lines of ordered files, and read again with their numbers."""
+    path = t.spool()
+    lines.write_lines(t.raw("conversations"), ["conv_id", "turn"], "text", path)
+    return lines.read_ordered(t.spark, path)
+
+
+_DOCUMENT = f"""WITH d AS ({q.DIGEST}), n AS (SELECT section, count(*) FILTER (ord <> '') AS n FROM d GROUP BY 1), every AS (SELECT '0-title' AS section, '' AS ord, '# RESEARCH DIGEST: corpus' AS line
+ UNION ALL SELECT section, ' ', '## ' || substr(section, 3) || ' (' || n || ')' FROM n UNION ALL SELECT section, '-' || ord, '- ' || regexp_replace(line, '[ \t\n\x0B\f\r]+', ' ', 'g') FROM d)"""
+
+
+@query(f"{_DOCUMENT} SELECT row_number() OVER (ORDER BY section, ord) AS line_no, line FROM every")
+def digest_file(t: Tables) -> DataFrame:
+    """The digest as a file: written in order over many parts, and read again line for line."""
+    path = t.spool()
+    lines.write_lines(ledger.digest_document(registry.digest(t), "corpus"), ["section", "ord"], "line", path)
+    return lines.read_ordered(t.spark, path)
+
+
+@query("SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) AS place FROM orders")
+def read_log(t: Tables) -> DataFrame:
+    """Orders written to logs, and put in the order of the logs' bytes."""
+    path = t.spool()
+    lines.write_lines(t.raw("orders").select("o_orderkey", F.to_json(F.struct(F.col("o_orderkey").alias("k"))).alias("line")), ["o_orderkey"], "line", path)
+    placed = lines.numbered(lines.lines_at(t.spark, path), ["file", "offset"], "place")
+    return placed.select(F.from_json("line", "k long")["k"].alias("k"), "place")
+
+
+@query("SELECT k, min(seq) AS seq, arg_min(v, seq) AS v FROM (SELECT c_custkey AS k, c_custkey AS seq, 'customer' AS v FROM customer UNION ALL SELECT o_custkey + CASE WHEN o_orderkey % 5 = 0 THEN 1000000 ELSE 0 END, 1000000000 + o_orderkey, 'order' FROM orders) GROUP BY k")
+def committed_once(t: Tables) -> DataFrame:
+    """A table that two writers append to, one of them twice: every key once, as whoever came first had it."""
+    path = t.spool()
+    customers = t.raw("customer").selectExpr("c_custkey AS k", "c_custkey AS seq", "'customer' AS v")
+    orders = t.raw("orders").selectExpr("o_custkey + CASE WHEN o_orderkey % 5 = 0 THEN 1000000 ELSE 0 END AS k", "1000000000 + o_orderkey AS seq", "'order' AS v")
+    for writer, rows in (("a", customers), ("b", orders), ("a", customers), ("b", orders)):
+        commits.append_once(rows, path, ["k"], "seq", writer, 0)
+    return commits.read_once(t.spark, path)
+
+
 # Transcripts
 
 
@@ -175,22 +258,39 @@ def loudness(t: Tables) -> DataFrame:
 
 
 def _skills(t: Tables) -> DataFrame:
-    stamp = "CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN '\\nlast_verified: soon' ELSE concat('\\nlast_verified: ', date_add(date'2024-01-01', cast(doc_id % 200 AS int))) END"
-    return t.raw("documents").selectExpr("concat('p', doc_id) AS path", f"CASE WHEN doc_id % 11 = 0 THEN 'no block' ELSE concat('---\\nname: d', doc_id, {stamp}, '\\n---\\nbody') END AS content")
+    """Documents with dates plain, in quotes, with one digit, with a time, or none; some marked as dated only."""
+    date = "date_format(date_add(date'2024-01-01', cast(length(text) % 200 AS int)), if(doc_id % 7 = 2, 'yyyy-M-d', 'yyyy-MM-dd'))"
+    stamp = f"CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN '\\nlast_verified: soon' WHEN 3 THEN concat('\\nlast_verified: \"', {date}, '\"') WHEN 4 THEN concat('\\nlast_verified: ', {date}, 'T00:00') ELSE concat('\\nlast_verified: ', {date}) END"
+    by = "CASE doc_id % 5 WHEN 0 THEN '\\nverified_by: date-stamp-unverified' WHEN 1 THEN '\\nverified_by: \"reviewer\"' ELSE '' END"
+    return t.raw("documents").selectExpr("concat('p', doc_id) AS path", f"CASE WHEN doc_id % 11 = 0 THEN text ELSE concat('---\\nname: d', doc_id, coalesce({stamp}, ''), {by}, '\\n  last_verified: 2024-05-01\\n---\\n', text) END AS content")
 
 
-@query(
-    """WITH s AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 OR doc_id % 6 < 2 THEN NULL ELSE date_diff('day', DATE '2024-01-01' + CAST(doc_id % 200 AS INTEGER), DATE '2024-05-01') END AS age FROM documents)
- SELECT 'p' || doc_id AS path, CASE WHEN doc_id % 11 = 0 THEN '' ELSE 'd' || doc_id END AS name, age AS age_days, CASE WHEN doc_id % 11 = 0 THEN 'no_frontmatter' WHEN doc_id % 6 = 0 THEN 'unverified' WHEN age IS NULL THEN 'invalid'
- WHEN age < 0 THEN 'future' WHEN age >= 30 THEN 'stale' ELSE 'fresh' END AS state FROM s"""
-)
+_STATES = """s AS (SELECT doc_id, text, DATE '2024-01-01' + CAST(length(text) % 200 AS INTEGER) AS day, CASE WHEN doc_id % 11 = 0 OR doc_id % 7 = 0 OR text IS NULL THEN 'missing' WHEN doc_id % 7 IN (1, 4) THEN 'invalid-date' END AS bad FROM documents),
+ judged AS (SELECT *, CASE WHEN bad IS NULL THEN date_diff('day', day, DATE '2024-05-01') END AS age FROM s), states AS (SELECT *, coalesce(bad, CASE WHEN age >= 30 THEN 'stale' WHEN doc_id % 5 = 0 THEN 'stamped-unverified' ELSE 'fresh' END) AS state FROM judged)"""
+
+
+@query(f"WITH {_STATES} SELECT 'p' || doc_id AS path, CASE WHEN doc_id % 11 = 0 THEN '' ELSE 'd' || doc_id END AS name, age AS age_days, state FROM states")
 def skill_staleness(t: Tables) -> DataFrame:
     return gates.skill_staleness(_skills(t), "2024-05-01")
 
 
-@query("SELECT 'p' || doc_id AS path, CASE WHEN doc_id % 11 = 0 THEN 'no block' ELSE '---' || chr(10) || 'name: d' || doc_id || chr(10) || 'last_verified: 2024-05-01' || chr(10) || '---' || chr(10) || 'body' END AS content FROM documents")
+@query(f"""WITH {_STATES} SELECT count(*) FILTER (state <> 'fresh') = 0 AS passed, count(*) AS checked, count(*) FILTER (state = 'fresh') AS fresh, count(*) FILTER (state = 'stale') AS stale, count(*) FILTER (state = 'missing') AS missing,
+ count(*) FILTER (state = 'invalid-date') AS invalid_date, count(*) FILTER (state = 'stamped-unverified') AS stamped_unverified FROM states""")
+def staleness_gate(t: Tables) -> DataFrame:
+    return gates.staleness_gate(gates.skill_staleness(_skills(t), "2024-05-01"), strict=True)
+
+
+@query(f"WITH {_STATES} SELECT 'p' || doc_id AS path, CASE WHEN state IN ('missing', 'invalid-date', 'stale') THEN 'stamped-unverified' ELSE state END AS state FROM states")
+def skill_restamped(t: Tables) -> DataFrame:
+    """The states of documents once those that fail are dated: none of them passes for verified."""
+    return gates.skill_staleness(gates.restamped(_skills(t), "2024-05-01"), "2024-05-01").select("path", "state")
+
+
+@query("SELECT 'p' || doc_id AS path, CASE WHEN doc_id % 11 = 0 THEN 'no block' ELSE '---' || chr(10) || 'name: d' || doc_id || chr(10) || 'last_verified: 2024-05-01' || chr(10) || '---' || chr(10) || text END AS content FROM documents")
 def skill_stamped(t: Tables) -> DataFrame:
-    return gates.with_field(_skills(t), "last_verified", F.lit("2024-05-01"))
+    stamp = "CASE doc_id % 6 WHEN 0 THEN '' ELSE '\\nlast_verified: soon' END"
+    files = t.raw("documents").selectExpr("concat('p', doc_id) AS path", f"CASE WHEN doc_id % 11 = 0 THEN 'no block' ELSE concat('---\\nname: d', doc_id, {stamp}, '\\n---\\n', text) END AS content")
+    return gates.with_field(files, "last_verified", F.lit("2024-05-01"))
 
 
 @query("SELECT 'p' || doc_id AS path, CASE WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 THEN 'write' ELSE 'same' END AS action FROM documents UNION ALL SELECT 'q' || doc_id, 'prune' FROM documents WHERE doc_id % 13 = 0")

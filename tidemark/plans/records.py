@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import text as tx
 from tidemark.functions import web
 from tidemark.operators import acquire, producers, scoring
 from tidemark.sources.tables import Tables
@@ -88,36 +87,49 @@ def parsed_pages(t: Tables) -> DataFrame:
     return acquire.parsed(t.raw("pages"), paragraphs, "i: int", "page_id", "html").select("page_id", "parse_failed", "n_rows")
 
 
-# Functions of single values, with the results that they are known to have.
+# Functions of single values, on values made of the customers' keys and names.
 
-_VALUES: list[tuple[str, str, str | None]] = [
-    ("host", "http://[2001:0db8:0:0:0:0:0:1]:80/x", "2001:db8::1"), ("host", "https://www.news.bbc.co.uk/", "bbc.co.uk"), ("host", "http://10.0.0.1/", "10.0.0.1"), ("host", "http://a.com.mx", "a.com.mx"), ("host", "nonsense", ""),
-    ("closed", "169.254.169.254", "true"), ("closed", "8.8.8.8", "false"), ("closed", "::1", "true"), ("closed", "", "true"), ("closed", "example.com", "false"), ("path", "/home/../etc/passwd", "false"), ("path", "refs/a.html", "true"),
-    ("number", "costs 1,234 won", "1234.0"), ("number", "-5 then 6", "-5.0"), ("number", "1,2,3", "1.0"), ("number", "2e3 m", "2000.0"), ("number", "none", None), ("date", " 2024-6-1 ", "2024-06-01"), ("date", "2024-06-01T00:00", None), ("date", "2024-02-30", None),
-    ("begins", "2024-06-01T00:00", "2024-06-01"), ("status", "oops", "suspect"), ("status", "404", "http_error"), ("status", "200", "weak_ok"), ("stamp", "[ALPHA] [RECON]", "ALPHA"), ("stamp", "[RECON: thin]", "unlabeled"),
-    ("video", "https://youtu.be/abcdefghijk?t=1", "abcdefghijk"), ("video", "abcdefghijk", "abcdefghijk"), ("video", "short", None), ("abstains", " Unknown ", "true"), ("abstains", "모름", "true"), ("abstains", "not found", "false"),
-    ("scrubbed", "key=abc&x", "key=***&x"), ("knobs", '["typo"]', "fatal_domains_unknown"), ("knobs", '["traceability"]', "fatal_set_trivial"), ("knobs", "breadth", "fatal_domains_not_list"), ("knobs", '["breadth"]', ""),
-]
+_NAMED = "SELECT c_custkey AS k, c_name AS name, substr(sha256(c_name), 1, 11) AS v FROM customer"
 
 
-def _quoted(x: str | None) -> str:
-    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({_quoted(f)}, {_quoted(x)}, {_quoted(y)})" for f, x, y in _VALUES) + ') v(f, x, y)')
+@query(
+    f"""WITH c AS ({_NAMED}), ip AS (SELECT k, k % 256 AS a, k * 7 % 256 AS b, k * 13 % 256 AS d FROM c)
+ SELECT k, 'video' AS f, CASE k % 3 WHEN 0 THEN 'https://youtu.be/' || v WHEN 1 THEN 'https://www.youtube.com/watch?v=' || v || '&t=1' ELSE name END AS x, CASE WHEN k % 3 < 2 THEN v END AS y FROM c
+ UNION ALL SELECT k, 'closed', a || '.' || b || '.' || d || '.1', CAST(a IN (0, 10, 127) OR a >= 224 OR a = 169 AND b = 254 OR a = 172 AND b BETWEEN 16 AND 31 OR a = 192 AND (b = 168 OR b = 0 AND d IN (0, 2)) OR a = 198 AND (b IN (18, 19) OR b = 51 AND d = 100) OR a = 203 AND b = 0 AND d = 113 AS VARCHAR) FROM ip
+ UNION ALL SELECT k, 'path', '/' || CASE k % 3 WHEN 0 THEN 'etc/' WHEN 1 THEN 'home/../etc/' ELSE 'home/' END || name, CAST(k % 3 = 2 AS VARCHAR) FROM c
+ UNION ALL SELECT k, 'scrubbed', 'key=' || name || '&x', 'key=***&x' FROM c
+ UNION ALL SELECT k, 'abstains', CASE WHEN k % 2 = 0 THEN ' Unknown ' ELSE name END, CAST(k % 2 = 0 AS VARCHAR) FROM c"""
+)
 def known_values(t: Tables) -> DataFrame:
-    """Functions on cases that the tables don't hold."""
-    given = t.spark.createDataFrame([(f, x) for f, x, _ in _VALUES], "f string, x string")
-    x, none = F.col("x"), F.lit(None).cast("string")
-    knobs = given.filter("f = 'knobs'").select(x.alias("standard_id"), x.alias("fatal_domains"), none.alias("required_modalities"), *[F.lit(1.0).alias(c) for c in ("min_distinct_hosts", "min_independent_sources", "dup_similarity")])
-    warned = producers.standard_warnings(knobs).select(F.lit("knobs").alias("f"), F.col("standard_id").alias("x"), F.col("warnings").alias("y"))
-    as_text = lambda c: c.cast("string")
-    found: dict[str, Column] = {
-        "host": web.registrable(x), "closed": as_text(web.closed_host(x)), "path": as_text(web.open_path(x)), "number": as_text(tx.first_number(x)), "date": as_text(web.strict_date(x)), "begins": as_text(web.date_of(x)),
-        "status": web.softblock(F.repeat(F.lit("x"), 4000), x, F.lit(None).cast("boolean"), F.lit(False)), "stamp": producers.run_stamp(x), "video": producers.video_id(x), "abstains": as_text(scoring.abstains(x)),
-        "scrubbed": producers.scrubbed(x, F.lit("abc")),
+    """Ids in addresses, closed hosts, paths, secrets in messages and abstentions, whose results follow from how they are made."""
+    c = t.raw("customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.substring(F.sha2("c_name", 256), 1, 11).alias("v"))
+    made = {
+        "video": (F.expr("CASE k % 3 WHEN 0 THEN concat('https://youtu.be/', v) WHEN 1 THEN concat('https://www.youtube.com/watch?v=', v, '&t=1') ELSE name END"), producers.video_id),
+        "closed": (F.expr("concat_ws('.', k % 256, k * 7 % 256, k * 13 % 256, 1)"), web.closed_host), "path": (F.expr("concat('/', CASE k % 3 WHEN 0 THEN 'etc/' WHEN 1 THEN 'home/../etc/' ELSE 'home/' END, name)"), web.open_path),
+        "scrubbed": (F.expr("concat('key=', name, '&x')"), lambda x: producers.scrubbed(x, F.col("name"))), "abstains": (F.expr("if(k % 2 = 0, ' Unknown ', name)"), scoring.abstains),
     }
-    chain = F
-    for name, value in found.items():
-        chain = chain.when(F.col("f") == name, value)
-    return given.filter("f != 'knobs'").select("f", "x", chain.alias("y")).unionByName(warned)
+    parts = [c.select("k", F.lit(f).alias("f"), x.alias("x"), of(x).cast("string").alias("y")) for f, (x, of) in made.items()]
+    for part in parts[1:]:
+        parts[0] = parts[0].unionByName(part)
+    return parts[0]
+
+
+@query(
+    """WITH s AS (SELECT s_suppkey AS k, s_suppkey % 5 AS hosts, s_suppkey % 4 AS sources, s_suppkey % 7 / 4 AS dup, CASE s_suppkey % 4 WHEN 0 THEN '["typo"]' WHEN 1 THEN '["traceability"]' WHEN 2 THEN 'breadth' ELSE '["breadth"]' END AS fatal FROM supplier)
+ SELECT CAST(k AS VARCHAR) AS standard_id, concat_ws(',', CASE WHEN hosts > sources THEN 'volume_bar_incoherent' END, CASE WHEN k % 4 = 2 THEN 'fatal_domains_not_list' WHEN k % 4 = 0 THEN 'fatal_domains_unknown' WHEN k % 4 = 1 THEN 'fatal_set_trivial' END, CASE WHEN NOT (dup > 0 AND dup <= 1) THEN 'dup_similarity_range' END) AS warnings FROM s"""
+)
+def standard_warnings(t: Tables) -> DataFrame:
+    fatal = "CASE s_suppkey % 4 WHEN 0 THEN '[\"typo\"]' WHEN 1 THEN '[\"traceability\"]' WHEN 2 THEN 'breadth' ELSE '[\"breadth\"]' END AS fatal_domains"
+    made = t.raw("supplier").selectExpr("cast(s_suppkey AS string) AS standard_id", "s_suppkey % 5 AS min_distinct_hosts", "s_suppkey % 4 AS min_independent_sources", "s_suppkey % 7 / 4D AS dup_similarity", fatal, "cast(NULL AS string) AS required_modalities")
+    return producers.standard_warnings(made)
+
+
+@query(
+    """WITH daily AS (SELECT event_type AS region, date_trunc('day', CAST(ts AS TIMESTAMP)) AS d, user_id AS id, sum(CAST(round(value * 100) AS BIGINT)) AS cents FROM events GROUP BY ALL)
+ SELECT region, CAST(CAST(d AS DATE) AS VARCHAR) AS day, row_number() OVER (PARTITION BY region, d ORDER BY cents DESC, id) AS rank, id FROM daily"""
+)
+def chart_rows(t: Tables) -> DataFrame:
+    """Each day's chart as the payload that a caller would hand over, and its rows by place."""
+    daily = t.events().groupBy(F.col("event_type").alias("region"), F.date_trunc("day", "ts").alias("at"), F.col("user_id").alias("id")).agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
+    payload = daily.groupBy("region", "at").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("cents")).alias("c"), "id"))), lambda x: x["id"]).alias("items"))
+    return producers.chart_rows(payload).select("region", F.col("at").cast("date").cast("string").alias("day"), "rank", F.col("item").alias("id"))

@@ -229,7 +229,7 @@ def triangulate(t: Tables) -> DataFrame:
 
 def _with_stakes(t: Tables) -> DataFrame:
     counts = evidence.prediction_counts(t.predictions())
-    stakes = t.hypotheses().select("hypothesis_id", "stakes", "mode")
+    stakes = t.hypotheses().select("hypothesis_id", "stakes", "mode", "thesis")
     met = _triangulated(t).join(stakes, "hypothesis_id", "left").join(counts, "hypothesis_id", "left")
     return met.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("raw_predictions", "distinct_predictions")})
 
@@ -280,13 +280,17 @@ def run_gate(t: Tables) -> DataFrame:
     return evidence.run_gate(_gated(t))
 
 
-@query(q.DIGEST)
-def digest_lines(t: Tables) -> DataFrame:
+def digest(t: Tables) -> DataFrame:
     judged = evidence.verdict(_with_stakes(t))
     forecasts = t.predictions().join(scoring.prediction_duplicates(t.predictions()).select("seq", "near_duplicate_of"), "seq")
     return ledger.digest_lines(t.artifacts(), t.findings(), ledger.frontier_state(t.frontier_events()), judged, forecasts, scoring.calibration(t.predictions(), t.resolutions()))
 
 
+@query(q.DIGEST)
+def digest_lines(t: Tables) -> DataFrame:
+    return digest(t)
+
+
 # Gates
 
 
@@ -320,6 +324,21 @@ def _profiles(t: Tables) -> DataFrame:
     return gates.harvest_runs(runs, t.findings(), t.artifacts(), t.hypotheses(), t.predictions().join(t.findings().select("seq", "run"), "seq"))
 
 
+@query(q.CORRECTION_PARTS)
+def correction_parts(t: Tables) -> DataFrame:
+    return gates.correction_parts(_profiles(t), t.findings(), t.artifacts())
+
+
+@query(q.FIRST_CORRECTIONS)
+def first_corrections(t: Tables) -> DataFrame:
+    return gates.first_corrections(_profiles(t))
+
+
+@query(q.RUN_THESES)
+def run_theses(t: Tables) -> DataFrame:
+    return gates.run_theses(t.hypotheses())
+
+
 @query(q.TOP_HOSTS)
 def top_hosts(t: Tables) -> DataFrame:
     return gates.top_hosts(t.findings(), t.artifacts())
@@ -345,6 +364,12 @@ def table_validation(t: Tables) -> DataFrame:
     return validate.validate(t.raw("lineitem"), RULES, min_rows=10)
 
 
+@query(q.SAMPLES)
+def validation_samples(t: Tables) -> DataFrame:
+    rules = RULES | {"l_discount": {"type": "float", "max": 0.08}}
+    return validate.samples(t.raw("lineitem"), rules, ["l_orderkey", "l_linenumber"])
+
+
 # Scoring
 
 

@@ -286,6 +286,16 @@ _RUNS = f"""{_FINDINGS}, {_ARTIFACTS}, {_PREDICTIONS}, runs0 AS (SELECT source A
 HARVEST_RUNS = f"WITH {_RUNS} SELECT * REPLACE (array_to_string(gaps, ',') AS gaps, array_to_string(corrections, ',') AS corrections) FROM profiles"
 HARVEST_COUNTS = f"""WITH {_RUNS} SELECT 'label' AS what, label AS name, count(*) AS n FROM profiles GROUP BY ALL UNION ALL SELECT 'gaps', g, count(*) FROM (SELECT unnest(gaps) AS g FROM profiles) GROUP BY ALL
  UNION ALL SELECT 'corrections', g, count(*) FROM (SELECT unnest(corrections) AS g FROM profiles) GROUP BY ALL"""
+CORRECTION_PARTS = f"""WITH {_RUNS}, parts AS (SELECT run, n_hosts, unnest(corrections) AS type FROM profiles), met AS (SELECT f.run, f.seq, polarity, coalesce(a.host, '') AS host, coalesce({_modality('a.type')}, 'other') AS modality FROM findings f LEFT JOIN artifacts a USING (artifact_id)),
+ mods AS (SELECT run, modality, row_number() OVER (PARTITION BY run ORDER BY count(*) DESC, min(seq)) AS r FROM met GROUP BY run, modality), hosts AS (SELECT run, host, row_number() OVER (PARTITION BY run ORDER BY count(*) DESC, min(seq)) AS r FROM met WHERE host <> '' GROUP BY run, host)
+ SELECT run, type, CASE WHEN r = 1 THEN 'from' ELSE 'added' END AS part, greatest(r - 1, 1) AS place, modality AS value FROM mods JOIN parts USING (run) WHERE type = 'modality-expansion'
+ UNION ALL SELECT run, type, 'source', seq, host FROM met JOIN parts USING (run) WHERE type = 'disconfirm-added' AND polarity = 'disconfirms' AND host <> ''
+ UNION ALL SELECT run, type, 'host', r, host FROM hosts JOIN parts USING (run) WHERE type = 'host-diversification' AND r <= 5 UNION ALL SELECT run, type, 'count', 1, CAST(n_hosts AS VARCHAR) FROM parts WHERE type = 'host-diversification'
+ UNION ALL SELECT run, type, 'effect', 1, CASE type WHEN 'modality-expansion' THEN 'reached ALPHA' ELSE 'adversarial pass completed' END FROM parts WHERE type <> 'host-diversification'"""
+FIRST_CORRECTIONS = f"""WITH {_RUNS} SELECT run, place, type, CASE type WHEN 'modality-expansion' THEN 'reached ALPHA' WHEN 'disconfirm-added' THEN 'adversarial pass completed' ELSE '' END AS effect
+ FROM (SELECT run, unnest(corrections) AS type, generate_subscripts(corrections, 1) AS place FROM profiles) ORDER BY run, place LIMIT 10"""
+RUN_THESES = f"""WITH {_FINDINGS}, theses AS (SELECT hypothesis_id, min(seq) AS s, min(run) AS run, arg_min(text, seq) AS thesis FROM findings GROUP BY 1)
+ SELECT run, substr(coalesce(arg_max(thesis, s), ''), 1, 100) AS thesis, CASE arg_max(hypothesis_id, s) % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE '' END AS stakes FROM theses GROUP BY run"""
 TOP_HOSTS = f"""WITH {_FINDINGS}, {_ARTIFACTS}, counts AS (SELECT run, host, count(*) AS n, min(f.seq) AS s FROM findings f JOIN artifacts a USING (artifact_id) GROUP BY ALL)
  SELECT run, place, host, n FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY n DESC, s) AS place FROM counts) WHERE place <= 5"""
 REGISTRY_CHECK = f"""WITH {_FACTS}, records AS (SELECT o_orderkey AS ord, CASE WHEN o_orderkey % 97 = 0 THEN ' ' WHEN o_orderkey % 89 = 0 THEN 'twice' ELSE CAST(o_orderkey AS VARCHAR) END AS id FROM orders),
@@ -301,6 +311,11 @@ VALIDATION = """WITH a AS (SELECT count(*) AS n, count(*) FILTER (l_quantity <>
  SELECT field, issue, CAST(n AS BIGINT) AS n FROM (SELECT 'l_quantity' AS field, 'not_coercible' AS issue, bad_q AS n FROM a UNION ALL SELECT 'l_extendedprice', 'below_min', low_e FROM a UNION ALL SELECT 'l_returnflag', 'junk', junk_r FROM a
   UNION ALL SELECT 'l_linenumber', 'duplicates', dup_l FROM a UNION ALL SELECT 'l_shipdate', 'not_str', ships FROM a UNION ALL SELECT 'l_comment', 'empty_ratio', n FROM a UNION ALL SELECT 'l_tax', 'unknown_type', 1 FROM a UNION ALL SELECT 'l_linestatus', 'invalid_regex', 1 FROM a) WHERE n > 0"""
 
+SAMPLES = """WITH f AS (SELECT l_orderkey AS o, l_linenumber AS i, 'l_extendedprice' AS field, 'below_min' AS issue, CAST(l_extendedprice AS VARCHAR) AS value FROM lineitem WHERE l_extendedprice < 1000
+ UNION ALL SELECT l_orderkey, l_linenumber, 'l_quantity', 'below_min', CAST(l_quantity AS VARCHAR) FROM lineitem WHERE l_quantity < 2 AND NOT contains(CAST(l_quantity AS VARCHAR), '.')
+ UNION ALL SELECT l_orderkey, l_linenumber, 'l_quantity', 'above_max', CAST(l_quantity AS VARCHAR) FROM lineitem WHERE l_quantity > 49 AND NOT contains(CAST(l_quantity AS VARCHAR), '.')
+ UNION ALL SELECT l_orderkey, l_linenumber, 'l_discount', 'above_max', CAST(l_discount AS VARCHAR) FROM lineitem WHERE l_discount > 0.08 UNION ALL SELECT l_orderkey, l_linenumber, 'l_returnflag', 'junk', l_returnflag FROM lineitem WHERE lower(l_returnflag) = 'r')
+ SELECT field, issue, place, value FROM (SELECT *, row_number() OVER (PARTITION BY field, issue ORDER BY o, i, value) AS place FROM f) WHERE place <= 3"""
 CALIBRATION = f"""WITH RECURSIVE {_RESOLVED}, s AS (SELECT count(*) AS n_resolved, count(*) FILTER (premature) AS n_premature, round(avg((p - y) ** 2), 4) AS brier_all, round(avg((p - y) ** 2) FILTER (anchored), 4) AS brier_anchored FROM done),
  gaps AS (SELECT round(abs(avg(p) - avg(y)), 3) AS gap FROM done GROUP BY least(CAST(trunc(p * 5) AS INTEGER), 4)),
  {_PRED_NEAR}, pred_nodes AS (SELECT hypothesis_id || resolve_by AS g, seq AS n FROM predictions), {_count_components('pred_nodes', 'pnear', 'preds')}
@@ -322,12 +337,12 @@ PREDICTION_DUPLICATES = f"""WITH {_PREDICTIONS}, {_near('predictions', "hypothes
  SELECT p.seq, p.prediction_id, a AS near_duplicate_of FROM predictions p LEFT JOIN firsts USING (seq)"""
 
 _ORD = "lpad(CAST({} AS VARCHAR), 20, '0')"
-DIGEST = f"""WITH RECURSIVE {_FINDINGS}, {_HYPOTHESES}, {_ARTIFACTS}, {_PREDICTIONS}, {_JUDGED}, warned AS (SELECT hypothesis_id, CASE WHEN mode = 'debunk' THEN b.warning ELSE d.warning END AS warning FROM hypotheses JOIN ({DISCOVER}) d USING (hypothesis_id) JOIN ({DEBUNK}) b USING (hypothesis_id))
+DIGEST = f"""WITH RECURSIVE {_FINDINGS}, {_HYPOTHESES}, {_ARTIFACTS}, {_PREDICTIONS}, {_JUDGED}, warned AS (SELECT hypothesis_id, CASE WHEN mode = 'debunk' THEN b.warning ELSE d.warning END AS warning FROM hypotheses JOIN ({DISCOVER}) d USING (hypothesis_id) JOIN ({DEBUNK}) b USING (hypothesis_id)), theses AS (SELECT hypothesis_id, arg_min(text, seq) AS thesis FROM findings GROUP BY 1)
  SELECT '1-evidence' AS section, {_ORD.format('seq')} AS ord, '[' || type || '] ' || source || ' (gate=' || quality_label || ', sha=' || substr(coalesce(sha256, ''), 1, 12) || ')' AS line FROM artifacts
- UNION ALL SELECT '2-findings', label || '|' || {_ORD.format('seq')}, '(' || label || ') ' || substr(text, 1, 100) || ' <-' || artifact_id || '@' || locator FROM findings
- UNION ALL SELECT '3-hypotheses', {_ORD.format('hypothesis_id')}, hypothesis_id || ' [confirm ' || confirming || ' (distinct ' || confirming_claims || ', hosts ' || confirming_hosts || ', modalities ' || CASE WHEN modalities = '' THEN 0 ELSE len(string_split(modalities, ',')) END
+ UNION ALL SELECT '2-findings', label || '|' || {_ORD.format('seq')}, '(' || label || ') ' || coalesce(text, '') || ' <-' || artifact_id || '@' || locator FROM findings
+ UNION ALL SELECT '3-hypotheses', {_ORD.format('hypothesis_id')}, substr(coalesce(thesis, ''), 1, 90) || ' [confirm ' || confirming || ' (distinct ' || confirming_claims || ', hosts ' || confirming_hosts || ', modalities ' || CASE WHEN modalities = '' THEN 0 ELSE len(string_split(modalities, ',')) END
   || ') / disconfirm ' || disconfirming || ' / net ' || net_hosts || '] ' || CASE WHEN warning <> '' THEN '[!' || warning || '] ' ELSE '' END || '[' || label || CASE WHEN reasons <> '' THEN ': ' || reasons ELSE '' END || ']'
-  FROM verdicts JOIN warned USING (hypothesis_id) JOIN ({TRIANGULATE}) USING (hypothesis_id)
+  FROM verdicts JOIN warned USING (hypothesis_id) JOIN ({TRIANGULATE}) USING (hypothesis_id) JOIN theses USING (hypothesis_id)
  UNION ALL SELECT '4-predictions', '', n_predictions || ' made, ' || n_distinct || ' distinct, ' || n_resolved || ' resolved, ' || n_premature || ' premature, brier ' || brier_all FROM ({CALIBRATION})
  UNION ALL SELECT '4-predictions', {_ORD.format('p.seq')}, '(conf ' || stated_confidence || ', by ' || resolve_by || ') ' || substr(claim, 1, 100) || CASE WHEN near_duplicate_of IS NOT NULL THEN ' (dup of ' || near_duplicate_of || ')' ELSE '' END
   FROM predictions p JOIN ({PREDICTION_DUPLICATES}) USING (seq)

@@ -61,7 +61,7 @@ def _fields(kind: str) -> str:
 def read_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of files that each hold one JSON array; missing or broken files give none."""
     try:
-        texts = spark.read.option("wholetext", True).text(path)
+        texts = spark.read.text(path, wholetext=True)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -71,13 +71,13 @@ def read_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_registry(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of a registry file ``{"records": [...]}`` with their place ``ord``."""
-    texts = spark.read.option("wholetext", True).text(path)
+    texts = spark.read.text(path, wholetext=True)
     return texts.select(F.posexplode(F.from_json("value", f"struct<records:array<struct<{_fields(schema)}>>>")["records"]).alias("ord", "r")).select("ord", "r.*")
 
 
 def read_cards(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Benchmark cards from a list or from ``{"cards": [...]}``; any other file is an error."""
-    texts = spark.read.option("wholetext", True).text(path)
+    texts = spark.read.text(path, wholetext=True)
     each = f"array<struct<{_fields(schema)}>>"
     cards = F.when(F.col("value").rlike(r"^\s*\["), F.from_json("value", each)).otherwise(F.coalesce(F.from_json("value", f"struct<cards:{each}>")["cards"], F.raise_error(F.lit("cards are neither a list nor in an object's list of that name")).cast(each)))
     return texts.select(F.explode(cards).alias("r")).select("r.*")
@@ -85,7 +85,7 @@ def read_cards(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Answers from a map of task to answer; a null answer is an abstention, not a missing one."""
-    texts = spark.read.option("wholetext", True).text(path)
+    texts = spark.read.text(path, wholetext=True)
     return texts.select(F.explode(F.from_json("value", "map<string,string>")).alias("task_id", "answer"))
 
 
@@ -96,7 +96,7 @@ def read_maps(spark: SparkSession, path: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files: ``path, content``."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 def newest(spark: SparkSession, path: str) -> DataFrame:

@@ -35,6 +35,11 @@ def written(spark: SparkSession, path: str) -> bool:
     return files.exists(at)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _path(spark, path)
+    return files.exists(at)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     files, at = _path(spark, path)
     files.delete(at, True)

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import shared_folder
+from .storage import remove, shared_folder
 
 
 #: Copies of a text begin alike, so this is a hypothesis in which they meet.
@@ -75,7 +75,7 @@ class Tables:
 
     def hypotheses(self) -> DataFrame:
         """The thesis of all documents that begin alike, with stakes and mode."""
-        return self.findings().groupBy("hypothesis_id").agg(F.min("seq").alias("seq"), F.min("run").alias("run")).selectExpr("hypothesis_id", "seq", "run", "CASE hypothesis_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE '' END AS stakes", "CASE WHEN hypothesis_id % 2 = 0 THEN 'debunk' ELSE 'discover' END AS mode")
+        return self.findings().groupBy("hypothesis_id").agg(F.min("seq").alias("seq"), F.min("run").alias("run"), F.min_by("text", "seq").alias("thesis")).selectExpr("hypothesis_id", "seq", "run", "thesis", "CASE hypothesis_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE '' END AS stakes", "CASE WHEN hypothesis_id % 2 = 0 THEN 'debunk' ELSE 'discover' END AS mode")
 
     def predictions(self) -> DataFrame:
         """A forecast for each labelled document."""
@@ -133,12 +133,31 @@ class Tables:
             "run", "CASE d % 3 WHEN 0 THEN '2024-07-01T00:00:00Z' WHEN 1 THEN '' END AS created", "CASE d % 4 WHEN 0 THEN '# x [ALPHA]' WHEN 1 THEN '[RECON] y' WHEN 2 THEN '[ALPHA] and [RECON]' ELSE 'z' END AS summary"
         )
 
-    def spooled(self, lines: DataFrame) -> str:
-        """A folder of the shared storage into which lines (``value``) have been written as text."""
+    def spool(self) -> str:
+        """A new folder of the shared storage, removed with the application."""
+        import atexit
+
         path = f"{shared_folder(self.spark)}/spool-{uuid.uuid4().hex}"
+
+        def gone() -> None:
+            if self.spark.sparkContext._jsc is not None and not self.spark.sparkContext._jsc.sc().isStopped():
+                remove(self.spark, path)
+
+        atexit.register(gone)
+        return path
+
+    def spooled(self, lines: DataFrame) -> str:
+        """A folder into which lines (``value``) have been written as text."""
+        path = self.spool()
         lines.write.text(path)
         return path
 
+    def spooled_by(self, texts: DataFrame, key: str) -> str:
+        """A pattern of files that each hold the one text (``value``) of a key."""
+        path = self.spool()
+        texts.repartition(key).write.option("lineSep", "\n").partitionBy(key).option("maxRecordsPerFile", 1).text(path)
+        return f"{path}/{key}=*"
+
     def segments(self) -> DataFrame:
         """Turns of conversations as timed segments."""
         return self.raw("conversations").selectExpr(

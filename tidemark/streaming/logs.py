@@ -1,7 +1,7 @@
 """Growing logs as streams: insert once, fold per item, change against the previous point, replace a day.
 
-A batch operator sees a log whole and puts late rows in their place; a stream has passed them by.  Where
-that makes a difference it is said below.
+A batch operator sees a log whole and puts late rows in their place; so does a stream that keeps what the watermark
+still lets in.  Where a stream has passed rows by it is said below.
 """
 
 from __future__ import annotations
@@ -11,9 +11,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
-from tidemark.sources.storage import importable
+from tidemark.sources.storage import cut, exists, importable
 
 
 def insert_once(stream: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,9 +72,15 @@ def frontier(stream: DataFrame) -> DataFrame:
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         is_open, closed, visited = state.get if state.exists else (False, False, False)
-        for op in pd.concat(list(parts)).sort_values("seq")["op"]:
-            is_open = op == "open" or is_open and op != "close"
-            closed, visited = closed or op == "close", visited or op == "visit"
+        # The last open or close of a batch decides, whatever part it comes in; the other two are true for good.
+        last, says = None, is_open
+        for part in parts:
+            closed, visited = closed or (part["op"] == "close").any(), visited or (part["op"] == "visit").any()
+            turns = part[part["op"].isin(["open", "close"])]
+            if len(turns) and (last is None or turns["seq"].max() > last):
+                at = turns["seq"].idxmax()
+                last, says = turns["seq"][at], turns["op"][at] == "open"
+        is_open, closed, visited = bool(says), bool(closed), bool(visited)
         state.update((is_open, closed, visited))
         yield pd.DataFrame([(key[0], is_open, closed, visited)], columns=["item", "is_open", "is_closed", "is_visited"])
 
@@ -86,10 +94,76 @@ def counts_by_window(stream: DataFrame, every: str = "1 hour", late: str = "1 da
     return stream.withWatermark("ts", late).groupBy(F.window("ts", every), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
 
 
-def replace_days(stream: DataFrame, path: str, day: str = "day", checkpoint: str | None = None):  # noqa: ANN201
-    """A sink in which a day's later batch takes the place of what was written for that day before."""
+def replace_days(stream: DataFrame, path: str, day: str = "day", snapshot: str = "snapshot", checkpoint: str | None = None):  # noqa: ANN201
+    """A sink that keeps of each day the rows of its latest snapshot (``snapshot``, of any type with an order).
+
+    A later snapshot takes the place of what was written for its day before, an earlier one that comes late changes
+    nothing, and one that spans batches is kept whole.  Equal rows of a snapshot are one, so a replayed batch adds
+    nothing.  Only the days that a batch has rows of are read and written anew.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+        spark = batch.sparkSession
+        rows = cut(batch)
+        if rows.isEmpty():
+            return
+        if exists(spark, path):
+            there = spark.read.schema(rows.schema).option("basePath", path).parquet(path)
+            rows = rows.unionByName(there.join(F.broadcast(rows.select(day).distinct()), day, "left_semi").select(*rows.columns))  # days of one batch
+        last = rows.groupBy(day).agg(F.max(snapshot).alias("_last"))
+        kept = cut(rows.join(last, day).filter(F.col(snapshot) == F.col("_last")).drop("_last").distinct())
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint or f"{path}.checkpoint").trigger(availableNow=True)
+
+
+def _changes(rows: list[tuple]) -> pd.DataFrame:
+    ids, at, per_hour = ([r[i] for r in rows] for i in range(3))
+    return pd.DataFrame({"id": pd.Series(ids, dtype=object), "at": pd.to_datetime(pd.Series(at, dtype="int64"), unit="us"), "per_hour": pd.Series(per_hour, dtype="float64")})
+
+
+class _Velocity(StatefulProcessor):
+    """Points of an item within the watermark, by their time in microseconds, and the last one before it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.points = handle.getMapState("points", "at long", "views long, seq long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        touched: set[int] = set()
+        for part in rows:  # each part goes into the state before the next is read
+            part = part.dropna(subset=["at", "views"]).sort_values(["at", "seq"]).drop_duplicates("at")
+            for at, views, seq in zip((part["at"].astype("datetime64[us]").astype("int64")).tolist(), part["views"].tolist(), part["seq"].tolist(), strict=True):
+                was = self.points.getValue((at,)) if self.points.containsKey((at,)) else None
+                if was is None or seq < was[1]:
+                    self.points.updateValue((at,), (int(views), int(seq)))
+                    touched.add(at)
+        held = sorted((k[0], v[0]) for k, v in self.points.iterator())
+        if held:
+            self.handle.registerTimer(held[-1][0] // 1000 + 1)
+        out = [(key[0], t, (v - w) / ((t - u) / 3.6e9)) for (u, w), (t, v) in zip(held, held[1:]) if t in touched or u in touched]  # noqa: B905
+        yield _changes(out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ARG002, N802, N803
+        """All points but the last that the watermark has passed go: no row that may still come lies before that."""
+        passed = sorted(k[0] for k in self.points.keys() if k[0] // 1000 < timerValues.getCurrentWatermarkInMs())
+        for at in passed[:-1]:
+            self.points.removeKey((at,))
+        yield _changes([])
+
+    def close(self) -> None:
+        pass
+
+
+def velocity_with_late(stream: DataFrame, late: str = "1 day") -> DataFrame:
+    """Change per hour against the previous point of an item (``id, at, views, seq``), late points included: ``id, at, per_hour``.
+
+    A point that comes late, but within the watermark, is put in its place, and its own change and that of the point after
+    it come out anew; in update mode the last row of an ``(id, at)`` is what the batch operator gives.  Of points at one time
+    the first by ``seq`` counts.  State holds the points since the watermark and the one before, the rest goes by timers.
+    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    importable(stream.sparkSession)
+    kind = stream.schema["id"].dataType.simpleString()
+    picked = stream.select("id", F.col("at").cast("timestamp").alias("at"), F.col("views").cast("long").alias("views"), F.col("seq").cast("long").alias("seq")).withWatermark("at", late)
+    return picked.groupBy("id").transformWithStateInPandas(_Velocity(), f"id {kind}, at timestamp, per_hour double", "Update", "EventTime")
