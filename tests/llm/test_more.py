@@ -5,14 +5,17 @@ import itertools
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.llm import queries, sortmeans, spelling, tokenfiles
+from tidemark.llm import ann, queries, sortmeans, spelling, tokenfiles
 
 SF = "/root/testdata/sf0.001"
 tokenizers = pytest.importorskip("tokenizers")
@@ -103,6 +106,32 @@ def test_op11_query(spark, tk):
     assert sorted(tuple(r) for r in queries.op11_token_files(spark, SF).select("doc_id", "start", "n_tokens", "ids_crc32").collect()) == [w[:4] for w in _told(tk, rows)]
 
 
+# Nearest neighbours
+
+
+def test_repeated_rows_take_one_place(spark):
+    """30 rows of one id beside others, some with the same vector: every other id is found, each once."""
+    rows = [(1, [1.0, 0.5])] * 30 + [(2, [1.0, 0.5]), (3, [1.0, 0.5]), (4, [0.9, 0.4]), (5, [0.2, 0.1]), (6, [-1.0, 0.3]), (0, [1.0, 0.4]), (0, [1.0, 0.4])]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, id string").repartition(4)
+    got = [(r["rank"], r.vec_id) for r in ann.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6)]
+
+
+def test_from_another_folder(tmp_path):
+    """Workers find the package wherever the driver was started."""
+    code = (
+        "import sys; sys.path.insert(0, sys.argv[1])\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.sql.shuffle.partitions', '2').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "import __spark_entry__ as e\n"
+        f"for n in ('op4_multiprobe_ann', 'op11_token_files', 'op12_spelling', 'op13_sort_means'): assert e.queries()[n](s, '{SF}').count(), n\n"
+        "print('all ran')"
+    )
+    root = __file__.rsplit("/tests/", 1)[0]
+    done = subprocess.run([sys.executable, "-c", code, root], cwd=tmp_path, capture_output=True, text=True, timeout=500)
+    assert "all ran" in done.stdout, done.stderr[-2000:]
+
+
 # Spelling variants
 
 

@@ -358,14 +358,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
 
     Scores are double-precision inner products of the vectors as they are; ties go to the smaller id.
     Vectors that are null, zero or not finite take no part, nor do null ids; vectors of different lengths have no
-    inner product, so each meets those of its own length.  Repeated ids count as the same row: a query never finds its
+    inner product, so each meets those of its own length.  Equal rows count once, and a query never finds its
     own id.  Empty tables give no rows.  Columns not named are not read.
     """
     schema = "query_id long, rank int, vec_id long, score double"
+    common.importable(vectors.sparkSession)
     good = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("_q")).filter(usable(F.col("v")) & F.col("id").isNotNull())
     if good.schema["v"].dataType.simpleString() != "array<float>":
         good = good.withColumn("v", F.col("v").cast("array<double>"))
-    good = common.cut(good)  # every pass reads vectors that were looked at once
+    # Equal rows are one before the search, where each would take a place; every pass reads what was looked at once.
+    good = common.cut(good.groupBy("id", "v").agg(F.max("_q").alias("_q")))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     out = vectors.sparkSession.createDataFrame([], schema)
     for of in good.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(norm).alias("longest"), F.max("_q").alias("asked")).orderBy("dim").collect():
