@@ -151,6 +151,22 @@ def near_pairs(items: DataFrame, group: list[str], node: str, text: str, least:
     return every.select(*group, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
 
 
+def near_links(items: DataFrame, group: list[str], node: str, text: str, least: float = tx.NEAR) -> DataFrame:
+    """Each text of a group with the first text of equal shingles, ``class_<node>``, and the number of its near copies, ``n_links``.
+
+    What ``near_pairs`` lists, counted: copies are one class, and only pairs of classes are made.  Texts without
+    shingles are left out.
+    """
+    own = shingle_sets(items, group, node, text)
+    members = cut(_members(own, group))
+    sizes = members.groupBy(*group, "c").agg(F.count("*").alias("m"))
+    apart = near_classes(own, group, least).select(*group, "a", "b")
+    both = apart.unionByName(apart.select(*group, F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(sizes.withColumnRenamed("c", "b"), [*group, "b"]).groupBy(*group, F.col("a").alias("c")).agg(F.sum("m").alias("others"))
+    counted = sizes.join(others, [*group, "c"], "left").select(*group, "c", (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return members.join(counted, [*group, "c"]).select(*group, F.col("n").alias(node), F.col("c").alias(f"class_{node}"), "n_links")
+
+
 def first_earlier(items: DataFrame, group: list[str], node: str, text: str, least: float = tx.NEAR) -> DataFrame:
     """The first item before each that is a near copy of it: ``node, first``; items without one are left out."""
     own = shingle_sets(items, group, node, text)

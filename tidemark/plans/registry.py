@@ -192,10 +192,10 @@ def conflict_links(t: Tables) -> DataFrame:
     return evidence.conflict_links(t.findings())
 
 
-@query(q.RUN_CONFLICTS)
-def run_conflicts(t: Tables) -> DataFrame:
-    """Conflicts among all findings of a source, as if each were one conclusion: groups that grow with the table."""
-    return evidence.conflict_counts(t.findings().withColumn("quote", F.substring_index("text", " ", 40)), "run")
+@query(q.HYPOTHESIS_CONFLICTS)
+def hypothesis_conflicts(t: Tables) -> DataFrame:
+    """Conflicts among all findings whose texts begin alike, as if each were one conclusion: groups that grow with the table."""
+    return evidence.conflict_counts(t.findings(), "hypothesis_id")
 
 
 @query(q.NEAR_PAIRS)
@@ -203,6 +203,11 @@ def near_dup_pairs(t: Tables) -> DataFrame:
     return evidence.near_pairs(t.findings(), ["hypothesis_id"], "seq", "text").withColumn("similarity", F.round("similarity", 6))
 
 
+@query(q.NEAR_LINKS)
+def near_dup_links(t: Tables) -> DataFrame:
+    return evidence.near_links(t.findings(), ["hypothesis_id"], "seq", "text")
+
+
 @query(q.DISTINCT_CLAIMS)
 def distinct_claims(t: Tables) -> DataFrame:
     return evidence.distinct_texts(t.findings(), "hypothesis_id", "seq", "text")

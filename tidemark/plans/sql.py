@@ -171,8 +171,10 @@ CONFLICTS = f"WITH {_FINDINGS}, {_CONFLICTS} SELECT conclusion_id, a_seq, b_seq,
 CONFLICT_LINKS = f"""WITH {_FINDINGS}, {_CONFLICTS}, sides AS (SELECT conclusion_id, a_seq AS seq, b_seq AS other FROM conflicts UNION ALL SELECT conclusion_id, b_seq, a_seq FROM conflicts),
  counted AS (SELECT conclusion_id, seq, count(*) AS n, min(other) AS first_seq FROM sides GROUP BY ALL)
  SELECT own.conclusion_id, own.seq, artifact_id, min(own.seq) OVER (PARTITION BY own.conclusion_id, ns, list_sort(ws)) AS class_seq, coalesce(n, 0) AS n_links, first_seq FROM own LEFT JOIN counted USING (conclusion_id, seq) WHERE len(ns) > 0"""
-RUN_CONFLICTS = f"""WITH {_FINDINGS}, quoted AS (SELECT run, seq, array_to_string(list_slice(string_split(text, ' '), 1, 40), ' ') AS quote FROM findings), own AS (SELECT run, seq, {_NUMBERS} AS ns, list_distinct({_tokens('quote')}) AS ws FROM quoted)
- SELECT x.run, count(*) AS conflicts FROM own x JOIN own y ON x.run = y.run AND x.seq < y.seq WHERE len(x.ns) > 0 AND len(y.ns) > 0 AND x.ns <> y.ns AND list_has_any(x.ws, y.ws) GROUP BY 1"""
+HYPOTHESIS_CONFLICTS = f"""WITH {_FINDINGS}, own AS (SELECT hypothesis_id, seq, {_NUMBERS} AS ns, list_distinct({_tokens('quote')}) AS ws FROM findings)
+ SELECT x.hypothesis_id, count(*) AS conflicts FROM own x JOIN own y ON x.hypothesis_id = y.hypothesis_id AND x.seq < y.seq WHERE len(x.ns) > 0 AND len(y.ns) > 0 AND x.ns <> y.ns AND list_has_any(x.ws, y.ws) GROUP BY 1"""
+NEAR_LINKS = f"""WITH {_FINDINGS}, {_near('findings', 'hypothesis_id', 'seq', 'text')}, sides AS (SELECT g, a AS n FROM near UNION ALL SELECT g, b FROM near), counted AS (SELECT g, n, count(*) AS n_links FROM sides GROUP BY ALL)
+ SELECT shs.g AS hypothesis_id, shs.n AS seq, min(shs.n) OVER (PARTITION BY shs.g, list_sort(s)) AS class_seq, coalesce(n_links, 0) AS n_links FROM shs LEFT JOIN counted USING (g, n) WHERE len(s) > 0"""
 NEAR_PAIRS = f"WITH {_FINDINGS}, {_near('findings', 'hypothesis_id', 'seq', 'text')} SELECT g AS hypothesis_id, a, b, round(similarity, 6) AS similarity FROM near"
 DISTINCT_CLAIMS = f"WITH RECURSIVE {_FINDINGS}, {_near('findings', 'hypothesis_id', 'seq', 'text')}, nodes AS (SELECT hypothesis_id AS g, seq AS n FROM findings), {_count_components('nodes', 'near')} SELECT g AS hypothesis_id, n_nodes AS n, n_components AS n_distinct FROM parts"
 _SUPPORTS = f"""{_FINDINGS}, {_ARTIFACTS}, cites AS (SELECT conclusion_id, seq, substr(quote, 1, 200) AS quote, unnest(list_concat([artifact_id], corroborated_by)) AS artifact_id, generate_subscripts(list_concat([artifact_id], corroborated_by), 1) AS p FROM findings),
