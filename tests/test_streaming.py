@@ -45,6 +45,10 @@ def test_streams(spark, tmp_path):
     last = {r["item"]: tuple(r)[1:] for r in rows_of(spark, logs.frontier(stream_of(spark, ev, tmp_path / "f", [ev.filter("seq <= 3"), ev.filter("seq > 3")])), "f", "update")}
     batch = {r["item"]: (r.is_open, r.is_closed, r.is_visited) for r in ledger.frontier_state(ev).collect()}
     assert last == batch
+    # An open that arrives after a later close opens nothing.
+    late = [ev.filter("seq IN (1, 3)"), ev.filter("seq IN (2, 4)"), ev.filter("item = 'x' AND seq = 5").withColumn("seq", F.lit(2).cast("long"))]
+    last = {r["item"]: r.is_open for r in rows_of(spark, logs.frontier(stream_of(spark, ev, tmp_path / "fl", late)), "fl", "update")}
+    assert last == {"x": False, "y": True}
 
     # A day's later snapshot takes the place of the earlier one, a late earlier one changes nothing, and one over two batches is whole.
     days = spark.createDataFrame([("d1", 1, 10), ("d2", 1, 11), ("d1", 2, 20), ("d1", 2, 21), ("d1", 1, 12), ("d2", 1, 13), ("d1", 2, 20)], "day string, snapshot int, n int")

@@ -199,3 +199,13 @@ def palette(pixels: DataFrame, k: int = 6, key: str = "clip", step: int = 32) ->
 def loudness(samples: DataFrame, key: str = "clip") -> DataFrame:
     """Root mean square of each clip's samples (-1 to 1)."""
     return samples.groupBy(key).agg(F.sqrt(F.avg(F.col("sample") * F.col("sample"))).alias("rms"))
+
+
+def colour_report(pixels: DataFrame, k: int = 6, key: str = "clip") -> DataFrame:
+    """The colours of each clip in one row: its statistics and ``palette``, the ``k`` most frequent colours with their share, as text.
+
+    Shares have three digits; a palette has ``k`` entries at most, so nothing unbounded meets in a row.
+    """
+    entry = F.concat("colour", F.lit(":"), F.round("weight", 3).cast("string"))
+    colours = palette(pixels, k, key).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", entry.alias("e")))), lambda x: x["e"]), " ").alias("palette"))
+    return colour_statistics(pixels, key).join(colours, key)

@@ -126,6 +126,57 @@ def error_matrix(transcripts: DataFrame, reference: str) -> DataFrame:
     return key.filter(F.col("model") != reference).join(ref, "clip").select("clip", "model", cer.alias("cer"))
 
 
+def bench_grid(transcripts: DataFrame, sources: list[str], models: list[str]) -> DataFrame:
+    """Every clip with every declared source and model: ``clip, source, model, text``, null where a run gave nothing.
+
+    ``transcripts`` has (clip, source, model, text), one row a run; sources and models are short lists.
+    """
+    each = F.explode(F.array(*map(F.lit, sources))).alias("source")
+    cells = transcripts.select("clip").distinct().select("clip", each).select("clip", "source", F.explode(F.array(*map(F.lit, models))).alias("model"))
+    return cells.join(transcripts.select("clip", "source", "model", "text"), ["clip", "source", "model"], "left")
+
+
+def bench_matrix(grid: DataFrame, reference: str, raw: str = "raw") -> DataFrame:
+    """Error rates of each run against the reference model's transcript of the raw source and of its own: adds ``cer_raw, cer_same``.
+
+    The reference is held against itself too.  A rate is null where the run or its reference has no text.
+    """
+    refs = grid.filter((F.col("model") == reference) & (F.coalesce("text", F.lit("")) != "")).select("clip", F.col("source").alias("_s"), F.col("text").alias("_t"))
+    met = grid.join(refs.filter(F.col("_s") == raw).select("clip", F.col("_t").alias("_raw")), "clip", "left").join(refs.select("clip", F.col("_s").alias("source"), F.col("_t").alias("_same")), ["clip", "source"], "left")
+
+    def rate(ref: str) -> Column:
+        r, t = tx.spoken_key(F.col(ref)), tx.spoken_key(F.col("text"))
+        return F.when(F.length(r) > 0, F.round(F.levenshtein(r, t) / F.length(r), 3))
+
+    return met.select("clip", "source", "model", "text", rate("_raw").alias("cer_raw"), rate("_same").alias("cer_same"))
+
+
+def bench_report(matrix: DataFrame) -> DataFrame:
+    """The matrix as a document of tables, ``clip, source, part, model, line``, to be written in the order of the first four.
+
+    A heading for each clip and source, a row for each model, and below the table what each has heard, by its first 300
+    characters.
+    """
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    row = lambda df, source, part, model, line: df.select("clip", source.alias("source"), F.lit(part).alias("part"), model.alias("model"), line.alias("line"))
+    none = F.lit("")
+    clips, sources = matrix.select("clip").distinct(), matrix.select("clip", "source").distinct()
+    heads = row(clips, none, 0, none, F.concat(F.lit("## "), F.col("clip").cast("string"))).unionByName(row(sources, F.col("source"), 1, none, F.concat(F.lit("### source = "), "source")))
+    tables = row(sources, F.col("source"), 2, none, F.lit("| model | CER_raw | CER_same |")).unionByName(row(sources, F.col("source"), 3, none, F.lit("|---|---|---|")))
+    cells = F.when(F.col("text").isNull(), F.concat(F.lit("| "), "model", F.lit(" | ERROR ||"))).otherwise(F.concat(F.lit("| "), "model", F.lit(" | "), shown("cer_raw"), F.lit(" | "), shown("cer_same"), F.lit(" |")))
+    heard = matrix.filter("text IS NOT NULL")
+    said = row(heard, F.col("source"), 5, F.col("model"), F.concat(F.lit("- **"), "model", F.lit("**: "), F.substring("text", 1, 300)))
+    return heads.unionByName(tables).unionByName(row(matrix, F.col("source"), 4, F.col("model"), cells)).unionByName(said)
+
+
+def mismatch_report(expected: DataFrame, actual: DataFrame, key: str, group: str) -> DataFrame:
+    """A line for each scenario whose ``expected`` and ``actual`` differ: ``key, line``; one without a result is an error."""
+    met = expected.join(actual.withColumn("_r", F.lit(True)), key, "left").filter(~F.col("expected").eqNullSafe(F.col("actual")))
+    status = F.when(F.col("_r").isNull(), "ERROR").otherwise("FAIL")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    return met.select(key, F.concat(F.lit("["), status, F.lit(" "), text(group), F.lit("] "), text(key), F.lit(": expected "), text("expected"), F.lit(", got "), text("actual")).alias("line"))
+
+
 def agreement_study(pairs: DataFrame) -> DataFrame:
     """Percent agreement of two transcripts (``a, b``) of each clip."""
     return pairs.withColumn("agreement", F.round(tx.agreement(tx.spoken_key(F.col("a")), tx.spoken_key(F.col("b"))), 1))

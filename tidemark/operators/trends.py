@@ -7,6 +7,8 @@ from math import log
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.storage import cut
+
 from .graph import own_exchange
 
 
@@ -31,11 +33,15 @@ def velocity_series(snapshots: DataFrame) -> DataFrame:
 
 
 def half_life(points: DataFrame, least: int = 3) -> DataFrame:
-    """Exponential decay after the peak: ``id, status, have, half_life_days, r2``.
+    """Exponential decay after the peak: ``id, status, have, half_life_days, r2``; points are made once and read twice.
 
     The peak is the first greatest point; a line is fitted to the logarithm of the positive points from
     there on.  ``have`` is what the status rests on: all points, or those of the decline.
     """
+    return _half_life(cut(points), least)
+
+
+def _half_life(points: DataFrame, least: int = 3) -> DataFrame:
     # Of equal peaks the first; an item's facts are met with its points by a key that lets a hot item be split.
     facts = points.groupBy("id").agg(F.count("*").alias("n"), F.max("at").alias("_last"), F.max(F.struct("per_hour", (-F.unix_micros("at")).alias("neg"))).alias("_top"))
     key = own_exchange(F.xxhash64("id"))
@@ -59,16 +65,17 @@ def half_life(points: DataFrame, least: int = 3) -> DataFrame:
 
 
 def watch_report(watched: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """One row for each watched item (``ord, id``): snapshot counts, ends by log order, velocities, half-life."""
+    """One row for each watched item (``ord, id`` and, where it has them, ``kind`` and ``note``): snapshot counts, ends by log order, velocities, half-life."""
     ends = snapshots.groupBy("id").agg(
         F.count("*").alias("snapshots"), F.min_by("at", "seq").alias("first_at"), F.max_by("at", "seq").alias("last_at"),
         F.max_by("views", F.when(F.col("views").isNotNull(), F.col("seq"))).alias("latest_views"), F.max_by(F.col("views").isNull(), "seq").alias("missing_last"),
     )
-    points = velocity_series(snapshots)
+    points = cut(velocity_series(snapshots))
+    own = [F.coalesce(c, F.lit("")).alias(c) for c in ("kind", "note") if c in watched.columns]
     speeds = points.groupBy("id").agg(F.round(F.max_by("per_hour", "at"), 2).alias("latest_per_hour"), F.round(F.max("per_hour"), 2).alias("peak_per_hour"))
-    lives = half_life(points).select("id", "status", "half_life_days")
+    lives = _half_life(points).select("id", "status", "half_life_days")
     met = watched.join(ends, "id", "left").join(speeds, "id", "left").join(lives, "id", "left")
-    return met.select("ord", "id", F.coalesce("snapshots", F.lit(0)).alias("snapshots"), "first_at", "last_at", "latest_views", F.coalesce("missing_last", F.lit(False)).alias("missing_last"), "latest_per_hour", "peak_per_hour", F.coalesce("status", F.lit("insufficient_data")).alias("status"), "half_life_days")
+    return met.select("ord", "id", *own, F.coalesce("snapshots", F.lit(0)).alias("snapshots"), "first_at", "last_at", "latest_views", F.coalesce("missing_last", F.lit(False)).alias("missing_last"), "latest_per_hour", "peak_per_hour", F.coalesce("status", F.lit("insufficient_data")).alias("status"), "half_life_days")
 
 
 def _last_of_day(chart: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import gates, ledger, media
 from tidemark.sources import commits, jsonl, lines, transcripts
 from tidemark.sources.tables import Tables
+from tidemark.streaming import logs
 
 from . import registry
 from . import sql as q
@@ -154,6 +155,29 @@ def committed_once(t: Tables) -> DataFrame:
     return commits.read_once(t.spark, path)
 
 
+@query(
+    """WITH cues AS (SELECT conv_id, turn, text, turn * 5000 AS a, turn * 5000 + length(text) % 50 * 100 AS b FROM conversations),
+ shown AS (SELECT *, printf('%02d:%02d:%02d.%03d', a // 3600000, a // 60000 % 60, a // 1000 % 60, a % 1000) || ' --> ' || printf('%02d:%02d:%02d.%03d', b // 3600000, b // 60000 % 60, b // 1000 % 60, b % 1000) AS s FROM cues)
+ SELECT conv_id AS transcript_id, turn AS idx, p AS part, CASE p WHEN 0 THEN s WHEN 1 THEN regexp_replace(text, '\r\n|[\r\n]', ' ', 'g') ELSE '' END AS line FROM shown, range(0, 3) r(p)
+ UNION ALL SELECT conv_id, min(turn) - 1, p, CASE p WHEN 0 THEN 'WEBVTT' ELSE '' END FROM conversations, range(0, 2) r(p) GROUP BY conv_id, p"""
+)
+def vtt_lines(t: Tables) -> DataFrame:
+    return transcripts.vtt_lines(t.segments())
+
+
+@query(
+    """WITH p AS (SELECT user_id AS id, count(*) AS n FROM events GROUP BY 1), snaps AS (SELECT '2024-01-01' AS at_, 0 AS seq UNION ALL SELECT '2024-01-02', 1)
+ SELECT c_custkey AS id, n, n IS NULL AS missing, at_ AS "at", seq FROM customer LEFT JOIN p ON id = c_custkey, snaps"""
+)
+def snapshot_appends(t: Tables) -> DataFrame:
+    """Two scheduled snapshots of the watched items, of which one has run twice."""
+    payload = t.raw("events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("n"))
+    watched, path = t.raw("customer").select(F.col("c_custkey").alias("id")), t.spool()
+    for at, number in (("2024-01-01", 0), ("2024-01-01", 0), ("2024-01-02", 1)):
+        logs.append_snapshot(watched, payload, path, at, number)
+    return commits.read_once(t.spark, path)
+
+
 # Transcripts
 
 
@@ -224,6 +248,17 @@ def colour_statistics(t: Tables) -> DataFrame:
     return media.colour_statistics(_pixels(t))
 
 
+@query(
+    f"""WITH px AS ({_PIXELS}), c AS (SELECT clip, frame, greatest(r, g, b) AS v, CASE WHEN greatest(r, g, b) = 0 THEN 0 ELSE floor((greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b) * 255) END AS s FROM px),
+ frames AS (SELECT clip, frame, avg(v) AS v, avg(s) AS s, stddev_pop(v) AS d FROM c GROUP BY ALL), grid AS (SELECT clip, r // 32 * 32 + 16 AS r, g // 32 * 32 + 16 AS g, b // 32 * 32 + 16 AS b, count(*) AS n FROM px GROUP BY ALL),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY n DESC, r, g, b) AS rank, round(n / sum(n) OVER (PARTITION BY clip), 4) AS weight FROM grid),
+ colours AS (SELECT clip, string_agg(printf('#%02x%02x%02x', r, g, b) || ':' || round(weight, 3), ' ' ORDER BY rank) AS palette FROM ranked WHERE rank <= 6 GROUP BY clip)
+ SELECT clip, count(*) AS frames, round(avg(v), 1) AS brightness, round(avg(s), 1) AS saturation, round(avg(d), 1) AS contrast, any_value(palette) AS palette FROM frames JOIN colours USING (clip) GROUP BY clip"""
+)
+def colour_report(t: Tables) -> DataFrame:
+    return media.colour_report(_pixels(t))
+
+
 #: Each document as a frame of its source's clip: the codes of 64 of its letters stand for brightness.
 _LUMAS = "SELECT source AS clip, doc_id AS idx, i, coalesce(unicode(nullif(substr(text, i * 3 + 20, 1), '')), 0) AS luma FROM documents, range(0, 64) x(i)"
 _HASHES = f"l AS ({_LUMAS}), m AS (SELECT clip, idx, avg(luma) AS m FROM l GROUP BY ALL), h AS (SELECT clip, idx, sum(CASE WHEN luma > m THEN CASE WHEN i = 63 THEN -9223372036854775808 ELSE 1::BIGINT << i END ELSE 0 END)::BIGINT AS hash FROM l JOIN m USING (clip, idx) GROUP BY ALL)"

@@ -64,7 +64,7 @@ def half_life(t: Tables) -> DataFrame:
 
 @query(q.WATCH_REPORT)
 def watch_report(t: Tables) -> DataFrame:
-    watched = t.raw("customer").selectExpr("c_custkey AS ord", "c_custkey AS id")
+    watched = t.raw("customer").selectExpr("c_custkey AS ord", "c_custkey AS id", "c_mktsegment AS kind", "CASE WHEN c_custkey % 3 > 0 THEN c_name END AS note")
     return _millis(trends.watch_report(watched, t.snapshots()), "first_at", "last_at")
 
 
@@ -410,6 +410,24 @@ def bench_cer_matrix(t: Tables) -> DataFrame:
     return scoring.error_matrix(t.raw("part").select(F.col("p_partkey").alias("clip"), models.alias("m")).select("clip", "m.*"), "large")
 
 
+def _bench(t: Tables) -> DataFrame:
+    """Transcripts of each part's clip by three models of two sources; one gives nothing."""
+    cells = [("raw", "large", F.col("p_name")), ("raw", "small", F.concat("p_name", F.lit(" "), "p_brand")), ("raw", "other", F.col("p_type")), ("vocals", "large", F.concat("p_name", F.lit(" x"))), ("vocals", "small", F.col("p_name"))]
+    runs = F.explode(F.array(*[F.struct(F.lit(s).alias("source"), F.lit(m).alias("model"), x.alias("text")) for s, m, x in cells]))
+    transcripts = t.raw("part").select(F.col("p_partkey").alias("clip"), runs.alias("r")).select("clip", "r.*")
+    return scoring.bench_matrix(scoring.bench_grid(transcripts, ["raw", "vocals"], ["large", "small", "other"]), "large")
+
+
+@query(q.BENCH)
+def bench_matrix(t: Tables) -> DataFrame:
+    return _bench(t)
+
+
+@query(q.BENCH_REPORT)
+def bench_report(t: Tables) -> DataFrame:
+    return scoring.bench_report(_bench(t))
+
+
 @query(q.AGREEMENT)
 def agreement_study(t: Tables) -> DataFrame:
     return scoring.agreement_study(t.raw("part").select(F.col("p_partkey").alias("clip"), F.col("p_name").alias("a"), F.col("p_type").alias("b"))).select("clip", "agreement")
@@ -512,11 +530,20 @@ def iso_durations(t: Tables) -> DataFrame:
     return t.raw("orders").select("o_orderkey", producers.duration_seconds(text).alias("seconds"))
 
 
-@query(q.CONFORMANCE)
-def conformance(t: Tables) -> DataFrame:
+def _scenarios(t: Tables) -> tuple[DataFrame, DataFrame]:
     actual = evidence.grade(t.findings(), t.artifacts(), t.pubdates(), KNOBS).select("conclusion_id", F.col("overall").alias("actual"))
     expected = t.findings().select("conclusion_id").distinct().select("conclusion_id", F.expr("CASE WHEN conclusion_id % 2 = 0 THEN 'MEETS' ELSE 'SHORTFALL' END").alias("expected"), (F.col("conclusion_id") % 5).alias("area"))
-    return scoring.conformance(expected, actual, "conclusion_id", "area")
+    return expected, actual
+
+
+@query(q.CONFORMANCE)
+def conformance(t: Tables) -> DataFrame:
+    return scoring.conformance(*_scenarios(t), "conclusion_id", "area")
+
+
+@query(q.MISMATCHES)
+def mismatches(t: Tables) -> DataFrame:
+    return scoring.mismatch_report(*_scenarios(t), "conclusion_id", "area")
 
 
 from . import files, records  # noqa: E402, F401  (they add their queries)

@@ -123,7 +123,7 @@ HALF_LIFE = f"""WITH {_LIVES} SELECT id, status, have, CASE WHEN status = 'ok' T
  CASE WHEN status = 'ok' THEN round(CASE WHEN ny = 1 THEN 1.0 ELSE r2 END, 3) END AS r2 FROM lives"""
 WATCH_REPORT = f"""WITH {_LIVES}, ends AS (SELECT id, count(*) AS snapshots, arg_min(t0, seq) AS first_at, arg_max(t0, seq) AS last_at, arg_max(views, seq) FILTER (views IS NOT NULL) AS latest_views, arg_max(views IS NULL, seq) AS missing_last FROM snapshots GROUP BY id),
  speeds AS (SELECT id, round(arg_max(per_hour, t0), 2) AS latest_per_hour, round(max(per_hour), 2) AS peak_per_hour FROM points GROUP BY id)
- SELECT c_custkey AS ord, c_custkey AS id, coalesce(snapshots, 0) AS snapshots, epoch_us(first_at) AS first_at, epoch_us(last_at) AS last_at, CAST(latest_views AS BIGINT) AS latest_views, coalesce(missing_last, false) AS missing_last, latest_per_hour, peak_per_hour,
+ SELECT c_custkey AS ord, c_custkey AS id, c_mktsegment AS kind, CASE WHEN c_custkey % 3 > 0 THEN c_name ELSE '' END AS note, coalesce(snapshots, 0) AS snapshots, epoch_us(first_at) AS first_at, epoch_us(last_at) AS last_at, CAST(latest_views AS BIGINT) AS latest_views, coalesce(missing_last, false) AS missing_last, latest_per_hour, peak_per_hour,
  coalesce(status, 'insufficient_data') AS status, CASE WHEN status = 'ok' THEN round(ln(2) / -slope / 24, 2) END AS half_life_days
  FROM customer LEFT JOIN ends ON ends.id = c_custkey LEFT JOIN speeds ON speeds.id = c_custkey LEFT JOIN lives ON lives.id = c_custkey"""
 CHART_DAILY = f"""WITH {_CHART}, days AS (SELECT region, day, lag(day) OVER w AS before, lead(day) OVER w AS after FROM (SELECT DISTINCT region, day FROM chart) WINDOW w AS (PARTITION BY region ORDER BY day)),
@@ -333,6 +333,14 @@ CER = "SELECT p_partkey, round(levenshtein(p_name, p_type) / length(p_name), 4)
 _KEY = "regexp_replace(lower({}), '[^가-힣a-z0-9]', '', 'g')"
 MATRIX = f"""WITH k AS (SELECT p_partkey, {_KEY.format('p_name')} AS r, {_KEY.format("p_name || ' ' || p_brand")} AS s, {_KEY.format('p_type')} AS o FROM part)
  SELECT p_partkey AS clip, 'small' AS model, CASE WHEN length(r) > 0 THEN round(levenshtein(r, s) / length(r), 3) END AS cer FROM k UNION ALL SELECT p_partkey, 'other', CASE WHEN length(r) > 0 THEN round(levenshtein(r, o) / length(r), 3) END FROM k"""
+_BENCH = f"""cells AS (SELECT p_partkey AS clip, s AS source, m AS model, CASE WHEN s = 'raw' AND m = 'large' OR s = 'vocals' AND m = 'small' THEN p_name WHEN s = 'raw' AND m = 'small' THEN p_name || ' ' || p_brand WHEN s = 'raw' THEN p_type WHEN m = 'large' THEN p_name || ' x' END AS text, p_name
+  FROM part, (VALUES ('raw'), ('vocals')) a(s), (VALUES ('large'), ('small'), ('other')) b(m)), keyed AS (SELECT *, {_KEY.format('text')} AS t, {_KEY.format('p_name')} AS r, {_KEY.format("CASE WHEN source = 'raw' THEN p_name ELSE p_name || ' x' END")} AS v FROM cells),
+ bench AS (SELECT clip, source, model, text, CASE WHEN length(r) > 0 THEN round(levenshtein(r, t) / length(r), 3) END AS cer_raw, CASE WHEN length(v) > 0 THEN round(levenshtein(v, t) / length(v), 3) END AS cer_same FROM keyed)"""
+BENCH = f"WITH {_BENCH} SELECT * FROM bench"
+BENCH_REPORT = f"""WITH {_BENCH} SELECT DISTINCT clip, '' AS source, 0 AS part, '' AS model, '## ' || clip AS line FROM bench UNION ALL SELECT DISTINCT clip, source, 1, '', '### source = ' || source FROM bench
+ UNION ALL SELECT DISTINCT clip, source, 2, '', '| model | CER_raw | CER_same |' FROM bench UNION ALL SELECT DISTINCT clip, source, 3, '', '|---|---|---|' FROM bench
+ UNION ALL SELECT clip, source, 4, model, CASE WHEN text IS NULL THEN '| ' || model || ' | ERROR ||' ELSE '| ' || model || ' | ' || coalesce(CAST(cer_raw AS VARCHAR), '-') || ' | ' || coalesce(CAST(cer_same AS VARCHAR), '-') || ' |' END FROM bench
+ UNION ALL SELECT clip, source, 5, model, '- **' || model || '**: ' || substr(text, 1, 300) FROM bench WHERE text IS NOT NULL"""
 AGREEMENT = f"""WITH k AS (SELECT p_partkey, {_KEY.format('p_name')} AS a, {_KEY.format('p_type')} AS b FROM part)
  SELECT p_partkey AS clip, round(100 * (1 - (CASE WHEN length(a) = 0 THEN 0.0 ELSE round(levenshtein(a, b) / length(a), 4) END + CASE WHEN length(b) = 0 THEN 0.0 ELSE round(levenshtein(b, a) / length(b), 4) END) / 2), 1) AS agreement FROM k"""
 PREDICTION_DUPLICATES = f"""WITH {_PREDICTIONS}, {_near('predictions', "hypothesis_id || '|' || resolve_by", 'seq', 'claim')}, firsts AS (SELECT b AS seq, min(a) AS a FROM near GROUP BY 1)
@@ -405,5 +413,6 @@ VIOLATIONS = f"""WITH {_FINDINGS}, {_ARTIFACTS} SELECT seq, 'unknown artifact' A
  UNION ALL SELECT DISTINCT seq, 'unknown corroborator' FROM (SELECT seq, unnest(corroborated_by) AS c FROM findings) WHERE c NOT IN (SELECT artifact_id FROM artifacts)"""
 MISSING = "SELECT c_custkey AS id, n, n IS NULL AS missing FROM customer LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY 1) ON user_id = c_custkey"
 DURATIONS = "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 5 * 3600 ELSE 0 END + o_orderkey % 60 * 60 + CASE WHEN o_orderkey % 2 = 0 THEN o_custkey % 60 ELSE 0 END AS seconds FROM orders"
+MISMATCHES = f"""SELECT conclusion_id, '[FAIL ' || (conclusion_id % 5) || '] ' || conclusion_id || ': expected ' || e || ', got ' || overall AS line FROM (SELECT *, CASE WHEN conclusion_id % 2 = 0 THEN 'MEETS' ELSE 'SHORTFALL' END AS e FROM ({GRADE})) WHERE overall <> e"""
 CONFORMANCE = f"""SELECT conclusion_id % 5 AS area, count(*) AS n, count(*) FILTER (overall = CASE WHEN conclusion_id % 2 = 0 THEN 'MEETS' ELSE 'SHORTFALL' END) AS passed,
  count(*) FILTER (overall <> CASE WHEN conclusion_id % 2 = 0 THEN 'MEETS' ELSE 'SHORTFALL' END) AS failed FROM ({GRADE}) GROUP BY 1"""

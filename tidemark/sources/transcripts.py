@@ -71,3 +71,14 @@ def to_vtt(segments: DataFrame, key: str = "transcript_id") -> DataFrame:
     cue = F.concat(stamp(F.col("start")), F.lit(" --> "), stamp(F.col("end")), F.lit("\n"), "text", F.lit("\n"))
     cues = segments.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", cue.alias("cue")))).alias("cs"))
     return cues.select(key, F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform("cs", lambda c: c["cue"]), "\n")).alias("content"))
+
+
+def vtt_lines(segments: DataFrame, key: str = "transcript_id") -> DataFrame:
+    """The lines of WebVTT files, ``key, idx, part, line``, for a transcript of any length: written in that order they are ``to_vtt``'s text.
+
+    Line breaks in a segment's text are spaces, as a line is one.
+    """
+    cue = F.array(F.concat(stamp(F.col("start")), F.lit(" --> "), stamp(F.col("end"))), F.regexp_replace("text", r"\r\n|[\r\n]", " "), F.lit(""))
+    cues = segments.select(key, F.col("idx").cast("long").alias("idx"), F.posexplode(cue).alias("part", "line"))
+    head = segments.groupBy(key).agg((F.min("idx") - 1).cast("long").alias("idx")).select(key, "idx", F.posexplode(F.array(F.lit("WEBVTT"), F.lit(""))).alias("part", "line"))
+    return head.unionByName(cues)

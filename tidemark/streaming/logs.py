@@ -15,6 +15,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
+from tidemark.operators import producers
+from tidemark.sources import commits
 from tidemark.sources.storage import cut, exists, importable
 
 
@@ -68,25 +70,38 @@ def velocity(stream: DataFrame) -> DataFrame:
 
 
 def frontier(stream: DataFrame) -> DataFrame:
-    """The state of each item after every batch that touches it: ``item, is_open, is_closed, is_visited``."""
+    """The state of each item after every batch that touches it: ``item, is_open, is_closed, is_visited``.
+
+    The open or close of greatest ``seq`` so far decides whether an item is open, whenever it arrives; that it was closed
+    or visited is true for good.  State is one row an item, and a batch's parts are read one by one.
+    """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        is_open, closed, visited = state.get if state.exists else (False, False, False)
-        # The last open or close of a batch decides, whatever part it comes in; the other two are true for good.
-        last, says = None, is_open
+        is_open, closed, visited, last = state.get if state.exists else (False, False, False, None)
         for part in parts:
             closed, visited = closed or (part["op"] == "close").any(), visited or (part["op"] == "visit").any()
             turns = part[part["op"].isin(["open", "close"])]
             if len(turns) and (last is None or turns["seq"].max() > last):
                 at = turns["seq"].idxmax()
-                last, says = turns["seq"][at], turns["op"][at] == "open"
-        is_open, closed, visited = bool(says), bool(closed), bool(visited)
-        state.update((is_open, closed, visited))
+                last, is_open = int(turns["seq"][at]), turns["op"][at] == "open"
+        is_open, closed, visited = bool(is_open), bool(closed), bool(visited)
+        state.update((is_open, closed, visited, last))
         yield pd.DataFrame([(key[0], is_open, closed, visited)], columns=["item", "is_open", "is_closed", "is_visited"])
 
     importable(stream.sparkSession)
     kind = stream.schema["item"].dataType.simpleString()
-    return stream.select("item", "op", "seq").groupBy("item").applyInPandasWithState(step, f"item {kind}, is_open boolean, is_closed boolean, is_visited boolean", "o boolean, c boolean, v boolean", "update", GroupStateTimeout.NoTimeout)
+    picked = stream.select("item", "op", F.col("seq").cast("long").alias("seq"))
+    return picked.groupBy("item").applyInPandasWithState(step, f"item {kind}, is_open boolean, is_closed boolean, is_visited boolean", "o boolean, c boolean, v boolean, last long", "update", GroupStateTimeout.NoTimeout)
+
+
+def append_snapshot(watched: DataFrame, payload: DataFrame, path: str, at: str, number: int) -> int:
+    """Append a row for each watched item (``id``) with what a payload says of it, or that it is missing: the job of a schedule.
+
+    ``at`` is the time of the snapshot and ``number`` its place among them.  A job that runs again for the same time adds
+    nothing, nor does one that runs beside another; rows lie in a table of ``commits``.  Returns the commit's number.
+    """
+    rows = producers.snapshot_rows(watched, payload).withColumns({"at": F.lit(at), "seq": F.lit(number).cast("long")})
+    return commits.append_once(rows, path, ["id", "at"], "seq", f"snapshot-{at}".replace(" ", "T").replace(":", ""), number)
 
 
 def counts_by_window(stream: DataFrame, every: str = "1 hour", late: str = "1 day") -> DataFrame:
