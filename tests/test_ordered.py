@@ -135,3 +135,24 @@ def test_a_transcript_of_a_million_words(spark):
     text = F.when(F.col("id").between(5000, 5299), "go go go go go go go go go go").otherwise("one two three four five six seven eight nine ten")
     df = spark.range(100_000).select(F.lit("t").alias("transcript_id"), F.col("id").cast("int").alias("idx"), text.alias("text"))
     assert media.longest_run(df, fan=64).first().longest == 3000
+
+
+def test_components_of_random_graphs(spark):
+    """In rounds, in one task, and in one task after some rounds."""
+    rng = random.Random(17)
+    edges = [(rng.randrange(600), rng.randrange(600)) for _ in range(330)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, None), (7, 7)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if b is not None:
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    want = {(n, root(n)) for n in list(parent) if root(n) != n}
+    df = spark.createDataFrame(edges, "a long, b long")
+    for few in (0, 340, 10**6):
+        assert {(r.node, r.root) for r in graph.components(df, few=few).collect()} == want

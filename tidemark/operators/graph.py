@@ -38,10 +38,36 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     return made.filter("a > b").groupBy("a", "b").agg(F.lit(1).alias("_")).drop("_")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def _joined(pairs: DataFrame) -> DataFrame:
+    """``components`` of a few edges, in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            top = x
+            while parent.setdefault(top, top) != top:
+                top = parent[top]
+            while parent[x] != top:
+                parent[x], x = top, parent[x]
+            return top
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+        found = [(n, r) for n in list(parent) if (r := root(n)) != n]
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(2)], names=["node", "root"])
+
+    importable(pairs.sparkSession)
+    return pairs.select("a", "b").repartition(1).mapInArrow(run, "node long, root long")
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", few: int = 0) -> DataFrame:
     """The least node of each node's component: ``node``, ``root``; nodes that are their own root are left out.
 
-    ``edges`` holds bigint nodes; loops, repeats and either direction are allowed, null ends are ignored.
+    ``edges`` holds bigint nodes; loops, repeats and either direction are allowed, null ends are ignored.  No more
+    than ``few`` different edges are joined in one task, at once or when the rounds have left no more; the result is the same.
     """
     ends = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
     pairs = cut(ends.filter(F.col("a") > F.col("b")).distinct())
@@ -50,11 +76,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         count = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(count) == seen or not count[0]:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        if count[0] <= few:
+            return cut(_joined(pairs))
         seen = tuple(count)
         pairs = cut(_star(_star(pairs, True), False))
 
 
-def component_counts(nodes: DataFrame, edges: DataFrame, group: str, node: str = "node") -> DataFrame:
+def component_counts(nodes: DataFrame, edges: DataFrame, group: str, node: str = "node", few: int = FEW) -> DataFrame:
     """How many components the nodes of each group form: ``group, n_components``.
 
     ``nodes`` has (group, node), ``edges`` (group, a, b) with ends among the group's nodes.  Nodes are numbered, so no
@@ -65,7 +93,7 @@ def component_counts(nodes: DataFrame, edges: DataFrame, group: str, node: str =
     for end in ("a", "b"):
         side = named.select(F.col("_g").alias("_h"), F.col("_n").alias("_m"), F.col("k").alias(f"k{end}"))
         met = met.join(side, F.col("_g").eqNullSafe(F.col("_h")) & (F.col(f"_{end}") == F.col("_m"))).drop("_h", "_m")
-    roots = components(met.select("ka", "kb"), "ka", "kb")
+    roots = components(met.select("ka", "kb"), "ka", "kb", few)
     # A node that some root stands above is no component of its own.
     below = named.join(roots, F.col("k") == F.col("node"), "left")
     return below.groupBy(F.col("_g").alias(group)).agg(F.count_if(F.col("root").isNull()).alias("n_components"))
