@@ -121,19 +121,23 @@ def near_classes(own: DataFrame, group: list[str], least: float) -> DataFrame:
     # Shingles that no other set has come first in the order, and are counted without being joined.
     place = F.row_number().over(mine.orderBy("many", "w")) + F.col("size") - F.count("*").over(mine)
     first = shared.withColumn("_p", place).filter(F.col("_p") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1)
+    first = cut(first.select(*group, "w", "n", "size"))  # few rows, that both sides are made of
     side = lambda x: first.select(*group, "w", F.col("n").alias(x), F.col("size").alias(f"{x}_size"))
     alike = (F.col("a") < F.col("b")) & (F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * least - 1e-9)
-    pairs = side("a").join(side("b"), [*group, "w"]).filter(alike).select(*group, "a", "b").distinct()
-    whole = lambda x: sets.select(*group, F.col("n").alias(x), F.col("s").alias(f"{x}_s"))
+    pairs = cut(side("a").join(side("b"), [*group, "w"]).filter(alike).select(*group, "a", "b").distinct())
+    asked = pairs.select(*group, F.explode(F.array("a", "b")).alias("n")).distinct()
+    compared = sets.join(asked, [*group, "n"], "left_semi")  # most sets are in no pair, and needn't be moved
+    whole = lambda x: compared.select(*group, F.col("n").alias(x), F.col("s").alias(f"{x}_s"))
     both = F.size(F.array_intersect("a_s", "b_s"))
     met = pairs.join(whole("a"), [*group, "a"]).join(whole("b"), [*group, "b"])
     return met.select(*group, "a", "b", (both / (F.size("a_s") + F.size("b_s") - both)).alias("similarity")).filter(F.col("similarity") >= least)
 
 
 def _members(own: DataFrame, group: list[str]) -> DataFrame:
-    """Items with the least item ``c`` of equal set; those without shingles are alike to none."""
-    classes = own.filter(F.size("s") > 0).groupBy(*group, "s").agg(F.min("n").alias("c"))
-    return own.join(classes, [*group, "s"]).select(*group, "n", "c")
+    """Items with the least item ``c`` of equal set, told apart by 128 bits of hash; those without shingles are alike to none."""
+    narrow = own.filter(F.size("s") > 0).select(*group, "n", F.xxhash64(F.lit(1), "s").alias("_h"), F.xxhash64(F.lit(2), "s").alias("_i"))
+    classes = narrow.groupBy(*group, "_h", "_i").agg(F.min("n").alias("c"))
+    return narrow.join(classes, [*group, "_h", "_i"]).select(*group, "n", "c")
 
 
 def near_pairs(items: DataFrame, group: list[str], node: str, text: str, least: float = tx.NEAR) -> DataFrame:
@@ -366,15 +370,15 @@ def _alike_texts(findings: DataFrame, key: str, least: float) -> tuple[DataFrame
 
     ``key, seq, c`` with the first signal of each class as its name ``c``, and ``key, a, b``.
     """
-    made = cut(findings.select(key, "seq", tx.tokens(F.col("text")).alias("t")).filter(F.size("t") > 0))
-    long = F.size("t") >= tx.SHINGLE
-    own = cut(made.filter(long).select(key, F.col("seq").alias("n"), tx.hashed_shingles(F.col("t")).alias("s")))
-    words = made.select(key, "seq", F.array_sort(F.array_distinct("t")).alias("w"), (~long).alias("short"))
-    brief = words.filter("short").groupBy(key, "w").agg(F.min("seq").alias("c"))
-    classes = _members(own, [key]).select(key, F.col("n").alias("seq"), "c").unionByName(words.filter("short").join(brief, [key, "w"]).select(key, "seq", "c"))
     # Only short texts, of one word or two, look for others, and their words are few; what is like them has few words too.
     most = int((tx.SHINGLE - 1) / least)
-    names = words.filter(F.size("w") <= most).join(classes.filter("seq = c").select(key, "seq"), [key, "seq"], "left_semi")
+    told = findings.select(key, "seq", tx.tokens(F.col("text")).alias("t")).filter(F.size("t") > 0)
+    few, long = F.size(F.array_distinct("t")) <= most, F.size("t") >= tx.SHINGLE
+    made = cut(told.select(key, "seq", (~long).alias("short"), F.when(few, F.array_sort(F.array_distinct("t"))).alias("w"), F.when(long, tx.hashed_shingles(F.col("t"))).alias("s")))
+    own, words = made.filter("NOT short").select(key, F.col("seq").alias("n"), "s"), made.filter("w IS NOT NULL").select(key, "seq", "w", "short")
+    brief = words.filter("short").groupBy(key, "w").agg(F.min("seq").alias("c"))
+    classes = _members(own, [key]).select(key, F.col("n").alias("seq"), "c").unionByName(words.filter("short").join(brief, [key, "w"]).select(key, "seq", "c"))
+    names = words.join(classes.filter("seq = c").select(key, "seq"), [key, "seq"], "left_semi")
     asked = brief.select(key, F.col("c").alias("a"), F.col("w").alias("aw"), F.explode("w").alias("x"))
     near = names.select(key, F.col("seq").alias("b"), F.col("w").alias("bw"), F.explode("w").alias("x"))
     met = asked.join(near, [key, "x"]).filter((F.col("a") != F.col("b")) & (tx.jaccard(F.col("aw"), F.col("bw")) >= least)).select(key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
