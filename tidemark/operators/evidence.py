@@ -135,9 +135,9 @@ def near_classes(own: DataFrame, group: list[str], least: float) -> DataFrame:
 
 def _members(own: DataFrame, group: list[str]) -> DataFrame:
     """Items with the least item ``c`` of equal set, told apart by 128 bits of hash; those without shingles are alike to none."""
-    narrow = own.filter(F.size("s") > 0).select(*group, "n", F.xxhash64(F.lit(1), "s").alias("_h"), F.xxhash64(F.lit(2), "s").alias("_i"))
-    classes = narrow.groupBy(*group, "_h", "_i").agg(F.min("n").alias("c"))
-    return narrow.join(classes, [*group, "_h", "_i"]).select(*group, "n", "c")
+    narrow = own.filter(F.size("s") > 0).select(*group, "n", F.xxhash64(F.lit(1), "s").alias("_set1"), F.xxhash64(F.lit(2), "s").alias("_set2"))
+    classes = narrow.groupBy(*group, "_set1", "_set2").agg(F.min("n").alias("c"))
+    return narrow.join(classes, [*group, "_set1", "_set2"]).select(*group, "n", "c")
 
 
 def near_pairs(items: DataFrame, group: list[str], node: str, text: str, least: float = tx.NEAR) -> DataFrame:
