@@ -2,6 +2,7 @@
 
 import hashlib
 import html as stdhtml
+import math
 import random
 import re
 import zlib
@@ -525,6 +526,39 @@ def test_classifiers_held_out(spark):
     assert docs.count() == queries.op3_quality(spark, folder).count()
 
 
+def test_toxic_texts_of_every_language(spark):
+    """Recall and precision on held-out texts, in all and in each language; languages are no input."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    rows = queries.op1_toxicity(spark, folder).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").select("predicted", "toxic", "lang").toPandas()
+    toxic, rejected = rows[rows.toxic == 1], rows[rows.predicted == 1]
+    assert toxic.predicted.mean() >= 0.8 and rejected.toxic.mean() >= 0.95
+    by_lang = toxic.groupby("lang").predicted.mean()
+    assert set(by_lang.index) == {"en", "fr", "de", "es"} and by_lang.min() >= 0.7
+
+
+def test_toxic_parts_of_words():
+    """The parts planted in toxic texts are found whole, those of few texts too; what ordinary texts have as well isn't."""
+    rng = random.Random(4)
+    syllables = ["ka", "lo", "mi", "re", "tu", "sha", "den", "por", "ve", "ni", "gor", "bel"]
+
+    def word():
+        return "".join(rng.choices(syllables, k=rng.randint(2, 4)))
+
+    def text(*extra):
+        words = [word() for _ in range(80)] + list(extra) + ["common", "phrase"]
+        rng.shuffle(words)
+        return [w.encode() for w in words]
+
+    ordinary = [text() for _ in range(600)]
+    toxic = [text("zwortig", "zwortig") for _ in range(60)] + [text(f"quexla{word()}", f"quexla{word()}") for _ in range(12)]
+    found = toxicity.parts(toxic, ordinary)
+    assert set(found) == {b" zwortig ", b" quexla"}
+    assert toxicity.parts(toxic[:3], ordinary) == [] == toxicity.parts(ordinary[:70], ordinary[70:])
+    exact = sum(math.comb(40, k) * 0.1**k * 0.9 ** (40 - k) for k in range(12, 41))
+    assert math.log(exact) <= toxicity.chance(12, 40, 0.1) < math.log(exact) + 0.2 and toxicity.chance(4, 40, 0.1) == 0
+
+
 def test_classifiers_odd(spark, odd):
     labels = spark.createDataFrame([(0, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int")
     for mod in (toxicity, quality):
@@ -614,11 +648,11 @@ def test_window_distances(docs):
     texts = [r.text for r in docs.collect()]
     toxic = [f"{t} you utter gribblesnatch, what a foulmunger" for t in texts[:60]]
     ordinary, dictionary = toxicity.dictionaries([toxicity.normal(t) for t in toxic], [toxicity.normal(t) for t in texts])
-    assert dictionary.endswith(ordinary) and b"gribble" in dictionary and b"gribble" not in ordinary
+    assert dictionary.startswith(ordinary) and b"gribble" in dictionary and b"gribble" not in ordinary
 
     def length(book, window):
         params = zstandard.ZstdCompressionParameters(
-            window_log=17, hash_log=15, chain_log=15, search_log=5, min_match=6, target_length=64, strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS
+            window_log=17, hash_log=17, chain_log=15, search_log=5, min_match=6, target_length=64, strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS
         )
         held = zstandard.ZstdCompressionDict(book, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         held.precompute_compress(compression_params=params)
@@ -627,7 +661,8 @@ def test_window_distances(docs):
     for t in [*toxic[:3], "", "one gribblesnatch"]:
         words = t.lower().split()
         words = [w for w in (w.strip(toxicity.EDGES) for w in words) if w]
-        cuts = [bytes(64) + b" " + " ".join(words[i : i + 10]).encode() + b" " for i in range(0, len(words), 10)]
+        stops = [1, 2, 3, 4, 5, 6, 7, 8, 11, 12]
+        cuts = [bytes(64) + b"".join(bytes([k]) + b" |" + w.encode() + b" |" for k, w in zip(stops, words[i : i + 10])) for i in range(0, len(words), 10)]
         assert toxicity.distances(t, ordinary, dictionary) == [length(ordinary, c) - length(dictionary, c) for c in cuts]
     assert max(toxicity.distances(toxic[0], ordinary, dictionary)) > max(toxicity.distances(texts[0], ordinary, dictionary))
 

@@ -1,12 +1,14 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, and one on toxic text, namely on those of its
-passages whose byte n-grams ordinary text all but lacks (trained on whole toxic texts it learns what all text
-shares).  A document is cut into windows of whole words, and each window is compressed with the ordinary
-dictionary and with the toxic one, which stands on the ordinary one; the bytes between the two are its
-distance.  A logistic function of the distances of all windows gives the score.  It is calibrated on distances
-to dictionaries that were trained without the text in question, and placed so that the threshold of the best
-F-measure (with precision weighing more) lies at ``THRESHOLD``.
+Two zstandard dictionaries are trained: one on ordinary text, and one on toxic text, namely on those parts of its
+words that ordinary text all but lacks (trained on whole toxic texts it learns what all text shares).  Parts are
+chosen one by one, the surest first, and each takes the words that it explains, so that the words of a small
+language count as those of a large one do.  A document is cut into windows of whole words, and each window is
+compressed with the ordinary dictionary and with both, the toxic one behind it; the bytes between the two are its
+distance.  No match reaches over the end of a word, so neighbours never hide a word.  A logistic function of the
+distances of all windows gives the score.  It is calibrated on distances to dictionaries that were trained without
+the text in question, and placed so that the threshold of the best F-measure (with precision weighing more) lies
+at ``THRESHOLD``.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import zlib
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
+from math import lgamma, log
 
 import numpy as np
 import zstandard as zstd
@@ -24,16 +27,22 @@ from . import common
 
 #: The fitting sample: texts of either label, their longest length, and the characters of either label in all.
 PER_CLASS, MAX_CHARS, MAX_TOTAL = 4000, 20_000, 16_000_000
-#: Words of a window; bytes of n-grams and of the dictionaries; bytes of ordinary text to train on, whole texts only.
-WINDOW, GRAM, ORDINARY_BYTES, TOXIC_BYTES, TRAIN_BYTES = 10, 6, 24_000, 4_000, 4_000_000
+#: Words of a window; least bytes of a match, bytes of the dictionaries; bytes of ordinary text to train on, whole texts only.
+WINDOW, MATCH, ORDINARY_BYTES, TOXIC_BYTES, TRAIN_BYTES = 10, 6, 24_000, 4_000, 4_000_000
 #: Parts that the sample is dealt into: each is calibrated on with dictionaries of the others.
 FOLDS = 3
-#: A toxic n-gram stands in this many toxic texts, in this share of them, and is this many times as frequent there.
-LEAST_TEXTS, LEAST_SHARE, RATIO = 5, 0.02, 4
+#: A toxic part of a word stands in this many toxic texts and is this many times as frequent there; it begins as an
+#: n-gram of one of these lengths in bytes and grows to the longest length while this share of its texts remains.
+LEAST_TEXTS, RATIO, GRAMS, LONGEST, GROWS = 5, 4, (5, 6), 16, 0.8
+#: The logarithm of how often the part's spread over both labels would come by chance among all n-grams looked at.
+CHANCE = -3.0
 THRESHOLD = 0.7
 EDGES = " \t\n\r.,;:!?%$#&*\"'()[]"
 #: Precedes every window, so that zstandard always has something to compress and lengths stay comparable.
 BALLAST = bytes(64)
+#: Stands before and after every word; in windows a byte that no dictionary holds precedes it, another for each word.
+BORDER = b" |"
+STOPS = [bytes([i]) for i in range(1, 256) if i not in b"\t\n\r |"]
 
 
 def normal(text: str) -> list[bytes]:
@@ -41,7 +50,7 @@ def normal(text: str) -> list[bytes]:
 
 
 def windows(words: list[bytes]) -> list[bytes]:
-    return [BALLAST + b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in range(0, len(words), WINDOW)]
+    return [BALLAST + b"".join(stop + BORDER + w + BORDER for stop, w in zip(STOPS, words[i : i + WINDOW], strict=False)) for i in range(0, len(words), WINDOW)]
 
 
 @dataclass(frozen=True)
@@ -54,8 +63,9 @@ class Model:
 
 @lru_cache(maxsize=4)
 def _compressor(content: bytes):  # noqa: ANN202
+    # Rows of the hash table must not overflow, or what one dictionary adds pushes out what both have.
     params = zstd.ZstdCompressionParameters(
-        window_log=17, hash_log=15, chain_log=15, search_log=5, min_match=GRAM, target_length=64, strategy=zstd.STRATEGY_GREEDY,
+        window_log=17, hash_log=17, chain_log=15, search_log=5, min_match=MATCH, target_length=64, strategy=zstd.STRATEGY_GREEDY,
         write_content_size=0, write_checksum=0, write_dict_id=0, format=zstd.FORMAT_ZSTD1_MAGICLESS,
     )
     book = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
@@ -95,8 +105,8 @@ def _apart(texts: list[str]) -> list[str]:
     return kept
 
 
-def _grams(texts: list[list[bytes]]) -> Counter:
-    """In how many texts an n-gram of a word, with the spaces around it, occurs."""
+def _grams(texts: list[list[bytes]], only: Counter | None = None) -> Counter:
+    """In how many texts an n-gram (of ``only``) of a word, with the spaces around it, occurs."""
     found: Counter = Counter()
     of: dict[bytes, list[bytes]] = {}
     for t in texts:
@@ -104,31 +114,89 @@ def _grams(texts: list[list[bytes]]) -> Counter:
         for w in set(t):
             if w not in of:
                 p = b" " + w + b" "
-                of[w] = [p[i : i + GRAM] for i in range(len(p) - GRAM + 1)]
+                of[w] = [g for n in GRAMS for i in range(len(p) - n + 1) if (g := p[i : i + n]) and (only is None or g in only)]
             own.update(of[w])
         found.update(own)
     return found
 
 
+def chance(k: int, n: int, p: float) -> float:
+    """A bound of the logarithm of the binomial tail: ``k`` or more of ``n`` texts are toxic where a share ``p`` is."""
+    if k <= n * p:
+        return 0.0
+    most = lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(p) + (n - k) * log(1 - p)
+    return most - log(1 - (n - k) / (k + 1) * p / (1 - p))
+
+
+def _longer(part: bytes, words: list[bytes], texts: dict[bytes, int]) -> bytes:
+    """The part with the neighbouring bytes that it has in nearly all its texts."""
+    least = GROWS * _count(words, texts)
+    while len(part) < LONGEST:
+        wider: dict[bytes, list[bytes]] = {}
+        for w in words:
+            at = w.find(part)
+            end = at + len(part)
+            if at > 0:
+                wider.setdefault(w[at - 1 : end], []).append(w)
+            if 0 <= at and end < len(w):
+                wider.setdefault(w[at : end + 1], []).append(w)
+        n, best = max(((_count(ws, texts), g) for g, ws in wider.items()), default=(0, b""))
+        if n < least:
+            break
+        part, words = best, wider[best]
+    return part
+
+
+def _count(words: list[bytes], texts: dict[bytes, int]) -> int:
+    """In how many texts any of the words stands; ``texts`` has a bit for each."""
+    held = 0
+    for w in words:
+        held |= texts[w]
+    return held.bit_count()
+
+
+def parts(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
+    """Parts of words, spaces around words included, that are toxic texts' own, the surest first.
+
+    Each is an n-gram whose share of toxic texts isn't chance, grown to its longest form; words that hold it count
+    for no later one.
+    """
+    p, found = len(toxic) / (len(toxic) + len(ordinary)), []
+    ft = Counter({g: n for g, n in _grams(toxic).items() if n >= LEAST_TEXTS})
+    fo = _grams(ordinary, ft)
+    limit = CHANCE - log(max(1, len(ft)))
+    sure = {g: c for g, n in ft.items() if n * len(ordinary) >= RATIO * (fo[g] + 0.5) * len(toxic) and (c := chance(n, n + fo[g], p)) < limit}
+    texts: dict[bytes, int] = {}
+    for i, t in enumerate(toxic):
+        for w in set(t):
+            texts[b" " + w + b" "] = texts.get(b" " + w + b" ", 0) | 1 << i
+    of: dict[bytes, list[bytes]] = {}
+    for w in texts:
+        for g in {w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)} & sure.keys():
+            of.setdefault(g, []).append(w)
+    gone: set[bytes] = set()
+    for g in sorted(sure, key=lambda g: (sure[g], g)):
+        words = [w for w in of[g] if w not in gone]
+        n = _count(words, texts)
+        if n >= LEAST_TEXTS and chance(n, n + fo[g], p) < limit:
+            found.append(_longer(g, words, texts))
+            gone.update(w for w in words if found[-1] in w)
+    return found
+
+
 def _passages(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
-    """Of each toxic text the parts of its words that toxic texts share and ordinary ones lack; texts without any are left out."""
-    ft, fo = _grams(toxic), _grams(ordinary)
-    good = {g for g, c in ft.items() if c >= max(LEAST_TEXTS, LEAST_SHARE * len(toxic)) and c / len(toxic) >= RATIO * (fo[g] + 0.5) / len(ordinary)}
+    """Of each toxic text the parts of its words that are toxic texts' own; texts without any are left out."""
+    chosen = parts(toxic, ordinary)
+    of: dict[bytes, list[bytes]] = {}
     found = []
     for t in toxic:
         own = []
         for w in t:
-            p = b" " + w + b" "
-            i, n = 0, len(p) - GRAM + 1
-            while i < n:
-                j = i
-                while j < n and p[j : j + GRAM] in good:
-                    j += 1
-                if j > i:
-                    own.append(p[i : j + GRAM - 1])
-                i = j + 1
+            if w not in of:
+                of[w] = [c.replace(b" ", BORDER) for c in chosen if c in b" " + w + b" "]
+            own += of[w]
         if own:
-            found.append(b"\n".join(own))
+            found.append(b"\n".join(own) + b"\n")
     return found
 
 
@@ -141,16 +209,16 @@ def _trained(samples: list[bytes], size: int) -> bytes:
 
 
 def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
-    """The ordinary dictionary, and the toxic one before it; the latter adds nothing if toxic texts share nothing of their own."""
+    """The ordinary dictionary, and the same with the toxic one behind it, which is empty if toxic texts share nothing of their own."""
     plain, size = [], 0
     for t in ordinary:
-        text = b" " + b" ".join(t) + b" "
+        text = BORDER + (BORDER + b"\n" + BORDER).join(t) + BORDER
         size += len(text)
         if plain and size > TRAIN_BYTES:
             break
         plain.append(text)
     base, own = _trained(plain, ORDINARY_BYTES), _passages(toxic, ordinary)
-    return base, (_trained(own, TOXIC_BYTES) if own else b"") + base
+    return base, base + (_trained(own, TOXIC_BYTES) if own else b"")
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -181,7 +249,8 @@ def best_threshold(logits: np.ndarray, y: np.ndarray, beta: float = 1.0) -> floa
 def fit_texts(sample: list[tuple[str, int]]) -> Model:
     """Fit on labelled texts: each fold calibrates with dictionaries of the others, the model's are of all.
 
-    Without texts of both labels there is nothing to compare: every score is then 0 (no toxic texts).
+    With fewer than two texts of a label for each fold (``2 * FOLDS``, near copies once) there is nothing to compare, and
+    every score is nearly 0; where toxic texts share nothing of their own, every score is their share.
     """
     words: dict[bytes, bytes] = {}
     by_label = [[[words.setdefault(w, w) for w in normal(t)] for t in _apart([t for t, y in sample if y == k])] for k in (0, 1)]
