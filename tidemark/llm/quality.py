@@ -82,7 +82,8 @@ def logits(model: Model, idx: np.ndarray, val: np.ndarray, starts: np.ndarray) -
 def fit_texts(sample: list[tuple[str, int]]) -> Model:
     """Fit by AdaGrad on logistic loss, both labels weighing the same; a fifth of the texts places the threshold.
 
-    Without texts of both labels every score is that of the only label, 0.5 without any.
+    With fewer than 20 texts, or without texts of both labels, there is too little to fit: every text gets one score, near 1
+    if most texts given are good, near 0 if most aren't, and 0.5 if as many are or there are none.
     """
     y = np.array([k for _, k in sample], dtype=float)
     rng = np.random.default_rng(5)
