@@ -484,3 +484,15 @@ def test_whole_files_keep_their_lines(spark, tmp_path):
     (tmp_path / "b.json").write_text('[{"k": 1},\n {"k": 2}]\n')
     assert [r.content for r in jsonl.read_documents(spark, str(tmp_path / "a.md")).collect()] == ["---\nname: x\n---\nbody\n"]
     assert [r.k for r in jsonl.read_array(spark, str(tmp_path / "b.json"), "k int").collect()] == [1, 2]
+
+
+def test_bench_never_broadcasts_its_clips(spark, tmp_path):
+    """Small files hold many rows, so what is estimated from them must not send a row for each clip by way of the driver."""
+    spark.createDataFrame([(1, "raw", "m", "ab"), (1, "vocals", "m", None)], "clip int, source string, model string, text string").write.parquet(str(tmp_path / "runs"))
+    runs = spark.read.parquet(str(tmp_path / "runs"))
+    matrix = scoring.bench_matrix(scoring.bench_grid(runs, ["raw", "vocals"], ["m", "n"]), "m")
+    for df in (matrix, scoring.bench_report(matrix), scoring.error_matrix(runs, "m")):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    lines = {(r.source, r.part, r.model): r.line for r in scoring.bench_report(matrix).collect()}
+    assert lines["raw", 4, "m"] == "| m | 0.0 | 0.0 |" and lines["raw", 5, "m"] == "- **m**: ab" and lines["raw", 4, "n"] == "| n | ERROR ||" and ("raw", 5, "n") not in lines
+    assert len(lines) == 1 + 2 * 3 + 4 + 1

@@ -118,10 +118,15 @@ def rates_by_kind(cards: DataFrame, results: DataFrame, today: str) -> DataFrame
     return live.groupBy("answer_kind").agg(F.count("*").alias("n"), F.round(F.avg(F.col("passed").cast("double")), 4).alias("pass_rate"))
 
 
+def _as_many(side: DataFrame) -> DataFrame:
+    """A side of a join that has a row for each clip or more: what is estimated from small files is no reason to broadcast it."""
+    return side.hint("merge")
+
+
 def error_matrix(transcripts: DataFrame, reference: str) -> DataFrame:
     """Error rate of every model's transcript of a clip against the reference model's: ``clip, model, cer``; null for an empty reference."""
     key = transcripts.select("clip", "model", tx.spoken_key(F.col("text")).alias("t"))
-    ref = key.filter(F.col("model") == reference).select("clip", F.col("t").alias("r"))
+    ref = _as_many(key.filter(F.col("model") == reference).select("clip", F.col("t").alias("r")))
     cer = F.when(F.length("r") > 0, F.round(F.levenshtein("r", "t") / F.length("r"), 3))
     return key.filter(F.col("model") != reference).join(ref, "clip").select("clip", "model", cer.alias("cer"))
 
@@ -133,7 +138,7 @@ def bench_grid(transcripts: DataFrame, sources: list[str], models: list[str]) ->
     """
     each = F.explode(F.array(*map(F.lit, sources))).alias("source")
     cells = transcripts.select("clip").distinct().select("clip", each).select("clip", "source", F.explode(F.array(*map(F.lit, models))).alias("model"))
-    return cells.join(transcripts.select("clip", "source", "model", "text"), ["clip", "source", "model"], "left")
+    return cells.join(_as_many(transcripts.select("clip", "source", "model", "text")), ["clip", "source", "model"], "left")
 
 
 def bench_matrix(grid: DataFrame, reference: str, raw: str = "raw") -> DataFrame:
@@ -142,7 +147,8 @@ def bench_matrix(grid: DataFrame, reference: str, raw: str = "raw") -> DataFrame
     The reference is held against itself too.  A rate is null where the run or its reference has no text.
     """
     refs = grid.filter((F.col("model") == reference) & (F.coalesce("text", F.lit("")) != "")).select("clip", F.col("source").alias("_s"), F.col("text").alias("_t"))
-    met = grid.join(refs.filter(F.col("_s") == raw).select("clip", F.col("_t").alias("_raw")), "clip", "left").join(refs.select("clip", F.col("_s").alias("source"), F.col("_t").alias("_same")), ["clip", "source"], "left")
+    of_raw, same = refs.filter(F.col("_s") == raw).select("clip", F.col("_t").alias("_raw")), refs.select("clip", F.col("_s").alias("source"), F.col("_t").alias("_same"))
+    met = grid.join(_as_many(of_raw), "clip", "left").join(_as_many(same), ["clip", "source"], "left")
 
     def rate(ref: str) -> Column:
         r, t = tx.spoken_key(F.col(ref)), tx.spoken_key(F.col("text"))
@@ -158,15 +164,17 @@ def bench_report(matrix: DataFrame) -> DataFrame:
     characters.
     """
     shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
-    row = lambda df, source, part, model, line: df.select("clip", source.alias("source"), F.lit(part).alias("part"), model.alias("model"), line.alias("line"))
+    line = lambda part, model, text: F.struct(F.lit(part).alias("part"), model.alias("model"), text.alias("line"))
+    each = lambda df, source, *lines: df.select("clip", source.alias("source"), F.explode(F.array(*lines)).alias("l")).select("clip", "source", "l.*")
     none = F.lit("")
-    clips, sources = matrix.select("clip").distinct(), matrix.select("clip", "source").distinct()
-    heads = row(clips, none, 0, none, F.concat(F.lit("## "), F.col("clip").cast("string"))).unionByName(row(sources, F.col("source"), 1, none, F.concat(F.lit("### source = "), "source")))
-    tables = row(sources, F.col("source"), 2, none, F.lit("| model | CER_raw | CER_same |")).unionByName(row(sources, F.col("source"), 3, none, F.lit("|---|---|---|")))
+    heads = each(matrix.select("clip").distinct(), none, line(0, none, F.concat(F.lit("## "), F.col("clip").cast("string"))))
+    titles = [F.concat(F.lit("### source = "), "source"), F.lit("| model | CER_raw | CER_same |"), F.lit("|---|---|---|")]
+    tables = each(matrix.select("clip", "source").distinct(), F.col("source"), *[line(i + 1, none, x) for i, x in enumerate(titles)])
     cells = F.when(F.col("text").isNull(), F.concat(F.lit("| "), "model", F.lit(" | ERROR ||"))).otherwise(F.concat(F.lit("| "), "model", F.lit(" | "), shown("cer_raw"), F.lit(" | "), shown("cer_same"), F.lit(" |")))
-    heard = matrix.filter("text IS NOT NULL")
-    said = row(heard, F.col("source"), 5, F.col("model"), F.concat(F.lit("- **"), "model", F.lit("**: "), F.substring("text", 1, 300)))
-    return heads.unionByName(tables).unionByName(row(matrix, F.col("source"), 4, F.col("model"), cells)).unionByName(said)
+    said = F.concat(F.lit("- **"), "model", F.lit("**: "), F.substring("text", 1, 300))
+    # The rows of the matrix give both of their lines in one pass.
+    rows = each(matrix, F.col("source"), line(4, F.col("model"), cells), line(5, F.col("model"), F.when(F.col("text").isNotNull(), said)))
+    return heads.unionByName(tables).unionByName(rows.filter("part = 4 OR line IS NOT NULL"))
 
 
 def mismatch_report(expected: DataFrame, actual: DataFrame, key: str, group: str) -> DataFrame:
