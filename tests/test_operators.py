@@ -496,3 +496,9 @@ def test_bench_never_broadcasts_its_clips(spark, tmp_path):
     lines = {(r.source, r.part, r.model): r.line for r in scoring.bench_report(matrix).collect()}
     assert lines["raw", 4, "m"] == "| m | 0.0 | 0.0 |" and lines["raw", 5, "m"] == "- **m**: ab" and lines["raw", 4, "n"] == "| n | ERROR ||" and ("raw", 5, "n") not in lines
     assert len(lines) == 1 + 2 * 3 + 4 + 1
+
+
+def test_numbers_of_conflicts_by_their_exact_value(spark):
+    rows = [(1, 1, "a", "card 90819894045335504 given"), (1, 2, "b", "card 2.00005 given 9" + "9" * 400)]
+    found = spark.createDataFrame(rows, "conclusion_id int, seq int, artifact_id string, quote string")
+    assert [r.numbers for r in evidence.numeric_conflicts(found).collect()] == ["2.0000,90819894045335504.0000,inf"]
