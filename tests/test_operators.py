@@ -502,3 +502,13 @@ def test_numbers_of_conflicts_by_their_exact_value(spark):
     rows = [(1, 1, "a", "card 90819894045335504 given"), (1, 2, "b", "card 2.00005 given 9" + "9" * 400)]
     found = spark.createDataFrame(rows, "conclusion_id int, seq int, artifact_id string, quote string")
     assert [r.numbers for r in evidence.numeric_conflicts(found).collect()] == ["2.0000,90819894045335504.0000,inf"]
+
+
+def test_known_values_of_every_function(spark):
+    """Every function of single values is in the query, on values of the table's every key."""
+    from tidemark.plans import registry
+
+    found = registry.queries()["known_values"](spark, "/root/testdata/sf0.001").groupBy("f").count().collect()
+    assert {r.f for r in found} == {"video", "closed", "path", "scrubbed", "abstains", "host", "number", "date", "begins", "status", "stamp"}
+    keys = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
+    assert all(r["count"] % keys == 0 for r in found)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as tx
 from tidemark.functions import web
 from tidemark.operators import acquire, producers, scoring
 from tidemark.sources.tables import Tables
@@ -98,17 +99,33 @@ _NAMED = "SELECT c_custkey AS k, c_name AS name, substr(sha256(c_name), 1, 11) A
  UNION ALL SELECT k, 'closed', a || '.' || b || '.' || d || '.1', CAST(a IN (0, 10, 127) OR a >= 224 OR a = 169 AND b = 254 OR a = 172 AND b BETWEEN 16 AND 31 OR a = 192 AND (b = 168 OR b = 0 AND d IN (0, 2)) OR a = 198 AND (b IN (18, 19) OR b = 51 AND d = 100) OR a = 203 AND b = 0 AND d = 113 AS VARCHAR) FROM ip
  UNION ALL SELECT k, 'path', '/' || CASE k % 3 WHEN 0 THEN 'etc/' WHEN 1 THEN 'home/../etc/' ELSE 'home/' END || name, CAST(k % 3 = 2 AS VARCHAR) FROM c
  UNION ALL SELECT k, 'scrubbed', 'key=' || name || '&x', 'key=***&x' FROM c
- UNION ALL SELECT k, 'abstains', CASE WHEN k % 2 = 0 THEN ' Unknown ' ELSE name END, CAST(k % 2 = 0 AS VARCHAR) FROM c"""
+ UNION ALL SELECT k, 'abstains', CASE WHEN k % 2 = 0 THEN ' Unknown ' ELSE name END, CAST(k % 2 = 0 AS VARCHAR) FROM c
+ UNION ALL SELECT k, 'abstains', CASE WHEN k % 2 = 0 THEN '모름' ELSE 'not found' END, CAST(k % 2 = 0 AS VARCHAR) FROM c
+ UNION ALL SELECT k, 'video', v, v FROM c UNION ALL SELECT k, 'path', 'refs/' || name || '.html', 'true' FROM c
+ UNION ALL SELECT k, 'closed', CASE k % 3 WHEN 0 THEN '::1' WHEN 1 THEN '' ELSE 'h' || k || '.example.com' END, CAST(k % 3 < 2 AS VARCHAR) FROM c
+ UNION ALL SELECT k, 'host', CASE k % 5 WHEN 0 THEN 'https://www.news.x' || k || '.co.uk/' WHEN 1 THEN 'http://10.0.0.' || k % 256 || '/' WHEN 2 THEN 'http://a' || k || '.com.mx' WHEN 3 THEN 'http://[2001:0db8:0:0:0:0:0:' || k % 9 + 1 || ']:80/x' ELSE name END,
+  CASE k % 5 WHEN 0 THEN 'x' || k || '.co.uk' WHEN 1 THEN '10.0.0.' || k % 256 WHEN 2 THEN 'a' || k || '.com.mx' WHEN 3 THEN '2001:db8::' || k % 9 + 1 ELSE '' END FROM c
+ UNION ALL SELECT k, 'number', CASE k % 5 WHEN 0 THEN 'costs ' || d || ',234 won' WHEN 1 THEN '-' || d || ' then 6' WHEN 2 THEN d || ',2,3' WHEN 3 THEN d || 'e3 m' ELSE 'none' END, CASE k % 5 WHEN 0 THEN d || '234.0' WHEN 1 THEN '-' || d || '.0' WHEN 2 THEN d || '.0' WHEN 3 THEN d || '000.0' END FROM (SELECT k, k % 9 + 1 AS d FROM c)
+ UNION ALL SELECT k, 'date', CASE k % 3 WHEN 0 THEN ' 2024-' || k % 9 + 1 || '-1 ' WHEN 1 THEN '2024-06-01T00:0' || k % 10 ELSE '2024-02-30' END, CASE WHEN k % 3 = 0 THEN '2024-0' || k % 9 + 1 || '-01' END FROM c
+ UNION ALL SELECT k, 'begins', CASE WHEN k % 2 = 0 THEN '2024-06-0' || k % 9 + 1 || 'T00:00' ELSE '2024-02-30' END, CASE WHEN k % 2 = 0 THEN '2024-06-0' || k % 9 + 1 END FROM c
+ UNION ALL SELECT k, 'status', CASE k % 3 WHEN 0 THEN 'oops' WHEN 1 THEN '404' ELSE '200' END, CASE k % 3 WHEN 0 THEN 'suspect' WHEN 1 THEN 'http_error' ELSE 'weak_ok' END FROM c
+ UNION ALL SELECT k, 'stamp', CASE k % 3 WHEN 0 THEN '[ALPHA] ' || name || ' [RECON]' WHEN 1 THEN name || ' [RECON]' ELSE '[RECON: ' || name || ']' END, CASE k % 3 WHEN 0 THEN 'ALPHA' WHEN 1 THEN 'RECON' ELSE 'unlabeled' END FROM c"""
 )
 def known_values(t: Tables) -> DataFrame:
-    """Ids in addresses, closed hosts, paths, secrets in messages and abstentions, whose results follow from how they are made."""
-    c = t.raw("customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.substring(F.sha2("c_name", 256), 1, 11).alias("v"))
-    made = {
-        "video": (F.expr("CASE k % 3 WHEN 0 THEN concat('https://youtu.be/', v) WHEN 1 THEN concat('https://www.youtube.com/watch?v=', v, '&t=1') ELSE name END"), producers.video_id),
-        "closed": (F.expr("concat_ws('.', k % 256, k * 7 % 256, k * 13 % 256, 1)"), web.closed_host), "path": (F.expr("concat('/', CASE k % 3 WHEN 0 THEN 'etc/' WHEN 1 THEN 'home/../etc/' ELSE 'home/' END, name)"), web.open_path),
-        "scrubbed": (F.expr("concat('key=', name, '&x')"), lambda x: producers.scrubbed(x, F.col("name"))), "abstains": (F.expr("if(k % 2 = 0, ' Unknown ', name)"), scoring.abstains),
-    }
-    parts = [c.select("k", F.lit(f).alias("f"), x.alias("x"), of(x).cast("string").alias("y")) for f, (x, of) in made.items()]
+    """Ids in addresses, closed hosts, paths, secrets in messages, abstentions, hosts, numbers, dates, verdicts by status and stamps, whose results follow from how they are made."""
+    c = t.raw("customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.substring(F.sha2("c_name", 256), 1, 11).alias("v"), (F.col("c_custkey") % 9 + 1).alias("d"))
+    status = lambda x: web.softblock(F.repeat(F.lit("x"), 4000), x, F.lit(None).cast("boolean"), F.lit(False))
+    made = [
+        ("video", "CASE k % 3 WHEN 0 THEN concat('https://youtu.be/', v) WHEN 1 THEN concat('https://www.youtube.com/watch?v=', v, '&t=1') ELSE name END", producers.video_id), ("video", "v", producers.video_id),
+        ("closed", "concat_ws('.', k % 256, k * 7 % 256, k * 13 % 256, 1)", web.closed_host), ("closed", "CASE k % 3 WHEN 0 THEN '::1' WHEN 1 THEN '' ELSE concat('h', k, '.example.com') END", web.closed_host),
+        ("path", "concat('/', CASE k % 3 WHEN 0 THEN 'etc/' WHEN 1 THEN 'home/../etc/' ELSE 'home/' END, name)", web.open_path), ("path", "concat('refs/', name, '.html')", web.open_path),
+        ("scrubbed", "concat('key=', name, '&x')", lambda x: producers.scrubbed(x, F.col("name"))), ("abstains", "if(k % 2 = 0, ' Unknown ', name)", scoring.abstains), ("abstains", "if(k % 2 = 0, '모름', 'not found')", scoring.abstains),
+        ("host", "CASE k % 5 WHEN 0 THEN concat('https://www.news.x', k, '.co.uk/') WHEN 1 THEN concat('http://10.0.0.', k % 256, '/') WHEN 2 THEN concat('http://a', k, '.com.mx') WHEN 3 THEN concat('http://[2001:0db8:0:0:0:0:0:', d, ']:80/x') ELSE name END", web.registrable),
+        ("number", "CASE k % 5 WHEN 0 THEN concat('costs ', d, ',234 won') WHEN 1 THEN concat('-', d, ' then 6') WHEN 2 THEN concat(d, ',2,3') WHEN 3 THEN concat(d, 'e3 m') ELSE 'none' END", tx.first_number),
+        ("date", "CASE k % 3 WHEN 0 THEN concat(' 2024-', d, '-1 ') WHEN 1 THEN concat('2024-06-01T00:0', k % 10) ELSE '2024-02-30' END", web.strict_date), ("begins", "CASE WHEN k % 2 = 0 THEN concat('2024-06-0', d, 'T00:00') ELSE '2024-02-30' END", web.date_of),
+        ("status", "CASE k % 3 WHEN 0 THEN 'oops' WHEN 1 THEN '404' ELSE '200' END", status), ("stamp", "CASE k % 3 WHEN 0 THEN concat('[ALPHA] ', name, ' [RECON]') WHEN 1 THEN concat(name, ' [RECON]') ELSE concat('[RECON: ', name, ']') END", producers.run_stamp),
+    ]
+    parts = [c.select("k", F.lit(f).alias("f"), F.expr(x).alias("x"), of(F.expr(x)).cast("string").alias("y")) for f, x, of in made]
     for part in parts[1:]:
         parts[0] = parts[0].unionByName(part)
     return parts[0]
