@@ -360,6 +360,32 @@ def word_shingles(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
 
 
+def test_near_copies_by_fingerprints_first():
+    """Pairs near by fingerprint are checked and joined; whole sets find the rest, and refuse what isn't alike."""
+    rng = np.random.default_rng(3)
+    rows = [rng.integers(0, 1 << 63, 60, dtype="u8")]
+    for _ in range(150):
+        x = rows[rng.integers(len(rows))].copy()
+        x[: rng.integers(0, 12)] = rng.integers(0, 1 << 63, 1, dtype="u8")
+        rows.append(rng.permutation(x) if rng.random() < 0.8 else rng.integers(0, 1 << 63, rng.integers(1, 60), dtype="u8"))
+    sets = [np.unique(x) for x in rows]
+    tree: list = []
+    fps = np.array([simhash.majority(x) for x in sets], "<u8")
+    simhash.Groups(np.zeros(len(sets), "i8"), [fps], simhash.RADIUS).forest(tree)
+    assert tree and all(bin(int(fps[i] ^ fps[j])).count("1") <= simhash.RADIUS for i, j in tree)
+    want = np.arange(len(sets))
+    for _ in range(3):
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                    want[[i, j]] = min(want[i], want[j])
+    while (want[want] != want).any():
+        want = want[want]
+    for near in (tree, (), [(0, i) for i in range(1, len(sets))]):
+        assert simhash.alike_forest(sets, 0.8, near).tolist() == want.tolist()
+
+
 def test_near_copies_of_a_hub(spark):
     """Copies that are alike by way of one text only, which all of them are near."""
     random.seed(8)
