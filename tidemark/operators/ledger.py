@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import web
+from tidemark.sources.storage import cut
 
 # Labels of captures that are none.
 BAD_QUALITY = ("BOT_WALL", "JS_WALL", "LOGIN_WALL", "PAYWALL", "EMPTY", "HTTP_ERROR", "MALFORMED", "API_ERROR", "EXTRACT_FAILED", "COVERAGE_GAP", "LOW_CONFIDENCE", "DEGENERATE", "SILENT", "NO_SPEECH_OR_MASKED")
@@ -177,6 +178,7 @@ SECTIONS = {"1-evidence": "evidence", "2-findings": "findings", "3-hypotheses":
 def digest_document(lines: DataFrame, goal: str) -> DataFrame:
     """The lines of a digest with its title and a heading for each section, which counts it: ``section, ord, line``, to be written in that order."""
     title = F.create_map(*[F.lit(x) for kv in SECTIONS.items() for x in kv])
+    lines = cut(lines)  # counted and written, so made once
     entries = F.when(F.col("ord") != "", 1)
     headings = lines.groupBy("section").agg(F.count(entries).alias("n")).select("section", F.lit(" ").alias("ord"), F.concat(F.lit("## "), title[F.col("section")], F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("line"))
     # A section's totals stand in the line without a place of its own, below the heading.

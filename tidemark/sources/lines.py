@@ -17,7 +17,7 @@ def numbered(df: DataFrame, order: list[str], name: str = "line_no") -> DataFram
     Rows are dealt by ranges and sorted there; a row's number is its place in its range and the rows of the ranges
     before it, of which one count a range goes by way of the driver.  Rows that tie may come in either order.
     """
-    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    ranged = cut(cut(df).repartitionByRange(*order).sortWithinPartitions(*order))
     placed = ranged.withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id().bitwiseAND(_PLACE)})
     counts = sorted(tuple(r) for r in placed.groupBy("_p").agg(F.count("*")).collect())
     before = np.cumsum([0, *(n for _, n in counts)]).tolist()
@@ -31,7 +31,8 @@ def write_lines(df: DataFrame, order: list[str], line: str, path: str) -> None:
     A text is one line: its line breaks are written as spaces.  Nulls are empty lines.
     """
     text = F.regexp_replace(F.coalesce(F.col(line), F.lit("")), r"\r\n|[\r\n]", " ")
-    df.select(*order, text.alias("_l")).repartitionByRange(*order).sortWithinPartitions(*order).select(F.col("_l").alias("value")).write.mode("overwrite").text(path)
+    # Ranges are found in a pass of their own, so what is written is made once before.
+    cut(df.select(*order, text.alias("_l"))).repartitionByRange(*order).sortWithinPartitions(*order).select(F.col("_l").alias("value")).write.mode("overwrite").text(path)
 
 
 def lines_at(spark: SparkSession, path: str | list[str]) -> DataFrame:
