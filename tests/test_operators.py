@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.functions import web
 from tidemark.operators import acquire, evidence, gates, graph, ledger, media, producers, scoring, trends, validate
-from tidemark.sources import audio, jsonl, transcripts
+from tidemark.sources import audio, jsonl, lines, transcripts
 
 FINDING = "seq long, artifact_id string, text string, quote string, label string, polarity string, conclusion_id string, hypothesis_id string, origin string, corroborated_by array<string>, ts string"
 ARTIFACT = "artifact_id string, source string, type string, sha256 string, quality_label string"
@@ -512,3 +512,30 @@ def test_known_values_of_every_function(spark):
     assert {r.f for r in found} == {"video", "closed", "path", "scrubbed", "abstains", "host", "number", "date", "begins", "status", "stamp"}
     keys = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
     assert all(r["count"] % keys == 0 for r in found)
+
+
+def test_lines_are_made_once(spark, tmp_path):
+    """Ranges are found in a pass of their own, which must not make the lines anew; nor must a digest's headings."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def said(x: int) -> str:
+        seen.add(1)
+        return f"line {x}"
+
+    made = spark.range(100).select(F.lit("1-evidence").alias("section"), F.lpad(F.col("id").cast("string"), 20, "0").alias("ord"), F.udf(said, "string")("id").alias("line"))
+    lines.write_lines(ledger.digest_document(made, "x"), ["section", "ord"], "line", str(tmp_path / "out"))
+    assert seen.value == 100
+    got = [r.line for r in lines.read_ordered(spark, str(tmp_path / "out")).orderBy("line_no").collect()]
+    assert got == ["# RESEARCH DIGEST: x", "## evidence (100)", *[f"- line {i}" for i in range(100)]]
+
+
+def test_near_copies_move_no_groups_and_no_words(spark):
+    """Shingles are counted by one number each, and words are cut out, not looked around; the results stay those of all pairs."""
+    a = "alpha bravo charlie delta echoes foxtrot golfing hotels"
+    rows = [(1, 1, a), (1, 2, a + " india"), (2, 3, a), (None, 4, a), (None, 5, a + " india"), (1, 6, ""), (1, 7, None), (1, 8, "ab Été x über 中文 ab1cdefg with")]
+    items = spark.createDataFrame(rows, "g int, n int, text string")
+    own = evidence.shingle_sets(items, ["g"], "n", "text")
+    assert [tuple(r)[:3] for r in evidence.near_classes(own, ["g"], 0.6).collect()] == [(1, 1, 2)]
+    words = items.select("n", tx.tokens(F.col("text")).alias("t"))
+    assert {r.n: r.t for r in words.collect()}[8] == ["été", "über", "中文", "cdefg"]
+    assert "regexp_extract_all" not in words._jdf.queryExecution().analyzed().toString().lower()
