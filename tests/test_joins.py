@@ -3,6 +3,7 @@
 import random
 from html.parser import HTMLParser
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
@@ -96,3 +97,36 @@ def test_meta_tags_against_the_standard_parser(spark):
         parser.feed(page)
         assert got[i] == parser.found, page
     assert spark.createDataFrame([(None,), ("<p " + "a='b' " * 2000 + "><meta name=x content='" + "y" * 100_000 + "'>",)], "html string").select(F.size(acquire.meta_tags(F.col("html"))).alias("n")).collect() == [(0,), (1,)]
+
+
+def test_shingles_are_moved_in_long_rows(spark, monkeypatch):
+    """Near copies over many small parts against all pairs, and no shuffle with a row for each shingle."""
+    rng = random.Random(15)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(40)]
+    texts = [" ".join(["common", "shared", "opening", *rng.choices(words[:9], k=rng.randrange(0, 12))]) for _ in range(300)]
+    texts += [*texts[:9], "", "wordone wordtwo", *[" ".join(rng.choices(words, k=900)) for _ in range(6)]]
+    rows = [(i % 3, i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "g int, n int, text string")
+    shingles = {n: {tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} if len(t.split()) > 2 else set(t.split()) for _, n, t in rows}
+    alike = lambda x, y: shingles[x] and len(shingles[x] & shingles[y]) >= 0.6 * len(shingles[x] | shingles[y])
+    want = {(g, a, b) for g, a, _ in rows for h, b, _ in rows if g == h and a < b and alike(a, b)}
+    monkeypatch.setattr(evidence, "ROWS", 300)
+    assert {(r.g, r.a, r.b) for r in evidence.near_pairs(df, ["g"], "n", "text").collect()} == want
+    parent = {n: n for _, n, _ in rows}
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    for _, a, b in want:
+        parent[root(a)] = root(b)
+    assert {r.g: (r.n, r.n_distinct) for r in evidence.distinct_texts(df, "g", "n", "text").collect()} == {g: (sum(h == g for h, _, _ in rows), len({root(n) for h, n, _ in rows if h == g})) for g in range(3)}
+    # The sets are grouped once, and what is moved by shingle are arrays.
+    monkeypatch.setattr(evidence, "ROWS", 1 << 21)
+    made = []
+    sets_of, dealt = evidence.different_sets, evidence._dealt
+    monkeypatch.setattr(evidence, "different_sets", lambda *a: made.append(1) or sets_of(*a))
+    evidence.distinct_texts(df, "g", "n", "text").collect()
+    assert len(made) == 1
+    n = 10_000
+    long_rows = dealt(np.arange(n), {"k": np.arange(n), "size": np.arange(n)}, 8)
+    assert long_rows.num_rows == 8 and sorted(evidence._gathered(iter([long_rows.slice(0, 3), long_rows.slice(3)]))["k"]) == list(range(n))
