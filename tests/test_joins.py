@@ -4,10 +4,12 @@ import random
 from html.parser import HTMLParser
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.operators import acquire, evidence
+from tidemark.plans import registry
 
 
 def test_conflicts_against_all_pairs(spark):
@@ -130,3 +132,28 @@ def test_shingles_are_moved_in_long_rows(spark, monkeypatch):
     n = 10_000
     long_rows = dealt(np.arange(n), {"k": np.arange(n), "size": np.arange(n)}, 8)
     assert long_rows.num_rows == 8 and sorted(evidence._gathered(iter([long_rows.slice(0, 3), long_rows.slice(3)]))["k"]) == list(range(n))
+
+
+def test_texts_compared_once_for_all_who_ask(spark):
+    """What is asked of finer groups gives the same from one comparison as from a comparison of its own."""
+    rng = random.Random(16)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(9)]
+    texts = [" ".join(rng.choices(words, k=rng.choice([0, 1, 1, 2, 3, 5, 8, 12, 20]))) for _ in range(260)]
+    texts += [f"{t} {rng.choice(words)}" for t in texts if len(t) > 60] + texts[:40]
+    rows = [(rng.choice(["h", "h", "i"]), n, rng.choice(["confirms", "disconfirms", "neutral"]), rng.choice(["1", "2"]), t) for n, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "hypothesis_id string, seq long, polarity string, resolve_by string, text string")
+    like = evidence.alike(df, ["hypothesis_id"], "seq", "text")
+    yes, finer = df.filter("polarity = 'confirms'"), df.withColumn("_g", F.struct("hypothesis_id", "polarity"))
+    same = lambda of: sorted(map(tuple, of(None).collect())) == sorted(map(tuple, of(like).collect()))
+    assert same(lambda x: evidence.distinct_texts(finer, "_g", "seq", "text", like=x).select("_g.*", "n", "n_distinct"))
+    assert same(lambda x: evidence.first_earlier(df, ["hypothesis_id", "resolve_by"], "seq", "text", like=x))
+    assert same(lambda x: evidence.echo_members(yes, like=x)) and evidence.echo_members(yes, like=like).count() > 9
+    assert same(lambda x: evidence.echo_clusters(yes, chained=True, like=x))
+
+
+@pytest.mark.parametrize("name", ["digest_lines", "run_gate", "verdict_debunk"])
+def test_queries_shingle_their_texts_once(spark, monkeypatch, name):
+    made, of = [], tx.hashed_shingles
+    monkeypatch.setattr(tx, "hashed_shingles", lambda *a: made.append(1) or of(*a))
+    registry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert len(made) == 1

@@ -29,7 +29,7 @@ def resolved(predictions: DataFrame, resolutions: DataFrame) -> DataFrame:
     return met.select("prediction_id", F.col("stated_confidence").alias("p"), (F.col("outcome") == "hit").cast("double").alias("y"), "anchored", (F.col("ts") <= F.col("created")).alias("premature"))
 
 
-def calibration(predictions: DataFrame, resolutions: DataFrame) -> DataFrame:
+def calibration(predictions: DataFrame, resolutions: DataFrame, like: evidence.Alike | None = None) -> DataFrame:
     """One row of totals, resolution rate, Brier scores over all and over anchored resolutions, and the greatest gap of a bucket.
 
     A repeated id is one forecast, as its last row has it.  Resolutions at or before the forecast count, and are reported as premature.  Distinct forecasts are counted where
@@ -42,7 +42,7 @@ def calibration(predictions: DataFrame, resolutions: DataFrame) -> DataFrame:
     met = predictions.agg(F.count("*").alias("n_predictions")).join(scored, how="cross")
     rate = F.when(F.col("n_predictions") > 0, F.round(F.col("n_resolved") / F.col("n_predictions"), 3)).otherwise(0.0)
     if {"claim", "resolve_by", "hypothesis_id"} <= set(predictions.columns):
-        distinct = evidence.prediction_counts(predictions).agg(F.coalesce(F.sum("distinct_predictions"), F.lit(0)).alias("n_distinct"))
+        distinct = evidence.prediction_counts(predictions, like=like).agg(F.coalesce(F.sum("distinct_predictions"), F.lit(0)).alias("n_distinct"))
     else:
         distinct = predictions.sparkSession.range(1).select(F.lit(None).cast("long").alias("n_distinct"))
     worst = _buckets(done, 5).agg(F.max("gap").alias("worst_bucket_gap"))
@@ -196,9 +196,9 @@ def conformance(expected: DataFrame, actual: DataFrame, key: str, group: str) ->
     return met.groupBy(group).agg(F.count("*").alias("n"), F.count_if("same").alias("passed"), F.count_if(~F.col("same")).alias("failed"))
 
 
-def prediction_duplicates(predictions: DataFrame, least: float = tx.NEAR) -> DataFrame:
+def prediction_duplicates(predictions: DataFrame, least: float = tx.NEAR, like: evidence.Alike | None = None) -> DataFrame:
     """Predictions with the first earlier near copy of the same deadline and hypothesis, null if none."""
     names = predictions.withColumn("_h", F.coalesce(F.col("hypothesis_id").cast("string"), F.lit("")))
-    earlier = evidence.first_earlier(names, ["_h", "resolve_by"], "seq", "claim", least).withColumnRenamed("first", "_first")
+    earlier = evidence.first_earlier(names, ["_h", "resolve_by"], "seq", "claim", least, like).withColumnRenamed("first", "_first")
     found = predictions.select(F.col("seq").alias("_first"), F.col("prediction_id").alias("near_duplicate_of"))
     return predictions.select("seq", "prediction_id").join(earlier, "seq", "left").join(found, "_first", "left").select("seq", "prediction_id", "near_duplicate_of")
