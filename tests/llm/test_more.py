@@ -64,6 +64,28 @@ def test_grammar_replaces_frequent_pairs_first():
     assert max(apart.values()) < 16  # under four, but for pairs that only overlapped others when their turn came
 
 
+def test_runs_are_looked_for_in_few_texts(monkeypatch):
+    """Texts of ordinary words aren't searched character by character; runs are found wherever they begin."""
+    from tidemark.llm import packing
+
+    rng = random.Random(8)
+    full, searched = packing.LONG_RUN, []
+
+    class Seen:
+        def search(self, text):
+            searched.append(text)
+            return full.search(text)
+
+    monkeypatch.setattr(packing, "LONG_RUN", Seen())
+    for _ in range(400):
+        pad, n = "ab " * rng.randrange(1000), rng.choice([1000, 1998, 1999, 2000, 2001, 5000])
+        text = pad + rng.choice(["x", "\u4e2d", " ", "\n\t", "\u2003", "\x1f", "\u200b"]) * n + rng.choice(["", " ", "y", " ab" * rng.randrange(900)])
+        assert packing.long_run(text) == bool(full.search(text))
+    searched.clear()
+    assert not packing.long_run("word and word, " * 4000) and not packing.long_run("x" * 1999) and not packing.long_run("")
+    assert not searched
+
+
 def _told(tk, rows):
     start, out = 0, []
     for i, text in rows:
