@@ -539,3 +539,33 @@ def test_near_copies_move_no_groups_and_no_words(spark):
     words = items.select("n", tx.tokens(F.col("text")).alias("t"))
     assert {r.n: r.t for r in words.collect()}[8] == ["été", "über", "中文", "cdefg"]
     assert "regexp_extract_all" not in words._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_copies_are_linked_by_their_number_not_their_pairs(spark):
+    """What is only to be connected takes few of the pairs that are alike, and leaves none apart."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for text in range(3):
+        base = [word() for _ in range(60)]
+        for i in range(40):
+            words = list(base)
+            words[rng.randrange(60)] = word()
+            rows.append((1, 100 * text + i, " ".join(words)))
+    # A chain of which only neighbours are alike, and the same texts in another group.
+    long = [word() for _ in range(400)]
+    rows += [(g, 1000 + i, " ".join(long[8 * i : 8 * i + 60])) for g in (1, 2) for i in range(40)]
+    items = spark.createDataFrame(rows, "g int, n int, text string")
+    own = evidence.shingle_sets(items, ["g"], "n", "text")
+    sets = evidence.different_sets(own, ["g"])
+    every = evidence.near_classes(own, ["g"], 0.6, sets)
+    texts = {(g, n): {tuple(w[i : i + 3]) for i in range(len(w) - 2)} for g, n, t in rows for w in [t.split()]}
+    want = {(g, a, b) for g, a in texts for h, b in texts if g == h and a < b and len(texts[g, a] & texts[g, b]) / len(texts[g, a] | texts[g, b]) >= 0.6}
+    assert {(r.g, r.a, r.b) for r in every.collect()} == want and len(want) > 2000
+    few = {(r.g, r.a, r.b) for r in evidence._near_sets(sets, ["g"], 0.6, linking=True, few=0).collect()}
+    assert few <= want and len(few) < 3 * len(rows)
+    assert {tuple(r) for r in evidence.distinct_texts(items, "g", "n", "text").collect()} == {(1, 160, 4), (2, 40, 1)}
+    none = spark.createDataFrame([(1, 1, "alpha bravo charlie delta"), (1, 2, "")], "g int, n int, text string")
+    assert [tuple(r) for r in evidence.distinct_texts(none, "g", "n", "text").collect()] == [(1, 2, 2)]
