@@ -53,6 +53,18 @@ def test_grammar_round_trip():
         tokenfiles.Grammar.from_bytes(made.to_bytes()[:-4])
 
 
+def test_symbols_are_not_sorted_to_be_expanded(monkeypatch):
+    """A shard is decoded in passes over its symbols, none of which puts them in order; any symbols expand, in any order."""
+    rng = random.Random(9)
+    made = tokenfiles.Grammar.from_bytes(tokenfiles.re_pair(np.array([rng.choice([1, 1, 2, 3]) for _ in range(4000)], "u4")).to_bytes())
+    one = {s: made.expanded(np.array([s])).tolist() for s in [*range(4), *range(made.first, made.first + len(made.left))]}
+    monkeypatch.setattr(np, "unique", None)
+    monkeypatch.setattr(np, "searchsorted", None)
+    for n in (0, 1, 7, 500):
+        symbols = np.array([rng.choice(sorted(one)) for _ in range(n)], "u4")
+        assert made.expanded(symbols).tolist() == [x for s in symbols.tolist() for x in one[s]]
+
+
 def test_grammar_replaces_frequent_pairs_first():
     """A rule stands for a pair that occurs as often as asked for, and no frequent pair is left where rounds suffice."""
     rng = random.Random(6)

@@ -80,13 +80,21 @@ class Grammar:
 
     def expanded(self, symbols: np.ndarray) -> np.ndarray:
         """The ids that symbols stand for: rules are unfolded once, and each symbol copies what its rule stands for."""
-        used = np.unique(symbols[symbols >= self.first])
-        copied = np.concatenate([self._unfolded(used), symbols.astype("<u4")])
-        spans = self.lengths(used)
-        n, begin = self.lengths(symbols), np.arange(len(symbols)) + int(spans.sum())
         made = symbols >= self.first
-        begin[made] = (np.cumsum(spans) - spans)[np.searchsorted(used, symbols[made])]
-        return copied[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        rules = symbols[made] - self.first
+        seen = np.zeros(len(self.spans), bool)
+        seen[rules] = True
+        used = np.flatnonzero(seen)
+        spans = self.spans[used].astype("i8")
+        copied = np.concatenate([self._unfolded(used + self.first), symbols.astype("<u4")])
+        n, begin, at = self.lengths(symbols), np.arange(len(symbols)) + int(spans.sum()), np.zeros(len(self.spans), "i8")
+        at[used] = np.cumsum(spans) - spans
+        begin[made] = at[rules]
+        # From one id to the next a step of one, but where a symbol begins.
+        steps = np.ones(int(n.sum()), "i8")
+        if len(steps):
+            steps[0], steps[np.cumsum(n)[:-1]] = begin[0], begin[1:] - (begin[:-1] + n[:-1] - 1)
+        return copied[np.cumsum(steps, out=steps)]
 
     def tokens(self, start: int = 0, length: int | None = None) -> np.ndarray:
         """``length`` ids from ``start`` on, decoding only the symbols that hold them."""
