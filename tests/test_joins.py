@@ -1,6 +1,7 @@
 """Joins that must not list all pairs, against listing them."""
 
 import random
+import time
 from html.parser import HTMLParser
 
 import numpy as np
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.operators import acquire, evidence
 from tidemark.plans import registry
+from tidemark.sources import storage
+from tidemark.sources.tables import Tables
 
 
 def test_conflicts_against_all_pairs(spark):
@@ -157,3 +160,56 @@ def test_queries_shingle_their_texts_once(spark, monkeypatch, name):
     monkeypatch.setattr(tx, "hashed_shingles", lambda *a: made.append(1) or of(*a))
     registry.queries()[name](spark, "/root/testdata/sf0.001")
     assert len(made) == 1
+
+
+def _shuffle_files(spark):
+    return {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+
+
+def test_what_is_cut_leaves_no_shuffle_files(spark):
+    """Shuffles behind a cut go at once, and what is dropped goes from the shared folder."""
+    before = _shuffle_files(spark)
+    df = spark.range(5000).repartition(3, "id").groupBy((F.col("id") % 1000).alias("k")).agg(F.count("*").alias("n"))
+    made = storage.cut(df)
+    for _ in range(50):
+        if not (left := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert made.count() == 1000 and df.count() == 1000  # what was cut can be run again
+    at = made._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()
+    assert storage.exists(spark, at)
+    storage.dropped(made)
+    assert not storage.exists(spark, at)
+
+
+def test_equal_sets_are_written_once_and_pairs_are_compared_in_cells(spark, monkeypatch):
+    """Copies and near copies in one large group, against all pairs, with cells of a few sets; of equal sets one holds the shingles, and none are left."""
+    rng = random.Random(17)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60)]
+    base = rng.sample(words, 30)
+    texts = [" ".join(base[: rng.randrange(20, 31)]) for _ in range(200)] + [" ".join(rng.choices(words, k=12)) for _ in range(60)] + ["", "wordone"]
+    rows = [(None if i % 50 == 49 else i % 2, i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "g int, n long, text string").repartition(5)
+    shingles = {n: frozenset(zip(t.split(), t.split()[1:], t.split()[2:], strict=False)) for _, n, t in rows}
+    made, cut = [], evidence.cut
+    monkeypatch.setattr(evidence, "cut", lambda d: made.append(cut(d)) or made[-1])
+    monkeypatch.setattr(evidence, "CELL", 100)
+    gone, dropped = [], evidence.dropped
+    monkeypatch.setattr(evidence, "dropped", lambda d: gone.append((d, d.filter("s IS NOT NULL").count() if "s" in d.columns else 0)) or dropped(d))
+    like = evidence.alike(df, ["g"], "n", "text")
+    k = {r.n: r.k for r in like.members.collect()}
+    own = [(g, n) for g, n, _ in rows if shingles[n]]
+    assert len({k[n] for _, n in own}) == len({(g, shingles[n]) for g, n in own})
+    assert max(n for _, n in gone) == len({(g, s) for g, n, t in rows if (s := shingles[n] or t)})
+    assert [d for d, _ in gone if d is made[0]]
+    alike = lambda x, y: len(shingles[x] & shingles[y]) >= 0.6 * len(shingles[x] | shingles[y])
+    want = {frozenset((k[a], k[b])) for g, a in own for h, b in own if g is not None and g == h and k[a] != k[b] and alike(a, b)}
+    got = [frozenset(r) for r in like.pairs.collect()]
+    assert set(got) == want and len(got) == len(want) > 100
+
+
+def test_what_is_asked_of_predictions_moves_no_texts(spark):
+    plan = Tables(spark, "/root/testdata/sf0.001").predictions().select("prediction_id", "hypothesis_id")._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[: plan.index("Join")]
+    assert "ascii" not in joined and "ascii" in plan
