@@ -213,3 +213,13 @@ def test_what_is_asked_of_predictions_moves_no_texts(spark):
     plan = Tables(spark, "/root/testdata/sf0.001").predictions().select("prediction_id", "hypothesis_id")._jdf.queryExecution().optimizedPlan().toString()
     joined = plan[: plan.index("Join")]
     assert "ascii" not in joined and "ascii" in plan
+
+
+@pytest.mark.parametrize("name", ["independence_gate"])
+def test_queries_leave_no_shingles_behind(spark, monkeypatch, name):
+    """What the comparison has written of whole sets is gone before the rest of the query runs, and was written once."""
+    made, cut = [], evidence.cut
+    monkeypatch.setattr(evidence, "cut", lambda d: made.append(cut(d)) or made[-1])
+    registry.queries()[name](spark, "/root/testdata/sf0.001")
+    whole = [d._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get() for d in made if "s" in d.columns]
+    assert len(whole) == 2 and not any(storage.exists(spark, x) for x in whole)  # all sets, and those in pairs
